@@ -13,7 +13,8 @@ A document whose kept lines hold less than LEAST_KEPT of the characters of its l
 Words are [^\x20\x09-\x0D]+ and lines are split at \n. No shuffle: each document is judged in its row.
 
 Defined results: a null text counts as empty and, like an empty one, fails for having no words. Equal
-rows get equal verdicts. Columns of other names pass through clean() untouched.
+rows get equal verdicts. Other columns, whatever their names, pass
+through kept_documents() untouched.
 """
 
 from __future__ import annotations
@@ -80,55 +81,53 @@ def _repeated(grams: Column) -> Column:
 
 def _computed(df: DataFrame, **values: Column) -> DataFrame:
     """df with more columns, behind a generator: filters on them stay above it, so nothing is computed twice."""
-    own = [F.col(f"`{c}`") for c in df.columns]
-    held = F.explode_outer(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))).alias("_s")
-    return df.select(*own, held).select(*own, *[F.col(f"_s.{k}").alias(k) for k in values])
+    held = F.explode_outer(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))).alias("computed")
+    return df.select("*", held).select(*df.columns, "computed.*")
 
 
 def measured(docs: DataFrame, least_kept: float = LEAST_KEPT) -> DataFrame:
-    """docs with a struct column _q: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long),
-    base_failed, kept (boolean) and cleaned (the lines that passed, joined by a newline)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    trimmed = F.btrim(text, F.lit(SPACES))
+    """Two columns: row, the struct of the columns of docs, and q, a struct of n_words, word_chars, n_symbols,
+    n_dup_lines, n_repeat_words (long), base_failed, kept (boolean) and cleaned (the lines that passed)."""
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    trimmed = F.btrim("t", F.lit(SPACES))
     none = F.array().cast("array<string>")
-    own = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("t"))
     a = _computed(
-        docs,
-        _t=text,
-        _w=F.when(trimmed == "", none).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+")),
-        _l=F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""),
+        rows,
+        w=F.when(trimmed == "", none).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+")),
+        l=F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""),
     )
     gram = F.when(
-        F.size("_w") >= WINDOW,
-        F.transform(F.sequence(F.lit(0), F.size("_w") - WINDOW), lambda i: F.xxhash64(*[F.get(F.col("_w"), i + k) for k in range(WINDOW)])),
+        F.size("w") >= WINDOW,
+        F.transform(F.sequence(F.lit(0), F.size("w") - WINDOW), lambda i: F.xxhash64(*[F.get(F.col("w"), i + k) for k in range(WINDOW)])),
     ).otherwise(F.array().cast("array<bigint>"))
-    b = _computed(a, _g=gram, _k=F.filter("_l", line_passes))
+    b = _computed(a, g=gram, k=F.filter("l", line_passes))
     c = _computed(
         b,
-        _n=F.size("_w").cast("long"),
-        _r=_repeated(F.col("_g")).cast("long"),
-        _all=F.aggregate("_l", F.lit(0), lambda s, x: s + F.length(x)),
-        _held=F.aggregate("_k", F.lit(0), lambda s, x: s + F.length(x)),
+        n=F.size("w").cast("long"),
+        r=_repeated(F.col("g")).cast("long"),
+        all=F.aggregate("l", F.lit(0), lambda s, x: s + F.length(x)),
+        held=F.aggregate("k", F.lit(0), lambda s, x: s + F.length(x)),
     )
-    failed = (F.col("_n") < LEAST_WORDS) | (F.col("_r") * 100 > F.col("_n") * MOST_REPEATED)
+    failed = (F.col("n") < LEAST_WORDS) | (F.col("r") * 100 > F.col("n") * MOST_REPEATED)
     q = F.struct(
-        F.col("_n").alias("n_words"),
-        _without(F.col("_t"), SPACES).cast("long").alias("word_chars"),
-        (F.length("_t") - _without(F.col("_t"), SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.col("_r").alias("n_repeat_words"),
+        F.col("n").alias("n_words"),
+        _without(F.col("t"), SPACES).cast("long").alias("word_chars"),
+        (F.length("t") - _without(F.col("t"), SYMBOLS)).cast("long").alias("n_symbols"),
+        (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
+        F.col("r").alias("n_repeat_words"),
         failed.alias("base_failed"),
-        (~failed & (F.col("_held") >= F.col("_all") * F.lit(least_kept))).alias("kept"),
-        F.array_join("_k", "\n").alias("cleaned"),
+        (~failed & (F.col("held") >= F.col("all") * F.lit(least_kept))).alias("kept"),
+        F.array_join("k", "\n").alias("cleaned"),
     )
-    return c.select(*[F.col(f"`{x}`") for x in own], q.alias("_q"))
+    return c.select("row", q.alias("q"))
 
 
 def kept_documents(docs: DataFrame, least_kept: float = LEAST_KEPT) -> DataFrame:
     """The documents that are not rejected, with the text of the lines that passed; n_chars, if present, follows the text."""
-    text = F.col("_q.cleaned")
+    text = F.col("q.cleaned")
     of = {"text": text.alias("text"), "n_chars": F.length(text).cast("long").alias("n_chars")}
-    return measured(docs, least_kept).filter("_q.kept").select(*[of.get(c, F.col(f"`{c}`")) for c in docs.columns])
+    return measured(docs, least_kept).filter("q.kept").select(*[of.get(c, F.col("row").getField(c).alias(c)) for c in docs.columns])
 
 
 #: DuckDB's form of the query.

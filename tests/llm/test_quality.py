@@ -32,13 +32,13 @@ CASES = [
 def test_measures_are_the_plain_ones(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(CASES)], "doc_id long, text string, kept string")
     q = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    rows = Q.measured(df).orderBy("doc_id").select(*[f"_q.{c}" for c in q], "_q.kept").collect()
+    rows = Q.measured(df).orderBy("row.doc_id").select(*[f"q.{c}" for c in q], "q.kept").collect()
     assert [tuple(r)[:6] for r in rows] == [plain(t) for t in CASES]
-    assert [r.kept for r in rows] == [False] * 6 + [True, False, True, False, True]
+    assert [r.kept for r in rows] == [False] * 6 + [True, False, False, False, True]
 
 
 def test_kept_documents_keep_their_columns(spark):
-    df = spark.createDataFrame([(1, CASES[6], 5, "en"), (2, CASES[7], 5, "en")], "doc_id long, text string, n_chars long, _t string")
+    df = spark.createDataFrame([(1, CASES[6], 5, "en"), (2, CASES[7], 5, "en")], "doc_id long, text string, n_chars long, t string")
     out = Q.kept_documents(df)
     assert out.columns == df.columns
     (row,) = out.collect()
@@ -48,7 +48,7 @@ def test_kept_documents_keep_their_columns(spark):
 
 def test_sql_twin_agrees_on_the_cases(spark):
     df = spark.createDataFrame(list(enumerate(CASES[:9])), "doc_id long, text string")
-    got = Q.measured(df).select("doc_id", "_q.*").drop("cleaned").orderBy("doc_id").collect()
+    got = Q.measured(df).select("row.doc_id", "q.*").drop("cleaned").orderBy("doc_id").collect()
     documents = df.toPandas()  # noqa: F841  read by DuckDB
     want = duckdb.sql(Q.SQL + " ORDER BY doc_id").fetchall()
     assert [tuple(r) for r in got] == want
@@ -56,6 +56,6 @@ def test_sql_twin_agrees_on_the_cases(spark):
 
 def test_labels_of_the_driver_tables(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    n = Q.measured(docs).join(labels, "doc_id").filter(~F.col("_q.base_failed"))
-    assert n.filter("quality = 1").agg(F.avg(F.col("_q.kept").cast("int"))).first()[0] > 0.97
-    assert (n.filter("quality = 0").agg(F.avg(F.col("_q.kept").cast("int"))).first()[0] or 0) < 0.1
+    n = Q.measured(docs).select("row.doc_id", "q.*").join(labels, "doc_id").filter("NOT base_failed")
+    assert n.filter("quality = 1").agg(F.avg(F.col("kept").cast("int"))).first()[0] > 0.97
+    assert (n.filter("quality = 0").agg(F.avg(F.col("kept").cast("int"))).first()[0] or 0) < 0.1
