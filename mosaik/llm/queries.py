@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, sharding, simhash
+from . import decontaminate, mixing, quality, sharding, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +39,18 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("row.doc_id", *q)
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the passages that a document before it has."""
+    return substrings.removed(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
     "op3_sharding": op3_sharding,
     "op5_mixing": op5_mixing,
     "op9_quality": op9_quality,
+    "op10_substrings": op10_substrings,
 }
 
 ORACLE_SQL: dict[str, str] = {
