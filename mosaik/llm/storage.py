@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _shuffles_dropped(spark: SparkSession):
+def shuffles_dropped(spark: SparkSession):
     """Shuffle files of the actions inside go when each action ends, instead of at some later collection."""
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
@@ -42,7 +42,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once, as a Parquet table in the shared folder; its lineage is cut there."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    with _shuffles_dropped(spark):
+    with shuffles_dropped(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
