@@ -126,7 +126,8 @@ def _met(placed: DataFrame, sizes: DataFrame, seed: int) -> DataFrame:
     first, last = F.floor(F.col("begin") / BLOCK), F.floor((F.col("begin") + F.col("size") - 1) / BLOCK)
     parts = placed.filter("size > 0").select("source", "begin", "size", F.explode(F.sequence(first, last)).alias("block"))
     words = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * BLOCK) - F.greatest(F.col("begin"), F.col("block") * BLOCK)
-    p, t = parts.withColumn("words", words).alias("p"), times.alias("t")
+    # Spark cannot tell how many draws the few rows of sources become, so it must not choose to broadcast them.
+    p, t = parts.withColumn("words", words).alias("p"), times.hint("merge").alias("t")
     return p.join(t, F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.block") == F.col("t.block"))).select("p.*", "times")
 
 
