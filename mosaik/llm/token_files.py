@@ -14,9 +14,11 @@ The width of a block is what nine tenths of its ids need, by the PERCENTILE of i
 are outliers. The last block of a segment is filled up with its least id. The block starts give access
 to any id without unpacking those before it.
 
-Encoding. Byte-level BPE never joins a word with the white space after it, so a text is encoded by
-pieces of white space and the word after it; each distinct piece is given to the tokenizer once and
-remembered, for a bounded number of pieces. Texts with white space beyond ASCII are encoded whole.
+Encoding. Byte-level BPE never joins a word with the white space after it, nor a letter with a mark
+after it, so a text is encoded by pieces that begin at white space after a word or at an ASCII mark after
+an ASCII letter; each distinct piece is given to the tokenizer once and remembered, for a bounded number
+of pieces. Texts with white space beyond ASCII, or what looks like a special token, are
+encoded whole.
 Pieces are recognised by 64-bit hashes.
 
 Defined results: a null text is the empty one and has END alone. Rows without doc_id come first. Rows
@@ -28,6 +30,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +46,8 @@ BLOCK = 128
 PERCENTILE = 90
 SEGMENT = 1 << 18
 MAGIC = b"PFR1"
-#: Distinct pieces that an encoder remembers; then it begins anew.
-REMEMBERED = 1_000_000
+#: Distinct pieces that an encoder remembers, in about 100 MB; then it begins anew.
+REMEMBERED = 2_500_000
 _U32 = np.uint32
 
 
@@ -126,8 +129,8 @@ def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
 # --- encoding -----------------------------------------------------------------------------------------
 
 
-def _wide_space(data: np.ndarray) -> np.ndarray:
-    """Offsets of white space beyond ASCII."""
+def _odd(data: np.ndarray) -> np.ndarray:
+    """Offsets of white space beyond ASCII, and of what may begin a special token."""
     n = len(data)
     a = data
     b = np.concatenate([data[1:], np.zeros(1, np.uint8)])[:n]
@@ -135,7 +138,60 @@ def _wide_space(data: np.ndarray) -> np.ndarray:
     two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
     general = (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
     others = ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE2) & (b == 0x81) & (c == 0x9F)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
-    return np.flatnonzero(two | general | others)
+    return np.flatnonzero(two | general | others | ((a == 60) & (b == 124)))
+
+
+_ALPHA = np.zeros(256, bool)
+_ALPHA[65:91] = _ALPHA[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[33:127] = True
+_MARK[48:58] = False
+_MARK &= ~_ALPHA
+
+
+class Places:
+    """Numbers 0, 1, ... for 64-bit keys in the order of their coming: an open-addressing table in NumPy."""
+
+    def __init__(self) -> None:
+        self.keys, self.values, self.used = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32), 0
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where it is new. No key is 0."""
+        mask = np.uint64(len(self.keys) - 1)
+        at = (key & mask).astype(np.int64)
+        out = np.where(self.keys[at] == key, self.values[at], -1)
+        left = np.flatnonzero((self.keys[at] != key) & (self.keys[at] != 0))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & int(mask)
+            here = self.keys[at]
+            hit = here == key[left]
+            out[left[hit]] = self.values[at[hit]]
+            on = ~hit & (here != 0)
+            left, at = left[on], at[on]
+        return out
+
+    def add(self, key: np.ndarray) -> None:
+        """Number distinct keys that are new."""
+        if (self.used + len(key)) * 2 > len(self.keys):
+            old = self.keys > 0
+            keys, values = self.keys[old], self.values[old]
+            size = len(self.keys)
+            while (self.used + len(key)) * 2 > size:
+                size *= 2
+            self.keys, self.values = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            self._put(keys, values)
+        self._put(key, np.arange(self.used, self.used + len(key), dtype=np.int32))
+        self.used += len(key)
+
+    def _put(self, key: np.ndarray, value: np.ndarray) -> None:
+        mask = len(self.keys) - 1
+        at = (key & np.uint64(mask)).astype(np.int64)
+        while len(key):
+            free = np.flatnonzero(self.keys[at] == 0)
+            self.keys[at[free]], self.values[at[free]] = key[free], value[free]
+            on = self.keys[at] != key  # taken, or another key came last
+            key, value, at = key[on], value[on], (at[on] + 1) & mask
 
 
 class Encoder:
@@ -149,15 +205,15 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.pool, self.used = np.zeros(1 << 20, _U32), 0
-        self.start, self.length = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.places = Places()
+        self.pool, self.used = np.zeros(1 << 18, _U32), 0
+        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
 
-    def _learn(self, known: list[int], pieces: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), _U32, int(size.sum()))
-        n = len(self.slots)
+        flat = np.fromiter(chain.from_iterable(found), _U32, int(size.sum()))
+        n = self.places.used
         while n + len(found) > len(self.start):
             self.start, self.length = (np.concatenate([v, np.zeros_like(v)]) for v in (self.start, self.length))
         while self.used + len(flat) > len(self.pool):
@@ -166,7 +222,7 @@ class Encoder:
         self.start[n : n + len(found)] = self.used + np.cumsum(size) - size
         self.length[n : n + len(found)] = size
         self.used += len(flat)
-        self.slots.update(zip(known, range(n, n + len(found)), strict=True))
+        self.places.add(keys)
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the number of ids of each."""
@@ -177,26 +233,28 @@ class Encoder:
         space = W.SPACE[data]
         begins = space.copy()
         begins[1:] &= ~space[:-1]
-        filled = np.flatnonzero(np.diff(texts))
-        begins[texts[filled]] = True
+        begins[1:] |= _MARK[data[1:]] & _ALPHA[data[:-1]]
+        begins[texts[np.flatnonzero(np.diff(texts))]] = True
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(data))
         first = np.searchsorted(starts, texts)
-        pieces = W.Words(data, texts, starts, ends, first)
-        hashed, place, of = np.unique(W.hashes(pieces), return_index=True, return_inverse=True)
-        if len(self.slots) + len(hashed) > REMEMBERED:
-            self._forget()
-        keys = hashed.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.slots]
-        if new:
-            raw = data.tobytes()
-            self._learn([keys[i] for i in new], [raw[a:b].decode() for a, b in zip(starts[place[new]].tolist(), ends[place[new]].tolist(), strict=True)])
-        slot = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))[of]
-        size = self.length[slot]
+        key = np.maximum(W.hashes(W.Words(data, texts, starts, ends, first)), 1)
+        slot = self.places.find(key)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            keys, at = np.unique(key[new], return_index=True)
+            if self.places.used + len(keys) > REMEMBERED:
+                self._forget()
+                new = np.arange(len(key))
+                keys, at = np.unique(key, return_index=True)
+            at, raw = new[at], data.tobytes()
+            self._learn(keys, [raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            slot[new] = self.places.find(key[new])
+        size = self.length[slot].astype(np.int64)
         ids = self.pool[W.ragged(self.start[slot], size)]
         total = np.concatenate([[0], np.cumsum(size)])
         count = total[first[1:]] - total[first[:-1]]
-        odd = np.unique(np.searchsorted(texts, _wide_space(data), "right") - 1)
+        odd = np.unique(np.searchsorted(texts, _odd(data), "right") - 1)
         if len(odd):
             own = np.split(ids, np.cumsum(count)[:-1])
             for t in odd.tolist():
