@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, sharding, simhash, storage, substrings, token_files
+from . import decontaminate, mixing, quality, sharding, simhash, storage, substrings, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from the labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.trained(docs, _table(spark, sf_dir, "labels")))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written to files and read back from them."""
     import public_tokenizers
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_sharding": op3_sharding,
     "op5_mixing": op5_mixing,
+    "op6_toxicity": op6_toxicity,
     "op8_token_files": op8_token_files,
     "op9_quality": op9_quality,
     "op10_substrings": op10_substrings,
