@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, sharding, simhash, storage, substrings, token_files, toxicity
+from . import decontaminate, html_text, lm_scoring, mixing, quality, sharding, simhash, storage, substrings, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.laid_out(_table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much more every document looks like conversation than like documents at large."""
+    import public_tokenizers
+
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return lm_scoring.cross_entropy_difference(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "conversations"), tokenizer)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix of sources takes of every document."""
     return mixing.taken(_table(spark, sf_dir, "documents"))
@@ -39,6 +47,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.trained(docs, _table(spark, sf_dir, "labels")))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written to files and read back from them."""
     import public_tokenizers
@@ -63,8 +76,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
     "op3_sharding": op3_sharding,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
+    "op7_html_text": op7_html_text,
     "op8_token_files": op8_token_files,
     "op9_quality": op9_quality,
     "op10_substrings": op10_substrings,

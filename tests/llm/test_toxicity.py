@@ -35,31 +35,6 @@ def test_kernel_is_the_plain_one():
     assert X.scores(u, table) == pytest.approx(k[:, 0], abs=1e-5)
 
 
-def spelled(u):
-        out = {}
-        for i in range(len(u)):
-            for a in range(1, X.GAP + 2):
-                for b in range(1, X.GAP + 2):
-                    if i + a + b < len(u):
-                        out.setdefault(u[i] + u[i + a] + u[i + a + b], []).append(X.DECAY ** (a + b))
-        return out
-
-    a, b = spelled(s), spelled(t)
-    norm = [sum(x * x for v in m.values() for x in v) ** 0.5 for m in (a, b)]
-    return sum(sum(a[k]) * sum(b[k]) for k in a if k in b) / (norm[0] * norm[1])
-
-
-def test_kernel_is_the_plain_one():
-    names = ["idiot", "idioot", "lantern", "banana", "abc"]
-    u = X.units(pa.array(names))
-    own, triple, weight = X._subsequences(u)
-    landmarks = np.zeros((X._SIZE, len(names)), np.float32)
-    np.add.at(landmarks, (triple, own), weight)
-    k = X._kernel(u, landmarks)
-    assert k == pytest.approx(np.array([[plain_kernel(s, t) for t in names] for s in names]), abs=1e-5)
-    assert X.scores(u, landmarks[:, 0]) == pytest.approx(k[:, 0], abs=1e-5)
-
-
 def spelled(u):
     letters = "".join(chr(96 + c) if c <= 26 else "*" for c in u.code)
     return [letters[a + 1 : b] for a, b in zip(u.first, u.first[1:])]
