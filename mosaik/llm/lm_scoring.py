@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .storage import written
-from .token_files import Encoder
+from .token_files import encoder_of
 
 MIX = 0.75
 EDGE = 50_257
@@ -42,7 +42,7 @@ _GATHERED = 4_000_000
 
 def _encoded(vocabulary):
     def scan(batches):
-        encoder = Encoder(vocabulary.value)
+        encoder = encoder_of(vocabulary.value)
         for b in W.slices(batches):
             ids, count = encoder.encode(b.column("text"))
             ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)

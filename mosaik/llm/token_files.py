@@ -30,6 +30,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -264,6 +265,12 @@ class Encoder:
         return ids, count
 
 
+@lru_cache(maxsize=1)
+def encoder_of(vocabulary: str) -> Encoder:
+    """The encoder of this process, which keeps what it has learned from task to task."""
+    return Encoder(vocabulary)
+
+
 # --- tables -------------------------------------------------------------------------------------------
 
 _SEGMENTS = "part int, segment int, ids_before long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
@@ -274,7 +281,7 @@ def _write(vocabulary):
     kind = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("ids_before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
 
     def write(batches):
-        encoder, part = Encoder(vocabulary.value), TaskContext.get().partitionId()
+        encoder, part = encoder_of(vocabulary.value), TaskContext.get().partitionId()
         segment, before, size, held, docs, lengths = 0, 0, 0, [], [], []
 
         def full() -> pa.RecordBatch:

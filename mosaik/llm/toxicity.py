@@ -40,7 +40,7 @@ DECAY = 0.7
 LANDMARKS = 192
 ROUNDS = 3
 #: Labelled rows of each class from which is learned.
-SAMPLE = 2000
+SAMPLE = 1500
 THRESHOLD = 0.3
 SIGNS = {"0": "o", "1": "i", "!": "i", "3": "e", "4": "a", "@": "a", "5": "s", "$": "s", "7": "t"}
 #: Distances of the three further letters of a subsequence from its first one, and its weight.
@@ -120,18 +120,27 @@ def _spelled(code: np.ndarray, i: np.ndarray, a: int, b: int, c: int) -> np.ndar
     return (code[i] << 15) | (code[i + a] << 10) | (code[i + b] << 5) | code[i + c]
 
 
+def _parts(u: Units, letters: int = 400_000) -> list[np.ndarray]:
+    """Units in runs of about so many letters."""
+    if len(u.first) < 2:
+        return []
+    cuts = np.flatnonzero(np.diff(u.first[:-1] // letters)) + 1
+    return np.split(np.arange(len(u.first) - 1), cuts)
+
+
 def scores(u: Units, table: np.ndarray) -> np.ndarray:
     """The product of the table with each unit's normed subsequence weights."""
-    n = len(u.code)
-    if not n:
-        return np.zeros(0)
-    size = np.diff(u.first)
-    room = np.repeat(u.first[1:], size) - np.arange(n)  # letters from each one to the end of its unit
-    total = np.zeros(n, np.float32)
-    for a, b, c, weight in _STEPS:
-        i = np.flatnonzero(room > c)
-        total[i] += np.float32(weight) * table[_spelled(u.code, i, a, b, c)]
-    return np.add.reduceat(total.astype(np.float64), u.first[:-1]) / _norms(int(size.max()))[size]
+    out = np.zeros(len(u.first) - 1)
+    for part in _parts(u):
+        v = _select(u, part)
+        n, size = len(v.code), np.diff(v.first)
+        room = np.repeat(v.first[1:], size) - np.arange(n)  # letters from each one to the end of its unit
+        total = np.zeros(n, np.float32)
+        for a, b, c, weight in _STEPS:
+            i = np.flatnonzero(room > c)
+            total[i] += np.float32(weight) * table[_spelled(v.code, i, a, b, c)]
+        out[part] = np.add.reduceat(total.astype(np.float64), v.first[:-1]) / _norms(int(size.max()))[size]
+    return out
 
 
 def _subsequences(u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,8 +177,8 @@ def _landmarks(u: Units) -> Landmarks:
 def _kernel(u: Units, marks: Landmarks) -> np.ndarray:
     """Kernel of units with landmarks."""
     out = np.zeros((len(u.first) - 1, marks.weight.shape[1]), np.float32)
-    for a in range(0, len(out), 4000):
-        own, spelled, weight = _subsequences(_select(u, np.arange(a, min(len(out), a + 4000))))
+    for a in range(0, len(out), 1000):
+        own, spelled, weight = _subsequences(_select(u, np.arange(a, min(len(out), a + 1000))))
         at = np.minimum(np.searchsorted(marks.spelled, spelled), len(marks.spelled) - 1)
         met = marks.spelled[at] == spelled
         own, at, weight = own[met], at[met], weight[met]
@@ -233,22 +242,39 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _all_units(texts: list[str | None]) -> Units:
+    """The units of many texts, found a few texts at a time."""
+    code, size, text = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    at = 0
+    for b in W.slices(iter([pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})]), most=1 << 19):
+        v = units(b.column("text"))
+        code.append(v.code)
+        size.append(np.diff(v.first))
+        text.append(v.text + at)
+        at += b.num_rows
+    return Units(np.concatenate(code), np.concatenate([[0], np.cumsum(np.concatenate(size))]), np.concatenate(text))
+
+
 def fit(texts: list[str | None], labels: list[int]) -> Model:
     """The model of some labelled texts."""
     y = np.array(labels, int)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(_SIZE, np.float32), 0.0, np.zeros(5), float(y.mean()) if len(y) else 0.0)
     rng = np.random.default_rng(11)
-    u = units(pa.array(texts, pa.string()))
+    u = _all_units(texts)
     hold = np.arange(len(y)) % 3 == 2
     hold &= np.array([(~hold & (y == c)).any() for c in (0, 1)]).all()
     toxic, train = (y == 1)[u.text], ~hold[u.text]
     if not len(u.text) or not (toxic & train).any() or not (~toxic & train).any():
         return Model(np.zeros(_SIZE, np.float32), 0.0, np.zeros(5), float(y.mean()))
     # To begin with, subsequences that are surely commoner in toxic texts: the normal score of the difference in shares.
-    own, spelled, _ = _subsequences(u)
-    seen = np.unique((u.text[own] * _SIZE + spelled)[train[own]])
-    part = [np.bincount(seen[y[seen // _SIZE] == c] % _SIZE, minlength=_SIZE) for c in (0, 1)]
+    part = np.zeros((2, _SIZE), np.int64)
+    for some in np.array_split(np.arange(len(y)), max(1, len(u.code) // 200_000)):
+        v = _select(u, np.flatnonzero((u.text >= some[0]) & (u.text <= some[-1]) & train) if len(some) else some)
+        own, spelled, _ = _subsequences(v)
+        seen = np.unique(v.text[own] * _SIZE + spelled)
+        for c in (0, 1):
+            part[c] += np.bincount(seen[y[seen // _SIZE] == c] % _SIZE, minlength=_SIZE)
     docs = [(y[~hold] == c).sum() for c in (0, 1)]
     both = (part[0] + part[1] + 1) / (docs[0] + docs[1] + 2)
     sure = (part[1] / docs[1] - part[0] / docs[0]) / np.sqrt(both * (1 - both) * (1 / docs[0] + 1 / docs[1]))
