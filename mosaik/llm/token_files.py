@@ -47,8 +47,8 @@ BLOCK = 128
 PERCENTILE = 90
 SEGMENT = 1 << 18
 MAGIC = b"PFR1"
-#: Distinct pieces that an encoder remembers, in about 100 MB; then it begins anew.
-REMEMBERED = 2_500_000
+#: Distinct pieces that an encoder remembers, in about 60 MB; then it begins anew.
+REMEMBERED = 1_000_000
 _U32 = np.uint32
 
 
