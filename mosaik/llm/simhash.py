@@ -15,6 +15,9 @@ missed. Equal fingerprints are one row before they are replicated.
 A task compares the members of an anchor in blocks and returns a spanning forest of what it links, never
 all pairs. Anchors of more than CROWDED members are cut into chunks, and each pair of chunks is a task.
 
+A second fingerprint, of other shingles, may be asked to confirm a link: then fingerprints of single words,
+which few edits leave within the threshold, find copies, and those of longer shingles vouch for them.
+
 Defined results: a null or empty text, or one without words, has fingerprint zero and is linked like any
 other. Fewer words than a shingle has: the whole sequence is the only shingle. Rows with the same doc_id
 are rows of their own; a null doc_id is never a component_id unless its group has no other.
@@ -79,14 +82,20 @@ def fingerprint(col: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fingerprint as a signed long) of each row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, confirm: int | None = None) -> DataFrame:
+    """(doc_id, key: a hash of the text, fingerprint and confirm as signed longs, node: a hash of both or the fingerprint) of each row.
+
+    confirm is the fingerprint itself, or one of shingles of that many words."""
 
     def scan(batches):
         for b in W.slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fingerprint(b.column("text"), shingle).view(np.int64))], ["doc_id", "fingerprint"])
+            f = [pa.array(fingerprint(b.column("text"), k).view(np.int64)) for k in ([shingle] if confirm is None else [shingle, confirm])]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), f[0], f[-1]], ["doc_id", "key", "fingerprint", "confirm"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, "doc_id long, fingerprint long")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    node = F.col("fingerprint") if confirm is None else F.xxhash64("fingerprint", "confirm")
+    return own.mapInArrow(scan, "doc_id long, key long, fingerprint long, confirm long").withColumn("node", node)
 
 
 @lru_cache(maxsize=1)
@@ -141,13 +150,16 @@ def anchors(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
+_REPLICA = "key long, fingerprint long, confirm long, node long"
+
+
 def _replicate(batches):
     for b in batches:
-        f = b.column("fingerprint").to_numpy(zero_copy_only=False)
-        for a in range(0, len(f), 20_000):
-            part = f[a : a + 20_000]
-            r, k = anchors(part.view(_U))
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(part[r])], ["key", "fingerprint"])
+        for a in range(0, b.num_rows, 20_000):
+            part = b.slice(a, 20_000)
+            own = [part.column(c).to_numpy(zero_copy_only=False) for c in ("fingerprint", "confirm", "node")]
+            r, k = anchors(own[0].view(_U))
+            yield pa.RecordBatch.from_arrays([pa.array(k), *(pa.array(x[r]) for x in own)], ["key", "fingerprint", "confirm", "node"])
 
 
 def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -166,15 +178,16 @@ def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             parent = up
 
 
-def forest(key: np.ndarray, f: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect the same rows as all pairs of one key within the threshold do; key is sorted."""
+def forest(key: np.ndarray, f: np.ndarray, g: np.ndarray, threshold: int, agreed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that connect the same rows as all pairs of one key with f within the threshold and g within
+    agreed bits do; key is sorted."""
     n = len(key)
     parent = np.arange(n)
     lag, left = 1, np.arange(n - 1)
     while len(left) and lag <= 32:
         left = left[left + lag < n]
         left = left[key[left] == key[left + lag]]
-        close = left[np.bitwise_count(f[left] ^ f[left + lag]) <= threshold]
+        close = left[(np.bitwise_count(f[left] ^ f[left + lag]) <= threshold) & (np.bitwise_count(g[left] ^ g[left + lag]) <= agreed)]
         parent = _unite(parent, close, close + lag)
         lag += 1
     if len(left):
@@ -183,80 +196,108 @@ def forest(key: np.ndarray, f: np.ndarray, threshold: int = THRESHOLD) -> tuple[
             if b - a > 32:
                 step = max(1, (1 << 20) // (b - a))
                 for c in range(a, b, step):
-                    i, j = np.nonzero(np.bitwise_count(f[c : min(b, c + step), None] ^ f[None, a:b]) <= threshold)
+                    d = min(b, c + step)
+                    i, j = np.nonzero((np.bitwise_count(f[c:d, None] ^ f[None, a:b]) <= threshold) & (np.bitwise_count(g[c:d, None] ^ g[None, a:b]) <= agreed))
                     parent = _unite(parent, i + c, j + a)
     kids = np.flatnonzero(parent != np.arange(n))
-    return f[kids], f[parent[kids]]
+    return kids, parent[kids]
 
 
-def _compare(threshold: int, crowded: int | None):
-    """Sorted replicas to links (a, b); the members of an anchor with more than crowded come back as (key, fingerprint)."""
-    kind = [pa.field("crowded", pa.bool_()), pa.field("a", pa.int64()), pa.field("b", pa.int64())]
+def _compare(threshold: int, agreed: int, crowded: int | None):
+    """Sorted replicas to links (a, b); the replicas of an anchor with more than crowded come back as they are."""
 
-    def rows(flag: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), flag)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=pa.schema(kind))
+    def links_of(rows: list[np.ndarray]) -> pa.RecordBatch:
+        key, f, g, node = rows
+        i, j = forest(key, f.view(_U), g.view(_U), threshold, agreed)
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(i), bool)), *(pa.array(x) for x in (node[i], node[j], i * 0, j * 0))], list("?abcd"))
+
+    def back(rows: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(rows[0]), bool)), *map(pa.array, rows)], list("?abcd"))
 
     def compare(batches):
-        none = np.zeros(0, np.int64)
-        held_k, held_f, full = none, none, None
+        held, full = [np.zeros(0, np.int64)] * 4, None
         for b in batches:
-            k, f = b.column("key").to_numpy(zero_copy_only=False), b.column("fingerprint").to_numpy(zero_copy_only=False)
+            rows = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             if full is not None:  # the rest of a crowded anchor
-                same = k == full
-                yield rows(True, k[same], f[same])
-                k, f = k[~same], f[~same]
-                if not len(k):
+                same = rows[0] == full
+                yield back([x[same] for x in rows])
+                rows = [x[~same] for x in rows]
+                if not len(rows[0]):
                     continue
                 full = None
-            k, f = np.concatenate([held_k, k]), np.concatenate([held_f, f])
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            k = rows[0]
             if crowded is not None:
                 change = np.flatnonzero(np.diff(k)) + 1
                 begin, end = np.r_[0, change], np.r_[change, len(k)]
                 many = np.repeat(end - begin > crowded, end - begin)
                 if many.any():
-                    yield rows(True, k[many], f[many])
+                    yield back([x[many] for x in rows])
                     full = k[-1] if many[-1] else None
-                    k, f = k[~many], f[~many]
+                    rows = [x[~many] for x in rows]
+                    k = rows[0]
             last = np.searchsorted(k, k[-1]) if len(k) and full is None else len(k)
-            held_k, held_f = k[last:], f[last:]
+            held = [x[last:] for x in rows]
             if last:
-                yield rows(False, *forest(k[:last], f[:last].view(_U), threshold))
-        if len(held_k):
-            yield rows(False, *forest(held_k, held_f.view(_U), threshold))
+                yield links_of([x[:last] for x in rows])
+        if len(held[0]):
+            yield links_of(held)
 
     return compare
 
 
-_FOUND = "crowded boolean, a long, b long"
+_FOUND = "crowded boolean, a long, b long, c long, d long"
 
 
-def _per_anchor(replicas: DataFrame, threshold: int, crowded: int | None) -> DataFrame:
+def _per_anchor(replicas: DataFrame, threshold: int, agreed: int, crowded: int | None) -> DataFrame:
     parts = int(replicas.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return replicas.repartition(parts, "key").sortWithinPartitions("key").select("key", "fingerprint").mapInArrow(_compare(threshold, crowded), _FOUND)
+    return replicas.repartition(parts, "key").sortWithinPartitions("key").select("key", "fingerprint", "confirm", "node").mapInArrow(_compare(threshold, agreed, crowded), _FOUND)
 
 
-def links(distinct: DataFrame, threshold: int = THRESHOLD, crowded: int = CROWDED) -> DataFrame:
-    """Links (a, b) that connect the given distinct fingerprints as all pairs within the threshold would."""
+def links(distinct: DataFrame, threshold: int = THRESHOLD, agreed: int = 64, crowded: int = CROWDED) -> DataFrame:
+    """Links (a, b) of nodes that connect the given rows (fingerprint, confirm, node), distinct, as all pairs with
+    fingerprints within the threshold and confirm within agreed bits would."""
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError(f"the anchors cover thresholds up to {THRESHOLD}")
-    found = written(_per_anchor(distinct.mapInArrow(_replicate, "key long, fingerprint long"), threshold, crowded), "anchors")
+    replicas = distinct.select("fingerprint", "confirm", "node").mapInArrow(_replicate, _REPLICA)
+    found = written(_per_anchor(replicas, threshold, agreed, crowded), "anchors")
     out = found.filter("NOT crowded").select("a", "b")
-    full = found.filter("crowded").select(F.col("a").alias("key"), F.col("b").alias("fingerprint"))
+    full = found.filter("crowded").select(F.col("a").alias("key"), F.col("b").alias("fingerprint"), F.col("c").alias("confirm"), F.col("d").alias("node"))
     if full.isEmpty():
         return out
     # Each pair of chunks of a crowded anchor becomes an anchor of its own.
     sizes = full.groupBy("key").agg(F.ceil(F.count("*") / F.lit(crowded // 2)).alias("k"))
-    chunk = full.join(sizes, "key").withColumn("c", F.pmod(F.xxhash64("fingerprint"), "k")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    pairs = chunk.select(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("key"), "fingerprint")
-    return out.unionAll(_per_anchor(pairs, threshold, None).select("a", "b"))
+    chunk = full.join(sizes, "key").withColumn("c", F.pmod(F.xxhash64("node"), "k")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    pairs = chunk.select(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("key"), "fingerprint", "confirm", "node")
+    return out.unionAll(_per_anchor(pairs, threshold, agreed, None).select("a", "b"))
+
+
+def _grouped(docs: DataFrame, shingle: int, threshold: int, confirm: int | None, agreed: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their fingerprints, and (node, component)."""
+    own = written(fingerprints(docs, shingle, confirm), "fingerprints")
+    nodes = own.select("fingerprint", "confirm", "node").distinct()
+    found = components(links(nodes, threshold, agreed)).withColumnRenamed("node", "linked")
+    return own, nodes.join(found, F.col("node") == F.col("linked"), "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, confirm: int | None = None, agreed: int = 64) -> DataFrame:
     """(doc_id, fingerprint as 16 hexadecimal digits, component_id: the least doc_id of its group) of each row."""
-    own = written(fingerprints(docs, shingle), "fingerprints")
-    classes = own.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    found = components(links(classes.select("fingerprint"), threshold))
-    joined = classes.join(found, classes["fingerprint"] == found["node"], "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("component"))
-    least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = joined.join(least, "component").select(F.col("fingerprint").alias("_f"), "component_id")
-    return own.join(of, own["fingerprint"] == F.col("_f")).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    own, groups = _grouped(docs, shingle, threshold, confirm, agreed)
+    least = own.groupBy("node").agg(F.min("doc_id").alias("least")).join(groups, "node")
+    ids = least.groupBy("component").agg(F.min("least").alias("component_id"))
+    of = least.join(ids, "component").select(F.col("node").alias("n"), "component_id")
+    return own.join(of, F.col("node") == F.col("n")).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, confirm: int | None = None, agreed: int = 64) -> DataFrame:
+    """docs with one row of each group: the one with the least doc_id (one without only where no other is), then the least hash of text."""
+    own, groups = _grouped(docs, shingle, threshold, confirm, agreed)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    least = own.groupBy("node").agg(F.min(rank).alias("r")).join(groups, "node").groupBy("component").agg(F.min("r").alias("r"))
+    stay = least.select(F.col("r.doc_id").alias("d"), F.col("r.key").alias("k"))
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("key"))
+    out = rows.join(stay, F.col("id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left_semi")
+    if not own.groupBy("doc_id", "key").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates(["id", "key"])  # repeated rows
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -83,7 +83,7 @@ def test_driver_table_against_brute_force(spark, sf_dir):
 @pytest.mark.parametrize("crowded", [6, 4096])
 def test_crowded_anchors_link_the_same(spark, crowded):
     f = sorted({0, *(1 << i for i in range(20)), *(3 << i for i in range(40, 62)), (1 << 63) - 1})
-    df = spark.createDataFrame([(x,) for x in f], "fingerprint long")
+    df = spark.createDataFrame([(x, x, x) for x in f], "fingerprint long, confirm long, node long")
     got = {r.node: r.component for r in components(S.links(df, crowded=crowded)).collect()}
     near = [(a, b) for a in f for b in f if a < b and bin(a ^ b).count("1") <= 4]
     assert {a for p in near for a in p} == set(got)
@@ -95,3 +95,21 @@ def test_components_of_a_chain_and_a_star(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(51), 0), **dict.fromkeys(range(1000, 1040), 1000)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_confirmed_copies_leave_one_of_each(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 4000, 150)) for _ in range(12)]
+    rows = []
+    for i, t in enumerate(texts):
+        rows.append((10 * i, t))
+        for k in range(1, 4):
+            w = t.split()
+            w[int(rng.integers(0, 150))] = "changed"
+            rows.append((10 * i + k, " ".join(w)))
+    rows += [(0, texts[0]), (None, texts[1]), (None, "alone here"), (None, "alone here")]
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, key string")
+    out = S.one_of_each(df, 1, 4, 5, 13)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == [(False, 10 * i) for i in range(12)] + [(True, 0)]
+    assert S.one_of_each(df.limit(0)).count() == 0
