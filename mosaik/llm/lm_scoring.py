@@ -37,7 +37,7 @@ EDGE = 50_257
 VOCABULARY = EDGE + 1
 TABLE_SENT = 6_000_000
 #: Bigrams that a task gathers before it passes on their counts.
-_GATHERED = 4_000_000
+_GATHERED = 2_000_000
 
 
 def _encoded(vocabulary):

@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,13 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 @contextmanager
 def shuffles_dropped(spark: SparkSession):
-    """Shuffle files of the actions inside go when each action ends, instead of at some later collection."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    """Of the actions inside, shuffle files go when each action ends, instead of at some later collection, and
+    Python workers get texts in small record batches, of which several copies are held."""
+    own = {_CLEANUP: "true", _RECORDS: "1000"}
+    before = {k: spark.conf.get(k, None) for k in own}
     try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
