@@ -195,10 +195,10 @@ def _priced(spark, d):
     return m, *split.parted(m, s)
 
 
-@query(spmv_sql(_joint_sql(), X, digits=1))
+@query(spmv_sql(_joint_sql(), X, digits=5))
 def spmv_joint_bfp8(spark, d):
     m, kept, residual = _priced(spark, d)
-    return rounded(spmv_parts(m, codecs.joint(m.with_entries(kept), residual), input_vector(spark, m.cols)), 1, "y")
+    return rounded(spmv_parts(m, codecs.joint(m.with_entries(kept), residual), input_vector(spark, m.cols)), 5, "y")
 
 
 @query(spmv_sql(E))
@@ -217,12 +217,12 @@ def _joint_outlier_sql() -> str:
     return f"{_ORD}, {_SPLIT}, {kept}, {th}, {bulk}, {_rounded_sql(_RES, BF16_UP, 'w', 'w0')}, e AS (SELECT r, c, v FROM k UNION ALL SELECT r, c, v FROM w UNION ALL SELECT kk.r, kk.c, kk.v FROM kk, th WHERE abs(v) > t)"
 
 
-@query(spmv_sql(_joint_outlier_sql(), X, digits=1))
+@query(spmv_sql(_joint_outlier_sql(), X, digits=5))
 def spmv_joint_outlier(spark, d):
     m, kept, residual = _priced(spark, d)
     bulk, out = codecs.bfp8_outlier(m.with_entries(kept))
     joint = codecs.joint(m.with_entries(kept), residual)
-    return rounded(spmv_parts(m, [bulk, joint[1], out], input_vector(spark, m.cols)), 1, "y")
+    return rounded(spmv_parts(m, [bulk, joint[1], out], input_vector(spark, m.cols)), 5, "y")
 
 
 @query(spmv_sql(E))

@@ -273,7 +273,7 @@ def x_legacy(spark, d):
     return legacy_vector(spark, 3000)
 
 
-HASH = "xor((({0}) * 2654435761 + 1013904223) % 4294967296, ((({0}) * 2654435761 + 1013904223) % 4294967296) >> 16)"
+HASH = "xor((({0}) % 2147483648 * 2654435761 + 1013904223) % 4294967296, ((({0}) % 2147483648 * 2654435761 + 1013904223) % 4294967296) >> 16)"
 
 
 @query(f"SELECT i AS idx, CASE WHEN h % 2001 = 1000 THEN 1 ELSE h % 2001 - 1000 END / 257.0::DOUBLE AS val FROM (SELECT i, {HASH.format('i')} AS h FROM range(3000) q(i))")

@@ -1 +1,164 @@
-QUERIES, SQL = {}, {}
+"""Queries on result tables. A small table of rows, made from a formula, stands for a sweep's results in both dialects."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import results as R
+from ..sources.reports import listed, report_value, setting
+from .parts import Query
+
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+OPERATORS = ("cusparse_default", "original_lb", "sign2_lb", "bfp8_lb", "original_nolb")
+#: Sweep rows over 60 matrices and five operators, with failures, missing times and losses in them.
+_ROWS = """SELECT concat('m', CAST(k % 60 AS {s})) AS matrix, element_at({a}, CAST(k {div} 60 + 1 AS INTEGER)) AS operator,
+CASE WHEN k % 11 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN k % 13 = 0 THEN '' ELSE CAST((k * 37 % 101 + 1) * 0.25{d} AS {s}) END AS avg_ms,
+CASE WHEN k % 22 = 0 THEN 'FAIL' ELSE 'pass' END AS verify_cpu, CASE WHEN k % 3 = 0 THEN 'spmv_max_rel' ELSE 'exact' END AS verify_gate,
+CASE k {div} 60 WHEN 0 THEN 'baseline' WHEN 1 THEN 'load_balanced' WHEN 2 THEN 'lossless_value_specialized' WHEN 3 THEN 'lossy' ELSE 'non_load_balanced_traversal' END AS family,
+CASE WHEN k % 17 = 0 THEN 'promoted' ELSE 'candidate' END AS promotion, (k % 60 + 1) * (k % 60 + 1) * 997 AS nnz, (k * 7919 % 300) * (k % 5) AS "distinct", k % 29 = 0 AS overflow, k % 60 {div} 2 AS bytes, k AS ordinal, CASE WHEN k % 2 = 0 THEN 'a' ELSE 'b' END AS device FROM range(300){q}"""
+SPARK_ROWS = _ROWS.format(s="STRING", a="array(" + ", ".join(f"'{o}'" for o in OPERATORS) + ")", div="DIV", d="D", q=" AS t(k)").replace('"distinct"', "`distinct`")
+ROWS = "w AS (" + _ROWS.format(s="VARCHAR", a="[" + ", ".join(f"'{o}'" for o in OPERATORS) + "]", div="//", d="::DOUBLE", q=" q(k)").replace("element_at(", "list_extract(") + ")"
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _rows(spark):
+    return spark.sql(SPARK_ROWS)
+
+
+def _nine(df, *columns):
+    return df.withColumns({c: F.round(c, 9) for c in columns})
+
+
+SPEED = f"{ROWS}, ok AS (SELECT *, TRY_CAST(avg_ms AS DOUBLE) AS ms FROM w WHERE status = 'ok'), b AS (SELECT matrix, min(ms) AS base FROM ok WHERE operator = 'cusparse_default' GROUP BY matrix), sp AS (SELECT ok.matrix, operator, base / ms AS speedup, nnz FROM ok JOIN b USING (matrix) WHERE base > 0 AND ms > 0)"
+
+
+@query(f"WITH {SPEED} SELECT matrix, operator, speedup FROM sp")
+def speedup_join(spark, d):
+    return R.speedups(_rows(spark), "cusparse_default")
+
+
+@query(f"WITH {SPEED} SELECT matrix, speedup * CASE WHEN CAST(substr(matrix, 2) AS BIGINT) % 2 = 0 AND CAST(substr(matrix, 2) AS BIGINT) < 40 THEN 1.5::DOUBLE ELSE 1 END AS speedup FROM sp WHERE operator = 'original_lb'")
+def joint_dispatch(spark, d):
+    single = R.speedups(_rows(spark), "cusparse_default").filter("operator = 'original_lb'").select("matrix", "speedup")
+    joint = spark.range(40).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("matrix"), F.lit(1.5).alias("factor"), (F.col("id") % 2 == 0).alias("passed"))
+    return R.with_fallback(single, joint)
+
+
+@query(f"WITH {SPEED}, v AS (SELECT speedup AS value, count(*) AS n FROM sp GROUP BY 1) SELECT value, 1 - coalesce(sum(n) OVER (ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(n) OVER () AS share FROM v")
+def survival_curve(spark, d):
+    return R.survival(R.speedups(_rows(spark), "cusparse_default"), "speedup")
+
+
+@query(f"WITH {ROWS} SELECT CAST(floor(log10(nnz)) AS BIGINT) AS decade, count(*) AS n, median(ordinal) AS median FROM w WHERE nnz >= 10 AND nnz < 1e9 GROUP BY 1 HAVING count(*) >= 5")
+def decade_median(spark, d):
+    return R.decade_medians(_rows(spark), "nnz", "ordinal")
+
+
+FAIL = "CASE WHEN status = 'ok' THEN 'none' WHEN contains(lower(verify_cpu), 'fail') OR contains(lower(verify_cpu), 'max_rel') OR (verify_gate = 'spmv_max_rel' AND TRY_CAST(avg_ms AS DOUBLE) IS NOT NULL) THEN 'accuracy_fail' WHEN family = 'lossless_value_specialized' AND TRY_CAST(avg_ms AS DOUBLE) IS NULL THEN 'unsupported_value_domain' WHEN TRY_CAST(avg_ms AS DOUBLE) IS NULL THEN 'run_fail_before_timing' ELSE 'run_fail_after_timing' END"
+
+
+@query(f"WITH {ROWS} SELECT matrix, operator, {FAIL} AS failure FROM w")
+def failure_class(spark, d):
+    return _rows(spark).select("matrix", "operator", R.failure_class().alias("failure"))
+
+
+@query(
+    f"WITH {ROWS}, f AS (SELECT *, {FAIL} AS failure, TRY_CAST(avg_ms AS DOUBLE) AS ms FROM w), b AS (SELECT matrix, min(ms) AS base FROM f WHERE operator = 'original_lb' GROUP BY matrix) SELECT matrix, operator, failure, CASE WHEN failure <> 'none' THEN failure WHEN family IN ('baseline', 'external_baseline') OR promotion = 'external_baseline' OR operator = 'cusparse_default' THEN 'external_baseline' "
+    "WHEN operator = 'original_lb' OR promotion = 'promoted' THEN 'promoted_fallback' WHEN family = 'non_load_balanced_traversal' THEN 'diagnostic_fallback' WHEN NOT coalesce(base > 0 AND ms > 0, false) THEN 'accuracy_pass_no_fallback' WHEN base / ms > 1 THEN 'accuracy_pass_runtime_win' ELSE 'accuracy_pass_runtime_loss' END AS claim FROM f LEFT JOIN b USING (matrix)"
+)
+def claim_status(spark, d):
+    return R.claim_status(_rows(spark))
+
+
+@query(f"WITH {SPEED} SELECT operator, count(*) AS n, round(median(speedup), 9) AS median, round(exp(avg(ln(speedup))), 9) AS geomean, min(speedup) AS low, max(speedup) AS high FROM sp GROUP BY operator")
+def baseline_summary(spark, d):
+    return _nine(R.summary(R.speedups(_rows(spark), "cusparse_default")), "median", "geomean")
+
+
+@query(f"WITH {ROWS} SELECT matrix, " + ", ".join(f"max(avg_ms) FILTER (operator = '{o}') AS {o}" for o in OPERATORS) + " FROM w GROUP BY matrix")
+def baseline_pivot(spark, d):
+    return R.pivoted(_rows(spark), list(OPERATORS), "avg_ms")
+
+
+@query(f"WITH {SPEED}, k AS (SELECT operator, speedup, row_number() OVER (PARTITION BY operator ORDER BY speedup) AS k, count(*) OVER (PARTITION BY operator) AS n FROM sp) SELECT operator, max(speedup) FILTER (k = n // 2 + 1) AS upper_median, count(*) FILTER (speedup > 1) AS wins FROM k GROUP BY operator")
+def scale_summary(spark, d):
+    s = R.speedups(_rows(spark), "cusparse_default")
+    wins = s.groupBy(F.col("operator").alias("o")).agg(F.count_if(F.col("speedup") > 1).alias("wins"))
+    return R.upper_median(s, "speedup", "operator").join(wins, F.col("operator") == F.col("o")).select("operator", "upper_median", "wins")
+
+
+@query(f"WITH {SPEED}, c AS (SELECT matrix FROM sp WHERE operator IN ('original_lb', 'sign2_lb', 'bfp8_lb') GROUP BY matrix HAVING count(DISTINCT operator) = 3) SELECT operator AS codec, count(*) AS n, median(speedup) AS median FROM sp WHERE operator IN ('original_lb', 'sign2_lb', 'bfp8_lb') AND matrix IN (SELECT matrix FROM c) GROUP BY operator")
+def pareto_common_set(spark, d):
+    s = R.speedups(_rows(spark), "cusparse_default").withColumnRenamed("operator", "codec")
+    return R.common_set_medians(s, ["original_lb", "sign2_lb", "bfp8_lb"], "speedup")
+
+
+@query(f"WITH {SPEED}, a AS (SELECT matrix, nnz, speedup AS lossless FROM sp WHERE operator = 'original_lb'), z AS (SELECT matrix, speedup AS lossy FROM sp WHERE operator = 'bfp8_lb') SELECT matrix, nnz, lossless, lossy FROM a JOIN z USING (matrix) ORDER BY nnz DESC, matrix LIMIT 10")
+def showcase_topk(spark, d):
+    s, n = R.speedups(_rows(spark), "cusparse_default"), _rows(spark).select("matrix", "nnz").distinct()
+    a, b = (s.filter(F.col("operator") == o).select("matrix", F.col("speedup").alias(c)) for o, c in (("original_lb", "lossless"), ("bfp8_lb", "lossy")))
+    return a.join(b, "matrix").join(n, "matrix").orderBy(F.desc("nnz"), "matrix").limit(10).select("matrix", "nnz", "lossless", "lossy")
+
+
+@query(f"WITH {ROWS} SELECT matrix, device, ordinal, operator FROM w QUALIFY row_number() OVER (PARTITION BY matrix, device ORDER BY ordinal) = 1")
+def crossdev_first(spark, d):
+    return R.first_of_device(_rows(spark)).select("matrix", "device", "ordinal", "operator")
+
+
+@query(f"WITH {SPEED}, a AS (SELECT matrix, TRY_CAST(avg_ms AS DOUBLE) AS x FROM w WHERE operator = 'original_lb' AND status = 'ok'), z AS (SELECT matrix, TRY_CAST(avg_ms AS DOUBLE) AS y FROM w WHERE operator = 'bfp8_lb' AND status = 'ok') SELECT matrix, x / y AS speedup FROM a JOIN z USING (matrix) WHERE x > 0 AND y > 0")
+def cg_speedup(spark, d):
+    ok = _rows(spark).filter("status = 'ok'").withColumn("ms", R.milliseconds("avg_ms"))
+    a, b = (ok.filter(F.col("operator") == o).select("matrix", F.col("ms").alias(c)) for o, c in (("original_lb", "x"), ("bfp8_lb", "y")))
+    return a.join(b, "matrix").withColumn("speedup", R.positive_ratio(F.col("x"), F.col("y"))).filter("speedup IS NOT NULL").select("matrix", "speedup")
+
+
+@query(f"WITH {ROWS} SELECT DISTINCT matrix FROM w WHERE matrix NOT IN (SELECT matrix FROM w WHERE status = 'failed')")
+def resume_anti_join(spark, d):
+    r = _rows(spark)
+    return R.unfinished(r.select("matrix").distinct(), r.filter("status = 'failed'"))
+
+
+@query(f"WITH {ROWS}, m AS (SELECT matrix, bytes, max(CASE WHEN overflow THEN 4611686018427387904 ELSE \"distinct\" END) AS u FROM w WHERE NOT (\"distinct\" = 0 AND NOT overflow) GROUP BY ALL) SELECT CASE WHEN u <= 1 THEN 'constant' WHEN u <= 2 THEN '2' WHEN u <= 16 THEN '16' WHEN u <= 256 THEN '256' WHEN u <= 65536 THEN '65536' ELSE 'continuous' END AS bucket, count(*) AS n FROM m GROUP BY 1")
+def value_census(spark, d):
+    return R.census(_rows(spark))
+
+
+@query("WITH n AS (SELECT i AS idx, concat('g', CAST(i % 9 AS VARCHAR), '/m', CAST(i % 50 AS VARCHAR)) AS path FROM range(64) q(i)) SELECT CAST(idx % 4 AS BIGINT) AS shard, idx // 4 AS pos, list_extract(string_split(path, '/'), 2) AS matrix, path FROM n")
+def shard_identity(spark, d):
+    names = spark.range(64).select(F.col("id").alias("idx"), F.expr("concat('g', id % 9, '/m', id % 50)").alias("path"))
+    rows = names.select((F.col("idx") % 4).alias("shard"), F.expr("idx DIV 4").alias("pos"), F.element_at(F.split("path", "/"), 2).alias("matrix"))
+    return R.shard_identity(rows, names, 4)
+
+
+@query("SELECT i AS id, CASE WHEN i % 7 = 0 THEN 'missing' WHEN i * 100 > 4000 THEN 'skip_size' WHEN i % 5 = 0 THEN 'empty' WHEN i % 3 = 0 THEN 'pattern' ELSE 'ok' END AS status FROM range(60) q(i)")
+def sweep_status(spark, d):
+    i = F.col("id")
+    return spark.range(60).select("id", R.sweep_status(i % 7 != 0, i * 100, 4000, i % 5, F.when(i % 3 == 0, "pattern").otherwise("real")).alias("status"))
+
+
+@query("SELECT path FROM (VALUES ('a/b.mtx'), ('c/d.mtx')) v(path) WHERE path LIKE 'a/%'")
+def matrix_list(spark, d):
+    lines = spark.createDataFrame([("a/b.mtx",), ("# note",), ("",), ("c/d.mtx",)], "path string")
+    return listed(lines).filter(F.col("path").rlike("^a/"))
+
+
+@query("SELECT i AS id, CAST(i * 0.5 AS DOUBLE) AS ms, 'dict' || i AS codec FROM range(20) q(i)")
+def tool_output(spark, d):
+    text = F.format_string("rows: 5\nvalue codec: dict%d\ntime: min_ms=%.1f, ok", F.col("id"), F.col("id") * 0.5)
+    t = spark.range(20).select("id", text.alias("t"))
+    return t.select("id", setting(F.col("t"), "min_ms").alias("ms"), report_value(F.col("t"), "value codec").alias("codec"))
+
+
+@query(f"WITH {ROWS} SELECT ordinal % 4 AS shard, count(*) AS n FROM w GROUP BY 1")
+def stride_shards(spark, d):
+    return _rows(spark).groupBy((F.col("ordinal") % 4).alias("shard")).agg(F.count("*").alias("n"))

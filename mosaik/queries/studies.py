@@ -1 +1,141 @@
-QUERIES, SQL = {}, {}
+"""Queries on spatial coherence, dense windows and solvers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import codecs, solvers, study
+from ..operators.metrics import ensemble
+from ..operators.spmv import spmv
+from ..sources.tables import banded_spd, embedding_matrix, hash_ensemble, input_vector
+from .matrices import HASH, SQL as MATRIX_SQL
+from .parts import EMBED, E, Query, parts
+
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+G = "g AS (SELECT r, c, log2(abs(v)) AS g FROM e WHERE abs(v) > 0 AND abs(v) < 'Infinity'::DOUBLE)"
+SPANS = "t AS (SELECT r // 8 AS br, c // 4 AS bc, count(*) AS n, max(g) - min(g) AS span, count(*) / 32.0::DOUBLE AS fill FROM g GROUP BY ALL)"
+H1 = HASH.format("r + 1000003")
+NULLS = f"a AS (SELECT row_number() OVER (ORDER BY r, c) AS k, r, c FROM g), h AS (SELECT *, {H1} + c AS z FROM g), b AS (SELECT row_number() OVER (ORDER BY {HASH.format('z')}, r, c) AS k, g FROM h), p AS (SELECT r, c, g FROM a JOIN b USING (k)), nt AS (SELECT r // 8 AS br, c // 4 AS bc, count(*) AS n, max(g) - min(g) AS span, count(*) / 32.0::DOUBLE AS fill FROM p GROUP BY ALL)"
+BIN = "(" + " + ".join(f"(fill >= {x}::DOUBLE)::INTEGER" for x in study.FILL_BINS[1:-1]) + ")"
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _nine(df, *columns):
+    return df.withColumns({c: F.round(c, 9) + 0 for c in columns})
+
+
+@query(f"WITH {E}, {G}, {SPANS} SELECT br, bc, n, round(span, 9) + 0 AS span FROM t")
+def coreg_span(spark, d):
+    return _nine(study.spans(study.logs(parts(spark, d))), "span").select("br", "bc", "n", "span")
+
+
+@query(f"WITH {E}, {G}, {SPANS}, {NULLS}, x AS (SELECT (SELECT sum(n * span) / sum(n) FROM t) AS real_span, (SELECT sum(n * span) / sum(n) FROM nt) AS null_span) SELECT round(real_span, 9) AS real_span, round(null_span, 9) AS null_span, round(CASE WHEN null_span > 1e-12 THEN 1 - real_span / null_span ELSE 'NaN'::DOUBLE END, 9) AS gain FROM x")
+def coreg_null(spark, d):
+    g = study.logs(parts(spark, d))
+    r = study.weighted_span(study.spans(g), "real_span").join(study.weighted_span(study.spans(study.shuffled(g, 1)), "null_span"))
+    return _nine(r.withColumn("gain", study.coherence_gain(F.col("real_span"), F.col("null_span"))), "real_span", "null_span", "gain")
+
+
+@query(f"WITH {E}, {G}, {SPANS}, {NULLS}, x AS (SELECT {BIN} AS bin, sum(n) AS w, sum(n * span) AS s FROM t GROUP BY ALL), y AS (SELECT {BIN} AS bin, sum(n * span) AS s FROM nt GROUP BY ALL) SELECT bin, CAST(w AS BIGINT) AS w, round(x.s / w, 9) + 0 AS real_span, round(y.s / w, 9) + 0 AS null_span FROM x JOIN y USING (bin)")
+def coreg_fill_bins(spark, d):
+    g = study.logs(parts(spark, d))
+    b = lambda t: t.groupBy(study.fill_bin(F.col("fill")).alias("bin")).agg(F.sum("n").alias("w"), F.sum(F.col("n") * F.col("span")).alias("s"))
+    real, null = b(study.spans(g)), b(study.spans(study.shuffled(g, 1))).select("bin", F.col("s").alias("ns"))
+    return _nine(real.join(null, "bin").select("bin", "w", (F.col("s") / F.col("w")).alias("real_span"), (F.col("ns") / F.col("w")).alias("null_span")), "real_span", "null_span")
+
+
+_RANK = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0::DOUBLE"
+
+
+@query(f"WITH {E}, {G}, {SPANS}, k AS (SELECT {_RANK.format('n')} AS a, {_RANK.format('s')} AS b FROM (SELECT n, round(span, 9) AS s FROM t WHERE n >= 2)) SELECT round(corr(a, b), 9) AS rho FROM k")
+def coreg_spearman(spark, d):
+    t = _nine(study.spans(study.logs(parts(spark, d))).filter("n >= 2"), "span")
+    return _nine(study.spearman(t, "n", "span"), "rho")
+
+
+@query(f"WITH {E}, {G}, {SPANS}, k AS (SELECT row_number() OVER (ORDER BY n, br * 1000000 + bc) AS a, row_number() OVER (ORDER BY s, br * 1000000 + bc) AS b FROM (SELECT n, br, bc, round(span, 9) AS s FROM t WHERE n >= 2)) SELECT round(corr(a, b), 9) AS rho FROM k")
+def coreg_spearman_ordinal(spark, d):
+    t = _nine(study.spans(study.logs(parts(spark, d))).filter("n >= 2"), "span").withColumn("tie", F.col("br") * 1000000 + F.col("bc"))
+    return _nine(study.spearman_ordinal(t, "n", "span", "tie"), "rho")
+
+
+def _l1(levels: int) -> str:
+    return f"(SELECT sum(abs(round_even(v / s, 0) * s - v)) / sum(abs(v)) FROM (SELECT v, max(abs(v)) OVER (PARTITION BY r // 8, c // 4) / {levels}::DOUBLE AS s FROM e) WHERE s > 0)"
+
+
+@query(f"WITH {EMBED} SELECT round({_l1(127)}, 9) AS int8, round({_l1(7)}, 9) AS int4")
+def coreg_bfp_gain(spark, d):
+    m = embedding_matrix(spark, d)
+    a, b = (study.relative_l1(m, n).withColumnRenamed("rel_l1", c) for n, c in ((127, "int8"), (7, "int4")))
+    return _nine(a.join(b), "int8", "int4")
+
+
+@query(f"WITH {E}, w AS (SELECT (r // 32 - i) AS a, (c // 8 - j) AS b FROM e, range(2) x(i), range(2) y(j)) SELECT a * 32 AS top, b * 8 AS \"left\", count(*) AS n FROM w WHERE a >= 0 AND b >= 0 GROUP BY ALL ORDER BY n DESC, top, \"left\" LIMIT 80")
+def window_densest(spark, d):
+    return study.densest(parts(spark, d), 64, 16, 80)
+
+
+@query(
+    f"WITH {E}, q AS (SELECT i // 100 AS seed, i % 100 AS idx FROM range(700) z(i)), x AS (SELECT seed, idx, ({HASH.format('idx * 31 + seed * 7919 + 1')} % 65536) / 32768.0::DOUBLE - 1 AS val FROM q), "
+    "y AS (SELECT seed, r, sum(v * val) AS y0, sum(round_even(v / 4, 0) * 4 * val) AS y1 FROM e JOIN x ON c = idx GROUP BY ALL), n AS (SELECT seed, max(abs(y1 - y0)) / (max(abs(y0)) + 1e-30) AS rel FROM y GROUP BY seed) SELECT 'step4' AS codec, round(max(rel), 9) AS worst, round(avg(rel), 9) AS mean FROM n"
+)
+def error_ensemble(spark, d):
+    m = parts(spark, d)
+    x = hash_ensemble(spark, 100)
+    p = m.entries.join(F.broadcast(x), F.col("col") == F.col("idx"))
+    y = p.groupBy("seed", "row").agg(F.sum(F.col("value") * F.col("val")).alias("y0"), F.sum(F.rint(F.col("value") / 4) * 4 * F.col("val")).alias("y1"))
+    n = y.groupBy("seed").agg((F.max(F.abs(F.col("y1") - F.col("y0"))) / (F.max(F.abs("y0")) + 1e-30)).alias("rel"))
+    return _nine(ensemble(n.select(F.lit("step4").alias("codec"), "rel")), "worst", "mean")
+
+
+# --- solvers ----------------------------------------------------------------------------------------------
+
+_SPD = MATRIX_SQL["synth_spd"]
+
+
+@query(f"WITH e AS ({_SPD}), x AS (SELECT i AS idx, ((i % 17) - 8) * 0.125::DOUBLE AS val FROM range(200) q(i)), b AS (SELECT r AS idx, sum(v * val) AS val FROM e JOIN x ON c = idx GROUP BY r) SELECT round(sum(x.val * b.val), 6) AS dot, round(sqrt(sum(b.val * b.val)), 6) AS nrm2, round(sum(2 * x.val + b.val), 6) AS axpy_sum, round(sum(3 * x.val), 6) AS scal_sum FROM x JOIN b USING (idx)")
+def blas1(spark, d):
+    m = banded_spd(spark, 200, 5, 0.5)
+    x = input_vector(spark, 200)
+    b = solvers.times(m)(x)
+    both = x.alias("a").join(b.alias("b"), "idx").agg(F.round(F.sum(F.col("a.val") * F.col("b.val")), 6).alias("dot"), F.round(F.sqrt(F.sum(F.col("b.val") * F.col("b.val"))), 6).alias("nrm2"))
+    s = solvers.axpy(2.0, x, b).agg(F.round(F.sum("val"), 6).alias("axpy_sum"))
+    return both.join(s).join(solvers.scaled(3.0, x).agg(F.round(F.sum("val"), 6).alias("scal_sum")))
+
+
+def _problem(spark):
+    m = banded_spd(spark, 60, 3, 2.0)
+    m = m.with_entries(solvers.cut(m.entries))
+    return m, solvers.cut(solvers.times(m)(input_vector(spark, 60)))
+
+
+def _table(spark, curve: solvers.Curve):
+    return spark.createDataFrame([(k, float(r)) for k, r in enumerate(curve.residuals, 1)], "step int, relative_residual double")
+
+
+@query()
+def cg_iterations(spark, d):
+    m, b = _problem(spark)
+    return _table(spark, solvers.conjugate_gradient(solvers.times(m), b, most=8))
+
+
+@query()
+def iterative_refinement(spark, d):
+    m, b = _problem(spark)
+    return _table(spark, solvers.refined(solvers.times(codecs.bfp8(m)), solvers.times(m), b, inner=3, outer=3))
+
+
+@query()
+def flexible_cg(spark, d):
+    m, b = _problem(spark)
+    return _table(spark, solvers.flexible(solvers.times(codecs.bfp8(m)), solvers.times(m), b, inner=2, most=3))

@@ -69,7 +69,7 @@ def ones_vector(spark: SparkSession, n: int) -> DataFrame:
 
 def hashed(x: Column) -> Column:
     """A 32-bit mix of a whole number, as a non-negative long."""
-    h = (x * F.lit(2654435761) + F.lit(1013904223)) % F.lit(4294967296)
+    h = (x % F.lit(2147483648) * F.lit(2654435761) + F.lit(1013904223)) % F.lit(4294967296)
     return h.bitwiseXOR(F.shiftright(h, 16))
 
 
