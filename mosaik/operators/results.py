@@ -144,3 +144,44 @@ def lpt(sizes: list[tuple[str, int]], shards: int) -> list[list[str]]:
         out[k].append(name)
         load[k] += size
     return out
+
+
+def frequency_summary(rows: DataFrame, covered: str, distinct: str, limit: int = 256) -> DataFrame:
+    """(few, n, low, upper_median, mean, high, ge90, ge50): coverage of matrices with few and with many distinct values."""
+    r = rows.withColumn("few", F.col(distinct) <= limit)
+    a = r.groupBy("few").agg(
+        F.count("*").alias("n"), F.min(covered).alias("low"), F.avg(covered).alias("mean"), F.max(covered).alias("high"), F.count_if(F.col(covered) >= 90).alias("ge90"), F.count_if(F.col(covered) >= 50).alias("ge50")
+    )
+    return a.join(upper_median(r, covered, "few"), "few")
+
+
+def plottable(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row: points that are finite and positive in all columns, and those with an infinite one."""
+    good, infinite = F.lit(True), F.lit(False)
+    for c in columns:
+        good &= (F.col(c) > 0) & (F.col(c) < float("inf")) & ~F.isnan(c)
+        infinite |= F.abs(F.col(c)) == float("inf")
+    return rows.agg(F.count_if(good).alias("points"), F.count_if(infinite).alias("infinite"))
+
+
+def sweep_summary(rows: DataFrame, operators: list[str], baselines: dict[str, str]) -> DataFrame:
+    """(place, matrix, operator, one speed-up for each baseline), operators by their place in the catalog."""
+    place = F.array_position(F.array(*[F.lit(o) for o in operators]), F.col("operator"))
+    out = rows.filter("status = 'ok'").select(place.alias("place"), "matrix", "operator", milliseconds("avg_ms").alias("ms"))
+    for c, name in baselines.items():
+        base = rows.filter((F.col("operator") == name) & (F.col("status") == "ok")).groupBy(F.col("matrix").alias("m")).agg(F.min(milliseconds("avg_ms")).alias("base"))
+        out = out.join(base, F.col("matrix") == F.col("m"), "left").withColumn(c, positive_ratio(F.col("base"), F.col("ms"))).drop("m", "base")
+    return out.drop("ms")
+
+
+def group_gains(rows: DataFrame, gain: str, weight: str, fill: str, dense_from: float = 0.2) -> DataFrame:
+    """(dense, n, weighted, median, low, high): gains of dense and sparse matrices."""
+    g = rows.groupBy((F.col(fill) >= dense_from).alias("dense"))
+    return g.agg(F.count("*").alias("n"), (F.sum(F.col(gain) * F.col(weight)) / F.sum(weight)).alias("weighted"), F.median(gain).alias("median"), F.min(gain).alias("low"), F.max(gain).alias("high"))
+
+
+def metadata_totals(rows: DataFrame) -> DataFrame:
+    """One row: bytes of packed positions with 16 for each work item, and of compressed rows, over matrices."""
+    packed = F.sum(F.col("position_bytes") + F.col("work_items") * 16)
+    plain = F.sum(F.col("nnz") * 4 + (F.col("rows") + 1) * 4)
+    return rows.agg(packed.alias("packed_bytes"), plain.alias("csr_bytes"), (packed / plain).alias("ratio"))

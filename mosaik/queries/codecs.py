@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.rounding import bf16, fp16
 from ..operators import codecs, metrics, profile, split, tiles
 from ..operators.spmv import spmv, spmv_parts
+from ..plans.planner import catalog, gated
 from ..plans.policy import load_balance
 from ..sources.tables import deterministic_vector, embedding_matrix, input_vector, order_by_part
 from .parts import EMBED, ORDERS, PATTERNS, TILES, E, Query, X, parts, pattern, pattern_sql, rounded, spmv_sql
@@ -310,3 +311,28 @@ _POLICY = "CASE WHEN b <= 0 OR r <= 0 THEN 32 WHEN b < 30000 THEN 8 WHEN a >= 20
 def lb_policy(spark, d):
     t = spark.createDataFrame(list(_CASES), "blocks long, rows long")
     return t.select("blocks", "rows", load_balance(F.col("blocks"), F.col("rows")).alias("chunk"))
+
+
+# --- planner ----------------------------------------------------------------------------------------------
+
+
+@query()
+def operator_catalog(spark, d):
+    rows = [(k, o.name, o.layout, o.codec, o.family, o.gate, o.promotion) for k, o in enumerate(catalog().values())]
+    return spark.createDataFrame(rows, "place int, name string, layout string, codec string, family string, gate string, promotion string")
+
+
+@query(spmv_sql(E))
+def spmv_gated_fallback(spark, d):
+    """Four-bit blocks fail the gate on these values, so the exact operator's result is returned."""
+    m = parts(spark, d)
+    return gated(m, input_vector(spark, m.cols), ["bfp4_lb", "original_lb"])[1]
+
+
+@query(f"WITH {_outlier_sql().replace('e AS (SELECT * FROM bulk', 'o AS (SELECT * FROM bulk')}, {_bfp_sql('e AS (SELECT * FROM a0)', 127, 'p0', 'p')}, {EX}, y0 AS (SELECT r, sum(v * val) AS y FROM a0 JOIN x ON c = idx GROUP BY r), y1 AS (SELECT r, sum(v * val) AS y FROM p JOIN x ON c = idx GROUP BY r), y2 AS (SELECT r, sum(v * val) AS y FROM o JOIN x ON c = idx GROUP BY r) SELECT round(max(abs(y1.y - y0.y)) / max(abs(y0.y)), 9) AS bfp8_global, round(max(abs(y2.y - y0.y)) / max(abs(y0.y)), 9) AS outlier_global FROM y0 JOIN y1 USING (r) JOIN y2 USING (r)")
+def outlier_acceptance(spark, d):
+    m = embedding_matrix(spark, d)
+    x = input_vector(spark, m.cols)
+    y, a, b = spmv(m, x), spmv(codecs.bfp8(m), x), spmv_parts(m, list(codecs.bfp8_outlier(m)), x)
+    one = lambda z, c: metrics.compared(y, z).select(F.round("global_rel", 9).alias(c))
+    return one(a, "bfp8_global").join(one(b, "outlier_global"))

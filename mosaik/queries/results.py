@@ -159,6 +159,33 @@ def tool_output(spark, d):
     return t.select("id", setting(F.col("t"), "min_ms").alias("ms"), report_value(F.col("t"), "value codec").alias("codec"))
 
 
+@query(f"WITH {ROWS}, z AS (SELECT \"distinct\" <= 256 AS few, CAST(ordinal * 31 % 101 AS DOUBLE) AS c FROM w), k AS (SELECT *, row_number() OVER (PARTITION BY few ORDER BY c) AS k, count(*) OVER (PARTITION BY few) AS n FROM z) SELECT few, count(*) AS n, min(c) AS low, avg(c) AS mean, max(c) AS high, count(*) FILTER (c >= 90) AS ge90, count(*) FILTER (c >= 50) AS ge50, max(c) FILTER (k = n // 2 + 1) AS upper_median FROM k GROUP BY few")
+def frequency_summary(spark, d):
+    return R.frequency_summary(_rows(spark).withColumn("c", (F.col("ordinal") * 31 % 101).cast("double")), "c", "distinct")
+
+
+@query(f"WITH {ROWS}, z AS (SELECT CASE WHEN ordinal % 9 = 0 THEN 'Infinity'::DOUBLE ELSE ordinal - 20.0::DOUBLE END AS x, ordinal + 1.0::DOUBLE AS y FROM w) SELECT count(*) FILTER (x > 0 AND x < 'Infinity'::DOUBLE AND y > 0) AS points, count(*) FILTER (x = 'Infinity'::DOUBLE) AS infinite FROM z")
+def accuracy_scatter(spark, d):
+    x = F.when(F.col("ordinal") % 9 == 0, float("inf")).otherwise(F.col("ordinal") - 20.0)
+    return R.plottable(_rows(spark).select(x.alias("x"), (F.col("ordinal") + 1.0).alias("y")), "x", "y")
+
+
+@query(f"WITH {ROWS}, ok AS (SELECT *, TRY_CAST(avg_ms AS DOUBLE) AS ms FROM w WHERE status = 'ok'), c AS (SELECT matrix, min(ms) AS c FROM ok WHERE operator = 'cusparse_default' GROUP BY matrix), o AS (SELECT matrix, min(ms) AS o FROM ok WHERE operator = 'original_lb' GROUP BY matrix) SELECT CAST(list_position({list(OPERATORS)}, operator) AS BIGINT) AS place, matrix, operator, CASE WHEN c > 0 AND ms > 0 THEN c / ms END AS vs_default, CASE WHEN o > 0 AND ms > 0 THEN o / ms END AS vs_original FROM ok LEFT JOIN c USING (matrix) LEFT JOIN o USING (matrix)")
+def sweep_summary(spark, d):
+    return R.sweep_summary(_rows(spark), list(OPERATORS), {"vs_default": "cusparse_default", "vs_original": "original_lb"})
+
+
+@query(f"WITH {ROWS}, z AS (SELECT (ordinal * 13 % 64) / 64.0::DOUBLE AS gain, nnz, (ordinal * 7 % 32) / 32.0::DOUBLE AS fill FROM w) SELECT fill >= 0.2::DOUBLE AS dense, count(*) AS n, sum(gain * nnz) / sum(nnz) AS weighted, median(gain) AS median, min(gain) AS low, max(gain) AS high FROM z GROUP BY 1")
+def coreg_group_gains(spark, d):
+    r = _rows(spark).select(((F.col("ordinal") * 13 % 64) / 64.0).alias("gain"), "nnz", ((F.col("ordinal") * 7 % 32) / 32.0).alias("fill"))
+    return R.group_gains(r, "gain", "nnz", "fill")
+
+
+@query(f"WITH {ROWS} SELECT CAST(sum(nnz * 2 + ordinal * 16) AS BIGINT) AS packed_bytes, CAST(sum(nnz * 4 + (bytes + 1) * 4) AS BIGINT) AS csr_bytes, sum(nnz * 2 + ordinal * 16) / sum(nnz * 4 + (bytes + 1) * 4) AS ratio FROM w")
+def position_metadata_totals(spark, d):
+    return R.metadata_totals(_rows(spark).select((F.col("nnz") * 2).alias("position_bytes"), F.col("ordinal").alias("work_items"), "nnz", F.col("bytes").alias("rows")))
+
+
 @query(f"WITH {ROWS} SELECT ordinal % 4 AS shard, count(*) AS n FROM w GROUP BY 1")
 def stride_shards(spark, d):
     return _rows(spark).groupBy((F.col("ordinal") % 4).alias("shard")).agg(F.count("*").alias("n"))
