@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .storage import written
+from .storage import dropped, written
 from .token_files import encoder_of
 
 MIX = 0.75
@@ -37,12 +37,14 @@ EDGE = 50_257
 VOCABULARY = EDGE + 1
 TABLE_SENT = 6_000_000
 #: Bigrams that a task gathers before it passes on their counts.
-_GATHERED = 2_000_000
+_GATHERED = 1_000_000
+#: Pieces of text that an encoder remembers here: counting and scoring need memory, too.
+REMEMBERED = 200_000
 
 
 def _encoded(vocabulary):
     def scan(batches):
-        encoder = encoder_of(vocabulary.value)
+        encoder = encoder_of(vocabulary.value, REMEMBERED)
         for b in W.slices(batches):
             ids, count = encoder.encode(b.column("text"))
             ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
@@ -176,6 +178,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, tokenizer: str,
     encoded = written(own.mapInArrow(_encoded(vocabulary), "doc_id long, ids array<int>"), "ids")
     wanted = target.select(F.col("text").cast("string").alias("text")).mapInArrow(_encoded(vocabulary), "ids array<int>")
     table = written(loss_table(bigram_counts(encoded), bigram_counts(wanted)), "losses")
-    sums = _scored_here(encoded, table) if table.count() <= table_sent else _scored_by_join(encoded, table)
+    sums = written(_scored_here(encoded, table) if table.count() <= table_sent else _scored_by_join(encoded, table), "sums")
+    dropped(encoded, table)
     out = sums.select("doc_id", "n_tokens", _mean(F.col("target")).alias("target_loss"), _mean(F.col("background")).alias("background_loss"))
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))

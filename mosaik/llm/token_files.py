@@ -198,11 +198,11 @@ class Places:
 class Encoder:
     """Texts to token ids, as the tokenizer would encode each text whole."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.tokenizer, self.remembered = Tokenizer.from_str(vocabulary), remembered
         self._forget()
 
     def _forget(self) -> None:
@@ -244,7 +244,7 @@ class Encoder:
         new = np.flatnonzero(slot < 0)
         if len(new):
             keys, at = np.unique(key[new], return_index=True)
-            if self.places.used + len(keys) > REMEMBERED:
+            if self.places.used + len(keys) > self.remembered:
                 self._forget()
                 new = np.arange(len(key))
                 keys, at = np.unique(key, return_index=True)
@@ -266,9 +266,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder_of(vocabulary: str) -> Encoder:
+def encoder_of(vocabulary: str, remembered: int = REMEMBERED) -> Encoder:
     """The encoder of this process, which keeps what it has learned from task to task."""
-    return Encoder(vocabulary)
+    return Encoder(vocabulary, remembered)
 
 
 # --- tables -------------------------------------------------------------------------------------------
