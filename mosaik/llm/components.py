@@ -1,8 +1,9 @@
 """Connected components of a table of links, by alternating large-star and small-star rounds.
 
-Every round is two aggregations and two joins of the links with the least neighbour of each node, so a
-node with very many links is aggregated before it moves and its links are split by the skew join. Each
-round is written to the shared folder, which cuts the lineage and lets lost executors be replaced.
+Every round is two aggregations, of the least neighbour of each node, and two joins of the links with them.
+The aggregates are written before they are joined: so a node with very many links is summed up before it
+moves, and the join can split its links over tasks. Each round is written to the shared folder, too, which
+cuts the lineage and lets lost executors be replaced.
 """
 
 from __future__ import annotations
@@ -13,18 +14,30 @@ from pyspark.sql import functions as F
 from .storage import dropped, written
 
 
-def _large_star(e: DataFrame) -> DataFrame:
-    both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+def _large_star(e: DataFrame, least: DataFrame) -> DataFrame:
+    return _both(e).filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("a").agg(F.min("b").alias("m"))
+def _small_star(e: DataFrame, least: DataFrame) -> DataFrame:
     rest = e.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return least.select("a", F.col("m").alias("b")).unionAll(rest).distinct()
 
 
+def _both(e: DataFrame) -> DataFrame:
+    return e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _round(e: DataFrame) -> DataFrame:
+    """The links after one large-star and one small-star step."""
+    least = written(_both(e).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+    large = written(_large_star(e, least), "links")
+    dropped(e, least)
+    least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+    small = written(_small_star(large, least), "links")
+    dropped(large, least)
+    return small
+
+
 def _state(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())
 
@@ -37,9 +50,8 @@ def components(links: DataFrame) -> DataFrame:
     e = written(e, "links")
     state = _state(e)
     while state[0]:
-        after = written(_small_star(_large_star(e)), "links")
-        dropped(e)
-        e, before, state = after, state, _state(after)
+        e = _round(e)
+        before, state = state, _state(e)
         if state == before:
             break
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
