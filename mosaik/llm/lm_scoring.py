@@ -92,6 +92,8 @@ def _counted(batches):
     if held:
         gram, n = _merged(held)
         yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], ["gram", "n"])
+    del held
+    W.release()
 
 
 def bigram_counts(encoded: DataFrame) -> DataFrame:
@@ -176,9 +178,10 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, tokenizer: str,
         vocabulary = spark.sparkContext.broadcast(f.read())
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     encoded = written(own.mapInArrow(_encoded(vocabulary), "doc_id long, ids array<int>"), "ids")
-    wanted = target.select(F.col("text").cast("string").alias("text")).mapInArrow(_encoded(vocabulary), "ids array<int>")
+    # Written, too: otherwise a task would encode and count at once, in two Python workers.
+    wanted = written(target.select(F.col("text").cast("string").alias("text")).mapInArrow(_encoded(vocabulary), "ids array<int>"), "target")
     table = written(loss_table(bigram_counts(encoded), bigram_counts(wanted)), "losses")
     sums = written(_scored_here(encoded, table) if table.count() <= table_sent else _scored_by_join(encoded, table), "sums")
-    dropped(encoded, table)
+    dropped(encoded, wanted, table)
     out = sums.select("doc_id", "n_tokens", _mean(F.col("target")).alias("target_loss"), _mean(F.col("background")).alias("background_loss"))
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -6,7 +6,9 @@ words or runs of words costs a few NumPy passes and no Python step per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -35,6 +37,13 @@ class Words(NamedTuple):
     first: np.ndarray  # n + 1 word offsets of texts
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task still counts."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of each batch with at most that many bytes of text, or one row."""
     for batch in batches:
@@ -46,6 +55,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
         for a, b in zip(cuts, cuts[1:], strict=False):
             if a < b:
                 yield batch.slice(a, b - a)
+    release()
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
