@@ -40,9 +40,10 @@ OUTSIDE_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|widget|"
     r"footer|foot|header|masthead|topbar|toolbar|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|form|"
     r"share|sharing|social|related|recommended|recommendations|trending|popular|tags?|pagination|pager|copyright|legal|disclaimer|skip|complementary|contentinfo)(?:$|[\s_-])"
+    r"|cookie|advert|sidebar|newsletter|subscri|breadcrumb|pagination|navbar|masthead|sponsor|popup"
 )
-COMMENT_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|reply|replies|respond|discussion|disqus|responses?|reviews?|feedback)(?:$|[\s_-])")
-INSIDE_WORDS = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|main|post|entry|story|body|text|page)(?:$|[\s_-])")
+COMMENT_WORDS = re.compile(r"comment|disqus|(?:^|[\s_-])(?:reply|replies|respond|discussion|responses?|reviews?|feedback)(?:$|[\s_-])")
+INSIDE_WORDS = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|main|post|entry|story)(?:$|[\s_-])")
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)

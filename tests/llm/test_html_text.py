@@ -23,6 +23,8 @@ CASES = [
     (f"<div class='cookie-notice'>{P}</div><div class=sidebar>{P}</div><div id='content'><p>{P}</p><div class=ad>Buy</div><p>Two  \n words</p></div><div id=comments><p>{P}</p></div>", f"{P}\nTwo words"),
     (f"<body><ul><li><a href=a>One</a><li><a href=b>Two</a></ul><p>{P}</p><p>{P}</p><ul><li><a href=c>Three</a></ul>", f"{P}\n{P}"),
     (f"<article><p>{P}</p><article class='comment'><p>{P}</p></article></article><p>{P}</p>", P),
+    (f"<div id=page><div class='topCookieBar'>{P}</div><header><p>{P}</p></header><div class='post-content'><h2>T</h2><p>{P}</p></div><section class=user_comments><p>{P}</p></section><div role=contentinfo>{P}</div></div>", f"T\n{P}"),
+    (f"<table><tr><td><a href=1>A</a> <a href=2>B</a></td><td><p>{P}</p><p>{P}</p></td></tr></table>", f"{P}\n{P}"),
     (f"<article><b>bold</b><i>er</i> text{'<p>x'*3000}</article>", "bolder text" + "\nx" * 3000),
 ]
 
