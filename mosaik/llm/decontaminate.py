@@ -4,8 +4,8 @@ Tokens are lower-cased runs of letters and digits. A mask names the token positi
 looks at; the positions between are ignored, so a seed survives substitutions there. Seeds of the
 test items and of the documents meet by their hashes, and around every hit the two token rows are
 laid on each other: a document holds an item where min(16, tokens of the item) aligned tokens have
-at least three quarters equal. The four masks meet every such overlap of 16 tokens: the tests try
-all patterns of four substitutions.
+at least three quarters equal. The first four masks meet every such overlap of 13 tokens or more, and four
+more those of items with fewer; the tests try all patterns of substitutions.
 
 The document side is never shuffled: the item side goes to the executors in blocks of a bounded
 number of tokens, one pass over the documents for each block.
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from . import words as W
 
-MASKS = ((0, 1, 2, 4, 5), (0, 3, 5, 6, 7), (0, 1, 2, 3, 7), (0, 1, 2, 3, 4))
+MASKS = ((0, 1, 2, 4, 5), (0, 3, 5, 6, 7), (0, 1, 2, 3, 7), (0, 1, 2, 3, 4), (0, 1, 4, 5, 6), (0, 2, 3, 4, 5), (0, 1, 2, 4, 7), (0, 1, 3, 4, 7))
+#: Items of so many tokens are met by the first so many masks.
+LONG, FOR_LONG = 13, 4
 WINDOW = 16
 LEAST_EQUAL = 0.75
 MIN_TOKENS = 8
@@ -67,7 +69,8 @@ class Index:
         self.first = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         self.tokens = np.concatenate(parts)
         self.piece = np.repeat(np.arange(len(parts)), np.diff(self.first))
-        at = [W.ragged(self.first[:-1], np.maximum(np.diff(self.first) - m[-1], 0)) for m in MASKS]
+        self.masks = MASKS[:FOR_LONG] if self.length.min() >= LONG else MASKS
+        at = [W.ragged(self.first[:-1], np.maximum(np.diff(self.first) - m[-1], 0)) for m in self.masks]
         seed = np.concatenate([seeds(self.tokens, p, k) for k, p in enumerate(at)])
         place = np.concatenate(at)
         order = np.argsort(seed, kind="stable")
@@ -78,7 +81,7 @@ class Index:
     def hits(self, doc_tokens: np.ndarray, w: W.Words) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of a token of the documents and a token of the items at which equal seeds begin."""
         mine, theirs = [], []
-        for k, m in enumerate(MASKS):
+        for k, m in enumerate(self.masks):
             at = W.whole(w, m[-1] + 1)
             s = seeds(doc_tokens, at, k)
             maybe = np.flatnonzero(self.known[s >> np.uint64(64 - _BITS)])
