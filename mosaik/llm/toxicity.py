@@ -37,8 +37,8 @@ from . import words as W
 
 GAP = 2
 DECAY = 0.7
-LANDMARKS = 192
-ROUNDS = 3
+LANDMARKS = 320
+ROUNDS = 6
 #: Labelled rows of each class from which is learned.
 SAMPLE = 1500
 THRESHOLD = 0.3
