@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -19,7 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = "file://" + tempfile.mkdtemp(prefix="mosaik-")
+    folder = tempfile.mkdtemp(prefix="mosaik-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    base = f"file://{folder}"
     spark.conf.set("spark.checkpoint.dir", base)
     return base
 
