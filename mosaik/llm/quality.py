@@ -29,6 +29,7 @@ WINDOW = 5
 
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
+SYMBOL = "[#*$%&|<>]"
 #: Rules of a line as patterns that both Java and RE2 read alike.
 SENTENCE = r"""[.!?;:"')\]…”’»][\x20\x09-\x0D]*$|[.!?…][\x20\x09-\x0D]"""
 BARS = r"\|[^|]*\|"
@@ -45,12 +46,12 @@ def _without(text: Column, chars: str) -> Column:
 
 def line_passes(line: Column) -> Column:
     """Whether a line passes every rule. Lines without a word count for nothing either way."""
-    word_chars = _without(line, SPACES)
+    few_symbols = ~line.rlike(SYMBOL) | ((F.length(line) - _without(line, SYMBOLS)) * 10 <= _without(line, SPACES))
     return (
         line.rlike(SENTENCE)
         & ~line.rlike(BARS)
         & ~line.rlike(BULLETS)
-        & ((F.length(line) - _without(line, SYMBOLS)) * 10 <= word_chars)
+        & few_symbols
         & ~(line.rlike(CAPITALS) & ~line.rlike(SMALL) & line.rlike(THREE_WORDS))
         & ~line.rlike(BOILERPLATE)
     )
@@ -113,7 +114,7 @@ def measured(docs: DataFrame, least_kept: float = LEAST_KEPT) -> DataFrame:
     q = F.struct(
         F.col("n").alias("n_words"),
         _without(F.col("t"), SPACES).cast("long").alias("word_chars"),
-        (F.length("t") - _without(F.col("t"), SYMBOLS)).cast("long").alias("n_symbols"),
+        F.when(F.col("t").rlike(SYMBOL), F.length("t") - _without(F.col("t"), SYMBOLS)).otherwise(0).cast("long").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         F.col("r").alias("n_repeat_words"),
         failed.alias("base_failed"),
