@@ -1,0 +1 @@
+"""Empty: nothing that this library computes is a stream."""
