@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mosaik.llm import decontaminate, mixing, quality, sharding, simhash
+from mosaik.llm import decontaminate, mixing, near_copies, quality, sharding
 from mosaik.llm.storage import new_path, shuffles_dropped
 
 
@@ -18,9 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: fingerprints of single words within 4 bits find them, those of
-    five-word shingles must agree as texts with a similarity of 0.8 do (13 bits of 64)."""
-    return simhash.one_of_each(docs, shingle=1, threshold=4, confirm=5, agreed=13)
+    """One document of each group of near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return near_copies.one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
