@@ -4,11 +4,12 @@ Equal texts are one atomic group. Groups stand in the order of a hash of their t
 capacity is found for which greedy filling, in that order, needs no more than the given number of
 shards; the shards are cut there. So the largest shard is as small as any cut of that order allows.
 
-The driver never sees the groups. It sees sums over ranges of the hash: first 2 ** FIRST_BITS ranges,
-from which a lower bound of the capacity (ranges can be cut anywhere) and an upper one (they cannot be
-cut) follow. Only ranges in which a cut can still fall are then summed again in 2 ** MORE_BITS parts,
-and so on until each is one group or lies clear of all cuts. What is gathered is bounded by the number
-of shards and ranges, whatever the input; the search on it is exact.
+The driver never sees the groups. It sees sums over ranges of the hash, first 2 ** FIRST_BITS of them. The
+cuts of a capacity then lie between two walks over the ranges: one takes it that a range can be cut
+anywhere, the other that a cut loses as much as the largest group there. What the walks agree on bounds
+the least capacity; for the one in the middle, ranges in which its own cuts can fall are summed again in
+2 ** MORE_BITS parts, and so on until the bounds meet and each cut is known. A round sums no more than
+shards * (shards + 2) ranges again, whatever the sizes of the groups; the search is exact.
 
 Assigning a document compares its hash with the cuts: no join and no shuffle of texts. The place in a
 shard comes from numbering.running_sum.
@@ -20,13 +21,14 @@ without doc_id are rows like others; extra columns of any name are kept by shard
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .numbering import running_sum
+from .storage import dropped, written
 
 SHARDS = 16
 FIRST_BITS, MORE_BITS = 16, 8
@@ -55,86 +57,100 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def greedy(sizes: list[int], ends: list[int], capacity: int, shards: int) -> list[int] | None:
-    """First index of each shard after the first; None if shards of that capacity don't hold all. ends: running sums."""
-    cuts, done, at = [], 0, 0
-    while at < len(sizes):
-        if len(cuts) == shards:
-            return None
-        reach = bisect_right(ends, done + capacity, at)
-        if reach == at:
-            return None
-        at, done = reach, ends[reach - 1]
-        cuts.append(at)
-    return cuts[:-1]
-
-
-def smallest_capacity(sizes: list[int], shards: int) -> tuple[int, list[int]]:
-    """The least capacity with which greedy filling does, by binary search, and its cuts."""
-    ends, total = [], 0
-    for s in sizes:
-        total += s
-        ends.append(total)
-    low, high = max(max(sizes), -(-total // shards)), max(max(sizes), -(-total // shards)) + max(sizes)
-    while low < high:
-        middle = (low + high) // 2
-        low, high = (low, middle) if greedy(sizes, ends, middle, shards) is not None else (middle + 1, high)
-    return low, greedy(sizes, ends, low, shards)
-
-
-def _sums(groups: DataFrame, ranges: list[Range] | None, bits: int) -> list[Range]:
-    """Ranges of the given width: all of them, or those inside the given ones."""
-    low = F.expr(f"(_key >> {64 - bits}) << {64 - bits}") if bits < 64 else F.col("_key")
-    if ranges is not None:
-        inside = F.lit(False)
-        runs: list[list[int]] = []
-        for r in ranges:  # neighbours become one test
-            high = r.low + (1 << (64 - r.bits)) - 1
-            if runs and runs[-1][1] + 1 == r.low:
-                runs[-1][1] = high
-            else:
-                runs.append([r.low, high])
-        for a, b in runs:
-            inside |= F.col("_key").between(a, b)
-        groups = groups.filter(inside)
-    rows = groups.groupBy(low.alias("low")).agg(F.sum("_size").alias("size"), F.max("_size").alias("largest"), F.count("*").alias("groups")).collect()
-    return [Range(r["low"], bits, r["size"], r["largest"], r["groups"]) for r in rows]
-
-
-def _open(ranges: list[Range], shards: int) -> list[Range]:
-    """Ranges of several groups in which a cut may fall for a capacity that may be the least."""
-    sizes, ends, total = [r.size for r in ranges], [], 0
-    for s in sizes:
-        total += s
-        ends.append(total)
-    least = max(max(r.largest for r in ranges), -(-total // shards))
-    most, _ = smallest_capacity(sizes, shards)
-    # With a true capacity in [least, most] and groups that can be cut off inside ranges, the k-th cut lies
-    # no further than k * most, and no nearer than whole ranges reach with the capacity least.
-    out: set[int] = set()
-    near = 0
-    for k in range(1, shards + 1):
-        start = ends[near - 1] if near else 0
-        near = max(near, bisect_right(ends, start + least))
-        first, last = near, bisect_left(ends, min(total, k * most))
-        out.update(range(first, min(last + 1, len(ranges))))
-    return [ranges[i] for i in sorted(out) if not ranges[i].whole]
+class Ends:
+    """Ranges in order, with the running sums of their bytes."""
+
+    def __init__(self, ranges: list[Range]):
+        self.ranges, self.ends, total = ranges, [], 0
+        for r in ranges:
+            total += r.size
+            self.ends.append(total)
+        self.total = total
+        self.largest = max(r.largest for r in ranges)
+
+    def cut(self, at: int) -> tuple[int, int]:
+        """The least and the greatest byte at which the last group that ends by that byte can end."""
+        i = bisect_right(self.ends, at)
+        if i == len(self.ends):
+            return self.total, self.total
+        base = self.ends[i - 1] if i else 0
+        r = self.ranges[i]
+        return max(base, at - r.largest + 1), base if r.whole else at
+
+    def walks(self, capacity: int, shards: int) -> list[tuple[int, int]]:
+        """Between which bytes greedy filling ends each shard."""
+        low, high, out = 0, 0, []
+        for _ in range(shards):
+            low, high = self.cut(low + capacity)[0], self.cut(high + capacity)[1]
+            out.append((low, high))
+        return out
+
+    def bounds(self, shards: int) -> tuple[int, int]:
+        """Of the least capacity."""
+        least = max(self.largest, -(-self.total // shards))
+        out = []
+        for side in (1, 0):
+            low, high = least, least + self.largest
+            while low < high:
+                middle = (low + high) // 2
+                low, high = (low, middle) if self.walks(middle, shards)[-1][side] >= self.total else (middle + 1, high)
+            out.append(low)
+        return out[0], out[1]
+
+    def unsure(self, capacity: int, shards: int) -> list[int]:
+        """Which ranges of several groups its cuts can fall in; of a cut with many, those at both ends."""
+        out: set[int] = set()
+        before = (0, 0)
+        for now in self.walks(capacity, shards):
+            first, last = (bisect_right(self.ends, b + capacity) for b in before)
+            out.update(range(first, last + 1) if last - first <= shards else (first, last))
+            before = now
+        return [i for i in sorted(out) if i < len(self.ranges) and not self.ranges[i].whole]
+
+
+def _inside(ranges: list[Range]) -> Column:
+    out = F.lit(False)
+    for r in ranges:
+        out |= F.col("_key").between(r.low, r.low + (1 << (64 - r.bits)) - 1)
+    return out
+
+
+def _sums(groups: DataFrame, ranges: list[Range] | None) -> list[Range]:
+    """All ranges of the first width, or the parts of the given ones."""
+    part = lambda bits: F.expr(f"(_key >> {64 - bits}) << {64 - bits}") if bits < 64 else F.col("_key")
+    if ranges is None:
+        low, bits = part(FIRST_BITS), lambda _: FIRST_BITS
+    else:
+        by_width: dict[int, list[Range]] = {}
+        for r in ranges:
+            by_width.setdefault(r.bits, []).append(r)
+        finer = {b: min(64, b + MORE_BITS) for b in by_width}
+        low = F.coalesce(*[F.when(_inside(of), part(finer[b])) for b, of in by_width.items()])
+        starts = [r.low for r in ranges]
+        bits = lambda at: finer[ranges[bisect_right(starts, at) - 1].bits]
+    rows = groups.groupBy(low.alias("low")).agg(F.sum("_size").alias("size"), F.max("_size").alias("largest"), F.count("*").alias("groups")).filter("low IS NOT NULL").collect()
+    return [Range(r["low"], bits(r["low"]), r["size"], r["largest"], r["groups"]) for r in rows]
 
 
 def cut_points(docs: DataFrame, shards: int = SHARDS) -> tuple[int, list[int]]:
     """The smallest capacity in bytes, and the hash at which each shard after the first begins (fewer if the rest stay empty)."""
     sized = docs.select(text_key(F.col("text")).alias("_key"), text_size(F.col("text")).alias("_size"))
-    groups = sized.groupBy("_key").agg(F.sum("_size").alias("_size"))
-    bits = FIRST_BITS
-    ranges = sorted(_sums(groups, None, bits))
+    groups = written(sized.groupBy("_key").agg(F.sum("_size").alias("_size")), "groups")
+    ranges = sorted(_sums(groups, None))
     if not ranges:
         return 0, []
-    while left := _open(ranges, shards):
-        bits = min(64, bits + MORE_BITS)
+    while True:
+        known = Ends(ranges)
+        low, high = known.bounds(shards)
+        capacity = (low + high) // 2
+        left = [ranges[i] for i in known.unsure(capacity, shards)]
+        if not left:
+            break
         gone = set(left)
-        ranges = sorted([r for r in ranges if r not in gone] + _sums(groups, left, bits))
-    capacity, cuts = smallest_capacity([r.size for r in ranges], shards)
-    return capacity, [ranges[c].low for c in cuts]
+        ranges = sorted([r for r in ranges if r not in gone] + _sums(groups, left))
+    dropped(groups)
+    begins = [known.ends.index(at) + 1 for at, _ in known.walks(capacity, shards)[:-1] if at < known.total]
+    return capacity, [ranges[i].low for i in begins]
 
 
 def shard_of(text: Column, cuts: list[int]) -> Column:

@@ -66,3 +66,21 @@ def test_edges(spark):
 def test_driver_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     check(spark, rows)
+
+
+@pytest.mark.parametrize("share", [3, 20])
+def test_a_large_group_does_not_open_every_range(spark, monkeypatch, share):
+    monkeypatch.setattr(S, "FIRST_BITS", 10)
+    asked, sums = [], S._sums
+    monkeypatch.setattr(S, "_sums", lambda groups, ranges, *rest: asked.append(len(ranges or [])) or sums(groups, ranges, *rest))
+    texts = [f"{i} " + "y" * (i * 7919 % 90) for i in range(6000)]
+    size = sum(len(t) + 1 for t in texts)
+    texts.append("z" * (size // (share - 1)))
+    capacity, cuts = S.cut_points(spark.createDataFrame([(t,) for t in texts], "text string"), 4)
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = df.select(S.text_key(df.text).alias("k"), S.text_size(df.text).alias("n"), S.shard_of(df.text, cuts).alias("s")).orderBy("k").collect()
+    load = defaultdict(int)
+    for r in rows:
+        load[r.s] += r.n
+    assert len(load) <= 4 and capacity == plain_capacity([r.n for r in rows], 4) == max(load.values())
+    assert max(asked) <= 4 * (4 + 2)
