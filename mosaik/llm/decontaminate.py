@@ -178,6 +178,9 @@ def overlaps(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no test item; rows without doc_id stay, as nothing can be said of them."""
-    held = overlaps(docs.filter(F.col("doc_id").isNotNull()), items).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(held, docs["doc_id"] == F.col("_held"), "left_anti")
+    """The documents that hold no test item. Rows are judged by their own texts, also where several share a doc_id;
+    rows without doc_id stay."""
+    key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    known = docs.filter(docs["doc_id"].isNotNull()).select(key.alias("doc_id"), docs["text"].alias("text"))
+    held = overlaps(known, items).select(F.col("doc_id").alias("_held")).distinct()
+    return docs.join(held, docs["doc_id"].isNotNull() & (key == held["_held"]), "left_anti")

@@ -84,3 +84,12 @@ def test_driver_table(spark, sf_dir):
     found = {(r.doc_id, r.item_id) for r in D.overlaps(docs, items).collect()}
     texts, held = {r.doc_id: " ".join(low(r.text)) for r in docs.collect()}, {r.item_id: " ".join(low(r.text)) for r in items.collect()}
     assert found >= {(d, i) for d, t in texts.items() for i, s in held.items() if f" {s} " in f" {t} "}
+
+
+def test_clean_judges_rows_of_one_id_by_their_own_texts(spark):
+    passage = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    rows = [(5, f"x {passage}"), (5, "a clean row of the same id"), (6, None), (7, "")]
+    docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, _held int")
+    out = D.clean(docs, spark.createDataFrame([(1, passage)], "item_id long, text string"))
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "") for r in out.collect()) == [(5, rows[1][1]), (6, ""), (7, "")]
