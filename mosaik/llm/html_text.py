@@ -9,7 +9,8 @@ Scripts, styles, comments, form controls and the like hold no text. White space
 one space; character references are decoded; blocks without text are none. br is white space in a block.
 
 Defined results: a null or empty page, or one without article blocks, gives an empty text. Unclosed and
-stray tags do not matter; a tag that never ends is dropped with what follows it in it. Pages of any
+stray tags do not matter: an unclosed head ends where something stands that it cannot hold, other silent elements
+end at the next block-level tag, and only RAW ones run to the end of the page; a tag that never ends is dropped with what follows it in it. Pages of any
 length are read whole. Repeated rows get equal texts; extra columns are ignored.
 """
 
@@ -29,6 +30,16 @@ from . import words as W
 
 #: Elements without text of their own.
 SILENT = ("script", "style", "noscript", "template", "head", "title", "select", "option", "button", "textarea", "svg", "math", "iframe", "object", "canvas", "audio", "video")
+#: Those that hold characters only, up to their own end tag.
+RAW = ("script", "style", "textarea", "title")
+#: Those that do not hold their own kind: a second start tag ends the first.
+SINGLE = ("select", "option", "button", "noscript")
+#: What a head holds.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
+#: Elements whose tags end an unclosed silent element.
+BLOCK_LEVEL = frozenset(
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
+)
 #: Elements whose tags do not end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -77,6 +88,45 @@ def _place(tag: str, attributes: str) -> int:
     return ARTICLE if tag in INSIDE else found
 
 
+def _end_tag(page: str, tag: str, at: int) -> re.Match | None:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|$)", re.I).search(page, at)
+
+
+def _end_of_unclosed(page: str, tag: str, at: int) -> int:
+    """Where a silent element without an end tag ends, that begins before at."""
+    if tag in RAW:
+        return len(page)
+    while m := _MARKUP.search(page, at):
+        if tag == "head" and page[at : m.start()].strip():
+            return at
+        name = (m[2] or "").lower()
+        if tag == "head":
+            if name and not m[1] and name not in IN_HEAD:
+                return m.start()
+        elif name in BLOCK_LEVEL or (name == tag and tag in SINGLE) or (tag == "option" and name in ("optgroup", "select", "datalist")):
+            return m.start()
+        at = max(m.end(), m.start() + 1)
+        if not m[1] and (name in RAW or (tag == "head" and name in ("noscript", "template"))):
+            end = _end_tag(page, name, at)
+            at = end.end() if end else _end_of_unclosed(page, name, at)
+    return at if tag == "head" and page[at:].strip() else len(page)
+
+
+def _silent_end(page: str, tag: str, at: int) -> int:
+    """Where a silent element ends, whose start tag ends at that place."""
+    end = _end_tag(page, tag, at)
+    if tag == "head":
+        body = re.compile(r"<body(?=[\s/>])", re.I).search(page, at)
+        ends = [x for x in (end and end.end(), body and body.start()) if x is not None]
+        return min(ends) if ends else _end_of_unclosed(page, tag, at)
+    if end is None:
+        return _end_of_unclosed(page, tag, at)
+    if tag == "option" or (tag in SINGLE and re.compile(rf"<{tag}(?=[\s/>])", re.I).search(page, at, end.start())):
+        unclosed = _end_of_unclosed(page, tag, at)
+        return unclosed if unclosed < end.start() else end.end()
+    return end.end()
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page."""
     out: list[Block] = []
@@ -132,12 +182,7 @@ def blocks(page: str) -> list[Block]:
         if tag in SILENT:
             flush() if tag not in ("svg", "math") else None
             if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|$)", re.I).search(page, at)
-                if tag == "head":
-                    body = re.compile(r"<body(?=[\s/>])", re.I).search(page, at)
-                    at = min([x for x in (end and end.end(), body and body.start()) if x is not None], default=n)
-                else:
-                    at = end.end() if end else n
+                at = _silent_end(page, tag, at)
             continue
         if tag == "br":
             parts.append((" ", links > 0))

@@ -51,3 +51,22 @@ def test_driver_table(spark, sf_dir):
     assert H.extracted(pages.limit(0)).count() == 0
     clash = spark.createDataFrame([(1, None, None, "x"), (1, None, None, "x")], "page_id int, url string, html string, text string")
     assert [tuple(r) for r in H.extracted(clash).collect()] == [(1, None, "", 0)] * 2
+
+
+@pytest.mark.parametrize("head", ["<head><title>T</title><meta charset=utf-8>", "<html><head><script>var a='<p>';</script><noscript><p>x</p></noscript><link rel=a>", "<head>"])
+def test_an_unclosed_head_ends_where_the_page_begins(head):
+    assert H.main_text(f"{head}<article><h1>Name</h1><p>{P}</p></article>") == f"Name\n{P}"
+    assert [b.text for b in H.blocks(f"{head}Plain text <b>here</b>")] == ["Plain text here"]
+    assert H.blocks("<head><title>never closed <p>text") == []
+
+
+@pytest.mark.parametrize("tag", ["option", "button", "noscript", "object", "svg", "math", "canvas", "audio", "video", "template", "select", "iframe"])
+def test_an_unclosed_silent_element_ends_at_the_next_block(tag):
+    assert H.main_text(f"<article><p>{P}</p><div><{tag}>silent <i>words</i></div><p>{P}</p></article>") == f"{P}\n{P}"
+    assert H.main_text(f"<article><{tag}>silent<script>'<p>'</script> words<p>{P}</p></article>") == P
+    assert H.main_text(f"<article><{tag}><p>silent</p></{tag}><p>{P}</p></article>") == (P if tag != "option" else f"silent\n{P}")
+
+
+@pytest.mark.parametrize("tag", ["option", "button", "noscript"])
+def test_a_later_element_of_its_kind_does_not_close_it(tag):
+    assert H.main_text(f"<article><{tag}>one<p>{P}</p><{tag}>two</{tag}><p>{P}</p></article>") == f"{P}\n{P}"
