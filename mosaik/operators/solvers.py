@@ -45,7 +45,9 @@ def cut(df: DataFrame) -> DataFrame:
         if base is None and not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(base or tempfile.mkdtemp(prefix="mosaik-"))
-    return df.checkpoint()
+    # From its rows: a checkpoint alone keeps what the optimiser inferred of its columns, which doubles with each step.
+    done = df.checkpoint()._jdf
+    return DataFrame(spark._jsparkSession.createDataFrame(done.toJavaRDD(), done.schema()), spark)
 
 
 def times(m: Matrix) -> Product:

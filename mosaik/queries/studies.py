@@ -126,16 +126,16 @@ def _table(spark, curve: solvers.Curve):
 @query()
 def cg_iterations(spark, d):
     m, b = _problem(spark)
-    return _table(spark, solvers.conjugate_gradient(solvers.times(m), b, most=8))
+    return _table(spark, solvers.conjugate_gradient(solvers.times(m), b, most=5000))
 
 
 @query()
 def iterative_refinement(spark, d):
     m, b = _problem(spark)
-    return _table(spark, solvers.refined(solvers.times(codecs.bfp8(m)), solvers.times(m), b, inner=3, outer=3))
+    return _table(spark, solvers.refined(solvers.times(codecs.bfp8(m)), solvers.times(m), b, inner=20, outer=600))
 
 
 @query()
 def flexible_cg(spark, d):
     m, b = _problem(spark)
-    return _table(spark, solvers.flexible(solvers.times(codecs.bfp8(m)), solvers.times(m), b, inner=2, most=3))
+    return _table(spark, solvers.flexible(solvers.times(codecs.bfp8(m)), solvers.times(m), b, inner=5, most=2000))
