@@ -108,24 +108,19 @@ class Ends:
         return [i for i in sorted(out) if i < len(self.ranges) and not self.ranges[i].whole]
 
 
-def _inside(ranges: list[Range]) -> Column:
-    out = F.lit(False)
-    for r in ranges:
-        out |= F.col("_key").between(r.low, r.low + (1 << (64 - r.bits)) - 1)
-    return out
-
-
 def _sums(groups: DataFrame, ranges: list[Range] | None) -> list[Range]:
-    """All ranges of the first width, or the parts of the given ones."""
+    """All ranges of the first width, or the parts of the given ones.
+
+    The given ranges are looked up in one set of beginnings for each width, so the expression is flat however many there are."""
     part = lambda bits: F.expr(f"(_key >> {64 - bits}) << {64 - bits}") if bits < 64 else F.col("_key")
     if ranges is None:
         low, bits = part(FIRST_BITS), lambda _: FIRST_BITS
     else:
-        by_width: dict[int, list[Range]] = {}
+        by_width: dict[int, list[int]] = {}
         for r in ranges:
-            by_width.setdefault(r.bits, []).append(r)
+            by_width.setdefault(r.bits, []).append(r.low)
         finer = {b: min(64, b + MORE_BITS) for b in by_width}
-        low = F.coalesce(*[F.when(_inside(of), part(finer[b])) for b, of in by_width.items()])
+        low = F.coalesce(*[F.when(part(b).isin(lows), part(finer[b])) for b, lows in by_width.items()])
         starts = [r.low for r in ranges]
         bits = lambda at: finer[ranges[bisect_right(starts, at) - 1].bits]
     rows = groups.groupBy(low.alias("low")).agg(F.sum("_size").alias("size"), F.max("_size").alias("largest"), F.count("*").alias("groups")).filter("low IS NOT NULL").collect()
