@@ -31,7 +31,7 @@ SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
 SYMBOL = "[#*$%&|<>]"
 #: Rules of a line as patterns that both Java and RE2 read alike.
-SENTENCE = r"""[.!?;:"')\]…”’»][\x20\x09-\x0D]*$|[.!?…][\x20\x09-\x0D]"""
+SENTENCE = r"""[.!?;:"')\]…”’»。！？；：」』）؟؛۔।॥።][\x20\x09-\x0D]*$|[.!?…؟۔।॥።][\x20\x09-\x0D]|[。！？]"""
 BARS = r"\|[^|]*\|"
 BULLETS = r"(?:[›»·•→][^›»·•→]*){3}"
 CAPITALS = r"[A-Z][^A-Z]*[A-Z]"
