@@ -13,17 +13,18 @@ from pyspark.sql import functions as F
 CELLS = 4096
 
 
-def running_sum(df: DataFrame, group: list[str], key: list[str], amount: Column, name: str, cells: int = CELLS) -> DataFrame:
+def running_sum(df: DataFrame, group: list[str], key: list[str], amount: Column, name: str, cells: int = CELLS, tie: list[str] | None = None) -> DataFrame:
     """df with the sum of amount over the rows before each one in its group (null groups are groups, too).
 
-    The order is that of a hash of the key, then of the key; rows alike in both are in any order."""
+    The order is that of a hash of the key, then of the key, then of tie; rows alike in all are in any order."""
     held = [F.col(f"`{g}`").alias(f"g{i}") for i, g in enumerate(group)]
     groups = [f"g{i}" for i in range(len(group))]
-    order = [f"k{i}" for i in range(len(key))]
+    ordered = [*key, *(tie or [])]
+    order = [f"k{i}" for i in range(len(ordered))]
     placed = df.select(
         F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
         *held,
-        *[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(key)],
+        *[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(ordered)],
         F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in key]), F.lit(cells)).cast("int").alias("cell"),
         amount.cast("long").alias("amount"),
     )
