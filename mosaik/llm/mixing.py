@@ -126,13 +126,14 @@ def permuted(x: Column, n: Column, *key: Column) -> Column:
     """The place of x in a pseudorandom permutation of 0 .. n - 1 that the key chooses.
 
     A step pairs each place with its mirror about a point and swaps the two or not, by a hash of the greater."""
-    seed = F.xxhash64(*key)
 
-    def step(x: Column, k: Column) -> Column:
+    def step(seed: Column, x: Column, k: Column) -> Column:
         other = F.pmod(F.xxhash64(seed, k) - x, n)
         return F.when(F.xxhash64(F.greatest(x, other), k, seed).bitwiseAND(F.lit(1)) == 1, other).otherwise(x)
 
-    return F.aggregate(F.array(*[F.lit(k) for k in range(ROUNDS)]), x, step)
+    steps = F.array(*[F.lit(k) for k in range(ROUNDS)])
+    # transform over a one-element array binds the hash of the key once.
+    return F.transform(F.array(F.xxhash64(*key)), lambda seed: F.aggregate(steps, x, lambda x, k: step(seed, x, k)))[0]
 
 
 def slots(sizes: DataFrame, seed: int = 0) -> DataFrame:
