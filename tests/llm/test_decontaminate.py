@@ -2,6 +2,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from mosaik.llm import decontaminate as D
@@ -20,7 +21,9 @@ def plain(docs, items):
         for i, s in items:
             a, b = low(t), low(s)
             n = min(D.WINDOW, len(b))
-            if len(b) < D.MIN_TOKENS:
+            if len(b) < D.LEAST_SEEDED:
+                if b and any(a[k : k + len(b)] == b for k in range(len(a))):
+                    out[d, i] = len(b)
                 continue
             for shift in range(-len(b) + 1, len(a)):
                 same = [0 <= k + shift < len(a) and a[k + shift] == b[k] for k in range(len(b))]
@@ -73,8 +76,9 @@ def test_clean_documents_stay(spark, case):
     i = spark.createDataFrame(items, "item_id long, text string")
     left = D.clean(d, i)
     assert left.columns == d.columns
-    want = {k for k, _ in docs} - {k for k, _ in plain([x for x in docs if x[0] != 203], items)} - {203}
-    assert {r.doc_id for r in left.collect()} == want | {None}
+    want = {k for k, _ in docs} - {k for k, _ in plain([x for x in docs if x[0] != 203], [x for x in items if len(low(x[1])) >= D.LEAST_TELLING])} - {203}
+    assert {r.doc_id for r in left.collect()} == want
+    assert {r.doc_id for r in D.clean(d, i, 40).collect()} == want  # several blocks
     assert D.overlaps(d.limit(0), i).count() == 0
     assert D.overlaps(d, i.limit(0)).count() == 0
 
@@ -88,8 +92,49 @@ def test_driver_table(spark, sf_dir):
 
 def test_clean_judges_rows_of_one_id_by_their_own_texts(spark):
     passage = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
-    rows = [(5, f"x {passage}"), (5, "a clean row of the same id"), (6, None), (7, "")]
+    rows = [(5, f"x {passage}"), (5, "a clean row of the same id"), (6, None), (7, ""), (None, f"{passage} y"), (None, "clean without id")]
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, _held int")
     out = D.clean(docs, spark.createDataFrame([(1, passage)], "item_id long, text string"))
     assert out.columns == docs.columns
-    assert sorted((r.doc_id, r.text or "") for r in out.collect()) == [(5, rows[1][1]), (6, ""), (7, "")]
+    assert sorted((r.doc_id or 99, r.text or "") for r in out.collect()) == [(5, rows[1][1]), (6, ""), (7, ""), (99, "clean without id")]
+
+
+def test_short_items_are_found_word_for_word(spark):
+    items = [(1, "Paris"), (2, "to be or not"), (3, "to be or not"), (4, "one two three four five six seven"), (5, "!"), (6, "is it")]
+    docs = [(1, "In paris, it is."), (2, "To be -- or not; to be or not"), (3, "to be or to be"), (4, "x one two three four five six seven"), (5, None), (6, "one two three four five six"), (7, "it is it")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_equal, r.doc_token) for r in D.overlaps(d, i).collect()}
+    assert got == {(1, 1): (1, 1), (2, 2): (4, 0), (2, 3): (4, 0), (4, 4): (7, 1), (7, 6): (2, 1)}
+    assert set(got) == set(plain(docs, items))
+    assert {r.doc_id for r in D.clean(d, i).collect()} == {1, 2, 3, 5, 6, 7}
+
+
+@pytest.mark.parametrize("text", ["a", "a b", "a a b"])
+def test_hot_seeds_take_bounded_room_and_lose_nothing(text):
+    """Repeated words on both sides: a pair for each diagonal, some at a time, and the same rows as brute force."""
+    item = (text + " ") * 30
+    rows = [(1, 0, len(item.split()), D.tokens(pa.array([item]))[1].tobytes())]
+    index = D.Index(rows)
+    docs = [(text + " ") * 40, "x " * 30, "b " + (text + " ") * 9 + "y " * 5 + (text + " ") * 7]
+    w, h = D.tokens(pa.array(docs))
+    got = {(d, i): n for d, i, _, _, n in D.verified(index, h, w)}
+    assert got == {(d, i): n for (d, i), (n, _) in plain(list(enumerate(docs)), [(1, item)]).items()}
+    long = D.Index([(1, 0, 4096, D.tokens(pa.array([(text + " ") * 4096]))[1][:4096].tobytes())])
+    w, h = D.tokens(pa.array([(text + " ") * 60_000]))
+    sizes = [len(p) for p, _ in long.pairs(h, w)]
+    assert max(sizes) <= D.PAIRS and sum(sizes) <= 8 * len(long.masks) * (len(h) + 4096)
+    assert [(d, n) for d, _, _, _, n in D.verified(long, h, w)] == [(0, 4096)]
+
+
+def test_pairs_beyond_a_chunk_lose_nothing(monkeypatch):
+    rng = np.random.default_rng(2)
+    items = [" ".join(rng.choice(["p", "q"], 40)) for _ in range(12)]
+    docs = [" ".join(rng.choice(["p", "q"], 300)) for _ in range(6)]
+    index = D.Index([(k, 0, 40, D.tokens(pa.array([t]))[1].tobytes()) for k, t in enumerate(items)])
+    w, h = D.tokens(pa.array(docs))
+    want = {(d, i): n for (d, i), (n, _) in plain(list(enumerate(docs)), list(enumerate(items))).items()}
+    for pairs, compared, done in ((1 << 18, 1 << 20, 1 << 20), (100, 1000, 50)):
+        monkeypatch.setattr(D, "PAIRS", pairs)
+        monkeypatch.setattr(D, "COMPARED", compared)
+        monkeypatch.setattr(D, "DONE", done)
+        assert {(d, i): n for d, i, _, _, n in D.verified(index, h, w)} == want and len(want) > 20
