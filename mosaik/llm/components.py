@@ -2,7 +2,7 @@
 
 Every round is two aggregations, of the least neighbour of each node, and two joins of the links with them.
 The aggregates are written before they are joined: so a node with very many links is summed up before it
-moves, and the join can split its links over tasks. Each round is written to the shared folder, too, which
+moves, and in the join its links are dealt to several tasks. Each round is written to the shared folder, too, which
 cuts the lineage and lets lost executors be replaced.
 """
 
@@ -11,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import joined
 from .storage import dropped, written
 
 
 def _large_star(e: DataFrame, least: DataFrame) -> DataFrame:
-    return _both(e).filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    up = e.select(F.col("b").alias("low"), F.col("a").alias("high")).filter("high > low")
+    return joined(up, least, "low", "a", F.col("high")).select(F.col("high").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(e: DataFrame, least: DataFrame) -> DataFrame:

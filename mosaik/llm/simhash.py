@@ -15,8 +15,8 @@ missed. Equal fingerprints are one row before they are replicated.
 A task compares the members of an anchor in blocks and returns a spanning forest of what it links, never
 all pairs. Anchors of more than CROWDED members are cut into chunks, and each pair of chunks is a task.
 
-A second fingerprint, of other shingles, may be asked to confirm a link: then fingerprints of single words,
-which few edits leave within the threshold, find copies, and those of longer shingles vouch for them.
+A second fingerprint, of other shingles, may be asked to confirm a link. near_copies.py uses both to find texts
+whose shingles are similar.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero and is linked like any
 other. Fewer words than a shingle has: the whole sequence is the only shingle. Rows with the same doc_id
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
+from .skew import joined
 from .storage import written
 
 THRESHOLD = 4
@@ -65,6 +66,11 @@ def fingerprint(col: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     last = np.minimum(first + shingle, np.repeat(w.first[1:], count)) - 1
     text, hash64 = joined.tobytes(), xxhash.xxh64_intdigest
     h = np.fromiter((hash64(text[a:b], SEED) for a, b in zip(at[first].tolist(), (at[last] + size[last]).tolist(), strict=True)), _U, len(first))
+    return majority(h, count)
+
+
+def majority(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For each text, the bits that over half of its numbers have; count tells how many of h belong to each, in order."""
     out = np.zeros(len(count), _U)
     some = np.flatnonzero(count)
     if not len(some):
@@ -82,20 +88,16 @@ def fingerprint(col: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, confirm: int | None = None) -> DataFrame:
-    """(doc_id, key: a hash of the text, fingerprint and confirm as signed longs, node: a hash of both or the fingerprint) of each row.
-
-    confirm is the fingerprint itself, or one of shingles of that many words."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, key: a hash of the text, fingerprint as signed long) of each row."""
 
     def scan(batches):
         for b in W.slices(batches):
-            f = [pa.array(fingerprint(b.column("text"), k).view(np.int64)) for k in ([shingle] if confirm is None else [shingle, confirm])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), f[0], f[-1]], ["doc_id", "key", "fingerprint", "confirm"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(fingerprint(b.column("text"), shingle).view(np.int64))], ["doc_id", "key", "fingerprint"])
 
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    node = F.col("fingerprint") if confirm is None else F.xxhash64("fingerprint", "confirm")
-    return own.mapInArrow(scan, "doc_id long, key long, fingerprint long, confirm long").withColumn("node", node)
+    return own.mapInArrow(scan, "doc_id long, key long, fingerprint long")
 
 
 @lru_cache(maxsize=1)
@@ -150,16 +152,14 @@ def anchors(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-_REPLICA = "key long, fingerprint long, confirm long, node long"
-
-
 def _replicate(batches):
+    """(print, fingerprint, ...) to (key, fingerprint, ...): each row once for each anchor; prints have anchors of their own."""
     for b in batches:
+        names = b.schema.names[1:]
         for a in range(0, b.num_rows, 20_000):
-            part = b.slice(a, 20_000)
-            own = [part.column(c).to_numpy(zero_copy_only=False) for c in ("fingerprint", "confirm", "node")]
+            which, *own = (c.to_numpy(zero_copy_only=False) for c in b.slice(a, 20_000).columns)
             r, k = anchors(own[0].view(_U))
-            yield pa.RecordBatch.from_arrays([pa.array(k), *(pa.array(x[r]) for x in own)], ["key", "fingerprint", "confirm", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(k | which[r] << 26), *(pa.array(x[r]) for x in own)], ["key", *names])
 
 
 def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -203,101 +203,116 @@ def forest(key: np.ndarray, f: np.ndarray, g: np.ndarray, threshold: int, agreed
     return kids, parent[kids]
 
 
-def _compare(threshold: int, agreed: int, crowded: int | None):
-    """Sorted replicas to links (a, b); the replicas of an anchor with more than crowded come back as they are."""
+def across(key: np.ndarray, f: np.ndarray, g: np.ndarray, group: np.ndarray, threshold: int, agreed: int, one: bool):
+    """Pairs of rows of one key and different groups with f within the threshold and g within agreed bits, some at a time:
+    all of them, or for each row the first such one."""
+    cuts = np.flatnonzero(np.diff(key)) + 1
+    for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(key)], strict=True):
+        step = max(1, (1 << 20) // max(1, b - a))
+        for c in range(a, b, step):
+            d = min(b, c + step)
+            near = (np.bitwise_count(f[c:d, None] ^ f[None, a:b]) <= threshold) & (np.bitwise_count(g[c:d, None] ^ g[None, a:b]) <= agreed)
+            if one:
+                near &= group[c:d, None] != group[None, a:b]
+                i = np.flatnonzero(near.any(1))
+                j = near[i].argmax(1)
+            else:
+                i, j = np.nonzero(near & (group[c:d, None] < group[None, a:b]))
+            if len(i):
+                yield i + c, j + a
+
 
-    def links_of(rows: list[np.ndarray]) -> pa.RecordBatch:
-        key, f, g, node = rows
-        i, j = forest(key, f.view(_U), g.view(_U), threshold, agreed)
-        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(i), bool)), *(pa.array(x) for x in (node[i], node[j], i * 0, j * 0))], list("?abcd"))
+def _compare(threshold: int, agreed: int, crowded: int | None, turn: int | None):
+    """Sorted replicas (key, fingerprint, confirm, node, and group or not) to links (a, b): a forest, or pairs across groups.
 
-    def back(rows: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(rows[0]), bool)), *map(pa.array, rows)], list("?abcd"))
+    The replicas of an anchor with more than crowded come back as they are."""
+
+    def links_of(rows: list[np.ndarray]):
+        if turn is not None:
+            order = np.lexsort((W.mix(rows[3].view(_U) + _U(turn)), rows[0]))
+            rows = [x[order] for x in rows]
+        key, f, g, node, *group = rows
+        f, g = f.view(_U), g.view(_U)
+        for i, j in across(key, f, g, group[0], threshold, agreed, turn is not None) if group else [forest(key, f, g, threshold, agreed)]:
+            yield found(False, [node[i], node[j], *([i * 0] * (len(rows) - 2))])
+
+    def found(back: bool, rows: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows[0]), back)), *map(pa.array, rows)], list("?abcde")[: len(rows) + 1])
 
     def compare(batches):
-        held, full = [np.zeros(0, np.int64)] * 4, None
+        held, full = None, None
         for b in batches:
             rows = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             if full is not None:  # the rest of a crowded anchor
                 same = rows[0] == full
-                yield back([x[same] for x in rows])
+                yield found(True, [x[same] for x in rows])
                 rows = [x[~same] for x in rows]
                 if not len(rows[0]):
                     continue
                 full = None
-            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
             k = rows[0]
             if crowded is not None:
                 change = np.flatnonzero(np.diff(k)) + 1
                 begin, end = np.r_[0, change], np.r_[change, len(k)]
                 many = np.repeat(end - begin > crowded, end - begin)
                 if many.any():
-                    yield back([x[many] for x in rows])
+                    yield found(True, [x[many] for x in rows])
                     full = k[-1] if many[-1] else None
                     rows = [x[~many] for x in rows]
                     k = rows[0]
             last = np.searchsorted(k, k[-1]) if len(k) and full is None else len(k)
             held = [x[last:] for x in rows]
             if last:
-                yield links_of([x[:last] for x in rows])
-        if len(held[0]):
-            yield links_of(held)
+                yield from links_of([x[:last] for x in rows])
+        if held is not None and len(held[0]):
+            yield from links_of(held)
 
     return compare
 
 
-_FOUND = "crowded boolean, a long, b long, c long, d long"
-
-
-def _per_anchor(replicas: DataFrame, threshold: int, agreed: int, crowded: int | None) -> DataFrame:
+def _per_anchor(replicas: DataFrame, threshold: int, agreed: int, crowded: int | None, turn: int | None) -> DataFrame:
     parts = int(replicas.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return replicas.repartition(parts, "key").sortWithinPartitions("key").select("key", "fingerprint", "confirm", "node").mapInArrow(_compare(threshold, agreed, crowded), _FOUND)
+    dealt = replicas.repartition(parts, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_compare(threshold, agreed, crowded, turn), ", ".join(["crowded boolean", *(f"{c} long" for c in "abcde"[: len(replicas.columns)])]))
 
 
-def links(distinct: DataFrame, threshold: int = THRESHOLD, agreed: int = 64, crowded: int = CROWDED) -> DataFrame:
+def links(distinct: DataFrame, threshold: int = THRESHOLD, agreed: int = 64, crowded: int = CROWDED, turn: int | None = None) -> DataFrame:
     """Links (a, b) of nodes that connect the given rows (fingerprint, confirm, node), distinct, as all pairs with
-    fingerprints within the threshold and confirm within agreed bits would."""
+    fingerprints within the threshold and confirm within agreed bits would.
+
+    A column print, if there is one, tells several fingerprints of a node apart: only those of one print are compared.
+    A column group, if there is one, asks for pairs of nodes whose groups differ, instead of a forest: for all, or, with
+    a number in turn, for each node as a at each anchor the first b in an order that the turn chooses."""
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError(f"the anchors cover thresholds up to {THRESHOLD}")
-    replicas = distinct.select("fingerprint", "confirm", "node").mapInArrow(_replicate, _REPLICA)
-    found = written(_per_anchor(replicas, threshold, agreed, crowded), "anchors")
+    carried = ["fingerprint", "confirm", "node", *(["group"] if "group" in distinct.columns else [])]
+    own = F.col("print").cast("long") if "print" in distinct.columns else F.lit(0).cast("long")
+    replicas = distinct.select(own.alias("print"), *carried).mapInArrow(_replicate, ", ".join(f"{c} long" for c in ["key", *carried]))
+    found = written(_per_anchor(replicas, threshold, agreed, crowded, turn), "anchors")
     out = found.filter("NOT crowded").select("a", "b")
-    full = found.filter("crowded").select(F.col("a").alias("key"), F.col("b").alias("fingerprint"), F.col("c").alias("confirm"), F.col("d").alias("node"))
+    full = found.filter("crowded").select(*(F.col(c).alias(name) for c, name in zip("abcde", ["key", *carried], strict=False)))
     if full.isEmpty():
         return out
     # Each pair of chunks of a crowded anchor becomes an anchor of its own.
-    sizes = full.groupBy("key").agg(F.ceil(F.count("*") / F.lit(crowded // 2)).alias("k"))
-    chunk = full.join(sizes, "key").withColumn("c", F.pmod(F.xxhash64("node"), "k")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    pairs = chunk.select(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("key"), "fingerprint", "confirm", "node")
-    return out.unionAll(_per_anchor(pairs, threshold, agreed, None).select("a", "b"))
-
-
-def _grouped(docs: DataFrame, shingle: int, threshold: int, confirm: int | None, agreed: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with their fingerprints, and (node, component)."""
-    own = written(fingerprints(docs, shingle, confirm), "fingerprints")
-    nodes = own.select("fingerprint", "confirm", "node").distinct()
-    found = components(links(nodes, threshold, agreed)).withColumnRenamed("node", "linked")
-    return own, nodes.join(found, F.col("node") == F.col("linked"), "left").select("node", F.coalesce("component", "node").alias("component"))
-
-
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, confirm: int | None = None, agreed: int = 64) -> DataFrame:
-    """(doc_id, fingerprint as 16 hexadecimal digits, component_id: the least doc_id of its group) of each row."""
-    own, groups = _grouped(docs, shingle, threshold, confirm, agreed)
-    least = own.groupBy("node").agg(F.min("doc_id").alias("least")).join(groups, "node")
-    ids = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = least.join(ids, "component").select(F.col("node").alias("n"), "component_id")
-    return own.join(of, F.col("node") == F.col("n")).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, confirm: int | None = None, agreed: int = 64) -> DataFrame:
-    """docs with one row of each group: the one with the least doc_id (one without only where no other is), then the least hash of text."""
-    own, groups = _grouped(docs, shingle, threshold, confirm, agreed)
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    least = own.groupBy("node").agg(F.min(rank).alias("r")).join(groups, "node").groupBy("component").agg(F.min("r").alias("r"))
-    stay = least.select(F.col("r.doc_id").alias("d"), F.col("r.key").alias("k"))
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("key"))
-    out = rows.join(stay, F.col("id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left_semi")
-    if not own.groupBy("doc_id", "key").count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates(["id", "key"])  # repeated rows
-    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    sizes = full.groupBy(F.col("key").alias("k")).agg(F.ceil(F.count("*") / F.lit(crowded // 2)).alias("n"))
+    chunk = joined(full, sizes, "key", "k", F.col("node")).withColumn("c", F.pmod(F.xxhash64("node"), "n")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    pairs = chunk.select(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("key"), *carried)
+    return out.unionAll(_per_anchor(pairs, threshold, agreed, None, turn).select("a", "b"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, fingerprint as 16 hexadecimal digits, component_id: the least doc_id of its group) of each row.
+
+    Groups and their least doc_ids meet by node and by component, of which one may hold most rows: those are dealt to several tasks."""
+    own = written(fingerprints(docs, shingle), "fingerprints")
+    nodes = written(own.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "nodes")
+    distinct = nodes.select("fingerprint", F.col("fingerprint").alias("confirm"), F.col("fingerprint").alias("node"))
+    groups = components(links(distinct, threshold))
+    linked = written(groups.join(nodes, F.col("node") == F.col("fingerprint")).select("node", "component", "least"), "linked")
+    ids = written(linked.groupBy(F.col("component").alias("c")).agg(F.min("least").alias("component_id")), "ids")
+    of = joined(linked, ids, "component", "c", F.col("node")).select("node", "component_id")
+    each = nodes.join(of, F.col("fingerprint") == F.col("node"), "left")
+    each = each.select(F.col("fingerprint").alias("node"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    out = joined(own, written(each, "components"), "fingerprint", "node", F.struct("doc_id", "key"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

@@ -43,8 +43,28 @@ def shuffles_dropped(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+_paths: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def clear() -> None:
+    """Delete every intermediate table of this process that is still there; results that read them end here."""
+    while _paths:
+        spark, path = _paths.pop()
+        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+            _delete(spark, path)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/mosaik/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder for a table of this process: dropped() or clear() deletes it, and so does the end of the process."""
+    path = f"{shared_dir(spark)}/mosaik/{name}-{uuid.uuid4().hex}"
+    _paths.append((spark, path))
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -59,8 +79,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Delete what written() wrote, once nothing reads it any more."""
     for df in tables:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
         for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, name)

@@ -62,13 +62,13 @@ def a_table():
     return rows
 
 
-@pytest.mark.parametrize("crowded", [3, 32])
-def test_the_near_dedup_stage_removes_what_has_a_similarity_of_08_and_nothing_else(spark, monkeypatch, crowded):
-    monkeypatch.setattr(N, "CROWDED", crowded)
+@pytest.mark.parametrize("turns", [0, 2])
+def test_the_near_dedup_stage_removes_what_has_a_similarity_of_08_and_nothing_else(spark, monkeypatch, turns):
+    monkeypatch.setattr(N, "TURNS", turns)
     rows = a_table()
     near = [similarity(rows[i][1], rows[i + 1][1]) for i in range(0, 320, 2)]
     assert sum(0.8 <= s < 0.85 for s in near) > 10 and sum(0.5 <= s < 0.8 for s in near) > 40
-    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, band string")
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, print string")
     out = C.near_dedup(spark, docs, "")
     assert out.columns == docs.columns
     assert sorted(r.doc_id for r in out.collect()) == plain_kept(rows)

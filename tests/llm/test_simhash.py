@@ -4,8 +4,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from mosaik.llm import simhash as S
+from mosaik.llm import skew
 from mosaik.llm.components import components
 
 
@@ -97,19 +99,25 @@ def test_components_of_a_chain_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_confirmed_copies_leave_one_of_each(spark):
-    rng = np.random.default_rng(2)
-    texts = [" ".join(f"w{x}" for x in rng.integers(0, 4000, 150)) for _ in range(12)]
-    rows = []
-    for i, t in enumerate(texts):
-        rows.append((10 * i, t))
-        for k in range(1, 4):
-            w = t.split()
-            w[int(rng.integers(0, 150))] = "changed"
-            rows.append((10 * i + k, " ".join(w)))
-    rows += [(0, texts[0]), (None, texts[1]), (None, "alone here"), (None, "alone here")]
-    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, key string")
-    out = S.one_of_each(df, 1, 4, 5, 13)
-    assert out.columns == df.columns
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == [(False, 10 * i) for i in range(12)] + [(True, 0)]
-    assert S.one_of_each(df.limit(0)).count() == 0
+def test_links_across_groups_are_all_pairs_or_one_of_each(spark):
+    f = sorted({0, *(1 << i for i in range(20)), *(3 << i for i in range(40, 62))})
+    rows = [(x, x, x, x % 3) for x in f]
+    near = {(a, b) for a in f for b in f if a % 3 < b % 3 and bin(a ^ b).count("1") <= 4}
+    df = spark.createDataFrame(rows, "fingerprint long, confirm long, node long, group long")
+    for crowded in (6, 4096):
+        assert {tuple(r) for r in S.links(df, crowded=crowded).collect()} == near
+        one = [tuple(r) for r in S.links(df, crowded=crowded, turn=1).collect()]
+        assert {a for a, _ in one} == {x for p in near for x in p} and all((a, b) in near or (b, a) in near for a, b in one)
+
+
+def test_hot_groups_are_dealt_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST_HOT", 5)
+    base = " ".join(f"t{i}" for i in range(200))
+    rows = [(i, base) for i in range(40)] + [(100 + i, base.replace("t7 ", f"u{i} ")) for i in range(40)] + [(200 + i, f"other {i}") for i in range(9)]
+    df = spark.createDataFrame([(d, t) for d, t in rows], "doc_id long, text string")
+    assert sorted(tuple(r) for r in S.near_duplicates(df).collect()) == plain_groups(rows)
+    left = spark.createDataFrame([(i % 3 if i < 90 else i, i) for i in range(120)] + [(None, 0)], "k long, v long")
+    right = spark.createDataFrame([(i, str(i)) for i in range(0, 200, 2)], "o long, w string")
+    got = skew.joined(left, right, "k", "o", F.col("v")).select("k", "v", "w").collect()
+    assert sorted(map(tuple, got)) == sorted((k, v, str(k)) for k, v in ((i % 3 if i < 90 else i, i) for i in range(120)) if k % 2 == 0)
+    assert skew.hot_keys(left, "k").count() == 3
