@@ -25,6 +25,7 @@ are rows of their own; a null doc_id is never a component_id unless its group ha
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import combinations
 
@@ -203,41 +204,45 @@ def forest(key: np.ndarray, f: np.ndarray, g: np.ndarray, threshold: int, agreed
     return kids, parent[kids]
 
 
-def across(key: np.ndarray, f: np.ndarray, g: np.ndarray, group: np.ndarray, threshold: int, agreed: int, one: bool):
-    """Pairs of rows of one key and different groups with f within the threshold and g within agreed bits, some at a time:
+def across(key: np.ndarray, f: np.ndarray, group: np.ndarray, threshold: int, one: bool, may: Callable | None):
+    """Pairs of rows of one key and different groups with f within the threshold that may(i, j) leaves, some at a time:
     all of them, or for each row the first such one."""
     cuts = np.flatnonzero(np.diff(key)) + 1
     for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(key)], strict=True):
-        step = max(1, (1 << 20) // max(1, b - a))
+        step = max(1, (1 << 18) // max(1, b - a))
         for c in range(a, b, step):
             d = min(b, c + step)
-            near = (np.bitwise_count(f[c:d, None] ^ f[None, a:b]) <= threshold) & (np.bitwise_count(g[c:d, None] ^ g[None, a:b]) <= agreed)
+            apart = group[c:d, None] != group[None, a:b] if one else group[c:d, None] < group[None, a:b]
+            i, j = np.nonzero((np.bitwise_count(f[c:d, None] ^ f[None, a:b]) <= threshold) & apart)
+            i, j = i + c, j + a
+            if may is not None and len(i):
+                left = may(i, j)
+                i, j = i[left], j[left]
             if one:
-                near &= group[c:d, None] != group[None, a:b]
-                i = np.flatnonzero(near.any(1))
-                j = near[i].argmax(1)
-            else:
-                i, j = np.nonzero(near & (group[c:d, None] < group[None, a:b]))
+                i, at = np.unique(i, return_index=True)
+                j = j[at]
             if len(i):
-                yield i + c, j + a
+                yield i, j
 
 
-def _compare(threshold: int, agreed: int, crowded: int | None, turn: int | None):
-    """Sorted replicas (key, fingerprint, confirm, node, and group or not) to links (a, b): a forest, or pairs across groups.
+def _compare(threshold: int, agreed: int, crowded: int | None, turn: int | None, may: Callable | None):
+    """Sorted replicas to links (a, b): (key, fingerprint, node, confirm) to a forest, (key, fingerprint, node, group, ...) to pairs
+    across groups, of which may is asked about the columns beyond.
 
     The replicas of an anchor with more than crowded come back as they are."""
 
     def links_of(rows: list[np.ndarray]):
         if turn is not None:
-            order = np.lexsort((W.mix(rows[3].view(_U) + _U(turn)), rows[0]))
+            order = np.lexsort((W.mix(rows[2].view(_U) + _U(turn)), rows[0]))
             rows = [x[order] for x in rows]
-        key, f, g, node, *group = rows
-        f, g = f.view(_U), g.view(_U)
-        for i, j in across(key, f, g, group[0], threshold, agreed, turn is not None) if group else [forest(key, f, g, threshold, agreed)]:
+        key, f, node, other, *more = rows
+        f = f.view(_U)
+        pairs = [forest(key, f, other.view(_U), threshold, agreed)] if may is None else across(key, f, other, threshold, turn is not None, lambda i, j: may([x[i] for x in more], [x[j] for x in more]))
+        for i, j in pairs:
             yield found(False, [node[i], node[j], *([i * 0] * (len(rows) - 2))])
 
     def found(back: bool, rows: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows[0]), back)), *map(pa.array, rows)], list("?abcde")[: len(rows) + 1])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows[0]), back)), *map(pa.array, rows)], ["?", *_columns(len(rows))])
 
     def compare(batches):
         held, full = None, None
@@ -271,34 +276,41 @@ def _compare(threshold: int, agreed: int, crowded: int | None, turn: int | None)
     return compare
 
 
-def _per_anchor(replicas: DataFrame, threshold: int, agreed: int, crowded: int | None, turn: int | None) -> DataFrame:
+def _columns(n: int) -> list[str]:
+    return [f"c{k}" for k in range(n)]
+
+
+def _per_anchor(replicas: DataFrame, threshold: int, agreed: int, crowded: int | None, turn: int | None, may: Callable | None) -> DataFrame:
     parts = int(replicas.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = replicas.repartition(parts, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_compare(threshold, agreed, crowded, turn), ", ".join(["crowded boolean", *(f"{c} long" for c in "abcde"[: len(replicas.columns)])]))
+    return dealt.mapInArrow(_compare(threshold, agreed, crowded, turn, may), ", ".join(["crowded boolean", *(f"{c} long" for c in _columns(len(replicas.columns)))]))
 
 
-def links(distinct: DataFrame, threshold: int = THRESHOLD, agreed: int = 64, crowded: int = CROWDED, turn: int | None = None) -> DataFrame:
-    """Links (a, b) of nodes that connect the given rows (fingerprint, confirm, node), distinct, as all pairs with
+def links(distinct: DataFrame, threshold: int = THRESHOLD, agreed: int = 64, crowded: int = CROWDED, turn: int | None = None, may: Callable | None = None) -> DataFrame:
+    """Links (a, b) of nodes that connect the given rows (fingerprint, node, confirm), distinct, as all pairs with
     fingerprints within the threshold and confirm within agreed bits would.
 
     A column print, if there is one, tells several fingerprints of a node apart: only those of one print are compared.
-    A column group, if there is one, asks for pairs of nodes whose groups differ, instead of a forest: for all, or, with
-    a number in turn, for each node as a at each anchor the first b in an order that the turn chooses."""
+    With may, rows are (fingerprint, node, group, ...), and what comes is pairs of nodes with fingerprints within the threshold whose groups
+    differ and that may, asked about lists of the columns beyond of both, leaves: all of them, or, with a
+    number in turn, for each node as a at each anchor the first b in an order that the turn chooses."""
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError(f"the anchors cover thresholds up to {THRESHOLD}")
-    carried = ["fingerprint", "confirm", "node", *(["group"] if "group" in distinct.columns else [])]
+    first = ["fingerprint", "node", "confirm" if may is None else "group"]
+    carried = first if may is None else [*first, *(c for c in distinct.columns if c not in (*first, "print"))]
     own = F.col("print").cast("long") if "print" in distinct.columns else F.lit(0).cast("long")
     replicas = distinct.select(own.alias("print"), *carried).mapInArrow(_replicate, ", ".join(f"{c} long" for c in ["key", *carried]))
-    found = written(_per_anchor(replicas, threshold, agreed, crowded, turn), "anchors")
-    out = found.filter("NOT crowded").select("a", "b")
-    full = found.filter("crowded").select(*(F.col(c).alias(name) for c, name in zip("abcde", ["key", *carried], strict=False)))
+    found = written(_per_anchor(replicas, threshold, agreed, crowded, turn, may), "anchors")
+    out = found.filter("NOT crowded").select(F.col("c0").alias("a"), F.col("c1").alias("b"))
+    names = ["key", *carried]
+    full = found.filter("crowded").select(*(F.col(c).alias(name) for c, name in zip(_columns(len(names)), names, strict=True)))
     if full.isEmpty():
         return out
     # Each pair of chunks of a crowded anchor becomes an anchor of its own.
-    sizes = full.groupBy(F.col("key").alias("k")).agg(F.ceil(F.count("*") / F.lit(crowded // 2)).alias("n"))
-    chunk = joined(full, sizes, "key", "k", F.col("node")).withColumn("c", F.pmod(F.xxhash64("node"), "n")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    sizes = full.groupBy(F.col("key").alias("k")).agg(F.ceil(F.count("*") / F.lit(crowded // 2)).alias("n_chunks"))
+    chunk = joined(full, sizes, "key", "k", F.col("node")).withColumn("c", F.pmod(F.xxhash64("node"), "n_chunks")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1)))
     pairs = chunk.select(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("key"), *carried)
-    return out.unionAll(_per_anchor(pairs, threshold, agreed, None, turn).select("a", "b"))
+    return out.unionAll(_per_anchor(pairs, threshold, agreed, None, turn, may).select(F.col("c0").alias("a"), F.col("c1").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:

@@ -62,7 +62,7 @@ def a_table():
     return rows
 
 
-@pytest.mark.parametrize("turns", [0, 2])
+@pytest.mark.parametrize("turns", [0, 1])
 def test_the_near_dedup_stage_removes_what_has_a_similarity_of_08_and_nothing_else(spark, monkeypatch, turns):
     monkeypatch.setattr(N, "TURNS", turns)
     rows = a_table()

@@ -101,12 +101,14 @@ def test_components_of_a_chain_and_a_star(spark):
 
 def test_links_across_groups_are_all_pairs_or_one_of_each(spark):
     f = sorted({0, *(1 << i for i in range(20)), *(3 << i for i in range(40, 62))})
-    rows = [(x, x, x, x % 3) for x in f]
+    rows = [(x, x, x % 3, x % 3, 7) for x in f]
+    may = lambda x, y: (x[0] < 3) & (y[1] == 7)
     near = {(a, b) for a in f for b in f if a % 3 < b % 3 and bin(a ^ b).count("1") <= 4}
-    df = spark.createDataFrame(rows, "fingerprint long, confirm long, node long, group long")
+    df = spark.createDataFrame(rows, "fingerprint long, node long, group long, n long, p long")
     for crowded in (6, 4096):
-        assert {tuple(r) for r in S.links(df, crowded=crowded).collect()} == near
-        one = [tuple(r) for r in S.links(df, crowded=crowded, turn=1).collect()]
+        assert {tuple(r) for r in S.links(df, crowded=crowded, may=may).collect()} == near
+        one = [tuple(r) for r in S.links(df, crowded=crowded, turn=1, may=may).collect()]
+        assert S.links(df, crowded=crowded, may=lambda x, y: x[0] < 0).count() == 0
         assert {a for a, _ in one} == {x for p in near for x in p} and all((a, b) in near or (b, a) in near for a, b in one)
 
 
