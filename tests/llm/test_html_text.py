@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -34,12 +35,50 @@ def test_pages_by_hand(page, want):
     assert H.main_text(page) == want
 
 
-def test_places_decide_first():
-    for place in (2, 3):
-        for words in (1, 10, 40, 90, 200):
-            for after in (0, 5, 30, 60, 120):
-                found = [H.Block("", 50, 0, H.NEUTRAL, False), H.Block("out", words, 0, place, False), H.Block("", after, 0, H.ARTICLE, False)]
-                assert "out" not in [b.text for b in H.article(found, H.tree())]
+LONG = " ".join([P] * 3)
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<article>Teaser</article><div><h2>The story</h2><p>{P}</p><p>{LONG}</p><p>{P}</p></div>", f"Teaser\nThe story\n{P}\n{LONG}\n{P}"),
+        (f"<nav><a href=x>Home</a></nav><div class='side-by-side'><p>{LONG}</p><p>{P}</p><p>{LONG}</p></div><footer>{P}</footer>", f"{LONG}\n{P}\n{LONG}"),
+        (f"<div class='story share-enabled'><h1>Name</h1><p>{LONG}</p><p>{P}</p></div><div class=share-bar>{P}</div>", f"Name\n{LONG}\n{P}"),
+        (f"<div class='widget'><p>{' '.join([P] * 4)}</p><p>{' '.join([P] * 6)}</p></div>", f"{' '.join([P] * 4)}\n{' '.join([P] * 6)}"),
+        (f"<article><p>{LONG}</p><p>{P}</p></article><div class=widget><p>{' '.join([P] * 4)}</p></div><p>{P}</p>", f"{LONG}\n{P}"),
+    ],
+)
+def test_prose_is_found_where_marks_are_missing_or_mislead(page, want):
+    assert H.main_text(page) == want
+
+
+def test_the_tree_knows_its_table_and_looks_at_neighbours():
+    x, y = H.labelled()
+    used = set()
+
+    def walk(t):
+        if t.column >= 0:
+            used.add(H.COLUMNS[t.column])
+            walk(t.low)
+            walk(t.high)
+
+    walk(H.tree())
+    assert used >= {"words", "density"} and used & {"density before", "density after"}
+    wrong = 0
+    for row, label in zip(x, y, strict=True):
+        t = H.tree()
+        while t.column >= 0:
+            t = t.low if row[t.column] <= t.most else t.high
+        wrong += t.label != label
+    assert wrong <= 0.02 * len(y)
+
+
+@pytest.mark.parametrize("part", ["<div>x", "<nav>", "</div>", "<button>x", "<option>", "<p>x</section>", "<span>", "<select>x<p>", "<object><div>"])
+def test_deep_and_broken_pages_take_time_in_proportion(part):
+    """100,000 unclosed or stray tags are read in seconds."""
+    began = time.perf_counter()
+    H.main_text(part * 100_000)
+    assert time.perf_counter() - began < 20
 
 
 def test_driver_table(spark, sf_dir):
