@@ -12,9 +12,9 @@ document is the mean over its tokens of target loss minus background loss: the l
 like the target.
 
 Losses depend on the bigram alone, and every bigram of a document is in the background, so the models
-meet in one table of bigrams with two losses. Up to TABLE_SENT rows it is sent to the executors, sorted,
-and texts are scored where they lie. Beyond that, the bigram counts of documents are joined with it by
-bigram and summed by document, with no limit of size; both ways give the same scores.
+meet in one table of bigrams with two losses. Its most frequent rows, TABLE_SENT at most, are sent to the executors, sorted,
+and texts are scored where they lie. Only tokens of rarer bigrams leave their text: their numbers by document are joined with the
+rest of the table by bigram, and the sums added. Nothing is cut off, whatever the size of the table.
 
 Defined results: a null or empty text is one token, the closing edge. Rows with the same doc_id and text
 get equal scores. A row without doc_id is scored like others. An empty target makes its model uniform.
@@ -35,7 +35,7 @@ from .token_files import encoder_of
 MIX = 0.75
 EDGE = 50_257
 VOCABULARY = EDGE + 1
-TABLE_SENT = 6_000_000
+TABLE_SENT = 2_000_000
 #: Bigrams that a task gathers before it passes on their counts.
 _GATHERED = 1_000_000
 #: Pieces of text that an encoder remembers here: counting and scoring need memory, too.
@@ -101,38 +101,49 @@ def bigram_counts(encoded: DataFrame) -> DataFrame:
     return encoded.select("ids").mapInArrow(_counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def _losses(table: DataFrame, n: str, loss: str) -> DataFrame:
-    """table with the loss of each bigram in the model whose counts are in column n."""
+def _losses(table: DataFrame, n: str, loss: str, total: int) -> DataFrame:
+    """table with the loss of each bigram in the model whose counts, total of them, are in column n."""
     v, w = F.shiftright("gram", 16), F.col("gram").bitwiseAND(F.lit(65535))
     before = table.groupBy(v.alias("v")).agg(F.sum(n).alias("cv"))  # the size of the vocabulary bounds both
     after = table.groupBy(w.alias("w")).agg(F.sum(n).alias("cw"))
-    total = table.agg(F.coalesce(F.sum(n), F.lit(0)).alias("total"))
-    t = table.join(F.broadcast(before), v == F.col("v")).join(F.broadcast(after), w == F.col("w")).join(F.broadcast(total))
-    low = (F.col("cw") + 1) / (F.col("total") + F.lit(VOCABULARY))
+    t = table.join(F.broadcast(before), v == F.col("v")).join(F.broadcast(after), w == F.col("w"))
+    low = (F.col("cw") + 1) / F.lit(float(total + VOCABULARY))
     p = F.when(F.col("cv") > 0, F.lit(MIX) * F.col(n) / F.greatest(F.col("cv"), F.lit(1)) + F.lit(1 - MIX) * low).otherwise(low)
     return t.withColumn(loss, -F.log(p)).select(*table.columns, loss)
 
 
 def loss_table(background: DataFrame, target: DataFrame) -> DataFrame:
-    """(gram, target_loss, background_loss) of each bigram of the background, from both counts."""
+    """(gram, n, target_loss, background_loss) of each bigram of the background, from both counts; n is that of the background."""
     # Bigrams of the target alone are part of its model, though no document asks for them.
     b = background.select("gram", F.col("n").alias("nb"))
     t = target.select("gram", F.col("n").alias("nt"))
-    both = b.join(t, "gram", "full").select("gram", F.coalesce("nb", F.lit(0)).alias("nb"), F.coalesce("nt", F.lit(0)).alias("nt"))
-    lost = _losses(_losses(written(both, "bigrams"), "nt", "target_loss"), "nb", "background_loss")
-    return lost.filter("nb > 0").select("gram", "target_loss", "background_loss")
+    both = written(b.join(t, "gram", "full").select("gram", F.coalesce("nb", F.lit(0)).alias("nb"), F.coalesce("nt", F.lit(0)).alias("nt")), "bigrams")
+    total = both.agg(F.coalesce(F.sum("nb"), F.lit(0)), F.coalesce(F.sum("nt"), F.lit(0))).first()
+    lost = _losses(_losses(both, "nt", "target_loss", total[1]), "nb", "background_loss", total[0])
+    return lost.filter("nb > 0").select("gram", F.col("nb").alias("n"), "target_loss", "background_loss")
 
 
 def _mean(total: Column) -> Column:
-    return total / F.col("n_tokens")
+    return total / F.col("n")
 
 
-def _scored_here(encoded: DataFrame, table: DataFrame) -> DataFrame:
-    rows = table.toArrow()
-    order = np.argsort(rows.column("gram").to_numpy())
-    sent = encoded.sparkSession.sparkContext.broadcast(
-        (rows.column("gram").to_numpy()[order].astype(np.uint32), rows.column("target_loss").to_numpy()[order], rows.column("background_loss").to_numpy()[order])
-    )
+def _least_sent(table: DataFrame, most: int) -> int:
+    """The least power of two such that no more than that many bigrams occur so often."""
+    rows = table.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).count().orderBy(F.col("k").desc()).collect()  # 64 rows at most
+    least, sum_ = 1 << 62, 0
+    for r in rows:
+        sum_ += r["count"]
+        if sum_ > most:
+            return least
+        least = 1 << r.k
+    return 1
+
+
+_SCORED = "doc_id long, row long, gram long, n long, target double, background double"
+
+
+def _scored(encoded: DataFrame, sent) -> DataFrame:
+    """Of each text one row without gram: its tokens and the sums of the losses of those bigrams that are sent; and a row for each other bigram, with its number."""
 
     def scan(batches):
         known, *losses = sent.value
@@ -140,35 +151,35 @@ def _scored_here(encoded: DataFrame, table: DataFrame) -> DataFrame:
             for a in range(0, b.num_rows, 256):
                 part = b.slice(a, 256)
                 gram, count = _bigrams(part.column("ids"))
-                at = np.searchsorted(known, gram.astype(np.uint32))
-                sums = [np.add.reduceat(x[at], np.cumsum(count) - count) for x in losses]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count), *map(pa.array, sums)], ["doc_id", "n_tokens", "target", "background"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(scan, "doc_id long, n_tokens long, target double, background double")
-
-
-def _each_bigram(batches):
-    for b in batches:
-        for a in range(0, b.num_rows, 256):
-            part = b.slice(a, 256)
-            gram, count = _bigrams(part.column("ids"))
-            row = np.repeat(np.arange(len(count)), count)
-            both, n = np.unique((row << 32) | gram, return_counts=True)
-            row = pa.array(both >> 32)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(row), part.column("row").take(row), pa.array(both & 0xFFFFFFFF), pa.array(n)], ["doc_id", "row", "gram", "n"])
-
-
-def _scored_by_join(encoded: DataFrame, table: DataFrame) -> DataFrame:
-    rows = encoded.withColumn("row", F.xxhash64("ids")).mapInArrow(_each_bigram, "doc_id long, row long, gram long, n long")
-    lost = rows.join(table.hint("merge"), "gram").groupBy("doc_id", "row")
-    sums = lost.agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.col("target_loss")).alias("target"), F.sum(F.col("n") * F.col("background_loss")).alias("background"))
-    # Rows alike in doc_id and text fell together: each gets its share, which is the same mean.
-    alike = encoded.select("doc_id", F.xxhash64("ids").alias("row"))
-    a, s = alike.alias("a"), sums.alias("s")
-    met = a.join(s, F.col("a.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("a.row") == F.col("s.row")))
-    n = alike.groupBy("doc_id", "row").agg(F.count("*").alias("k")).alias("n")
-    met = met.join(n, F.col("a.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("a.row") == F.col("n.row")))
-    return met.select("a.doc_id", F.expr("n_tokens div k").alias("n_tokens"), (F.col("target") / F.col("k")).alias("target"), (F.col("background") / F.col("k")).alias("background"))
+                at = np.minimum(np.searchsorted(known, gram.astype(np.uint32)), max(0, len(known) - 1))
+                here = known[at] == gram if len(known) else np.zeros(len(gram), bool)
+                begin, texts = np.cumsum(count) - count, len(count)
+                sums = [np.add.reduceat(np.where(here, x[at], 0.0) if len(known) else np.zeros(len(gram)), begin) for x in losses]
+                text = np.repeat(np.arange(texts), count)[~here]
+                rest, n = np.unique((text << 32) | gram[~here], return_counts=True)
+                of = pa.array(np.r_[np.arange(texts), rest >> 32])
+                none = np.r_[np.ones(texts, bool), np.zeros(len(rest), bool)]
+                grams = pa.array(np.r_[np.zeros(texts, np.int64), rest & 0xFFFFFFFF], mask=none)
+                zeros = np.zeros(len(rest))
+                columns = [part.column("doc_id").take(of), part.column("row").take(of), grams, pa.array(np.r_[count, n]), *(pa.array(np.r_[x, zeros]) for x in sums)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "gram", "n", "target", "background"])
+
+    return encoded.select("doc_id", F.xxhash64("ids").alias("row"), "ids").mapInArrow(scan, _SCORED)
+
+
+def _with_rest(scored: DataFrame, rest: DataFrame) -> DataFrame:
+    """The rows of the texts with the losses of their other bigrams, from the rest of the table, added."""
+    lost = scored.filter("gram IS NOT NULL").select("doc_id", "row", F.col("gram").alias("g"), F.col("n").alias("times")).join(rest.hint("merge"), F.col("g") == F.col("gram"))
+    sums = lost.groupBy("doc_id", "row").agg(F.sum(F.col("times") * F.col("target_loss")).alias("t"), F.sum(F.col("times") * F.col("background_loss")).alias("b"))
+    own = scored.filter("gram IS NULL")
+    # Rows alike in doc_id and text have the same sums, and what they lack fell together: each gets its share.
+    alike = own.groupBy("doc_id", "row").agg(F.count("*").alias("k"))
+    s, k = sums.alias("s"), alike.alias("k")
+    share = s.join(k, F.col("s.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("s.row") == F.col("k.row"))).select("s.doc_id", "s.row", (F.col("t") / F.col("k")).alias("t"), (F.col("b") / F.col("k")).alias("b"))
+    o, h = own.alias("o"), share.alias("h")
+    met = o.join(h, F.col("o.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("o.row") == F.col("h.row")), "left")
+    zero = F.lit(0.0)
+    return met.select("o.doc_id", "o.n", (F.col("target") + F.coalesce("t", zero)).alias("target"), (F.col("background") + F.coalesce("b", zero)).alias("background"))
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, tokenizer: str, table_sent: int = TABLE_SENT) -> DataFrame:
@@ -181,7 +192,15 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, tokenizer: str,
     # Written, too: otherwise a task would encode and count at once, in two Python workers.
     wanted = written(target.select(F.col("text").cast("string").alias("text")).mapInArrow(_encoded(vocabulary), "ids array<int>"), "target")
     table = written(loss_table(bigram_counts(encoded), bigram_counts(wanted)), "losses")
-    sums = written(_scored_here(encoded, table) if table.count() <= table_sent else _scored_by_join(encoded, table), "sums")
+    least = _least_sent(table, table_sent)
+    rows = table.filter(F.col("n") >= least).select("gram", "target_loss", "background_loss").toArrow()  # table_sent rows at most
+    order = np.argsort(rows.column("gram").to_numpy())
+    sent = spark.sparkContext.broadcast((rows.column("gram").to_numpy()[order].astype(np.uint32), rows.column("target_loss").to_numpy()[order], rows.column("background_loss").to_numpy()[order]))
+    sums = written(_scored(encoded, sent), "sums")
+    if least > 1:
+        whole = written(_with_rest(sums, table.filter(F.col("n") < least).select("gram", "target_loss", "background_loss")), "sums")
+        dropped(sums)
+        sums = whole
     dropped(encoded, wanted, table)
-    out = sums.select("doc_id", "n_tokens", _mean(F.col("target")).alias("target_loss"), _mean(F.col("background")).alias("background_loss"))
+    out = sums.select("doc_id", F.col("n").alias("n_tokens"), _mean(F.col("target")).alias("target_loss"), _mean(F.col("background")).alias("background_loss"))
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -40,9 +40,9 @@ def plain(docs, target):
     return out
 
 
-@pytest.mark.parametrize("sent", [10**9, 0])
+@pytest.mark.parametrize("sent", [10**9, 20, 0])
 @pytest.mark.parametrize("target", [["hello there, how are you?", "fine and you", None, ""], []])
-def test_both_ways_are_the_plain_one(spark, sent, target):
+def test_sent_and_joined_bigrams_give_the_plain_scores(spark, sent, target):
     rows = [(1, "hello there you"), (2, None), (3, ""), (4, "numbers 1 2 3\n\n and  more"), (4, "same id"), (5, "twice"), (5, "twice"), (None, "no id"), (6, "a b c " * 3000)]
     docs = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, ids int")
     conversations = spark.createDataFrame([(t,) for t in target], "text string")
