@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rounding import as_float, bf16, bf16_half_up, fp16, half_away
 from ..matrix import Matrix
+from .order import cells, running
 
 #: Share of entries kept out of bulk encoding, and bytes of one of them.
 OUTLIERS, OUTLIER_BYTES = 0.005, 16
@@ -109,6 +110,25 @@ def sign_masks(m: Matrix, br: int = 8, bc: int = 4) -> DataFrame:
     return e.groupBy("br", "bc").agg(F.bit_or(one).alias("bitmap"), F.coalesce(F.bit_or(F.when(F.col("value") > 0, one)), F.lit(0)).alias("sign"))
 
 
+def from_sign_masks(masks: DataFrame, high: Column, low: Column, br: int = 8, bc: int = 4) -> DataFrame:
+    """Entries of tiles with masks: high where the sign bit is set, low in the other cells of the bitmap."""
+    is_set = lambda mask: F.call_function("getbit", F.col(mask), F.col("bit")) == 1
+    each = masks.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(br * bc - 1)))).filter(is_set("bitmap"))
+    return each.select((F.col("br") * br + F.expr(f"bit DIV {bc}")).alias("row"), (F.col("bc") * bc + F.col("bit") % bc).alias("col"), F.when(is_set("sign"), high).otherwise(low).alias("value"))
+
+
+def exact_coded(m: Matrix, codec: str) -> Matrix:
+    """m as an exact codec of one or two values, or binary01, gives it back: the codec's constants are found from the values.
+
+    Raises ValueError where the values do not suit the codec."""
+    low, high, n = m.entries.agg(F.min("value"), F.max("value"), F.count_distinct("value")).first()
+    suits = {"all_one": n == 1 and low == 1, "const_c": n == 1, "sign2": n == 2 and (low, high) == (-1, 1), "sign2_scale": n == 2 and low == -high, "binary01": n is not None and 0 < n <= 2 and {low, high} <= {0.0, 1.0}}
+    if not suits[codec]:
+        raise ValueError(f"the values do not suit {codec}")
+    base = {"binary01": 0.0}.get(codec, low)
+    return m.with_entries(from_sign_masks(sign_masks(m), F.lit(float(high)), F.lit(float(base))))
+
+
 def rounded(m: Matrix, how: Callable[[Column], Column]) -> Matrix:
     return m.with_value(how(F.col("value")))
 
@@ -136,11 +156,11 @@ def bfp4(m: Matrix) -> Matrix:
 
 def outlier_threshold(m: Matrix, share: float = OUTLIERS) -> DataFrame:
     """One row (threshold): the magnitude at place floor((1 - share) * nnz) of all, ascending. Magnitudes are
-    counted first, so only distinct ones are put in order."""
+    counted first; distinct ones are put in order within approximate quantiles."""
     sizes = m.entries.groupBy(F.abs("value").alias("a")).agg(F.count("*").alias("n"))
-    upto = sizes.withColumn("upto", F.sum("n").over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, 0)))
-    total = F.sum("n").over(Window.partitionBy())
-    return upto.withColumn("place", F.floor(F.lit(1 - share) * total)).filter("upto > place").agg(F.min("a").alias("threshold"))
+    total = m.entries.count()
+    upto = running(sizes, [cells(sizes, F.col("a")), F.col("a")], "before", F.col("n"))
+    return upto.filter(F.col("before") + F.col("n") > F.floor(F.lit(1 - share) * F.lit(total))).agg(F.min("a").alias("threshold"))
 
 
 def bfp8_outlier(m: Matrix, share: float = OUTLIERS) -> tuple[DataFrame, DataFrame]:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..matrix import Matrix
+from .order import digits, running
 
 
 def zero_based(e: DataFrame) -> DataFrame:
@@ -47,16 +48,10 @@ def load_counters(stored: DataFrame, symmetry: str) -> DataFrame:
 
 
 def row_pointers(m: Matrix) -> DataFrame:
-    """(row, nnz, row_ptr): entries of each row and before it, for all rows. Rows are cut into runs of 4096, so
-    no task sees more than one run of the running sum, or one row for each run."""
+    """(row, nnz, row_ptr): entries of each row and before it, for all rows."""
     counts = m.entries.groupBy(F.col("row").alias("r")).agg(F.count("*").alias("nnz"))
-    full = m.all_rows().join(counts, F.col("row") == F.col("r"), "left").select("row", F.coalesce("nnz", F.lit(0)).alias("nnz"), F.expr("row DIV 4096").alias("run"))
-    runs = full.groupBy(F.col("run").alias("k")).agg(F.sum("nnz").alias("n"))
-    before = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select("k", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("run").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    local = full.withColumn("own", F.coalesce(F.sum("nnz").over(within), F.lit(0)))
-    return local.join(runs, F.col("run") == F.col("k")).select("row", "nnz", (F.col("own") + F.col("base")).alias("row_ptr"))
+    full = m.all_rows().join(counts, F.col("row") == F.col("r"), "left").select("row", F.coalesce("nnz", F.lit(0)).alias("nnz"))
+    return running(full, digits("row", m.rows), "row_ptr", F.col("nnz"))
 
 
 def violations(m: Matrix) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..matrix import Matrix
+from .order import digits, running
 
 
 @dataclass(frozen=True)
@@ -71,8 +72,8 @@ def totals(shapes: DataFrame, block_rows: int, rows: int) -> DataFrame:
 def work_items(pointed: DataFrame, chunk: int, split_threshold: int) -> DataFrame:
     """(br, item, first, blocks, value_begin, shared) from shapes with val_ptr: block rows of more than split_threshold
     tiles are cut into chunks; the items of a cut row share its result."""
-    own = Window.partitionBy("br")
-    t = pointed.withColumns({"n": F.count("*").over(own), "rn": F.row_number().over(own.orderBy("bc")) - 1})
+    sizes = pointed.groupBy(F.col("br").alias("b")).agg(F.count("*").alias("n"))
+    t = running(pointed, digits("bc"), "rn", group=("br",)).withColumn("rn", F.col("rn").cast("int")).join(sizes, F.col("br") == F.col("b"))
     t = t.withColumn("item", F.when(F.col("n") > split_threshold, F.expr(f"rn DIV {chunk}")).otherwise(F.lit(0)).cast("long"))
     items = t.groupBy("br", "item").agg(F.min("rn").alias("first"), F.count("*").alias("blocks"), F.min("val_ptr").alias("value_begin"), F.max("n").alias("n"))
     return items.withColumn("shared", (F.col("n") > split_threshold) & (F.col("n") > chunk)).drop("n")
@@ -89,6 +90,6 @@ def work_items_with_empty(pointed: DataFrame, block_rows: int, chunk: int, split
 
 def long_row_chunks(e: DataFrame, longer_than: int, chunk: int = 1024) -> DataFrame:
     """(row, chunk, n) of rows with more entries than longer_than."""
-    own = Window.partitionBy("row")
-    t = e.withColumns({"n": F.count("*").over(own), "rn": F.row_number().over(own.orderBy("col")) - 1}).filter(F.col("n") > longer_than)
+    long = e.groupBy(F.col("row").alias("r")).agg(F.count("*").alias("n")).filter(F.col("n") > longer_than).select("r")
+    t = running(e.join(long, F.col("row") == F.col("r"), "left_semi"), digits("col"), "rn", group=("row",))
     return t.groupBy("row", F.expr(f"rn DIV {chunk}").alias("chunk")).agg(F.count("*").alias("n"))

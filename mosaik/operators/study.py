@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..matrix import Matrix
 from ..sources.tables import hashed
+from .order import cells, digits, running
 
 #: Edges of the fill bins.
 FILL_BINS = (0.0, 0.0625, 0.125, 0.1875, 0.25, 0.375, 0.5, 0.75, 1.0001)
@@ -26,10 +27,10 @@ def spans(g: DataFrame, br: int = 8, bc: int = 4) -> DataFrame:
 
 def shuffled(g: DataFrame, seed: int) -> DataFrame:
     """The same positions with the values of other positions: places in row order meet places in the order of a
-    hash of the position. Both orders are numbered by sorting; ties of the hash fall to the position."""
+    hash of the position; ties of the hash fall to the position. Both orders are numbered level by level."""
     h = hashed(hashed(F.col("row") + F.lit(seed * 1000003)) + F.col("col"))
-    a = g.withColumn("k", F.row_number().over(Window.orderBy("row", "col"))).select("k", "row", "col")
-    b = g.withColumn("k", F.row_number().over(Window.orderBy(h, "row", "col"))).select("k", "g")
+    a = running(g.select("row", "col"), [*digits("row"), *digits("col")], "k")
+    b = running(g.withColumn("h", h), [F.shiftright("h", 20), F.shiftright("h", 8), F.struct("h", "row", "col")], "k").select("k", "g")
     return a.join(b, "k").select("row", "col", "g")
 
 
@@ -48,18 +49,33 @@ def fill_bin(fill: Column) -> Column:
     return out.cast("int")
 
 
-def average_rank(c: str, *part: str) -> Column:
-    """Ranks with the mean of their places for ties."""
-    return F.rank().over(Window.partitionBy(*part).orderBy(c)) + (F.count("*").over(Window.partitionBy(*part, c)) - 1) / 2.0
+def average_ranks(pairs: DataFrame, c: str, name: str) -> DataFrame:
+    """pairs with the rank of c, the mean of their places for ties; n tells how many rows a pair stands for."""
+    each = pairs.groupBy(F.col(c).alias("v")).agg(F.sum("n").alias("of"))
+    placed = running(each, [cells(each, F.col("v")), F.col("v")], "place", F.col("of"))
+    rank = placed.select("v", (F.col("place") + (F.col("of") + 1) / 2.0).alias(name))
+    return pairs.join(rank, F.col(c) == F.col("v")).drop("v")
 
 
 def spearman(t: DataFrame, a: str, b: str) -> DataFrame:
-    return t.select(average_rank(a).alias("x"), average_rank(b).alias("y")).agg(F.corr("x", "y").alias("rho"))
+    """Rank correlation with mean ranks for ties. Pairs of values are counted first, and ranked by their distinct values."""
+    pairs = t.groupBy(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).agg(F.count("*").alias("n"))
+    return _correlated(average_ranks(average_ranks(pairs, "a", "x"), "b", "y"))
+
+
+def _correlated(t: DataFrame) -> DataFrame:
+    """One row: the correlation of x and y over rows that stand for n each."""
+    x, y, n = F.col("x"), F.col("y"), F.col("n")
+    s = t.agg(F.sum(n).alias("n"), F.sum(n * x).alias("x"), F.sum(n * y).alias("y"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"), F.sum(n * x * y).alias("xy"))
+    return s.select(((n * F.col("xy") - x * y) / (F.sqrt(n * F.col("xx") - x * x) * F.sqrt(n * F.col("yy") - y * y))).alias("rho"))
 
 
 def spearman_ordinal(t: DataFrame, a: str, b: str, tie: str) -> DataFrame:
-    x, y = (F.row_number().over(Window.orderBy(c, tie)).cast("double") for c in (a, b))
-    return t.select(x.alias("x"), y.alias("y")).agg(F.corr("x", "y").alias("rho"))
+    """Rank correlation where ties stand in the order of a whole number."""
+    for c, name in ((a, "x"), (b, "y")):
+        key = F.col(c).cast("double")
+        t = running(t, [cells(t, key), key, *digits(tie, 1 << 36)], name)
+    return _correlated(t.select((F.col("x") + 1.0).alias("x"), (F.col("y") + 1.0).alias("y"), F.lit(1).alias("n")))
 
 
 def relative_l1(m: Matrix, levels: int, br: int = 8, bc: int = 4) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..matrix import Matrix
+from .order import digits, running
 
 BR, BC = 8, 4
 FLAG = 1 << 31
@@ -75,14 +76,8 @@ def decoded(tiles: DataFrame, br: int = BR, bc: int = BC) -> DataFrame:
 
 
 def value_pointers(shapes_: DataFrame) -> DataFrame:
-    """shapes with val_ptr, the entries in tiles before each: tiles are ordered within a block row, block rows by their sums."""
-    sums = shapes_.groupBy(F.col("br").alias("k")).agg(F.sum(F.bit_count("bitmap")).alias("n"), F.expr("first(br DIV 4096)").alias("run"))
-    runs = sums.groupBy(F.col("run").alias("g")).agg(F.sum("n").alias("n"))
-    before = lambda by, *part: Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select("g", F.coalesce(F.sum("n").over(before("g")), F.lit(0)).alias("base"))
-    rows = sums.withColumn("own", F.coalesce(F.sum("n").over(before("k", "run")), F.lit(0))).join(runs, F.col("run") == F.col("g")).select("k", (F.col("own") + F.col("base")).alias("start"))
-    local = shapes_.withColumn("own", F.coalesce(F.sum(F.bit_count("bitmap")).over(before("bc", "br")), F.lit(0)))
-    return local.join(rows, F.col("br") == F.col("k")).select(*shapes_.columns, (F.col("own") + F.col("start")).alias("val_ptr"))
+    """shapes with val_ptr, the entries in tiles before each, in the order of block rows and block columns."""
+    return running(shapes_, [*digits("br"), *digits("bc")], "val_ptr", F.bit_count("bitmap"))
 
 
 def blockrow_coo(e: DataFrame, br: int = BR, bc: int = BC) -> DataFrame:
@@ -99,7 +94,7 @@ def from_blockrow_coo(p: DataFrame, br: int = BR, bc: int = BC) -> DataFrame:
 
 def sliced(m: Matrix, height: int) -> DataFrame:
     """(slice, k, lane, col, value): rows in slices of height, padded to the longest with col -1 and value 0, column by column."""
-    e = m.entries.withColumn("k", F.row_number().over(Window.partitionBy("row").orderBy("col")) - 1).withColumn("slice", F.expr(f"row DIV {height}"))
+    e = running(m.entries, digits("col"), "k", group=("row",)).withColumn("k", F.col("k").cast("int")).withColumn("slice", F.expr(f"row DIV {height}"))
     widths = e.groupBy("slice").agg((F.max("k") + 1).alias("width"))
     lanes = widths.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("width") - 1))).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).select("slice", "k", "lane")
     lanes = lanes.filter(F.col("slice") * height + F.col("lane") < m.rows)

@@ -101,11 +101,11 @@ def product(m: Matrix, x: DataFrame, name: str) -> DataFrame:
     exact = codec.removesuffix("_u8").removesuffix("_u16")
     if exact != "original" and not codecs.facts(m).select(codecs.applies(exact)).first()[0]:
         raise ValueError(f"the values do not suit {codec}")
-    if exact == "all_one":
-        return spmv(m, x, F.lit(1.0))
+    if exact in ("all_one", "const_c", "sign2", "sign2_scale"):
+        return spmv(codecs.exact_coded(m, exact), x)
     if exact in codecs.DICTIONARIES:
         return spmv(m.with_entries(codecs.from_dictionary(*codecs.dictionary(m, 2 ** codecs.DICTIONARIES[exact]))), x)
-    return spmv(m, x)
+    return spmv(m.with_entries(tiles.decoded(tiles.tiled(m))), x)
 
 
 def gated(m: Matrix, x: DataFrame, names: list[str]) -> tuple[str, DataFrame]:

@@ -35,18 +35,8 @@ def _through(name: str):
     def run(spark, d):
         m = pattern(spark, d, name)
         x = input_vector(spark, m.cols)
-        if name == "all_one":
-            return spmv(m, x, F.lit(1.0))
-        if name == "const_c":
-            return spmv(m, x, F.lit(2.5))
-        if name in ("sign2", "sign2_scale"):
-            c = 1.0 if name == "sign2" else 2.5
-            t = codecs.sign_masks(m)
-            bit = F.call_function("getbit", F.col("bitmap"), F.col("bit"))
-            each = t.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(31)))).filter(bit == 1)
-            sign = F.when(F.call_function("getbit", F.col("sign"), F.col("bit")) == 1, c).otherwise(-c)
-            e = each.select((F.col("br") * 8 + F.expr("bit DIV 4")).alias("row"), (F.col("bc") * 4 + F.col("bit") % 4).alias("col"), sign.alias("value"))
-            return spmv(m.with_entries(e), x)
+        if name in ("all_one", "const_c", "sign2", "sign2_scale", "binary01"):
+            return spmv(codecs.exact_coded(m, name), x)
         coded, book = codecs.dictionary(m, 2 ** codecs.DICTIONARIES[name])
         return spmv(m.with_entries(codecs.from_dictionary(coded, book)), x)
 

@@ -25,6 +25,7 @@ PATTERNS = {
     "const_c": (lambda: F.lit(2.5), "CAST(2.5 AS DOUBLE)"),
     "sign2": (lambda: F.when((F.col("row") + F.col("col")) % 2 == 0, 1.0).otherwise(-1.0), "CASE WHEN (r + c) % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE"),
     "sign2_scale": (lambda: F.when((F.col("row") + F.col("col")) % 2 == 0, 2.5).otherwise(-2.5), "CASE WHEN (r + c) % 2 = 0 THEN 2.5 ELSE -2.5 END::DOUBLE"),
+    "binary01": (lambda: F.when((F.col("row") + F.col("col")) % 2 == 0, 1.0).otherwise(0.0), "CASE WHEN (r + c) % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE"),
     "dict2": (lambda: F.when((F.col("row") + F.col("col")) % 2 == 0, 2.0).otherwise(7.0), "CASE WHEN (r + c) % 2 = 0 THEN 2.0 ELSE 7.0 END::DOUBLE"),
     "dict4": (lambda: F.when((F.col("row") + F.col("col")) % 3 == 0, 2.0).when((F.col("row") + F.col("col")) % 3 == 1, -3.0).otherwise(5.0), "CASE (r + c) % 3 WHEN 0 THEN 2.0 WHEN 1 THEN -3.0 ELSE 5.0 END::DOUBLE"),
     "dict16": (lambda: ((F.col("row") + F.col("col")) % 13 + 1) * F.lit(0.5), "((r + c) % 13 + 1) * CAST(0.5 AS DOUBLE)"),

@@ -9,7 +9,10 @@ from ..operators.metrics import ensemble
 from ..operators.spmv import spmv
 from ..sources.tables import banded_spd, embedding_matrix, hash_ensemble, input_vector
 from .matrices import HASH, SQL as MATRIX_SQL
-from .parts import EMBED, E, Query, parts
+from .parts import COLS, EMBED, E, Query, parts
+
+#: Columns up to which the vectors of an ensemble are broadcast.
+MOST_SENT = 200_000
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -86,13 +89,14 @@ def window_densest(spark, d):
 
 
 @query(
-    f"WITH {E}, q AS (SELECT i // 100 AS seed, i % 100 AS idx FROM range(700) z(i)), x AS (SELECT seed, idx, ({HASH.format('idx * 31 + seed * 7919 + 1')} % 65536) / 32768.0::DOUBLE - 1 AS val FROM q), "
+    f"WITH {E}, q AS (SELECT seed, idx FROM range(14) s(seed), range({COLS}) z(idx)), h AS (SELECT seed, idx, {HASH.format('idx * 31 + seed * 7919 + 1')} % 65536 AS a, {HASH.format('idx * 37 + seed * 104729 + 1')} % 65536 AS b FROM q), "
+    "x AS (SELECT seed, idx, CASE WHEN seed < 7 THEN a / 32768.0::DOUBLE - 1 ELSE sqrt(-2 * ln((a + 1) / 65536.0::DOUBLE)) * cos(2 * pi() * b / 65536.0::DOUBLE) END AS val FROM h), "
     "y AS (SELECT seed, r, sum(v * val) AS y0, sum(round_even(v / 4, 0) * 4 * val) AS y1 FROM e JOIN x ON c = idx GROUP BY ALL), n AS (SELECT seed, max(abs(y1 - y0)) / (max(abs(y0)) + 1e-30) AS rel FROM y GROUP BY seed) SELECT 'step4' AS codec, round(max(rel), 9) AS worst, round(avg(rel), 9) AS mean FROM n"
 )
 def error_ensemble(spark, d):
     m = parts(spark, d)
-    x = hash_ensemble(spark, 100)
-    p = m.entries.join(F.broadcast(x), F.col("col") == F.col("idx"))
+    x = hash_ensemble(spark, m.cols)
+    p = m.entries.join(F.broadcast(x) if m.cols <= MOST_SENT else x, F.col("col") == F.col("idx"))
     y = p.groupBy("seed", "row").agg(F.sum(F.col("value") * F.col("val")).alias("y0"), F.sum(F.rint(F.col("value") / 4) * 4 * F.col("val")).alias("y1"))
     n = y.groupBy("seed").agg((F.max(F.abs(F.col("y1") - F.col("y0"))) / (F.max(F.abs("y0")) + 1e-30)).alias("rel"))
     return _nine(ensemble(n.select(F.lit("step4").alias("codec"), "rel")), "worst", "mean")

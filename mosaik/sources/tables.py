@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _extent(df: DataFrame, key: str) -> int:
-    return (df.agg(F.max(key)).first()[0] or -1) + 1
+    most = df.agg(F.max(key)).first()[0]
+    return 0 if most is None else most + 1
 
 
 def part_by_supplier(spark: SparkSession, sf_dir: str) -> Matrix:
@@ -79,9 +82,11 @@ def probe_vector(spark: SparkSession, n: int) -> DataFrame:
 
 
 def hash_ensemble(spark: SparkSession, n: int, seeds: int = 7) -> DataFrame:
-    """(seed, idx, val): vectors of hashed values in [-1, 1)."""
-    v = spark.range(n * seeds).select((F.col("id") / n).cast("long").alias("seed"), (F.col("id") % n).alias("idx"))
-    return v.withColumn("val", (hashed(F.col("idx") * 31 + F.col("seed") * 7919 + 1) % 65536) / F.lit(32768.0) - 1)
+    """(seed, idx, val): seeds vectors of hashed values in [-1, 1), and then as many of normal ones, of two hashed values each."""
+    v = spark.range(n * seeds * 2).select(F.expr(f"id DIV {max(1, n)}").alias("seed"), (F.col("id") % max(1, n)).alias("idx"))
+    a, b = (hashed(F.col("idx") * m + F.col("seed") * s + 1) % 65536 for m, s in ((31, 7919), (37, 104729)))
+    normal = F.sqrt(F.lit(-2.0) * F.log((a + 1) / F.lit(65536.0))) * F.cos(F.lit(2 * math.pi) * b / F.lit(65536.0))
+    return v.withColumn("val", F.when(F.col("seed") < seeds, a / F.lit(32768.0) - 1).otherwise(normal))
 
 
 # --- synthetic symmetric positive definite matrices -----------------------------------------------------
