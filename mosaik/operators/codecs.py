@@ -204,7 +204,7 @@ def kmeans_centers(values: DataFrame, k: int, rounds: int = 16) -> list[float]:
 
 
 def nearest(v: Column, centers: list[float]) -> Column:
-    """The nearest of sorted centers, ties to the lower: midpoints are met by binary search in an array."""
+    """The nearest of sorted centers, ties to the lower: as many centers lie before it as midpoints are less than v."""
     array = F.array(*[F.lit(float(c)) for c in centers])
     middle = F.array(*[F.lit((a + b) / 2) for a, b in zip(centers, centers[1:], strict=False)]).cast("array<double>")
     return F.element_at(array, (F.size(F.filter(middle, lambda x: x < v)) + 1).cast("int"))

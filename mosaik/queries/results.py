@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import results as R
-from ..sources.reports import listed, report_value, setting
-from .parts import Query
+from ..sources import matrix_market
+from ..sources.reports import basename, first_paths, listed, matching, matrix_list as read_list, report_value, result_csv, setting, shard_of, write_report
+from ..sources.scratch import scratch
+from ..sources.tables import table
+from .parts import E, Query, parts
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -189,3 +192,50 @@ def position_metadata_totals(spark, d):
 @query(f"WITH {ROWS} SELECT ordinal % 4 AS shard, count(*) AS n FROM w GROUP BY 1")
 def stride_shards(spark, d):
     return _rows(spark).groupBy((F.col("ordinal") % 4).alias("shard")).agg(F.count("*").alias("n"))
+
+
+# --- files: written from the driver's tables, and read again ----------------------------------------------
+
+_SWEPT = """s AS (SELECT concat('m', CAST(l_suppkey AS {s})) AS matrix, CASE WHEN l_linenumber = 1 THEN 'cusparse_default' ELSE concat('op', CAST(l_linenumber AS {s})) END AS operator,
+l_suppkey % 3 AS shard, CAST(sum(l_quantity) AS BIGINT) AS ms FROM lineitem GROUP BY 1, 2, 3)"""
+
+
+def _shards(spark, d) -> str:
+    """Sweep results of three shards and a summary, as files: a folder."""
+    table(spark, d, "lineitem").createOrReplaceTempView("mosaik_lineitem")
+    sweep = spark.sql(f"WITH {_SWEPT.format(s='STRING').replace('FROM lineitem', 'FROM mosaik_lineitem')} SELECT * FROM s")
+    path = scratch(spark, "sweep")
+    for k in range(3):
+        own = sweep.filter(F.col("shard") == k).select("matrix", "operator", F.lit("ok").alias("status"), F.col("ms").cast("string").alias("avg_ms"))
+        write_report(own, f"{path}/shard{k}.csv")
+    return path
+
+
+@query(f"""WITH {_SWEPT.format(s='VARCHAR')}, b AS (SELECT matrix, ms AS base FROM s WHERE operator = 'cusparse_default')
+SELECT CAST(shard AS INTEGER) AS shard, matrix, operator, base / CAST(ms AS DOUBLE) AS speedup FROM s JOIN b USING (matrix) WHERE operator <> 'cusparse_default'""")
+def result_files(spark, d):
+    path = _shards(spark, d)
+    rows = result_csv(spark, f"{path}/shard*.csv").withColumn("shard", shard_of(F.col("folder")))
+    base = rows.filter("operator = 'cusparse_default'").select(F.col("matrix").alias("m"), F.col("avg_ms").cast("double").alias("base"))
+    ours = rows.filter("operator <> 'cusparse_default'").join(base, F.col("matrix") == F.col("m"))
+    return ours.select("shard", "matrix", "operator", (F.col("base") / F.col("avg_ms").cast("double")).alias("speedup"))
+
+
+@query(f"""WITH {E} SELECT r, c, v FROM e""")
+def matrix_market_scan(spark, d):
+    path = scratch(spark, "market")
+    matrix_market.write(parts(spark, d), path, [f"comment {k}" for k in range(3000)])
+    return matrix_market.read(spark, path).matrix.entries.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("value").alias("v"))
+
+
+@query("""WITH p AS (SELECT DISTINCT concat('Group', CAST(s_nationkey AS VARCHAR), '/m', CAST(s_suppkey AS VARCHAR), '/m', CAST(s_suppkey AS VARCHAR), '.mtx') AS path FROM supplier)
+SELECT path, regexp_replace(split_part(path, '/', 3), '\\.mtx$', '') AS name FROM p WHERE regexp_matches(path, '^Group1') ORDER BY path LIMIT 7""")
+def matrix_list_file(spark, d):
+    path = scratch(spark, "list")
+    group = F.concat(F.lit("Group"), F.col("s_nationkey").cast("string"))
+    name = F.concat(F.lit("m"), F.col("s_suppkey").cast("string"))
+    lines = table(spark, d, "supplier").select(F.concat_ws("/", group, name, F.concat(name, F.lit(".mtx"))).alias("value"))
+    notes = spark.createDataFrame([("# a list",), ("",)], "value string")
+    notes.unionAll(lines).write.text(path)
+    found = first_paths(matching(read_list(spark, path), "^Group1"), 7)
+    return found.select("path", basename(F.col("path")).alias("name"))

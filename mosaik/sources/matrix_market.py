@@ -61,6 +61,28 @@ def parse_header(lines: list[str]) -> Header:
     raise ValueError("no size line")
 
 
+def head_lines(spark: SparkSession, path: str) -> list[str]:
+    """The lines of a file up to its size line, however many comments there are; compressed files are read by their suffix."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files = sorted(spark.read.text(path).inputFiles())
+    if not files:
+        return []
+    # Names come as URIs.
+    at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(files[0]))
+    stream = at.getFileSystem(conf).open(at)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(at)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+    try:
+        out: list[str] = []
+        while (line := reader.readLine()) is not None:
+            out.append(line)
+            if len(out) > 1 and not _is_comment(line):
+                break
+        return out
+    finally:
+        reader.close()
+
+
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
     """(n, line): lines with their number, counted over partitions of one file."""
     lines = spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", "\r$", "").alias("line"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("id"))
@@ -95,11 +117,20 @@ def entry_lines(lines: DataFrame, header: Header) -> DataFrame:
     return body
 
 
+def write(m: Matrix, path: str, comments: list[str] | None = None) -> None:
+    """m as one real general file, written by one task: a file has one beginning."""
+    nnz = m.entries.count()
+    head = ["%%MatrixMarket matrix coordinate real general", *(f"% {c}" for c in comments or []), f"{m.rows} {m.cols} {nnz}"]
+    spark = m.entries.sparkSession
+    first = spark.createDataFrame(list(enumerate(head)), "n long, value string")
+    rest = m.entries.select(F.lit(len(head)).cast("long").alias("n"), F.concat_ws(" ", F.col("row") + 1, F.col("col") + 1, F.col("value").cast("string")).alias("value"))
+    first.unionAll(rest).repartition(1).sortWithinPartitions("n").select("value").write.text(path)
+
+
 def read(spark: SparkSession, path: str, drop_zeros: bool = True) -> Loaded:
     """A MatrixMarket file as a normalised matrix, with counts of its entries at each step."""
     lines = _numbered(spark, path)
-    head = [r.line for r in lines.filter((F.col("line").startswith("%")) | (F.col("n") < 1000)).orderBy("n").limit(1000).collect()]
-    header = parse_header(head)
+    header = parse_header(head_lines(spark, path))
     stored = parse_entries(entry_lines(lines, header), header)
     expanded = coo.mirrored(stored, header.symmetry)
     entries = coo.coalesced(expanded)
