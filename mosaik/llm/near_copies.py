@@ -101,8 +101,8 @@ def parities(h: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view(np.int64).reshape(texts, -1)
 
 
-def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, set: its distinct shingles, n: how many, p0, p1, ...: its parities) of the given nodes."""
+def _sets(docs: DataFrame, own: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, set: its distinct shingles, n: how many, p0, p1, ...: its parities) of the given nodes; own: the rows of _printed()."""
 
     def scan(batches):
         for b in W.slices(batches):
@@ -118,7 +118,9 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             columns = [b.column("key"), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64))), pa.array(np.diff(ends)), *(pa.array(x) for x in np.ascontiguousarray(bits.T))]
             yield pa.RecordBatch.from_arrays(columns, ["node", "set", "n", *_BITS])
 
-    rows = _keyed(docs).select("key", "text").join(nodes, F.col("key") == F.col("node"), "left_semi").dropDuplicates(["key"])
+    # Of the rows of one text, very many perhaps, only the one with the least doc_id moves.
+    known = own.groupBy(F.col("key").alias("k")).agg(F.min("doc_id").alias("d")).join(nodes, F.col("k") == F.col("node"), "left_semi")
+    rows = _keyed(docs).join(known, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi").dropDuplicates(["key"])
     return rows.select("key", "text").mapInArrow(scan, "node long, set array<long>, n int, " + ", ".join(f"{c} long" for c in _BITS))
 
 
@@ -160,7 +162,7 @@ def links(docs: DataFrame, own: DataFrame) -> DataFrame:
     nodes = written(own.drop("doc_id").dropDuplicates(["key"]), "nodes")
     prints = nodes.select(F.posexplode(F.array(*_PRINTS)).alias("print", "fingerprint"), "confirm", F.col("key").alias("node"))
     tried = written(simhash.links(prints, agreed=AGREED).distinct(), "pairs")
-    sets = written(_sets(docs, tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "shingles")
+    sets = written(_sets(docs, own, tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "shingles")
     marks = sets.drop("set")
     possible = written(_met(tried, marks).filter(_may_be("x", "y")).select("a", "b"), "possible")
     found = _alike(possible, sets)
