@@ -41,6 +41,31 @@ def fp16(v: Column) -> Column:
     return F.when(F.abs(f) >= 65520, F.signum(f) * F.lit(float("inf"))).otherwise(_to_unit(f, -14, 10))
 
 
+#: Bits of the significand and the bias of the exponent of the 16-bit formats.
+WORDS = {"fp16": (10, 15), "bf16": (7, 127)}
+
+
+def word16(f: Column, form: str) -> Column:
+    """The 16 bits of a number that is already rounded to the form, as a whole number."""
+    digits, bias = WORDS[form]
+    a, top = F.abs(f), 1 << digits
+    x = exponent(f)
+    normal = (x + bias) * top + (a / F.pow(F.lit(2.0), x) - 1) * top
+    small = a * F.lit(2.0 ** (bias - 1 + digits))
+    bits = F.when(a == 0, 0).when(a == float("inf"), (2 * bias + 1) * top).when(a < 2.0 ** (1 - bias), small).otherwise(normal)
+    return bits.cast("int") + F.when(f < 0, 1 << 15).otherwise(0)
+
+
+def from_word16(w: Column, form: str) -> Column:
+    """The number that 16 bits stand for."""
+    digits, bias = WORDS[form]
+    top = 1 << digits
+    e, rest = F.shiftright(w.bitwiseAND(F.lit(0x7FFF)), digits), w.bitwiseAND(F.lit(top - 1))
+    a = F.when(e == 0, rest * F.lit(2.0 ** (1 - bias - digits))).when(e == 2 * bias + 1, F.lit(float("inf")))
+    a = a.otherwise((rest / F.lit(float(top)) + 1) * F.pow(F.lit(2.0), (e - bias).cast("double")))
+    return F.when(w >= 1 << 15, -a).otherwise(a)
+
+
 def half_away(x: Column) -> Column:
     return F.signum(x) * F.floor(F.abs(x) + 0.5)
 

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rounding import as_float, bf16, bf16_half_up, fp16, half_away
+from ..functions.rounding import as_float, bf16, bf16_half_up, fp16, from_word16, half_away, word16
 from ..matrix import Matrix
 from .order import cells, running
 
@@ -117,6 +117,23 @@ def from_sign_masks(masks: DataFrame, high: Column, low: Column, br: int = 8, bc
     return each.select((F.col("br") * br + F.expr(f"bit DIV {bc}")).alias("row"), (F.col("bc") * bc + F.col("bit") % bc).alias("col"), F.when(is_set("sign"), high).otherwise(low).alias("value"))
 
 
+def word_tiles(m: Matrix, form: str) -> DataFrame:
+    """(br, bc, bitmap, payload): 8x4 tiles with 64 bytes each, 16 bits for every cell in bit order, zero where there is no entry."""
+    bit = ((F.col("row") % 8) * 4 + F.col("col") % 4).cast("int")
+    word = word16({"fp16": fp16, "bf16": bf16}[form](F.col("value")), form)
+    e = m.entries.select(F.expr("row DIV 8").alias("br"), F.expr("col DIV 4").alias("bc"), bit.alias("bit"), F.lpad(F.hex(word), 4, "0").alias("word"))
+    t = e.groupBy("br", "bc").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bitmap"), F.map_from_entries(F.collect_list(F.struct("bit", "word"))).alias("words"))
+    slots = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: F.coalesce(F.col("words")[b], F.lit("0000")))
+    return t.select("br", "bc", "bitmap", F.unhex(F.array_join(slots, "")).alias("payload"))
+
+
+def from_word_tiles(tiles: DataFrame, form: str) -> DataFrame:
+    """The entries of tiles of 16-bit words: the cells of the bitmap."""
+    each = tiles.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(31)))).filter(F.call_function("getbit", F.col("bitmap"), F.col("bit")) == 1)
+    word = F.conv(F.substring(F.hex("payload"), F.col("bit") * 4 + 1, F.lit(4)), 16, 10).cast("int")
+    return each.select((F.col("br") * 8 + F.expr("bit DIV 4")).alias("row"), (F.col("bc") * 4 + F.col("bit") % 4).alias("col"), from_word16(word, form).alias("value"))
+
+
 def exact_coded(m: Matrix, codec: str) -> Matrix:
     """m as an exact codec of one or two values, or binary01, gives it back: the codec's constants are found from the values.
 

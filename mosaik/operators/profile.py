@@ -118,6 +118,12 @@ def magnitude_histogram(m: Matrix) -> DataFrame:
     return m.entries.groupBy(magnitude_bin(F.col("value")).alias("bin")).agg(F.count("*").alias("n"))
 
 
+def magnitude_entropy(m: Matrix) -> DataFrame:
+    """One row: bits of the distribution over the magnitude bins; null without entries."""
+    t = magnitude_histogram(m).agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("s"))
+    return t.select((F.log2("t") - F.col("s") / F.col("t")).alias("entropy"))
+
+
 def sorted_unique(m: Matrix, cap: int) -> DataFrame:
     return m.entries.select("value").distinct().orderBy("value").limit(cap + 1)
 

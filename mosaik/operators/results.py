@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .study import spearman_ordinal
+
 #: Fixed values.
 LOSSLESS_FAMILY = "lossless_value_specialized"
 BASELINE_FAMILIES = ("baseline", "external_baseline")
@@ -180,6 +182,14 @@ def group_gains(rows: DataFrame, gain: str, weight: str, fill: str, dense_from:
     return g.agg(F.count("*").alias("n"), (F.sum(F.col(gain) * F.col(weight)) / F.sum(weight)).alias("weighted"), F.median(gain).alias("median"), F.min(gain).alias("low"), F.max(gain).alias("high"))
 
 
+def gain_summary(rows: DataFrame, gain: str, fill: str, place: str) -> DataFrame:
+    """One row over matrices: how many, how many gain, their share, the upper median, and the rank correlation of
+    fill and gain with ties in the order of place, 0 where there is none."""
+    positive, top = F.count_if(F.col(gain) > 0), F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {gain} DESC)")
+    s = rows.agg(F.count(gain).alias("n"), positive.alias("positive"), F.try_divide(positive.cast("double"), F.count(gain)).alias("positive_share"), top.cast("double").alias("median"))
+    return s.join(spearman_ordinal(rows, fill, gain, place).select(F.coalesce("rho", F.lit(0.0)).alias("rho")))
+
+
 def metadata_totals(rows: DataFrame) -> DataFrame:
     """One row: bytes of packed positions with 16 for each work item, and of compressed rows, over matrices."""
     packed = F.sum(F.col("position_bytes") + F.col("work_items") * 16)

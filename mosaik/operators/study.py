@@ -64,10 +64,10 @@ def spearman(t: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _correlated(t: DataFrame) -> DataFrame:
-    """One row: the correlation of x and y over rows that stand for n each."""
+    """One row: the correlation of x and y over rows that stand for n each; null where one of them does not vary."""
     x, y, n = F.col("x"), F.col("y"), F.col("n")
     s = t.agg(F.sum(n).alias("n"), F.sum(n * x).alias("x"), F.sum(n * y).alias("y"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"), F.sum(n * x * y).alias("xy"))
-    return s.select(((n * F.col("xy") - x * y) / (F.sqrt(n * F.col("xx") - x * x) * F.sqrt(n * F.col("yy") - y * y))).alias("rho"))
+    return s.select(F.try_divide(n * F.col("xy") - x * y, F.sqrt(n * F.col("xx") - x * x) * F.sqrt(n * F.col("yy") - y * y)).alias("rho"))
 
 
 def spearman_ordinal(t: DataFrame, a: str, b: str, tie: str) -> DataFrame:
@@ -85,6 +85,17 @@ def relative_l1(m: Matrix, levels: int, br: int = 8, bc: int = 4) -> DataFrame:
     return e.agg((F.sum(F.abs(F.rint(F.col("value") / F.col("s")) * F.col("s") - F.col("value"))) / F.sum(F.abs("value"))).alias("rel_l1"))
 
 
+def shuffled_gain(m: Matrix, levels: int, seeds: int = 4) -> DataFrame:
+    """One row: relative error of magnitudes in place, its mean over seeds shuffles of them, and the gain of the places."""
+    a = m.entries.select("row", "col", F.abs("value").alias("g")).filter("g > 0")
+    error = lambda e: relative_l1(m.with_entries(e.withColumnRenamed("g", "value")), levels)
+    nulls = error(shuffled(a, 1))
+    for s in range(2, seeds + 1):
+        nulls = nulls.unionAll(error(shuffled(a, s)))
+    both = error(a).withColumnRenamed("rel_l1", "real_l1").join(nulls.agg(F.avg("rel_l1").alias("null_l1")))
+    return both.withColumn("gain", 1 - F.try_divide("real_l1", "null_l1"))
+
+
 def windows(m: Matrix, height: int, width: int, least: int = 1) -> DataFrame:
     """(top, left, n) of windows on a grid of half their size: an entry belongs to the four that cover it."""
     h, w = height // 2, width // 2

@@ -116,6 +116,18 @@ def spmv_fp16(spark, d):
     return _embed_product(spark, d, codecs.rounded(m, fp16))
 
 
+@query(spmv_sql(_rounded_sql(EMBED, FP16), EX, EROWS, 6))
+def spmv_fp16_tile512(spark, d):
+    m = embedding_matrix(spark, d)
+    return _embed_product(spark, d, m.with_entries(codecs.from_word_tiles(codecs.word_tiles(m, "fp16"), "fp16")))
+
+
+@query(spmv_sql(_rounded_sql(EMBED, BF16), EX, EROWS, 6))
+def spmv_bf16_tile512(spark, d):
+    m = embedding_matrix(spark, d)
+    return _embed_product(spark, d, m.with_entries(codecs.from_word_tiles(codecs.word_tiles(m, "bf16"), "bf16")))
+
+
 @query(f"WITH {_rounded_sql(ORDERS, BF16)} SELECT count(*) FILTER (v <> v0) AS changed, count(*) FILTER (v <> v0) / count(*) AS changed_ratio, max(abs(v - v0)) AS max_abs_error, round(max(abs(v - v0) / greatest(abs(v0), 1e-30)), 12) AS max_rel_error FROM e")
 def codec_report_rounding(spark, d):
     m = order_by_part(spark, d)
@@ -273,6 +285,11 @@ def abs_log2_hist(spark, d):
     return profile.magnitude_histogram(embedding_matrix(spark, d))
 
 
+@query(f"WITH {EMBED}, b AS (SELECT CASE WHEN v = 0 THEN 0 WHEN isnan(v) OR abs(v) = 'Infinity'::DOUBLE THEN 17 ELSE 1 + greatest(0, least(15, trunc((floor(log2(abs(v))) + 64) / 8))) END AS bin FROM e), h AS (SELECT count(*) AS n FROM b GROUP BY bin) SELECT round(-sum(n / t * log2(n / t)), 9) + 0 AS entropy FROM h, (SELECT sum(n) AS t FROM h)")
+def abs_log2_entropy(spark, d):
+    return rounded(profile.magnitude_entropy(embedding_matrix(spark, d)), 9, "entropy")
+
+
 @query(f"WITH {E} SELECT DISTINCT v AS value FROM e ORDER BY v LIMIT 17")
 def sorted_unique(spark, d):
     return profile.sorted_unique(parts(spark, d), 16)

@@ -184,6 +184,12 @@ def coreg_group_gains(spark, d):
     return R.group_gains(r, "gain", "nnz", "fill")
 
 
+@query(f"WITH {ROWS}, z AS (SELECT ordinal, (ordinal * 13 % 64) / 64.0::DOUBLE - 0.25 AS gain, (ordinal * 7 % 32) / 32.0::DOUBLE AS fill FROM w), k AS (SELECT gain, row_number() OVER (ORDER BY fill, ordinal) AS a, row_number() OVER (ORDER BY gain, ordinal) AS b FROM z) SELECT count(*) AS n, count(*) FILTER (gain > 0) AS positive, count(*) FILTER (gain > 0) / count(*) AS positive_share, CAST(list_sort(list(gain))[count(*) // 2 + 1] AS DOUBLE) AS median, round(corr(a, b), 9) AS rho FROM k")
+def coreg_gain_summary(spark, d):
+    r = _rows(spark).select("ordinal", ((F.col("ordinal") * 13 % 64) / 64.0 - F.lit(0.25)).alias("gain"), ((F.col("ordinal") * 7 % 32) / 32.0).alias("fill"))
+    return _nine(R.gain_summary(r, "gain", "fill", "ordinal"), "rho")
+
+
 @query(f"WITH {ROWS} SELECT CAST(sum(nnz * 2 + ordinal * 16) AS BIGINT) AS packed_bytes, CAST(sum(nnz * 4 + (bytes + 1) * 4) AS BIGINT) AS csr_bytes, sum(nnz * 2 + ordinal * 16) / sum(nnz * 4 + (bytes + 1) * 4) AS ratio FROM w")
 def position_metadata_totals(spark, d):
     return R.metadata_totals(_rows(spark).select((F.col("nnz") * 2).alias("position_bytes"), F.col("ordinal").alias("work_items"), "nnz", F.col("bytes").alias("rows")))

@@ -83,6 +83,19 @@ def coreg_bfp_gain(spark, d):
     return _nine(a.join(b), "int8", "int4")
 
 
+def _shuffled_l1(seed: int, levels: int = 127) -> str:
+    """Mean error of the magnitudes, dealt to the places in the order of the seed's hash."""
+    z = HASH.format("z")
+    order = f"(SELECT row_number() OVER (ORDER BY {z}, r, c) AS k, v FROM (SELECT *, {HASH.format(f'r + {seed * 1000003}')} + c AS z FROM g))"
+    dealt = f"(SELECT r, c, b.v FROM (SELECT row_number() OVER (ORDER BY r, c) AS k, r, c FROM g) a JOIN {order} b USING (k))"
+    return _l1(levels).replace("FROM e)", f"FROM {dealt})")
+
+
+@query(f"WITH {EMBED}, g AS (SELECT r, c, abs(v) AS v FROM e WHERE abs(v) > 0), x AS (SELECT {_l1(127).replace('FROM e)', 'FROM g)')} AS real_l1, ({' + '.join(_shuffled_l1(s) for s in (1, 2, 3, 4))}) / 4 AS null_l1) SELECT round(real_l1, 9) AS real_l1, round(null_l1, 9) AS null_l1, round(1 - real_l1 / null_l1, 9) AS gain FROM x")
+def coreg_int8_gain(spark, d):
+    return _nine(study.shuffled_gain(embedding_matrix(spark, d), 127), "real_l1", "null_l1", "gain")
+
+
 @query(f"WITH {E}, w AS (SELECT (r // 32 - i) AS a, (c // 8 - j) AS b FROM e, range(2) x(i), range(2) y(j)) SELECT a * 32 AS top, b * 8 AS \"left\", count(*) AS n FROM w WHERE a >= 0 AND b >= 0 GROUP BY ALL ORDER BY n DESC, top, \"left\" LIMIT 80")
 def window_densest(spark, d):
     return study.densest(parts(spark, d), 64, 16, 80)
