@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, lm_scoring, mixing, quality, sharding, simhash, storage, substrings, token_files, toxicity
+from . import decontaminate, html_text, lm_scoring, merkle, mixing, packing, quality, sharding, simhash, storage, substrings, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,20 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removed(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether the document as it is seen verifies."""
+    return merkle.lower_cased(_table(spark, sf_dir, "documents"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2,048 tokens, read back from the sequences."""
+    import public_tokenizers
+
+    path = storage.new_path(spark, "packed")
+    packing.write_packed(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.read_pieces(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
@@ -83,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_quality": op9_quality,
     "op10_substrings": op10_substrings,
+    "op11_merkle": op11_merkle,
+    "op12_packing": op12_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
