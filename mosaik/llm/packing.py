@@ -11,8 +11,8 @@ of a task. With cut=False examples are cut only where a limit is below them alon
 
 Each task packs the rows of its own input partition, so texts are never shuffled and no key can crowd a task; it holds
 WINDOW waiting pieces, each at most a sequence long, and one slice of its input. A sequence is a row of a table: number of the partition and of
-the sequence in it, padded size, the ids, and for each piece its example, start there, length, tokens before its loss begins and
-the tokens of its example. Sequence ids are partition * 2 ** 33 + number. The same files, read in the same partitions, give the same sequences.
+the sequence in it, padded size, the ids as little-endian numbers of `width` bytes (2 where the vocabulary allows, else 4), and for each
+piece its example, start there, length, tokens before its loss begins and the tokens of its example. Sequence ids are partition * 2 ** 33 + number. The same files, read in the same partitions, give the same sequences.
 
 Defined results: a null text or prompt is the empty one; an example without both is END alone. Rows with one doc_id, or none, are examples
 of their own. Texts may be of any length. Extra columns are ignored. No rows: an empty table.
@@ -168,15 +168,15 @@ def padded(size: int, tokens: int) -> int:
 
 # --- tables -------------------------------------------------------------------------------------------
 
-_SEQUENCES = "part int, number long, size int, ids array<int>, doc_ids array<long>, starts array<long>, lengths array<int>, silent array<int>, doc_tokens array<long>"
+_SEQUENCES = "part int, number long, size int, width int, ids binary, doc_ids array<long>, starts array<long>, lengths array<int>, silent array<int>, doc_tokens array<long>"
 _KIND = pa.schema(
-    [("part", pa.int32()), ("number", pa.int64()), ("size", pa.int32()), ("ids", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("silent", pa.list_(pa.int32())), ("doc_tokens", pa.list_(pa.int64()))]
+    [("part", pa.int32()), ("number", pa.int64()), ("size", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("silent", pa.list_(pa.int32())), ("doc_tokens", pa.list_(pa.int64()))]
 )
 #: Sequences in a record batch.
 _BATCH = 256
 
 
-def _batch(part: int, number: int, sequences: list[list[Piece]], tokens: int) -> pa.RecordBatch:
+def _batch(part: int, number: int, sequences: list[list[Piece]], tokens: int, width: int) -> pa.RecordBatch:
     pieces = [p for s in sequences for p in s]
     count = np.cumsum([0, *map(len, sequences)])
     length = np.array([len(p.ids) for p in pieces])
@@ -186,7 +186,8 @@ def _batch(part: int, number: int, sequences: list[list[Piece]], tokens: int) ->
         pa.array([part] * len(sequences), pa.int32()),
         pa.array(np.arange(number, number + len(sequences))),
         pa.array([padded(n, tokens) for n in np.diff(total).tolist()], pa.int32()),
-        lists(np.concatenate([p.ids for p in pieces]).astype(np.int32), pa.int32(), total),
+        pa.array([width] * len(sequences), pa.int32()),
+        pa.array([np.concatenate([p.ids for p in s]).astype(f"<u{width}").tobytes() for s in sequences], pa.binary()),
         lists([p.example for p in pieces], pa.int64(), count),
         lists([p.start for p in pieces], pa.int64(), count),
         lists(length.astype(np.int32), pa.int32(), count),
@@ -199,7 +200,7 @@ def _batch(part: int, number: int, sequences: list[list[Piece]], tokens: int) ->
 def _pack(vocabulary, limits: Limits, cut: bool):
     def pack(batches):
         encoder, packer, part = encoder_of(vocabulary.value), Packer(limits, cut), TaskContext.get().partitionId()
-        number, ready = 0, []
+        number, ready, width = 0, [], 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else 4
 
         def examples():
             for b in W.slices(W.slices(batches, "prompt")):
@@ -215,10 +216,10 @@ def _pack(vocabulary, limits: Limits, cut: bool):
         for sequence in examples():
             ready.append(sequence)
             if len(ready) == _BATCH:
-                yield _batch(part, number, ready, limits.tokens)
+                yield _batch(part, number, ready, limits.tokens, width)
                 number, ready = number + _BATCH, []
         if ready:
-            yield _batch(part, number, ready, limits.tokens)
+            yield _batch(part, number, ready, limits.tokens, width)
 
     return pack
 
@@ -235,20 +236,25 @@ def write_packed(examples: DataFrame, path: str, tokenizer: str, prompt: str | N
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """sequence_id, size with padding, ids, and the pieces as parallel arrays."""
+    """sequence_id, size with padding, ids (numbers of `width` bytes), and the pieces as parallel arrays."""
     id_ = F.shiftleft(F.col("part").cast("long"), 33) + F.col("number")
-    return spark.read.schema(_SEQUENCES).parquet(path).select(id_.alias("sequence_id"), "size", "ids", "doc_ids", "starts", "lengths", "silent", "doc_tokens")
+    return spark.read.schema(_SEQUENCES).parquet(path).select(id_.alias("sequence_id"), "size", "width", "ids", "doc_ids", "starts", "lengths", "silent", "doc_tokens")
 
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
+def unpacked(ids: pa.BinaryScalar | bytes, width: int) -> np.ndarray:
+    """The ids of a sequence."""
+    return np.frombuffer(ids if isinstance(ids, bytes) else ids.as_buffer(), f"<u{width}").astype("<u4")
+
+
 def _each_piece(batches):
     kind = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")])
     for b in batches:
         count = b.column("lengths").value_lengths().to_numpy(zero_copy_only=False)
         length, silent = (b.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lengths", "silent"))
-        raw = memoryview(np.ascontiguousarray(b.column("ids").flatten().to_numpy(zero_copy_only=False)).astype("<u4").tobytes())
+        raw = memoryview(np.concatenate([unpacked(i, w) for i, w in zip(b.column("ids"), b.column("width").to_pylist(), strict=True)]).tobytes())
         end = np.cumsum(length)
         crc = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip((end - length).tolist(), end.tolist(), strict=True)]
         first = np.repeat(np.cumsum(count) - count, count)

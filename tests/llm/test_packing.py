@@ -135,7 +135,7 @@ def test_files_give_back_every_piece(spark):
     padding, _, path = check(spark, rows)
     assert padding == 0
     first = P.read_sequences(spark, path).first()
-    assert len(first.ids) == sum(first.lengths) == first.size
+    assert len(P.unpacked(bytes(first.ids), first.width)) == sum(first.lengths) == first.size
     assert check(spark, [])[1] == []
     assert check(spark, [(1, "the same text of a third of all rows")] * 500)[0] == 0
 
