@@ -12,12 +12,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bounded import distinct_upto
 from ..functions.rounding import as_float, bf16, bf16_half_up, fp16, from_word16, half_away, word16
 from ..matrix import Matrix
 from .order import cells, running
 
 #: Share of entries kept out of bulk encoding, and bytes of one of them.
 OUTLIERS, OUTLIER_BYTES = 0.005, 16
+#: Distinct values of the largest dictionary: whether there are more is all that is asked of larger numbers.
+MOST_DISTINCT = 1 << 16
 DICTIONARIES = {"dict2": 1, "dict4": 2, "dict16": 4, "dict256": 8, "dict65536": 16}
 #: Order in which exact codecs are tried.
 LADDER = ("all_one", "const_c", "sign2", "sign2_scale", *DICTIONARIES)
@@ -33,10 +36,20 @@ def codec_name(name: str) -> str:
 
 
 def facts(m: Matrix, br: int = 8, bc: int = 4) -> DataFrame:
-    """One row: nnz, distinct, low, high, tiles and which exact codecs apply by value."""
-    f = m.entries.agg(F.count("*").alias("nnz"), F.count_distinct("value").alias("distinct"), F.min("value").alias("low"), F.max("value").alias("high"))
+    """One row: nnz, distinct (up to MOST_DISTINCT + 1), low, high and tiles, which decide the exact codecs that apply."""
+    return facts_each(m, {"": F.col("value")}, br, bc).drop("pattern")
+
+
+def facts_each(m: Matrix, patterns: dict[str, Column], br: int = 8, bc: int = 4) -> DataFrame:
+    """(pattern, nnz, distinct, low, high, tiles): facts of several columns of values over the same positions, in one aggregation of
+    the values and one of the positions."""
+    at = {k: f"v{i}" for i, k in enumerate(patterns)}
+    values = m.entries.select(*[c.alias(at[k]) for k, c in patterns.items()])
+    own = [F.struct(distinct_upto(F.col(v), MOST_DISTINCT).alias("distinct"), F.min(v).alias("low"), F.max(v).alias("high")).alias(v) for v in at.values()]
+    f = values.agg(F.count("*").alias("nnz"), *own)
     t = m.entries.select(F.expr(f"row DIV {br}").alias("a"), F.expr(f"col DIV {bc}").alias("b")).distinct().agg(F.count("*").alias("tiles"))
-    return f.join(t)
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("pattern"), F.col(v).alias("f")) for k, v in at.items()]))
+    return f.join(t).select("nnz", "tiles", each.alias("e")).select("e.pattern", "nnz", "e.f.distinct", "e.f.low", "e.f.high", "tiles")
 
 
 def applies(codec: str) -> Column:
@@ -74,7 +87,11 @@ def exact_report(m: Matrix) -> DataFrame:
 
 def auto_lossless(m: Matrix) -> DataFrame:
     """One row: the first exact codec that applies and saves bytes, else the original values."""
-    f = facts(m)
+    return picked(facts(m).withColumn("pattern", F.lit(""))).drop("pattern")
+
+
+def picked(f: DataFrame) -> DataFrame:
+    """(pattern, codec, nnz, distinct, payload_bytes) of each row of facts."""
     raw = (F.col("nnz") * 8).cast("long")
     pick = F.lit(None).cast("string")
     for c in reversed(LADDER):
@@ -82,7 +99,7 @@ def auto_lossless(m: Matrix) -> DataFrame:
     size = raw
     for c in LADDER:
         size = F.when(F.col("codec") == c, tile_bytes(c)).otherwise(size)
-    return f.withColumn("codec", F.when(F.col("nnz") == 0, F.lit("original")).otherwise(pick)).select("codec", "nnz", "distinct", size.alias("payload_bytes"))
+    return f.withColumn("codec", F.when(F.col("nnz") == 0, F.lit("original")).otherwise(pick)).select("pattern", "codec", "nnz", "distinct", size.alias("payload_bytes"))
 
 
 def dictionary(m: Matrix, most: int) -> tuple[DataFrame, DataFrame]:
@@ -221,10 +238,14 @@ def kmeans_centers(values: DataFrame, k: int, rounds: int = 16) -> list[float]:
 
 
 def nearest(v: Column, centers: list[float]) -> Column:
-    """The nearest of sorted centers, ties to the lower: as many centers lie before it as midpoints are less than v."""
+    """The nearest of sorted centers, ties to the lower: as many centers lie before it as midpoints are less than v, which is
+    found by halving, in as many steps as their number has bits."""
     array = F.array(*[F.lit(float(c)) for c in centers])
     middle = F.array(*[F.lit((a + b) / 2) for a, b in zip(centers, centers[1:], strict=False)]).cast("array<double>")
-    return F.element_at(array, (F.size(F.filter(middle, lambda x: x < v)) + 1).cast("int"))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(centers).bit_length()))]).cast("array<int>")
+    further = lambda at, step: (at + step < len(centers)) & (F.get(middle, at + step - 1) < v)
+    before = F.aggregate(steps, F.lit(0), lambda at, step: F.when(further(at, step), at + step).otherwise(at))
+    return F.get(array, before)
 
 
 def codebook256(m: Matrix) -> Matrix:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bounded import distinct_upto
 from ..matrix import Matrix
 from .tiles import shapes
 
@@ -91,9 +92,10 @@ def mixedness(s: DataFrame, dense_from: float = 0.2, cells: int = 32) -> DataFra
 
 
 def value_stats(m: Matrix, cap: int = 16) -> DataFrame:
+    distinct = distinct_upto(F.col("value"), cap)
     return m.entries.agg(
         F.count_if(F.col("value") == 0).alias("zeros"), F.bool_and(F.col("value") == 1).alias("all_one"), F.bool_and(F.col("value").isin(0.0, 1.0)).alias("is_binary"), F.bool_and(F.col("value").isin(-1.0, 0.0, 1.0)).alias("sign_only"),
-        F.least(F.count_distinct("value"), F.lit(cap)).alias("distinct_capped"), (F.count_distinct("value") > cap).alias("overflow"), F.min("value").alias("low"), F.max("value").alias("high"),
+        F.least(distinct, F.lit(cap)).alias("distinct_capped"), (distinct > cap).alias("overflow"), F.min("value").alias("low"), F.max("value").alias("high"),
     )
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.rounding import bf16, fp16
-from ..operators import codecs, metrics, profile, split, tiles
+from ..operators import codecs, evaluation, metrics, profile, split, tiles
 from ..operators.spmv import spmv, spmv_parts
 from ..plans.planner import catalog, gated
 from ..plans.policy import load_balance
-from ..sources.tables import deterministic_vector, embedding_matrix, input_vector, order_by_part
-from .parts import EMBED, ORDERS, PATTERNS, TILES, E, Query, X, parts, pattern, pattern_sql, rounded, spmv_sql
+from ..sources.tables import deterministic_vector, embedding_matrix, input_vector, order_by_part, shipments, table
+from .parts import EMBED, HASH, ORDERS, PATTERNS, TILES, E, Query, X, parts, pattern, pattern_sql, rounded, spmv_sql
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -55,7 +55,7 @@ def dict_encode(spark, d):
 
 _BYTES = {c: f"tiles * {4 * {'all_one': 0, 'const_c': 0, 'sign2': 1, 'sign2_scale': 1, **codecs.DICTIONARIES}[c]} + {dict(all_one='0', const_c='8', sign2='0', sign2_scale='8').get(c, 'd * 8')}" for c in codecs.LADDER}
 _RULES = {"all_one": "d = 1 AND lo = 1", "const_c": "d = 1", "sign2": "d = 2 AND lo = -1 AND hi = 1", "sign2_scale": "d = 2 AND lo = -hi"} | {c: f"d <= {2**k}" for c, k in codecs.DICTIONARIES.items()}
-FACTS = "f AS (SELECT count(*) AS nnz, count(DISTINCT v) AS d, min(v) AS lo, max(v) AS hi, (SELECT count(*) FROM (SELECT DISTINCT r // 8, c // 4 FROM e)) AS tiles FROM e)"
+FACTS = "f AS (SELECT count(*) AS nnz, least(count(DISTINCT v), 65537) AS d, min(v) AS lo, max(v) AS hi, (SELECT count(*) FROM (SELECT DISTINCT r // 8, c // 4 FROM e)) AS tiles FROM e)"
 
 
 @query(f"WITH {E}, {FACTS} " + " UNION ALL ".join(f"SELECT '{c}' AS codec, {_RULES[c]} AS applicable, CAST({_BYTES[c]} AS BIGINT) AS tile_payload_bytes FROM f" for c in codecs.LADDER))
@@ -81,20 +81,84 @@ def _auto(name: str) -> str:
 
 @query(" UNION ALL ".join(_auto(n).replace("AS distinct", 'AS "distinct"') for n in PATTERNS))
 def auto_lossless(spark, d):
-    out = None
-    for n in PATTERNS:
-        one = codecs.auto_lossless(pattern(spark, d, n)).select(F.lit(n).alias("pattern"), "codec", "nnz", "distinct", "payload_bytes")
-        out = one if out is None else out.unionAll(one)
-    return out
+    return codecs.picked(codecs.facts_each(parts(spark, d), {k: value() for k, (value, _) in PATTERNS.items()}))
 
 
-# --- rounding codecs --------------------------------------------------------------------------------------
-
 #: Exact exponent, then the nearest multiple of a power of two.
 BF16 = "CASE WHEN f = 0 THEN f ELSE round_even(f / pow(2, greatest(x, -126) - 7), 0) * pow(2, greatest(x, -126) - 7) END"
 FP16 = "CASE WHEN f = 0 THEN f ELSE round_even(f / pow(2, greatest(x, -14) - 10), 0) * pow(2, greatest(x, -14) - 10) END"
 
 
+# --- all codecs of several matrices ------------------------------------------------------------------------
+
+_EXPONENT = """CASE WHEN f = 0 THEN 0 WHEN pow(2, floor(log2(abs(f)))) > abs(f) THEN floor(log2(abs(f))) - 1
+WHEN pow(2, floor(log2(abs(f))) + 1) <= abs(f) THEN floor(log2(abs(f))) + 1 ELSE floor(log2(abs(f))) END"""
+_APPLY = {
+    "original": ("true", "nnz * 64"),
+    "all_one": ("lo = 1 AND hi = 1", "0"),
+    "const_c": ("d = 1", "64"),
+    "binary01": ("b AND NOT (lo = 1 AND hi = 1)", "nnz"),
+    "sign2": ("s", "nnz * 2"),
+    "sign2_scale": ("d = 2 AND lo = -hi", "nnz + 64"),
+} | {c: (f"d <= {2**k}", f"nnz * {k} + d * 64") for c, k in codecs.DICTIONARIES.items()}
+
+
+def evaluation_sql(entries: str, keys: str) -> str:
+    """A CTE `report` for entries e (keys, r, c, v)."""
+    exact = [
+        f"SELECT {keys}, nnz, '{c}' AS codec, {a} AS applicable, true AS exact, CAST({b} AS BIGINT) AS payload_bits, 0::BIGINT AS changed, 0::DOUBLE AS max_abs_error, 0::DOUBLE AS max_rel_error, 0::DOUBLE AS product_max_rel, 0::DOUBLE AS product_global_rel, {a} AS passes FROM f"
+        for c, (a, b) in _APPLY.items()
+    ]
+    lossy = [
+        f"""SELECT {keys}, nnz, '{c}' AS codec, true AS applicable, false AS exact, CAST(nnz * 16 AS BIGINT) AS payload_bits, CAST(n_{c} AS BIGINT) AS changed, a_{c} AS max_abs_error, r_{c} AS max_rel_error,
+e_{c} AS product_max_rel, g_{c} AS product_global_rel, e_{c} <= 1e-6 AS passes FROM f JOIN w USING ({keys})"""
+        for c in ("fp16", "bf16")
+    ]
+    by_row = ", ".join(
+        f"sum(CASE WHEN isinf(v_{c}) THEN 0 ELSE v_{c} - v END * p) AS d_{c}, count(*) FILTER (v_{c} <> v) AS n_{c}, max(abs(v_{c} - v)) AS a_{c}, max(abs(v_{c} - v) / greatest(abs(v), 1e-30)) AS r_{c}, bool_or(isinf(v_{c})) AS l_{c}" for c in ("fp16", "bf16")
+    )
+    whole = ", ".join(
+        f"""sum(n_{c}) AS n_{c}, max(a_{c}) AS a_{c}, max(r_{c}) AS r_{c}, CASE WHEN bool_or(l_{c}) THEN 'inf'::DOUBLE ELSE max(abs(d_{c}) / greatest(abs(y), 1e-30)) END AS e_{c},
+CASE WHEN bool_or(l_{c}) THEN 'inf'::DOUBLE ELSE max(abs(d_{c})) / greatest(max(abs(y)), 1e-30) END AS g_{c}"""
+        for c in ("fp16", "bf16")
+    )
+    probe = f"(CASE WHEN {HASH.format('c')} % 2001 = 1000 THEN 1 ELSE {HASH.format('c')} % 2001 - 1000 END) / 257.0::DOUBLE"
+    return f"""{entries},
+f AS (SELECT {keys}, count(*) AS nnz, least(count(DISTINCT v), 65537) AS d, min(v) AS lo, max(v) AS hi, bool_and(v IN (0, 1)) AS b, bool_and(v IN (-1, 0, 1)) AND bool_or(v = -1) AS s FROM e GROUP BY {keys}),
+z AS (SELECT *, CAST({_EXPONENT} AS INTEGER) AS x FROM (SELECT *, CAST(CAST(v AS FLOAT) AS DOUBLE) AS f FROM e)),
+q AS (SELECT *, CASE WHEN abs(f) >= 65520 THEN sign(f) * 'inf'::DOUBLE ELSE {FP16} END AS v_fp16, {BF16} AS v_bf16, {probe} AS p FROM z),
+y AS (SELECT {keys}, r, sum(v * p) AS y, {by_row} FROM q GROUP BY {keys}, r),
+w AS (SELECT {keys}, {whole} FROM y GROUP BY {keys}),
+report AS ({' UNION ALL '.join(exact + lossy)})"""
+
+
+_ROUNDED_ERRORS = "round(max_abs_error, 9) AS max_abs_error, round(max_rel_error, 9) AS max_rel_error, round(product_global_rel, 9) AS product_global_rel"
+SHIPPED = """l AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, l_partkey AS r, l_suppkey AS c, sum(l_quantity) AS quantity, max(l_discount) AS discount, max(l_extendedprice) AS price, CAST(count(*) AS DOUBLE) AS lines FROM lineitem GROUP BY ALL),
+e AS (SELECT year, field, r, c, v FROM (UNPIVOT l ON quantity, discount, price, lines INTO NAME field VALUE v) WHERE v <> 0)"""
+
+
+@query(f"""WITH {evaluation_sql(SHIPPED, 'year, field')}
+SELECT year, field, nnz, codec, applicable, exact, payload_bits, changed, {_ROUNDED_ERRORS}, passes, passes AND codec = arg_min(codec, (payload_bits, codec)) FILTER (passes) OVER (PARTITION BY year, field) AS chosen FROM report""")
+def codec_evaluation(spark, d):
+    keys = ["year", "field"]
+    report = evaluation.chosen(evaluation.evaluated(shipments(table(spark, d, "lineitem")), keys), keys)
+    return rounded(report.drop("product_max_rel"), 9, "max_abs_error", "max_rel_error", "product_global_rel")
+
+
+_BY_LABEL = EMBED.replace("e AS", "e0 AS", 1) + ", e AS (SELECT label, r, c, v FROM e0 JOIN embeddings ON r = vec_id)"
+
+
+@query(f"WITH {evaluation_sql(_BY_LABEL, 'label')} SELECT label, nnz, codec, applicable, exact, payload_bits, changed, {_ROUNDED_ERRORS}, passes FROM report")
+def codec_evaluation_embed(spark, d):
+    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    entries = embedding_matrix(spark, d).entries.join(own, F.col("row") == F.col("id")).select("label", "row", "col", "value")
+    return rounded(evaluation.evaluated(entries, ["label"]).drop("product_max_rel"), 9, "max_abs_error", "max_rel_error", "product_global_rel")
+
+
+# --- rounding codecs --------------------------------------------------------------------------------------
+
+
+
 def _rounded_sql(entries: str, how: str, out: str = "e", source: str = "e0") -> str:
     base = entries.replace("e AS", f"{source} AS", 1)
     return f"{base}, {out}f AS (SELECT r, c, v AS v0, CAST(CAST(v AS FLOAT) AS DOUBLE) AS f FROM {source}), {out}x AS (SELECT *, CAST(CASE WHEN f = 0 THEN 0 WHEN pow(2, floor(log2(abs(f)))) > abs(f) THEN floor(log2(abs(f))) - 1 WHEN pow(2, floor(log2(abs(f))) + 1) <= abs(f) THEN floor(log2(abs(f))) + 1 ELSE floor(log2(abs(f))) END AS INTEGER) AS x FROM {out}f), {out} AS (SELECT r, c, v0, {how} AS v FROM {out}x)"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import coo, metrics, profile, split, tiles
 from ..operators.spmv import spmv, spmv_parts, spmv_two_pass
 from ..sources.tables import banded_spd, deterministic_vector, input_vector, legacy_vector, order_by_part, probe_vector, shifted_laplacian, table
-from .parts import COLS, ORDERS, ROWS, TILES, E, Query, X, parts, spmv_sql
+from .parts import COLS, HASH, ORDERS, ROWS, TILES, E, Query, X, parts, spmv_sql
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -273,7 +273,6 @@ def x_legacy(spark, d):
     return legacy_vector(spark, 3000)
 
 
-HASH = "xor((({0}) % 2147483648 * 2654435761 + 1013904223) % 4294967296, ((({0}) % 2147483648 * 2654435761 + 1013904223) % 4294967296) >> 16)"
 
 
 @query(f"SELECT i AS idx, CASE WHEN h % 2001 = 1000 THEN 1 ELSE h % 2001 - 1000 END / 257.0::DOUBLE AS val FROM (SELECT i, {HASH.format('i')} AS h FROM range(3000) q(i))")

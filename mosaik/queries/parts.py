@@ -19,6 +19,9 @@ ROWS, COLS = "(SELECT max(p_partkey) + 1 FROM part)", "(SELECT max(s_suppkey) +
 TILES = "t AS (SELECT r // 8 AS br, c // 4 AS bc, CAST(bit_or(CAST(1 AS BIGINT) << CAST((r % 8) * 4 + c % 4 AS INTEGER)) AS BIGINT) AS bitmap, count(*) AS nnz FROM e GROUP BY ALL)"
 X = f"x AS (SELECT i AS idx, ((i % 17) - 8) * CAST(0.125 AS DOUBLE) AS val FROM range({COLS}) q(i))"
 
+#: The hash of a whole number, to be formatted with it.
+HASH = "xor((({0}) % 2147483648 * 2654435761 + 1013904223) % 4294967296, ((({0}) % 2147483648 * 2654435761 + 1013904223) % 4294967296) >> 16)"
+
 #: Value patterns over the positions of the first matrix: a Spark column and its SQL.
 PATTERNS = {
     "all_one": (lambda: F.lit(1.0), "CAST(1 AS DOUBLE)"),
