@@ -21,15 +21,15 @@ def _tile(br: int, bc: int) -> list[Column]:
     return [F.expr(f"row DIV {br}").alias("br"), F.expr(f"col DIV {bc}").alias("bc")]
 
 
-def tiled(m: Matrix, br: int = BR, bc: int = BC) -> DataFrame:
+def tiled(m: Matrix, br: int = BR, bc: int = BC, keys: tuple[str, ...] = ()) -> DataFrame:
     """(br, bc, bitmap, nnz, values): one row for each tile with entries; values stand in bit order.
 
-    Bitmaps of up to 63 bits fit a long; larger tiles take tiled_words."""
+    Bitmaps of up to 63 bits fit a long; larger tiles take tiled_words. keys: columns that tell several matrices apart."""
     if br * bc > 63:
         raise ValueError("tiles of more than 63 cells need tiled_words")
-    e = m.entries.select(*_tile(br, bc), bit_of(br, bc).cast("int").alias("bit"), "value")
-    t = e.groupBy("br", "bc").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bitmap"), F.count("*").alias("nnz"), F.sort_array(F.collect_list(F.struct("bit", "value"))).alias("cells"))
-    return t.select("br", "bc", "bitmap", "nnz", F.transform("cells", lambda c: c["value"]).alias("values"))
+    e = m.entries.select(*keys, *_tile(br, bc), bit_of(br, bc).cast("int").alias("bit"), "value")
+    t = e.groupBy(*keys, "br", "bc").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bitmap"), F.count("*").alias("nnz"), F.sort_array(F.collect_list(F.struct("bit", "value"))).alias("cells"))
+    return t.select(*keys, "br", "bc", "bitmap", "nnz", F.transform("cells", lambda c: c["value"]).alias("values"))
 
 
 def shapes(m: Matrix, br: int = BR, bc: int = BC) -> DataFrame:
@@ -67,12 +67,12 @@ def unflagged(word: Column) -> Column:
     return word.bitwiseAND(F.bitwise_not(F.lit(FLAG)))
 
 
-def decoded(tiles: DataFrame, br: int = BR, bc: int = BC) -> DataFrame:
+def decoded(tiles: DataFrame, br: int = BR, bc: int = BC, keys: tuple[str, ...] = ()) -> DataFrame:
     """Tiles back to entries: the k-th set bit has the k-th value."""
     bits = F.filter(F.sequence(F.lit(0), F.lit(br * bc - 1)), lambda b: F.call_function("getbit", F.col("bitmap"), b) == 1)
-    each = tiles.select("br", "bc", F.explode(F.arrays_zip(bits.alias("bit"), F.col("values"))).alias("cell"))
+    each = tiles.select(*keys, "br", "bc", F.explode(F.arrays_zip(bits.alias("bit"), F.col("values"))).alias("cell"))
     bit, value = F.col("cell").getField("bit"), F.col("cell").getField("values")
-    return each.select((F.col("br") * br + F.floor(bit / bc)).alias("row"), (F.col("bc") * bc + bit % bc).cast("long").alias("col"), value.alias("value"))
+    return each.select(*keys, (F.col("br") * br + F.floor(bit / bc)).alias("row"), (F.col("bc") * bc + bit % bc).cast("long").alias("col"), value.alias("value"))
 
 
 def value_pointers(shapes_: DataFrame) -> DataFrame:

@@ -133,7 +133,7 @@ report AS ({' UNION ALL '.join(exact + lossy)})"""
 
 
 _ROUNDED_ERRORS = "round(max_abs_error, 9) AS max_abs_error, round(max_rel_error, 9) AS max_rel_error, round(product_global_rel, 9) AS product_global_rel"
-SHIPPED = """l AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, l_partkey AS r, l_suppkey AS c, sum(l_quantity) AS quantity, max(l_discount) AS discount, max(l_extendedprice) AS price, CAST(count(*) AS DOUBLE) AS lines FROM lineitem GROUP BY ALL),
+SHIPPED = """l AS (SELECT CAST(coalesce(year(l_shipdate), 0) AS INTEGER) AS year, l_partkey AS r, l_suppkey AS c, sum(l_quantity) AS quantity, max(l_discount) AS discount, max(l_extendedprice) AS price, CAST(count(*) AS DOUBLE) AS lines FROM lineitem GROUP BY ALL),
 e AS (SELECT year, field, r, c, v FROM (UNPIVOT l ON quantity, discount, price, lines INTO NAME field VALUE v) WHERE v <> 0)"""
 
 

@@ -47,12 +47,16 @@ def embedding_matrix(spark: SparkSession, sf_dir: str) -> Matrix:
     return Matrix(e, _extent(e, "row"), _extent(e, "col"))
 
 
+#: Measures of shipments.
+MEASURES = ("quantity", "discount", "price", "lines")
+
+
 def shipments(lines: DataFrame) -> DataFrame:
-    """(year, field, row, col, value): for each year of shipping and each of four measures the matrix of parts by suppliers, without zeros."""
-    t = lines.groupBy(F.year("l_shipdate").alias("year"), F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col")).agg(
+    """(year, field, row, col, value): for each year of shipping (0: no date) and each measure the matrix of parts by suppliers, without zeros."""
+    t = lines.groupBy(F.coalesce(F.year("l_shipdate"), F.lit(0)).alias("year"), F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col")).agg(
         F.sum("l_quantity").alias("quantity"), F.max("l_discount").alias("discount"), F.max("l_extendedprice").alias("price"), F.count("*").cast("double").alias("lines")
     )
-    each = t.unpivot(["year", "row", "col"], ["quantity", "discount", "price", "lines"], "field", "value")
+    each = t.unpivot(["year", "row", "col"], list(MEASURES), "field", "value")
     return each.filter("value <> 0").select("year", "field", "row", "col", "value")
 
 
