@@ -55,7 +55,10 @@ OUTSIDE_NAMES = frozenset(
     "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login search form share sharing social related recommended recommendations trending popular "
     "tag tags pagination pager copyright legal disclaimer skip complementary contentinfo".split()
 )
-COMMENT_NAMES = frozenset("comment comments disqus reply replies respond discussion response responses review reviews feedback".split())
+COMMENT_NAMES = frozenset("comment comments disqus replies respond".split())
+#: Names that stand for comments or for what an article is about: a name made of these, and of words for readers and lists, leaves it to the blocks.
+AMBIGUOUS_NAMES = frozenset("reply discussion discussions response responses review reviews feedback".split())
+READER_NAMES = frozenset("user users customer customers reader readers visitor guest list section area thread item items container wrapper wrap box block body content post".split())
 INSIDE_NAMES = frozenset("article articlebody content main post entry story".split())
 #: Parts that make a name tell how something looks or works, not what it is.
 MODIFIERS = frozenset("by enabled disabled with without has no is open closed hidden visible on off layout theme page".split())
@@ -65,8 +68,9 @@ _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|
 _WORD = re.compile(r"\S+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
-#: Kinds of places: nothing is known; the tag of an article; the tag of something else; reader comments; a name of something else; a name of an article.
-NEUTRAL, ARTICLE, ELSEWHERE, COMMENTS, NAMED_ELSEWHERE, NAMED_ARTICLE = range(6)
+#: Kinds of places: nothing is known; the tag of an article; the tag of something else; reader comments; a name of something else; a name of an
+#: article; a name of comments or of an article's subject.
+NEUTRAL, ARTICLE, ELSEWHERE, COMMENTS, NAMED_ELSEWHERE, NAMED_ARTICLE, AMBIGUOUS = range(7)
 
 
 class Block(NamedTuple):
@@ -83,6 +87,8 @@ def _kind(name: str) -> int:
         return NEUTRAL
     if not COMMENT_NAMES.isdisjoint(parts):
         return COMMENTS
+    if not AMBIGUOUS_NAMES.isdisjoint(parts) and AMBIGUOUS_NAMES.union(READER_NAMES).issuperset(parts):
+        return AMBIGUOUS
     if parts[0] in OUTSIDE_NAMES or parts[-1] in OUTSIDE_NAMES:
         return NAMED_ELSEWHERE
     return NAMED_ARTICLE if parts[0] in INSIDE_NAMES or parts[-1] in INSIDE_NAMES else NEUTRAL
@@ -106,9 +112,13 @@ def _place(tag: str, attributes: str) -> int:
 
 def _within(outer: int, own: int, tag: str) -> int:
     """The kind of place inside of an element: inner marks decide, but only the tags of articles lead back from elsewhere,
-    and nothing from comments. The header of an article is part of it."""
+    and nothing from comments, or from what may be comments. The header of an article is part of it."""
     if COMMENTS in (outer, own):
         return COMMENTS
+    if outer == AMBIGUOUS:
+        return own if own in (ELSEWHERE, NAMED_ELSEWHERE) else outer
+    if own == AMBIGUOUS:
+        return outer if outer in (ELSEWHERE, NAMED_ELSEWHERE) else own
     if own == NEUTRAL or (tag == "header" and outer in (ARTICLE, NAMED_ARTICLE)):
         return outer
     if own == NAMED_ARTICLE and outer != NEUTRAL:
@@ -234,7 +244,7 @@ def blocks(page: str) -> list[Block]:
 
 
 #: Pages as their blocks, in order: words, per cent of them in links, kind of place (n nothing is known, a tag of an article, e tag of something
-#: else, c comments, w a name of something else, i a name of an article), + for the article.
+#: else, c comments, w a name of something else, i a name of an article, r a name of comments or of a subject), + for the article.
 LAYOUTS = (
     # An article element between a menu and a footer; an advert or a notice is named, or not.
     "1:100e 1:100e 2:100e 7:0w 9:0a+ 1:0a+ 60:0a+ 4:0a+ 120:3a+ 2:0a+ 1:100a+ 30:0a+ 9:0e",
@@ -270,10 +280,25 @@ LAYOUTS = (
     "4:0w 22:0w 7:0i+ 50:0i+ 2:0i+ 22:0i+ 3:0w 30:0i+ 22:0c 15:0c 4:0e",
     "1:100i 2:100i 1:100i 9:0i+ 60:0i+ 45:10i+ 1:0i+ 80:0i+ 2:100i 3:100i 2:100i 9:0e",
     "22:0w 22:0w 22:0i+ 2:0i+ 1:0w 22:0c", "8:0i+ 22:0i+ 12:0i+ 1:100w 2:100w 14:0w",
+    # Related stories within an article: a heading before links, and links beside links, go; a link on its own stays.
+    "1:100e 7:0a+ 60:0a+ 80:0a+ 2:0a 5:100a 6:100a 7:100a 9:0e", "9:0a+ 120:0a+ 45:0a+ 3:0a 8:100a 6:100a 5:100a 7:100a 33:0a+ 70:0a+ 12:0e", "6:0i+ 90:0i+ 2:0i 4:100i 9:100i 6:100i",
+    "8:0a+ 40:0a+ 6:100a 8:100a 25:0a+ 30:0a+", "11:0a+ 75:0a+ 22:0a+ 2:0a 4:100a 3:100a 6:100a 4:100a", "5:0a+ 33:0a+ 2:100a+ 48:0a+ 3:100a+ 61:0a+ 2:0a 9:100a 7:100a 8:100a", "70:0a+ 3:0a 7:100a 6:100a 50:0a+ 12:100a+ 44:0a+",
+    "40:0a+ 2:0a 6:100a 5:100a 8:100a 60:0a+", "30:0a+ 3:0a 4:100a 7:100a 45:0a+ 50:0a+", "66:0a+ 2:0a 3:100a 9:100a 35:0a+ 80:0a+", "90:0a+ 2:0a 3:100a 4:100a 6:100a", "28:0a+ 1:0a 4:100a 5:100a 31:0a+", "12:0a+ 55:0a+ 2:0a 5:100a 4:100a 9:0e",
+    "60:0a+ 40:0a+ 5:100a+", "8:0a+ 22:0a+ 3:100a+ 9:0a+ 30:0a+", "50:0a+ 2:100a+ 4:0a+ 70:0a+", "35:0a+ 6:100a+ 12:0a+", "44:0a+ 9:100a+", "20:0a+ 1:100a+ 8:0a+ 64:0a+", "31:0a+ 4:100a+",
+    "40:0a+ 2:0a 18:100a 22:100a 16:100a 30:0a+", "6:0a+ 70:0a+ 3:0a 21:100a 17:100a 25:100a", "55:0a+ 2:0a 16:100a 19:100a 48:0a+ 90:0a+ 70:0a+", "110:0a+ 95:0a+ 80:0a+ 2:0a 3:100a 4:100a 6:100a", "150:0a+ 130:0a+ 3:0a 15:100a 24:100a 20:100a",
+    "4:0a+ 2:100a+ 60:0a+", "3:0a+ 6:100a+ 80:0a+ 9:0a+ 5:100a+ 45:0a+", "7:0a+ 3:100a+ 12:0a+ 40:0a+", "5:0a+ 8:100a+ 20:0a+", "9:0a+ 4:100a+ 6:0a+ 2:100a+ 90:0a+", "8:0a+ 12:100a+ 18:0a+ 50:0a+", "10:0a+ 40:100a+ 9:0a+ 30:0a+",
+    "8:0n+ 70:0n+ 55:0n+ 2:0n 6:100n 7:100n 5:100n", "9:0i+ 55:0i+ 3:0i 5:100i 6:100i 40:0i+",
+    # An article under a name that may mean comments: there is hardly any prose elsewhere; and comments beside an article.
+    "1:100e 8:0r+ 100:0r+ 60:0r+ 9:0e", "1:100n 2:100n 7:0r+ 45:0r+ 150:0r+ 30:0r+ 1:100n", "30:0w 6:0r+ 80:0r+ 120:0r+ 9:0e", "25:0e 1:100e 12:0r+ 40:0r+ 3:0r+ 70:0r+", "3:100n 12:0n 5:0r+ 90:0r+ 20:0r+ 66:0r+ 8:0e",
+    "2:100e 10:0r+ 25:0r+ 33:0r+ 2:0r+ 140:0r+ 40:0c 22:0c", "100:0r+", "1:100n 35:0r+ 28:0r+",
+    "8:0a+ 90:0a+ 60:0a+ 2:0r 40:0r 22:0r 120:0r 9:0e", "7:0n+ 80:0n+ 45:0n+ 30:0r 15:0r 60:0r", "6:0i+ 50:0i+ 40:0i+ 9:0r 150:0r 80:0r", "5:0a+ 30:0a+ 25:0a+ 20:0r 33:0r", "9:0a+ 200:0a+ 3:0r 12:0r 5:0r 28:0r 100:0r 6:0e",
+    "1:100n 9:0n+ 40:0n+ 55:0n+ 18:0r 70:0r 2:100r 25:0r",
+    # A menu of one link right before prose, and prose right before one.
+    "1:100e 90:0a+ 30:0a+", "1:100e 200:0w+ 110:0w+ 90:0w+ 20:0e", "2:100e 120:0n+ 60:0n+ 1:100e", "1:100e 60:0n+ 50:0n+ 2:100e", "3:100e 85:0r+ 60:0r+ 1:100e", "2:100n 130:0n+ 70:0n+", "1:100e 45:0i+ 80:0i+ 2:100w 75:0i+",
     # Nothing but menus, forms, notices and comments.
     "1:100n 2:100n 1:100n 3:100n", "3:0w 25:20w 5:0e 4:0e", "12:0e 30:0e 1:100e 2:100e 8:0e", "15:0c 40:0c 12:0c 60:0c", "2:0n 1:100n 2:100n 4:0n 3:100n 1:100n",
 )
-_KINDS = "naecwi"
+_KINDS = "naecwir"
 
 
 class Tree(NamedTuple):
@@ -327,7 +352,9 @@ def tree() -> Tree:
 
 
 #: Columns of features.
-COLUMNS = ("words", "density", "words before", "density before", "words after", "density after", *(f"place {k}" for k in _KINDS), "share of articles")
+COLUMNS = ("words", "density", "words before", "density before", "words after", "density after", *(f"place {k}" for k in _KINDS), "share of articles", "prose")
+#: Words of prose on a page beyond which their number tells nothing more.
+MOST_PROSE = 400
 #: Link density up to which a block is prose.
 PROSE = 0.5
 
@@ -338,8 +365,10 @@ def features(found: list[Block]) -> np.ndarray:
     density = linked / np.maximum(1, words)
     near = [np.r_[0.0, v[:-1]] if side < 0 else np.r_[v[1:], 0.0] for side in (-1, 1) for v in (words, density)]
     prose = np.where(density <= PROSE, words, 0)
-    share = prose[np.isin(place, (ARTICLE, NAMED_ARTICLE))].sum() / max(1.0, prose[np.isin(place, (NEUTRAL, ARTICLE, NAMED_ARTICLE))].sum())
-    return np.column_stack([words, density, *near, place[:, None] == np.arange(len(_KINDS)), np.full(len(found), share)])
+    known = prose[np.isin(place, (NEUTRAL, ARTICLE, NAMED_ARTICLE))].sum()  # outside of what names or tags set apart
+    share = prose[np.isin(place, (ARTICLE, NAMED_ARTICLE))].sum() / max(1.0, known)
+    whole = [np.full(len(found), v) for v in (share, min(known, MOST_PROSE))]
+    return np.column_stack([words, density, *near, place[:, None] == np.arange(len(_KINDS)), *whole])
 
 
 def article(found: list[Block], model: Tree) -> list[Block]:
