@@ -16,7 +16,7 @@ Hashes have 64 bits. Two different windows are taken for equal only if their has
 holds an anchor that is shared: odds of about 1 in 10 ** 10 for a billion candidate windows.
 
 Defined results: a null or empty text has no words. Rows with the same doc_id are one document for
-"smaller doc_id"; a row without doc_id is never smaller and never loses words. Texts may be of any
+"smaller doc_id", and one that repeats any number of times has one set of places; a row without doc_id is never smaller and never loses words. Texts may be of any
 length. Extra columns, whatever their names, pass through without_repeats(). Empty tables give no rows.
 """
 
@@ -123,12 +123,12 @@ def windows_to_remove(docs: DataFrame) -> DataFrame:
     texts = _keyed(docs).filter("doc_id IS NOT NULL")
     anchors = texts.mapInArrow(_anchors, _HIT)
     shared = written(_repeats(anchors).select("shared"), "anchors")
-    found = anchors.join(shared, F.col("hash") == F.col("shared")).groupBy("doc_id", "key").agg(F.collect_list("at").alias("places"))
-    # A document's words bound its list of places.
+    found = anchors.join(shared, F.col("hash") == F.col("shared")).groupBy("doc_id", "key").agg(F.collect_set("at").alias("places"))
+    # A document's words bound its set of places, however often its row repeats.
     places = written(found, "places")
     windows = written(texts.join(places, ["doc_id", "key"]).mapInArrow(_windows, _HIT), "windows")
     least = written(_repeats(windows), "least")
-    gone = windows.join(least, F.col("hash") == F.col("shared")).filter("doc_id > least").groupBy("doc_id", "key").agg(F.collect_list("at").alias("places"))
+    gone = windows.join(least, F.col("hash") == F.col("shared")).filter("doc_id > least").groupBy("doc_id", "key").agg(F.collect_set("at").alias("places"))
     out = written(gone, "gone")
     dropped(shared, places, windows, least)
     return out

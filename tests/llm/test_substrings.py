@@ -65,6 +65,14 @@ def test_cover_aligns_any_two_positions():
     assert all(reach[i] & reach[j] for i in reach for j in reach)
 
 
+def test_a_row_that_repeats_has_one_set_of_places(spark):
+    text = " ".join(f"w{i}" for i in range(600))
+    rows = [(7, text)] * 1000 + [(3, text)] * 2
+    df = check(spark, rows)
+    places = S.windows_to_remove(df).collect()
+    assert [(r.doc_id, len(r.places)) for r in places] == [(7, 551)]
+
+
 def test_edges(spark):
     check(spark, [])
     check(spark, [(1, None)])
