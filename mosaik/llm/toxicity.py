@@ -315,8 +315,8 @@ def score(model: Model, col: pa.Array) -> np.ndarray:
 
 
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model of the labelled documents that are not held out."""
-    known = labels.filter(F.col("toxic").isin(0, 1) & ~_held_out()).select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y")).dropDuplicates(["id"])
+    """The model of the labelled documents that are not held out; of labels that contradict each other the toxic one counts."""
+    known = labels.filter(F.col("toxic").isin(0, 1) & ~_held_out()).select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y")).groupBy("id").agg(F.max("y").alias("y"))
     order = F.xxhash64("id", F.lit("sample"))
     picked = [known.filter(F.col("y") == c).orderBy(order, "id").limit(sample) for c in (0, 1)]
     rows = picked[0].unionAll(picked[1])  # at most two times sample rows

@@ -75,6 +75,13 @@ def test_held_out_texts_are_told_apart(spark):
     assert {r.doc_id: r.predicted for r in got}[9000] == 0
 
 
+def test_of_contradicting_labels_the_toxic_one_counts(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in (1, 3)], "doc_id long, text string")
+    for rows in ([(1, 0), (1, 1)], [(1, 1), (1, 0), (1, 0)]):
+        labels = spark.createDataFrame(rows, "doc_id long, toxic int").repartition(2)
+        assert {r.score for r in X.scored(docs, X.trained(docs, labels)).collect()} == {1.0}
+
+
 def test_without_both_classes(spark):
     docs = spark.createDataFrame([(1, "a text"), (2, None)], "doc_id long, text string")
     for labels, share in (([], 0.0), ([(1, 1), (3, 1)], 1.0)):
