@@ -22,6 +22,8 @@ of documents give one row for each doc_id and item; extra columns are ignored. D
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -224,9 +226,21 @@ def verified(index: Index, h: np.ndarray, w: W.Words) -> list[tuple[int, int, in
     return out
 
 
-def _scan(rows):
+_held: list = [None, None]
+
+
+def _index(sent: tuple) -> Index:
+    """The index of a block of items, built once in each Python process."""
+    key, rows = sent
+    if _held[0] != key:
+        _held[:] = [None, None]
+        _held[:] = [key, Index(rows.value)]
+    return _held[1]
+
+
+def _scan(sent):
     def scan(batches):
-        index = Index(rows.value)
+        index = _index(sent)
         for batch in W.slices(batches):
             w, h = tokens(batch.column("text"))
             found = verified(index, h, w)
@@ -254,10 +268,11 @@ class _Items:
         total = self.table.agg(F.sum(F.size("hashes"))).first()[0] or 0
         self.blocks = -(-total // block)
 
-    def sent(self, b: int):
+    def sent(self, b: int) -> tuple:
+        """A key, and the rows of a block."""
         mine = self.table.filter(F.pmod(F.xxhash64("item_id", "begin"), F.lit(self.blocks)) == b).collect()
         rows = [(r.item_id, r.begin, r.n, np.array(r.hashes, np.int64).tobytes()) for r in mine]
-        return self.table.sparkSession.sparkContext.broadcast(rows)
+        return uuid.uuid4().hex, self.table.sparkSession.sparkContext.broadcast(rows)
 
 
 def overlaps(docs: DataFrame, items: DataFrame, block: int = BLOCK, least_tokens: int = 1) -> DataFrame:
@@ -277,7 +292,7 @@ def overlaps(docs: DataFrame, items: DataFrame, block: int = BLOCK, least_tokens
         found = texts.mapInArrow(_scan(sent), _ROWS)
         if pieces.blocks > 1:
             found = written(found, "overlaps")
-            sent.destroy()
+            sent[1].destroy()
         out = found if out is None else out.unionAll(found)
     dropped(pieces.table)
     best = out.groupBy("doc_id", "item_id").agg(
@@ -288,9 +303,9 @@ def overlaps(docs: DataFrame, items: DataFrame, block: int = BLOCK, least_tokens
     )
 
 
-def _without(rows):
+def _without(sent):
     def scan(batches):
-        index = Index(rows.value)
+        index = _index(sent)
         for batch in W.slices(batches):
             w, h = tokens(batch.column("text"))
             free = np.ones(batch.num_rows, bool)
@@ -310,6 +325,6 @@ def clean(docs: DataFrame, items: DataFrame, block: int = BLOCK, least_tokens: i
         out = last.mapInArrow(_without(sent), last.schema)
         if b + 1 < pieces.blocks:
             out = written(out, "clean")
-            sent.destroy()
+            sent[1].destroy()
     dropped(pieces.table)
     return out
