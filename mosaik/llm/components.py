@@ -21,7 +21,8 @@ def _large_star(e: DataFrame, least: DataFrame) -> DataFrame:
 
 
 def _small_star(e: DataFrame, least: DataFrame) -> DataFrame:
-    rest = e.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    own = least.select(F.col("a").alias("hub"), "m")
+    rest = joined(e, own, "a", "hub", F.col("b")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return least.select("a", F.col("m").alias("b")).unionAll(rest).distinct()
 
 

@@ -99,6 +99,21 @@ def test_components_of_a_chain_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_hub_of_the_greatest_id_is_dealt_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST_HOT", 50)
+    hub, dealt, own = 10**9, [], skew.hot_keys
+
+    def watched(left, key):
+        hot = own(left, key)
+        dealt.append((key, hot is not None and hub in {r.hot for r in hot.collect()}))
+        return hot
+
+    monkeypatch.setattr(skew, "hot_keys", watched)
+    links = spark.createDataFrame([(hub, i) for i in range(3000)], "a long, b long")
+    assert {(r.node, r.component) for r in components(links).collect()} == {(i, 0) for i in [*range(3000), hub]}
+    assert ("a", True) in dealt
+
+
 def test_links_across_groups_are_all_pairs_or_one_of_each(spark):
     f = sorted({0, *(1 << i for i in range(20)), *(3 << i for i in range(40, 62))})
     rows = [(x, x, x % 3, x % 3, 7) for x in f]
