@@ -19,19 +19,36 @@ def logs(m: Matrix) -> DataFrame:
     return m.entries.filter((a > 0) & (a < float("inf"))).select("row", "col", F.log2(a).alias("g"))
 
 
-def spans(g: DataFrame, br: int = 8, bc: int = 4) -> DataFrame:
-    """(br, bc, n, span, fill) of each tile."""
-    t = g.groupBy(F.expr(f"row DIV {br}").alias("br"), F.expr(f"col DIV {bc}").alias("bc"))
+def spans(g: DataFrame, br: int = 8, bc: int = 4, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, br, bc, n, span, fill) of each tile."""
+    t = g.groupBy(*keys, F.expr(f"row DIV {br}").alias("br"), F.expr(f"col DIV {bc}").alias("bc"))
     return t.agg(F.count("*").alias("n"), (F.max("g") - F.min("g")).alias("span")).withColumn("fill", F.col("n") / F.lit(float(br * bc)))
 
 
-def shuffled(g: DataFrame, seed: int) -> DataFrame:
-    """The same positions with the values of other positions: places in row order meet places in the order of a
-    hash of the position; ties of the hash fall to the position. Both orders are numbered level by level."""
-    h = hashed(hashed(F.col("row") + F.lit(seed * 1000003)) + F.col("col"))
-    a = running(g.select("row", "col"), [*digits("row"), *digits("col")], "k")
-    b = running(g.withColumn("h", h), [F.shiftright("h", 20), F.shiftright("h", 8), F.struct("h", "row", "col")], "k").select("k", "g")
-    return a.join(b, "k").select("row", "col", "g")
+#: Rounds of a permutation: each exchanges half of the pairs that it makes.
+ROUNDS = 16
+
+
+def permuted(k: Column, n: int, seed: Column) -> Column:
+    """Where a keyed permutation of the numbers 0 to n - 1 takes k: swap or not. A round pairs each number with the one
+    that makes the round's sum modulo n, and a hash of the greater one says whether the two change places. Nothing is sorted."""
+
+    def round_(x: Column, i: Column) -> Column:
+        other = (hashed(hashed(seed * 1000003 + i)) % n - x + F.lit(n)) % n
+        bit = F.shiftright(hashed(F.greatest(x, other) + seed * 7919 + i * 104729), 15) % 2
+        return F.when(bit == 1, other).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS - 1).cast("long")), k.cast("long"), round_)
+
+
+def shuffled(g: DataFrame, seeds: int, rows: int, cols: int) -> DataFrame:
+    """(seed, row, col, g): for seeds 1, 2, ... the same positions with the values of other positions. Entries are numbered once, in the order of
+    rows and columns; each place takes the value at the permuted number, in one join for all seeds."""
+    numbered = running(g.select("row", "col", "g"), [*digits("row", rows), *digits("col", cols)], "k")
+    n = max(1, g.count())
+    each = numbered.select("row", "col", "k", F.explode(F.array(*[F.lit(s) for s in range(1, seeds + 1)])).alias("seed"))
+    places = each.select("seed", "row", "col", permuted(F.col("k"), n, F.col("seed")).alias("at"))
+    return places.join(numbered.select("k", "g"), F.col("at") == F.col("k")).select("seed", "row", "col", "g")
 
 
 def weighted_span(t: DataFrame, name: str) -> DataFrame:
@@ -49,6 +66,26 @@ def fill_bin(fill: Column) -> Column:
     return out.cast("int")
 
 
+#: Tiles below which a rank correlation tells nothing, and tiles of a sample.
+LEAST_TILES, MOST_TILES = 100, 200_000
+
+
+def least_hashed(t: DataFrame, most: int, *keys: str) -> DataFrame:
+    """Exactly most rows (all, if there are fewer), by the least hashes of whole numbers that tell rows apart: each task keeps a heap of
+    that many, and reruns give the same ones."""
+    h = F.lit(0).cast("long")
+    for k in keys:
+        h = hashed(h + F.col(k))
+    return t.withColumn("_h", h).orderBy("_h", *keys).limit(most).drop("_h")
+
+
+def sampled_spearman(t: DataFrame, a: str, b: str, *keys: str, most: int = MOST_TILES, least: int = LEAST_TILES) -> DataFrame:
+    """One row (tiles, rho): rank correlation over a sample of most tiles; null where there are fewer than least."""
+    picked = least_hashed(t, most, *keys)
+    size = picked.agg(F.count("*").alias("tiles"))
+    return size.join(spearman(picked, a, b)).select("tiles", F.when(F.col("tiles") >= least, F.col("rho")).alias("rho"))
+
+
 def average_ranks(pairs: DataFrame, c: str, name: str) -> DataFrame:
     """pairs with the rank of c, the mean of their places for ties; n tells how many rows a pair stands for."""
     each = pairs.groupBy(F.col(c).alias("v")).agg(F.sum("n").alias("of"))
@@ -78,21 +115,20 @@ def spearman_ordinal(t: DataFrame, a: str, b: str, tie: str) -> DataFrame:
     return _correlated(t.select((F.col("x") + 1.0).alias("x"), (F.col("y") + 1.0).alias("y"), F.lit(1).alias("n")))
 
 
-def relative_l1(m: Matrix, levels: int, br: int = 8, bc: int = 4) -> DataFrame:
-    """One row: relative error of whole numbers up to levels times each tile's exact maximum, ties to even."""
-    most = F.max(F.abs("value")).over(Window.partitionBy(F.expr(f"row DIV {br}"), F.expr(f"col DIV {bc}")))
+def relative_l1(m: Matrix, levels: int, br: int = 8, bc: int = 4, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each value of keys): relative error of whole numbers up to levels times each tile's exact maximum, ties to even."""
+    most = F.max(F.abs("value")).over(Window.partitionBy(*keys, F.expr(f"row DIV {br}"), F.expr(f"col DIV {bc}")))
     e = m.entries.withColumn("s", most / F.lit(float(levels))).filter("s > 0")
-    return e.agg((F.sum(F.abs(F.rint(F.col("value") / F.col("s")) * F.col("s") - F.col("value"))) / F.sum(F.abs("value"))).alias("rel_l1"))
+    return e.groupBy(*keys).agg((F.sum(F.abs(F.rint(F.col("value") / F.col("s")) * F.col("s") - F.col("value"))) / F.sum(F.abs("value"))).alias("rel_l1"))
 
 
 def shuffled_gain(m: Matrix, levels: int, seeds: int = 4) -> DataFrame:
     """One row: relative error of magnitudes in place, its mean over seeds shuffles of them, and the gain of the places."""
     a = m.entries.select("row", "col", F.abs("value").alias("g")).filter("g > 0")
-    error = lambda e: relative_l1(m.with_entries(e.withColumnRenamed("g", "value")), levels)
-    nulls = error(shuffled(a, 1))
-    for s in range(2, seeds + 1):
-        nulls = nulls.unionAll(error(shuffled(a, s)))
-    both = error(a).withColumnRenamed("rel_l1", "real_l1").join(nulls.agg(F.avg("rel_l1").alias("null_l1")))
+    dealt = shuffled(a, seeds, m.rows, m.cols).withColumnRenamed("g", "value")
+    nulls = relative_l1(m.with_entries(dealt), levels, keys=("seed",))
+    real = relative_l1(m.with_entries(a.withColumnRenamed("g", "value")), levels)
+    both = real.withColumnRenamed("rel_l1", "real_l1").join(nulls.agg(F.avg("rel_l1").alias("null_l1")))
     return both.withColumn("gain", 1 - F.try_divide("real_l1", "null_l1"))
 
 

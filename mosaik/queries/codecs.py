@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.rounding import bf16, fp16
-from ..operators import codecs, evaluation, metrics, profile, split, tiles
+from ..operators import codecs, evaluation, metrics, payload, profile, split, tiles
 from ..operators.spmv import spmv, spmv_parts
 from ..plans.planner import catalog, gated
 from ..plans.policy import load_balance
@@ -183,13 +183,13 @@ def spmv_fp16(spark, d):
 @query(spmv_sql(_rounded_sql(EMBED, FP16), EX, EROWS, 6))
 def spmv_fp16_tile512(spark, d):
     m = embedding_matrix(spark, d)
-    return _embed_product(spark, d, m.with_entries(codecs.from_word_tiles(codecs.word_tiles(m, "fp16"), "fp16")))
+    return _embed_product(spark, d, m.with_entries(payload.from_word_tiles(payload.word_tiles(m, "fp16"), "fp16")))
 
 
 @query(spmv_sql(_rounded_sql(EMBED, BF16), EX, EROWS, 6))
 def spmv_bf16_tile512(spark, d):
     m = embedding_matrix(spark, d)
-    return _embed_product(spark, d, m.with_entries(codecs.from_word_tiles(codecs.word_tiles(m, "bf16"), "bf16")))
+    return _embed_product(spark, d, m.with_entries(payload.from_word_tiles(payload.word_tiles(m, "bf16"), "bf16")))
 
 
 @query(f"WITH {_rounded_sql(ORDERS, BF16)} SELECT count(*) FILTER (v <> v0) AS changed, count(*) FILTER (v <> v0) / count(*) AS changed_ratio, max(abs(v - v0)) AS max_abs_error, round(max(abs(v - v0) / greatest(abs(v0), 1e-30)), 12) AS max_rel_error FROM e")
@@ -217,6 +217,85 @@ def spmv_bfp4(spark, d):
     return _embed_product(spark, d, codecs.bfp4(embedding_matrix(spark, d)))
 
 
+# --- payloads as bytes --------------------------------------------------------------------------------------
+
+
+def _through_bytes(name: str):
+    """The product of values that come from code words of a dictionary, packed in tiles."""
+
+    def run(spark, d):
+        m = pattern(spark, d, name)
+        coded, book, n = payload.interned([m.entries])
+        bits = payload.width_of(n)
+        codes = payload.unpacked(payload.packed(coded[0].withColumnRenamed("id", "code"), bits), bits)
+        return spmv(m.with_entries(codecs.from_dictionary(codes.withColumnRenamed("code", "id"), book)), input_vector(spark, m.cols))
+
+    return run
+
+
+for _name in codecs.DICTIONARIES:
+    query(spmv_sql(pattern_sql(_name)), f"spmv_packed_{_name}")(_through_bytes(_name))
+
+
+def _floating(bits: int):
+    def run(spark, d):
+        m = embedding_matrix(spark, d)
+        return _embed_product(spark, d, m.with_entries(payload.from_floating_tiles(payload.floating_tiles(m, bits), bits)))
+
+    return run
+
+
+query(spmv_sql(_bfp_sql(EMBED, 127), EX, EROWS, 6), "spmv_packed_bfp8")(_floating(8))
+query(spmv_sql(_bfp_sql(EMBED, 7), EX, EROWS, 6), "spmv_packed_bfp4")(_floating(4))
+
+_WIDTHS = {"dict2": 1, "dict4": 2, "dict16": 4, "dict256": 8, "dict65536": 16}
+_SIZES = [f"SELECT '{c}' AS codec, (SELECT count(*) FROM t) AS tiles, (SELECT count(*) FROM t) * {4 * bits} AS bytes" for c, bits in _WIDTHS.items()]
+_SIZES += [f"SELECT '{c}', (SELECT count(*) FROM t), (SELECT count(*) FROM t) * {4 * bits + 2}" for c, bits in (("bfp4", 4), ("bfp8", 8))]
+
+
+@query(f"WITH {E}, {TILES} {' UNION ALL '.join(_SIZES)}")
+def payload_sizes(spark, d):
+    m, out = parts(spark, d), None
+    code = F.pmod(F.col("row") * 31 + F.col("col"), F.lit(1 << 16))
+    made = {c: payload.packed(m.entries.withColumn("code", code % (1 << bits)), bits) for c, bits in _WIDTHS.items()}
+    made |= {f"bfp{bits}": payload.floating_tiles(m, bits) for bits in (4, 8)}
+    for c, t in made.items():
+        one = t.agg(F.count("*").alias("tiles"), F.sum(F.octet_length("payload")).cast("long").alias("bytes")).select(F.lit(c).alias("codec"), "tiles", "bytes")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+_FIRST_SIGHT = f"""{E}, {TILES},
+p AS (SELECT e.*, r // 8 AS br, r % 8 * 4 + c % 4 AS cell, c // 4 AS bc, CASE WHEN nnz <= 8 THEN 1 ELSE 0 END AS part FROM e JOIN t ON r // 8 = t.br AND c // 4 = t.bc),
+f AS (SELECT v, row_number() OVER (ORDER BY part, br, bc, cell) - 1 AS id FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY part, br, bc, cell) AS nth FROM p) WHERE nth = 1)"""
+
+
+def _interned(spark, d):
+    m = parts(spark, d)
+    return payload.interned(list(split.parted(m, split.marked(tiles.shapes(m), 8))))
+
+
+@query(f"WITH {_FIRST_SIGHT} SELECT part, r, c, id FROM p JOIN f USING (v)")
+def intern_first_sight(spark, d):
+    (kept, residual), _, _ = _interned(spark, d)
+    each = [x.select(F.lit(k).alias("part"), F.col("row").alias("r"), F.col("col").alias("c"), "id") for k, x in enumerate((kept, residual))]
+    return each[0].unionAll(each[1])
+
+
+@query(f"""WITH {_FIRST_SIGHT}, {X}, n AS (SELECT CASE WHEN count(*) <= 256 THEN 'dict_u8' ELSE 'dict_u16' END AS form FROM f)
+SELECT form, r AS "row", sum(v * val) AS y FROM p JOIN x ON c = idx, n GROUP BY ALL""")
+def spmv_joint_interned(spark, d):
+    """Kept tiles as packed code words and residual entries as ids of one codebook; the number of values decides the width."""
+    parts_, book, n = _interned(spark, d)
+    form = payload.joint_form(n)
+    bits = 8 if form == "dict_u8" else 16
+    kept = payload.unpacked(payload.packed(parts_[0].withColumnRenamed("id", "code"), bits), bits).withColumnRenamed("code", "id")
+    e = codecs.from_dictionary(kept.unionByName(parts_[1]), book)
+    x = input_vector(spark, parts(spark, d).cols)
+    p = e.join(x, F.col("col") == F.col("idx"))
+    return p.groupBy("row").agg(F.sum(F.col("value") * F.col("val")).alias("y")).select(F.lit(form).alias("form"), "row", "y")
+
+
 def _outlier_sql() -> str:
     base = EMBED.replace("e AS", "a0 AS", 1)
     th = "th AS (SELECT a AS t FROM (SELECT abs(v) AS a, row_number() OVER (ORDER BY abs(v)) - 1 AS k, count(*) OVER () AS n FROM a0) WHERE k = floor((1 - 0.005::DOUBLE) * n))"

@@ -18,8 +18,22 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 G = "g AS (SELECT r, c, log2(abs(v)) AS g FROM e WHERE abs(v) > 0 AND abs(v) < 'Infinity'::DOUBLE)"
 SPANS = "t AS (SELECT r // 8 AS br, c // 4 AS bc, count(*) AS n, max(g) - min(g) AS span, count(*) / 32.0::DOUBLE AS fill FROM g GROUP BY ALL)"
-H1 = HASH.format("r + 1000003")
-NULLS = f"a AS (SELECT row_number() OVER (ORDER BY r, c) AS k, r, c FROM g), h AS (SELECT *, {H1} + c AS z FROM g), b AS (SELECT row_number() OVER (ORDER BY {HASH.format('z')}, r, c) AS k, g FROM h), p AS (SELECT r, c, g FROM a JOIN b USING (k)), nt AS (SELECT r // 8 AS br, c // 4 AS bc, count(*) AS n, max(g) - min(g) AS span, count(*) / 32.0::DOUBLE AS fill FROM p GROUP BY ALL)"
+#: Seeds of the null model.
+SEEDS = 4
+
+
+def shuffles_sql(source: str = "g", value: str = "g", out: str = "p", seeds: int = SEEDS) -> str:
+    """CTEs that end with `out` (seed, r, c, value): for each seed the positions of source with permuted values."""
+    twice = lambda x: HASH.format(HASH.format(x))
+    steps = [f"{out}k AS MATERIALIZED (SELECT r, c, {value}, row_number() OVER (ORDER BY r, c) - 1 AS k, count(*) OVER () AS n FROM {source})", f"{out}0 AS (SELECT seed, r, c, n, k AS x FROM {out}k, range(1, {seeds + 1}) s(seed))"]
+    for i in range(study.ROUNDS):
+        pair = f"SELECT *, ({twice(f'seed * 1000003 + {i}')} % n - x + n) % n AS y FROM {out}{i}"
+        bit = f"({HASH.format(f'greatest(x, y) + seed * 7919 + {i * 104729}')} >> 15) % 2"
+        steps.append(f"{out}{i + 1} AS (SELECT seed, r, c, n, CASE WHEN {bit} = 1 THEN y ELSE x END AS x FROM ({pair}))")
+    return ", ".join([*steps, f"{out} AS (SELECT seed, q.r, q.c, b.{value} FROM {out}{study.ROUNDS} q JOIN {out}k b ON x = k)"])
+
+
+NULLS = f"{shuffles_sql()}, nt AS (SELECT seed, r // 8 AS br, c // 4 AS bc, count(*) AS n, max(g) - min(g) AS span, count(*) / 32.0::DOUBLE AS fill FROM p GROUP BY ALL)"
 BIN = "(" + " + ".join(f"(fill >= {x}::DOUBLE)::INTEGER" for x in study.FILL_BINS[1:-1]) + ")"
 
 
@@ -44,16 +58,20 @@ def coreg_span(spark, d):
 
 @query(f"WITH {E}, {G}, {SPANS}, {NULLS}, x AS (SELECT (SELECT sum(n * span) / sum(n) FROM t) AS real_span, (SELECT sum(n * span) / sum(n) FROM nt) AS null_span) SELECT round(real_span, 9) AS real_span, round(null_span, 9) AS null_span, round(CASE WHEN null_span > 1e-12 THEN 1 - real_span / null_span ELSE 'NaN'::DOUBLE END, 9) AS gain FROM x")
 def coreg_null(spark, d):
-    g = study.logs(parts(spark, d))
-    r = study.weighted_span(study.spans(g), "real_span").join(study.weighted_span(study.spans(study.shuffled(g, 1)), "null_span"))
+    m = parts(spark, d)
+    g = study.logs(m)
+    null = study.spans(study.shuffled(g, SEEDS, m.rows, m.cols), keys=("seed",))
+    r = study.weighted_span(study.spans(g), "real_span").join(study.weighted_span(null, "null_span"))
     return _nine(r.withColumn("gain", study.coherence_gain(F.col("real_span"), F.col("null_span"))), "real_span", "null_span", "gain")
 
 
-@query(f"WITH {E}, {G}, {SPANS}, {NULLS}, x AS (SELECT {BIN} AS bin, sum(n) AS w, sum(n * span) AS s FROM t GROUP BY ALL), y AS (SELECT {BIN} AS bin, sum(n * span) AS s FROM nt GROUP BY ALL) SELECT bin, CAST(w AS BIGINT) AS w, round(x.s / w, 9) + 0 AS real_span, round(y.s / w, 9) + 0 AS null_span FROM x JOIN y USING (bin)")
+@query(f"WITH {E}, {G}, {SPANS}, {NULLS}, x AS (SELECT {BIN} AS bin, sum(n) AS w, sum(n * span) AS s FROM t GROUP BY ALL), y AS (SELECT {BIN} AS bin, sum(n * span) / {SEEDS} AS s FROM nt GROUP BY ALL) SELECT bin, CAST(w AS BIGINT) AS w, round(x.s / w, 9) + 0 AS real_span, round(y.s / w, 9) + 0 AS null_span FROM x JOIN y USING (bin)")
 def coreg_fill_bins(spark, d):
-    g = study.logs(parts(spark, d))
+    m = parts(spark, d)
+    g = study.logs(m)
     b = lambda t: t.groupBy(study.fill_bin(F.col("fill")).alias("bin")).agg(F.sum("n").alias("w"), F.sum(F.col("n") * F.col("span")).alias("s"))
-    real, null = b(study.spans(g)), b(study.spans(study.shuffled(g, 1))).select("bin", F.col("s").alias("ns"))
+    null = b(study.spans(study.shuffled(g, SEEDS, m.rows, m.cols), keys=("seed",))).select("bin", (F.col("s") / SEEDS).alias("ns"))
+    real = b(study.spans(g))
     return _nine(real.join(null, "bin").select("bin", "w", (F.col("s") / F.col("w")).alias("real_span"), (F.col("ns") / F.col("w")).alias("null_span")), "real_span", "null_span")
 
 
@@ -72,6 +90,18 @@ def coreg_spearman_ordinal(spark, d):
     return _nine(study.spearman_ordinal(t, "n", "span", "tie"), "rho")
 
 
+_BY_HASH = HASH.format(f"{HASH.format('0 + br')} + bc")
+
+
+@query(
+    f"WITH {E}, {G}, {SPANS}, s AS (SELECT n, round(span, 9) AS s FROM t WHERE n >= 2 ORDER BY {_BY_HASH}, br, bc LIMIT 3000), k AS (SELECT {_RANK.format('n')} AS a, {_RANK.format('s')} AS b FROM s) "
+    "SELECT count(*) AS tiles, CASE WHEN count(*) >= 100 THEN round(corr(a, b), 9) END AS rho FROM k"
+)
+def coreg_spearman_sample(spark, d):
+    t = _nine(study.spans(study.logs(parts(spark, d))).filter("n >= 2"), "span")
+    return _nine(study.sampled_spearman(t, "n", "span", "br", "bc", most=3000), "rho")
+
+
 def _l1(levels: int) -> str:
     return f"(SELECT sum(abs(round_even(v / s, 0) * s - v)) / sum(abs(v)) FROM (SELECT v, max(abs(v)) OVER (PARTITION BY r // 8, c // 4) / {levels}::DOUBLE AS s FROM e) WHERE s > 0)"
 
@@ -83,15 +113,13 @@ def coreg_bfp_gain(spark, d):
     return _nine(a.join(b), "int8", "int4")
 
 
-def _shuffled_l1(seed: int, levels: int = 127) -> str:
-    """Mean error of the magnitudes, dealt to the places in the order of the seed's hash."""
-    z = HASH.format("z")
-    order = f"(SELECT row_number() OVER (ORDER BY {z}, r, c) AS k, v FROM (SELECT *, {HASH.format(f'r + {seed * 1000003}')} + c AS z FROM g))"
-    dealt = f"(SELECT r, c, b.v FROM (SELECT row_number() OVER (ORDER BY r, c) AS k, r, c FROM g) a JOIN {order} b USING (k))"
-    return _l1(levels).replace("FROM e)", f"FROM {dealt})")
+_L1_BY_SEED = "SELECT seed, sum(abs(round_even(v / s, 0) * s - v)) / sum(abs(v)) AS rel FROM (SELECT seed, v, max(abs(v)) OVER (PARTITION BY seed, r // 8, c // 4) / 127::DOUBLE AS s FROM p) WHERE s > 0 GROUP BY seed"
 
 
-@query(f"WITH {EMBED}, g AS (SELECT r, c, abs(v) AS v FROM e WHERE abs(v) > 0), x AS (SELECT {_l1(127).replace('FROM e)', 'FROM g)')} AS real_l1, ({' + '.join(_shuffled_l1(s) for s in (1, 2, 3, 4))}) / 4 AS null_l1) SELECT round(real_l1, 9) AS real_l1, round(null_l1, 9) AS null_l1, round(1 - real_l1 / null_l1, 9) AS gain FROM x")
+@query(
+    f"WITH {EMBED}, g AS (SELECT r, c, abs(v) AS v FROM e WHERE abs(v) > 0), {shuffles_sql(value='v')}, x AS (SELECT {_l1(127).replace('FROM e)', 'FROM g)')} AS real_l1, (SELECT avg(rel) FROM ({_L1_BY_SEED})) AS null_l1) "
+    "SELECT round(real_l1, 9) AS real_l1, round(null_l1, 9) AS null_l1, round(1 - real_l1 / null_l1, 9) AS gain FROM x"
+)
 def coreg_int8_gain(spark, d):
     return _nine(study.shuffled_gain(embedding_matrix(spark, d), 127), "real_l1", "null_l1", "gain")
 

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from mosaik.functions import rounding
+from mosaik.functions.bounded import distinct_upto
 from mosaik.matrix import Matrix
-from mosaik.operators import codecs, coo, metrics, profile, results, solvers, split, study, tiles
+from mosaik.operators import codecs, coo, metrics, payload, profile, results, solvers, split, study, tiles
 from mosaik.operators.spmv import spmv
 from mosaik.sources import matrix_market as MM
 from mosaik.sources import tables as T
@@ -200,5 +201,76 @@ def test_gates_and_errors(spark):
 def test_lists_and_shuffles(spark):
     assert results.lpt([("a", 5), ("b", 4), ("c", 3), ("d", 3)], 2) == [["a", "d"], ["b", "c"]]
     g = spark.createDataFrame([(i, i, float(i)) for i in range(50)], "row long, col long, g double")
-    s = study.shuffled(g, 3)
-    assert sorted(r.g for r in s.collect()) == [float(i) for i in range(50)] and s.filter("g <> row").count() > 30
+    s = study.shuffled(g, 3, 50, 50).collect()
+    for seed in (1, 2, 3):
+        assert sorted(r.g for r in s if r.seed == seed) == [float(i) for i in range(50)] and sum(r.g != r["row"] for r in s if r.seed == seed) > 30
+    assert len({tuple(r.g for r in sorted(s, key=lambda r: r["row"]) if r.seed == seed) for seed in (1, 2, 3)}) == 3
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 1000])
+def test_permutations_are_one_to_one_and_spread(spark, n):
+    t = spark.range(n).select(F.col("id").alias("k"), F.explode(F.array(F.lit(1), F.lit(2))).alias("seed"))
+    got = t.withColumn("at", study.permuted(F.col("k"), n, F.col("seed"))).orderBy("seed", "k").collect()
+    for seed in (1, 2):
+        assert sorted(r.at for r in got if r.seed == seed) == list(range(n))
+    if n == 1000:
+        near = [abs(a.at - b.at) for a, b in zip(got, got[1:], strict=False) if a.seed == b.seed]
+        assert 250 < sum(near) / len(near) < 420  # a third of n
+
+
+def test_exact_samples_by_hash(spark):
+    t = spark.range(500).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b"))
+    one = {r.a for r in study.least_hashed(t, 120, "a", "b").collect()}
+    assert len(one) == 120 and one == {r.a for r in study.least_hashed(t.repartition(5), 120, "a", "b").collect()}
+    assert study.least_hashed(t, 1000, "a", "b").count() == 500
+    few = t.limit(99).withColumn("c", F.col("a") * 2)
+    assert tuple(study.sampled_spearman(few, "a", "c", "a").first()) == (99, None)
+    assert study.sampled_spearman(t.withColumn("c", -F.col("a")), "a", "c", "a", most=200).first() == (200, pytest.approx(-1.0))
+
+
+@pytest.mark.parametrize("bits", payload.WIDTHS)
+def test_code_words_lie_in_bit_order(spark, bits):
+    codes = [(r, c, (r * 131 + c * 17 + 5) % (1 << bits)) for r in range(11) for c in range(9) if (r + c) % 3]
+    t = payload.packed(spark.createDataFrame(codes, "row long, col long, code long"), bits)
+    cells = {}
+    for r, c, x in codes:
+        cells.setdefault((r // 8, c // 4), {})[r % 8 * 4 + c % 4] = x
+    for r in t.collect():
+        own = cells[r.br, r.bc]
+        whole = sum(x << (k * bits) for k, x in own.items())
+        assert bytes(r.payload) == whole.to_bytes(payload.payload_bytes(bits), "little") and r.bitmap == sum(1 << k for k in own)
+    assert sorted(map(tuple, payload.unpacked(t, bits).collect())) == codes
+    assert payload.violations(t, bits).count() == 0
+    short = t.withColumn("payload", F.expr("substring(payload, 2)"))
+    assert [tuple(r) for r in payload.violations(short, bits).collect()] == [("payload size", t.count())]
+    fewer = t.withColumn("bitmap", F.lit(0))
+    assert {r.rule for r in payload.violations(fewer, bits).collect()} == {"code without entry", "empty tile"}
+    with pytest.raises(ValueError):
+        payload.payload_bytes(3)
+
+
+def test_scaled_tiles_have_a_scale_and_signed_numbers(spark):
+    m = matrix(spark, 16, 8, [(0, 0, 1.0), (0, 1, -1.0), (7, 3, 0.3), (8, 4, -250.0), (9, 5, 3.0), (15, 7, 0.0)])
+    for bits, size in ((8, 34), (4, 18)):
+        t = payload.floating_tiles(m, bits)
+        assert {len(r.payload) for r in t.collect()} == {size} and payload.violations(t, bits, scaled=True).count() == 0
+        want = {8: codecs.bfp8, 4: codecs.bfp4}[bits](m).entries.collect()
+        assert sorted(map(tuple, payload.from_floating_tiles(t, bits).collect())) == sorted(map(tuple, want))
+
+
+def test_interning_goes_by_first_sight_and_bits(spark):
+    kept = matrix(spark, 16, 8, [(8, 0, 5.0), (0, 4, 0.0), (1, 0, 7.0), (0, 1, -0.0)]).entries
+    rest = matrix(spark, 16, 8, [(0, 0, 9.0), (15, 7, 7.0)]).entries
+    parts, book, n = payload.interned([kept, rest])
+    assert [(r.id, str(r.value)) for r in book.orderBy("id").collect()] == [(0, "-0.0"), (1, "7.0"), (2, "0.0"), (3, "5.0"), (4, "9.0")] and n == 5
+    assert sorted(map(tuple, parts[1].collect())) == [(0, 0, 4), (15, 7, 1)]
+    many = spark.range(65537).select(F.col("id").alias("row"), F.lit(0).cast("long").alias("col"), F.col("id").cast("double").alias("value"))
+    assert payload.interned([many]) is None and payload.interned([many.limit(65536)])[2] == 65536
+    assert [payload.joint_form(x) for x in (2, 256, 257, 65536, None)] == ["dict_u8", "dict_u8", "dict_u16", "dict_u16", "bfp8"]
+
+
+@pytest.mark.parametrize("cap", [2, 16, 256])
+def test_counts_of_distinct_values_stop_at_their_bound(spark, cap):
+    for n in (0, 1, cap - 1, cap, cap + 1, 3 * cap, 50 * cap):
+        t = spark.range(n).select((F.col("id") * 0.25).alias("v")).repartition(3)
+        assert t.agg(distinct_upto(F.col("v"), cap)).first()[0] == min(n, cap + 1)

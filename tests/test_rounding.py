@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mosaik.functions.rounding import bf16, fp16, from_word16, word16
 from mosaik.matrix import Matrix
-from mosaik.operators import codecs
+from mosaik.operators import codecs, payload
 
 VALUES = [0.0, 1.0, -1.0, 0.1, -2.5, 65504.0, 65519.0, 65520.0, -1e9, 6.1e-5, 6.0e-5, -5.96e-8, 2.9e-8, 3.1e-8, 1 / 3, 1023.5, 2049.0, 2051.0, 1e-40, 3.0e38]
 
@@ -31,10 +31,10 @@ def test_words_are_those_of_the_format(spark, form):
 def test_tiles_of_words_hold_64_bytes_and_keep_stored_zeros(spark, form):
     e = [(0, 0, 0.1), (7, 3, -2.0), (8, 4, 0.0), (100, 9, 1 / 3)]
     m = Matrix(spark.createDataFrame(e, "row long, col long, value double"), 101, 10)
-    t = codecs.word_tiles(m, form)
+    t = payload.word_tiles(m, form)
     assert {(r.br, r.bc, len(r.payload)) for r in t.collect()} == {(0, 0, 64), (1, 1, 64), (12, 2, 64)}
     want = codecs.rounded(m, {"fp16": fp16, "bf16": bf16}[form]).entries.collect()
-    got = codecs.from_word_tiles(t, form).collect()
+    got = payload.from_word_tiles(t, form).collect()
     assert sorted(map(tuple, got)) == sorted((r["row"], r["col"], r["value"]) for r in want)
     empty = m.with_entries(m.entries.limit(0))
-    assert codecs.from_word_tiles(codecs.word_tiles(empty, form), form).count() == 0
+    assert payload.from_word_tiles(payload.word_tiles(empty, form), form).count() == 0
