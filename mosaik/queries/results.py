@@ -9,7 +9,7 @@ from ..sources import matrix_market
 from ..sources.reports import basename, first_paths, listed, matching, matrix_list as read_list, report_value, result_csv, setting, shard_of, write_report
 from ..sources.scratch import scratch
 from ..sources.tables import table
-from .parts import E, Query, parts
+from .parts import E, Query, parts, pattern, pattern_sql
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -234,6 +234,14 @@ def matrix_market_scan(spark, d):
     return matrix_market.read(spark, path).matrix.entries.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("value").alias("v"))
 
 
+@query(f"WITH {pattern_sql('binary01')} SELECT r, c, v FROM e")
+def matrix_market_stored_zeros(spark, d):
+    """Entries that are zero stay where the reader is told to keep them."""
+    path = scratch(spark, "market")
+    matrix_market.write(pattern(spark, d, "binary01"), path, parts=5)
+    return matrix_market.read(spark, path, drop_zeros=False).matrix.entries.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("value").alias("v"))
+
+
 @query("""WITH p AS (SELECT DISTINCT concat('Group', CAST(s_nationkey AS VARCHAR), '/m', CAST(s_suppkey AS VARCHAR), '/m', CAST(s_suppkey AS VARCHAR), '.mtx') AS path FROM supplier)
 SELECT path, regexp_replace(split_part(path, '/', 3), '\\.mtx$', '') AS name FROM p WHERE regexp_matches(path, '^Group1') ORDER BY path LIMIT 7""")
 def matrix_list_file(spark, d):

@@ -83,20 +83,16 @@ def head_lines(spark: SparkSession, path: str) -> list[str]:
         reader.close()
 
 
-def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(n, line): lines with their number, counted over partitions of one file."""
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", "\r$", "").alias("line"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("id"))
-    sizes = {r.p: r.n for r in lines.groupBy("p").agg(F.count("*").alias("n")).collect()}
-    offsets, total = [], 0
-    for p in range(max(sizes, default=-1) + 1):
-        offsets.append(total)
-        total += sizes.get(p, 0)
-    base = F.element_at(F.array(*[F.lit(o) for o in offsets or [0]]), F.col("p") + 1)
-    return lines.select((base + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).alias("n"), "line")
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(at, line): lines with their place, by file, beginning of the split and row of its partition. Splits are read as Spark cuts
+    them; nothing is numbered."""
+    text = spark.read.option("lineSep", "\n").text(path)
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    return text.select(at.alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
 
 
 def parse_entries(lines: DataFrame, header: Header) -> DataFrame:
-    """(row, col, value) of entry lines (n, line), 0-based; a malformed or outlying entry fails the query."""
+    """(row, col, value) of entry lines (at, line), 0-based; a malformed or outlying entry fails the query."""
     t = F.split(F.trim("line"), r"\s+")
     value = F.lit(1.0) if header.field == "pattern" else F.get(t, 2).try_cast("double")
     e = lines.select("line", (F.get(t, 0).try_cast("long") - 1).alias("row"), (F.get(t, 1).try_cast("long") - 1).alias("col"), value.alias("value"))
@@ -106,30 +102,34 @@ def parse_entries(lines: DataFrame, header: Header) -> DataFrame:
 
 
 def entry_lines(lines: DataFrame, header: Header) -> DataFrame:
-    """The first stored entry lines after the header; what follows them is ignored."""
-    body = lines.filter((F.col("n") >= header.lines) & (F.col("line") != "") & ~F.col("line").startswith("%"))
-    extra = body.agg(F.count("*")).first()[0] - header.stored
+    """The stored entry lines: those after the size line, which is the first that is no comment; what follows the announced number is ignored.
+
+    One pass counts them and finds the size line."""
+    body = lines.filter((F.col("line") != "") & ~F.col("line").startswith("%"))
+    found = body.agg(F.count("*").alias("n"), F.min("at").alias("first")).first()
+    extra = found.n - 1 - header.stored
     if extra < 0:
         raise ValueError(f"{header.stored} entries announced, {header.stored + extra} found")
+    place = lambda at: F.struct(F.lit(at.file).alias("file"), F.lit(at.block).alias("block"), F.lit(at.id).alias("id"))
+    rest = body.filter(F.col("at") > place(found["first"]))
     if extra:
-        last = body.select("n").orderBy(F.desc("n")).limit(extra).agg(F.min("n")).first()[0]
-        body = body.filter(F.col("n") < last)
-    return body
+        last = rest.select("at").orderBy(F.desc("at")).limit(extra).agg(F.min("at").alias("at")).first()["at"]
+        rest = rest.filter(F.col("at") < place(last))
+    return rest
 
 
-def write(m: Matrix, path: str, comments: list[str] | None = None) -> None:
-    """m as one real general file, written by one task: a file has one beginning."""
-    nnz = m.entries.count()
-    head = ["%%MatrixMarket matrix coordinate real general", *(f"% {c}" for c in comments or []), f"{m.rows} {m.cols} {nnz}"]
-    spark = m.entries.sparkSession
-    first = spark.createDataFrame(list(enumerate(head)), "n long, value string")
-    rest = m.entries.select(F.lit(len(head)).cast("long").alias("n"), F.concat_ws(" ", F.col("row") + 1, F.col("col") + 1, F.col("value").cast("string")).alias("value"))
-    first.unionAll(rest).repartition(1).sortWithinPartitions("n").select("value").write.text(path)
+def write(m: Matrix, path: str, comments: list[str] | None = None, parts: int | None = None) -> None:
+    """m as a folder of one real general file in parts: the first part has the head, the others the entries as they are partitioned (or
+    dealt to parts), so the parts one after the other are a MatrixMarket file."""
+    entries = m.entries if parts is None else m.entries.repartition(parts)
+    head = ["%%MatrixMarket matrix coordinate real general", *(f"% {c}" for c in comments or []), f"{m.rows} {m.cols} {m.entries.count()}"]
+    first = m.entries.sparkSession.createDataFrame([(h,) for h in head], "value string").coalesce(1)
+    first.unionAll(entries.select(F.concat_ws(" ", F.col("row") + 1, F.col("col") + 1, F.col("value").cast("string")))).write.text(path)
 
 
 def read(spark: SparkSession, path: str, drop_zeros: bool = True) -> Loaded:
-    """A MatrixMarket file as a normalised matrix, with counts of its entries at each step."""
-    lines = _numbered(spark, path)
+    """A MatrixMarket file, or a folder of its parts by name, as a normalised matrix, with counts of its entries at each step."""
+    lines = _lines(spark, path)
     header = parse_header(head_lines(spark, path))
     stored = parse_entries(entry_lines(lines, header), header)
     expanded = coo.mirrored(stored, header.symmetry)

@@ -274,3 +274,24 @@ def test_counts_of_distinct_values_stop_at_their_bound(spark, cap):
     for n in (0, 1, cap - 1, cap, cap + 1, 3 * cap, 50 * cap):
         t = spark.range(n).select((F.col("id") * 0.25).alias("v")).repartition(3)
         assert t.agg(distinct_upto(F.col("v"), cap)).first()[0] == min(n, cap + 1)
+
+
+def test_parts_of_a_matrix_file_are_read_in_splits(spark, tmp_path):
+    e = [(i, i * 7 % 50, float(i % 5 - 2)) for i in range(2000)]
+    m = matrix(spark, 2000, 50, e)
+    path = str(tmp_path / "market")
+    MM.write(m, path, ["note"] * 300, parts=7)
+    assert len([p for p in (tmp_path / "market").iterdir() if p.name.startswith("part-")]) == 8
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("512", "4096", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = MM.read(spark, path, drop_zeros=False)
+            assert sorted(map(tuple, got.matrix.entries.collect())) == e and got.stored_entries == 2000
+        whole = tmp_path / "whole.mtx"
+        head = "%%MatrixMarket matrix coordinate real general\n" + "% note\n" * 500
+        whole.write_text(head + "2000 50 1500\n" + "".join(f"{r + 1} {c + 1} {v}\n" for r, c, v in e))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        assert sorted(map(tuple, MM.read(spark, str(whole), drop_zeros=False).matrix.entries.collect())) == e[:1500]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
