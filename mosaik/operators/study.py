@@ -132,11 +132,45 @@ def shuffled_gain(m: Matrix, levels: int, seeds: int = 4) -> DataFrame:
     return both.withColumn("gain", 1 - F.try_divide("real_l1", "null_l1"))
 
 
+def _in_windows(m: Matrix, height: int, width: int) -> DataFrame:
+    """(top, left, row, col, value): each entry in the windows, on a grid of half their size, that cover it: four, fewer at the edges."""
+    h, w = height // 2, width // 2
+    corner = F.array(*[F.struct((F.expr(f"row DIV {h} - {i}") * h).alias("top"), (F.expr(f"col DIV {w} - {j}") * w).alias("left")) for i in (0, 1) for j in (0, 1)])
+    return m.entries.select(F.explode(corner).alias("z"), "row", "col", "value").filter("z.top >= 0 AND z.left >= 0").select("z.top", "z.left", "row", "col", "value")
+
+
 def windows(m: Matrix, height: int, width: int, least: int = 1) -> DataFrame:
     """(top, left, n) of windows on a grid of half their size: an entry belongs to the four that cover it."""
-    h, w = height // 2, width // 2
-    e = m.entries.select(F.explode(F.array(*[F.struct(F.expr(f"row DIV {h} - {i}").alias("a"), F.expr(f"col DIV {w} - {j}").alias("b")) for i in (0, 1) for j in (0, 1)])).alias("z"))
-    return e.filter("z.a >= 0 AND z.b >= 0").groupBy((F.col("z.a") * h).alias("top"), (F.col("z.b") * w).alias("left")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return _in_windows(m, height, width).groupBy("top", "left").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+
+
+#: Of the densest windows those with this share of its entries at least, and so many at most, are looked into.
+NEAR_DENSEST, MOST_WINDOWS = 0.6, 80
+
+
+def judged_windows(m: Matrix, height: int, width: int, levels: int = 127, share: float = NEAR_DENSEST, most: int = MOST_WINDOWS, br: int = 8, bc: int = 4) -> DataFrame:
+    """(top, left, n, median) of the windows near the densest: the median over their tiles of the relative error of whole numbers up to
+    levels times the tile's greatest magnitude. Half a window is a whole number of tiles in both directions."""
+    if height // 2 % br or width // 2 % bc:
+        raise ValueError("half a window has to hold whole tiles")
+    counted = densest(m, height, width, most)
+    top = counted.agg(F.max("n").alias("m"))
+    near = counted.join(F.broadcast(top)).filter(F.col("n") >= F.lit(share) * F.col("m")).select(F.col("top").alias("t"), F.col("left").alias("l"), "n")
+    inside = _in_windows(m, height, width).join(F.broadcast(near), (F.col("top") == F.col("t")) & (F.col("left") == F.col("l")))  # most windows
+    a = F.abs("value")
+    tile = ["top", "left", "n", F.expr(f"row DIV {br}").alias("br"), F.expr(f"col DIV {bc}").alias("bc")]
+    scaled = inside.select(*tile, a.alias("a")).filter("a > 0").withColumn("s", F.max("a").over(Window.partitionBy("top", "left", "br", "bc")))
+    lost = F.abs(F.rint(F.col("a") / F.col("s") * levels) * F.col("s") / levels - F.col("a"))
+    errors = scaled.groupBy("top", "left", "n", "br", "bc").agg((F.sum(lost) / F.sum("a")).alias("error"))
+    return errors.groupBy("top", "left", "n").agg(F.round(F.median("error"), 12).alias("median"))
+
+
+def window_of(m: Matrix, height: int, width: int, chosen: DataFrame) -> DataFrame:
+    """The entries within windows: chosen's columns, with row and col counted from the corner. chosen: a few rows with top and left, sent to all tasks."""
+    names = [c for c in chosen.columns if c not in ("top", "left")]
+    few = F.broadcast(chosen.select(F.col("top").alias("t"), F.col("left").alias("l"), *names))
+    met = _in_windows(m, height, width).join(few, (F.col("top") == F.col("t")) & (F.col("left") == F.col("l")))
+    return met.select("top", "left", *names, (F.col("row") - F.col("top")).alias("row"), (F.col("col") - F.col("left")).alias("col"), "value")
 
 
 def densest(m: Matrix, height: int, width: int, k: int) -> DataFrame:
