@@ -1,21 +1,23 @@
 """Iterative solvers as driver loops over distributed vectors.
 
-Vectors are (idx, val) tables; each step is one product, two scalar products and three updates. Every few
-steps the vectors are written by checkpoint() to the shared folder of spark.checkpoint.dir, which cuts the
-lineage and survives lost executors; the scalars are all that reaches the driver.
+Vectors are (idx, val) tables; each step is one product, two scalar products and three updates. The vectors of
+a step are written to the shared folder, which cuts the lineage and survives lost executors; the scalars are all
+that reaches the driver. recurrent() writes the matrix once, in buckets, and moves nothing but one vector in a step.
 """
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..matrix import Matrix
-from .spmv import spmv
+from ..sources.scratch import scratch
+from .spmv import BROADCAST_ENTRIES, spmv
 
 Product = Callable[[DataFrame], DataFrame]
 TOLERANCES = (1e-2, 1e-3, 1e-6, 1e-8)
@@ -39,15 +41,10 @@ class Curve:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    spark: SparkSession = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if base is None and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(base or tempfile.mkdtemp(prefix="mosaik-"))
-    # From its rows: a checkpoint alone keeps what the optimiser inferred of its columns, which doubles with each step.
-    done = df.checkpoint()._jdf
-    return DataFrame(spark._jsparkSession.createDataFrame(done.toJavaRDD(), done.schema()), spark)
+    """df as a table in the shared folder, read again: neither its lineage nor what was inferred of its columns goes on."""
+    path = scratch(df.sparkSession, "vector")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def times(m: Matrix) -> Product:
@@ -146,3 +143,71 @@ def flexible(low: Product, exact: Product, b: DataFrame, inner: int = 5, most: i
         rz = dot(r, z)
     curve.solution = x
     return curve
+
+
+# --- one job for each step --------------------------------------------------------------------------------
+
+
+@contextmanager
+def _tables(spark):
+    """Managed tables with names of their own: make(df, key) writes df in buckets of key; they are dropped at the end."""
+    made: list[str] = []
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def make(df: DataFrame, key: str) -> DataFrame:
+        made.append(f"mosaik_{uuid.uuid4().hex}")
+        df.write.bucketBy(buckets, key).saveAsTable(made[-1])
+        while len(made) > 3:  # the matrix, the state before, the state now
+            spark.sql(f"DROP TABLE {made.pop(1)}")
+        return spark.table(made[-1])
+
+    try:
+        yield make
+    finally:
+        for name in made:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def recurrent(m: Matrix, b: DataFrame, most: int = 5000, stop: float = 1e-8, start: float = 0.0) -> Curve:
+    """Conjugate gradients whose residuals are those of the recurrence, with both scalars of a step from one pass over it.
+
+    The matrix lies in buckets by row (by column, beyond vectors that may be sent) and all vectors in one table in buckets of the same
+    number, so a step shuffles neither: it sends one vector, or moves partial sums of rows. The scalars are observed while the
+    step is written. Ends at stop, or when a direction has no positive curvature. b has a value for each row; the first guess is start everywhere."""
+    spark, sent = m.entries.sparkSession, m.cols <= BROADCAST_ENTRIES
+    with _tables(spark) as make:
+        matrix = make(m.entries.repartition("row" if sent else "col"), "row" if sent else "col")
+
+        def stepped(vectors: DataFrame) -> tuple[DataFrame, float, float]:
+            """vectors with w, the product of the matrix and r, written; (r, r) and (w, r)."""
+            r = vectors.select(F.col("idx").alias("j"), F.col("r").alias("rj"))
+            w = matrix.join(F.broadcast(r) if sent else r, F.col("col") == F.col("j")).groupBy("row").agg(F.sum(F.col("value") * F.col("rj")).alias("w"))
+            seen = Observation()
+            both = vectors.join(w, F.col("idx") == F.col("row"), "left").select("idx", "x", "r", "p", "s", F.coalesce("w", F.lit(0.0)).alias("w"))
+            done = make(both.observe(seen, F.sum(F.col("r") * F.col("r")).alias("rr"), F.sum(F.col("w") * F.col("r")).alias("wr")), "idx")
+            return done, seen.get["rr"] or 0.0, seen.get["wr"] or 0.0
+
+        zero = F.lit(0.0)
+        first = b.select("idx", F.lit(start).alias("x"), F.col("val").alias("r"), zero.alias("p"), zero.alias("s"))
+        if start:
+            sums = m.entries.groupBy("row").agg(F.sum("value").alias("t"))
+            first = first.join(sums, F.col("idx") == F.col("row"), "left").withColumn("r", F.col("r") - start * F.coalesce("t", zero)).drop("row", "t")
+        state, rr, wr = stepped(first.repartition("idx"))
+        size, curve, alpha, beta = norm(b) or 1.0, Curve(), None, 0.0
+        for _ in range(most):
+            curvature = wr if alpha is None else wr - beta * rr / alpha
+            if rr == 0 or not curvature > 0:
+                curve.ended = "converged" if rr == 0 else "breakdown"
+                break
+            alpha = rr / curvature
+            moved = state.select("idx", "x", "r", (F.col("r") + F.lit(beta) * F.col("p")).alias("p"), (F.col("w") + F.lit(beta) * F.col("s")).alias("s"))
+            moved = moved.select("idx", (F.col("x") + F.lit(alpha) * F.col("p")).alias("x"), (F.col("r") - F.lit(alpha) * F.col("s")).alias("r"), "p", "s")
+            before = rr
+            state, rr, wr = stepped(moved)
+            beta = rr / before
+            curve.residuals.append(rr**0.5 / size)
+            if curve.residuals[-1] <= stop:
+                curve.ended = "converged"
+                break
+        curve.solution = cut(state.select("idx", F.col("x").alias("val")))
+    return curve

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import codecs, solvers, study
 from ..operators.metrics import ensemble
 from ..operators.spmv import spmv
-from ..sources.tables import banded_spd, embedding_matrix, hash_ensemble, input_vector
+from ..sources.tables import banded_spd, embedding_matrix, hash_ensemble, input_vector, order_graph
 from .matrices import HASH, SQL as MATRIX_SQL
 from .parts import COLS, EMBED, E, Query, parts
 
@@ -178,6 +178,38 @@ def blas1(spark, d):
     return both.join(s).join(solvers.scaled(3.0, x).agg(F.round(F.sum("val"), 6).alias("scal_sum")))
 
 
+#: Steps of cg_orders: as many as its SQL spells out.
+STEPS = 6
+
+
+def _cg_sql() -> str:
+    """The steps of the recurrence, one after the other."""
+    n = "(SELECT max(o_orderkey) + 1 FROM orders)"
+    links = f"l AS (SELECT l_orderkey AS i, (l_orderkey + l_partkey) % {n} AS j, sum(l_discount) AS v FROM lineitem WHERE l_orderkey <> (l_orderkey + l_partkey) % {n} AND l_discount <> 0 GROUP BY ALL)"
+    both = "u AS (SELECT i AS r, j AS c, v FROM l UNION ALL SELECT j, i, v FROM l)"
+    e = f"e AS MATERIALIZED (SELECT * FROM u UNION ALL SELECT i, i, coalesce(s, 0) + 1 FROM range({n}) q(i) LEFT JOIN (SELECT r, sum(abs(v)) AS s FROM u GROUP BY r) ON r = i)"
+    product = "LEFT JOIN (SELECT e.r AS i, sum(v * z.r) AS w FROM e JOIN {0} z ON c = z.i GROUP BY e.r) USING (i)"
+    out = [links, both, e, f"b0 AS (SELECT i, ((i % 17) - 8) * 0.125::DOUBLE AS r, 0::DOUBLE AS p, 0::DOUBLE AS s FROM range({n}) q(i))"]
+    out += [f"s0 AS MATERIALIZED (SELECT b0.*, w FROM b0 {product.format('b0')})", "k0 AS MATERIALIZED (SELECT sum(r * r) AS rr, sum(r * r) / sum(w * r) AS alpha, 0::DOUBLE AS beta FROM s0)"]
+    for k in range(STEPS):
+        out += [
+            f"m{k} AS (SELECT i, r, alpha, r + beta * p AS p, w + beta * s AS s FROM s{k}, k{k})",
+            f"b{k + 1} AS (SELECT i, r - alpha * s AS r, p, s FROM m{k})",
+            f"s{k + 1} AS MATERIALIZED (SELECT a.*, w FROM b{k + 1} a {product.format(f'b{k + 1}')})",
+            f"t{k} AS (SELECT sum(r * r) AS rr, sum(w * r) AS wr FROM s{k + 1})",
+            f"k{k + 1} AS MATERIALIZED (SELECT t.rr, t.rr / (wr - t.rr / o.rr * t.rr / o.alpha) AS alpha, t.rr / o.rr AS beta FROM t{k} t, k{k} o)",
+        ]
+    rows = " UNION ALL ".join(f"SELECT {k}::INTEGER AS step, rr FROM k{k}" for k in range(1, STEPS + 1))
+    return f"WITH {', '.join(out)} SELECT step, round(sqrt(rr) / (SELECT sqrt(rr) FROM k0), 9) AS relative_residual FROM ({rows})"
+
+
+@query(_cg_sql())
+def cg_orders(spark, d):
+    m = order_graph(spark, d)
+    curve = solvers.recurrent(m, input_vector(spark, m.rows), most=STEPS, stop=0.0)
+    return _nine(_table(spark, curve), "relative_residual")
+
+
 def _problem(spark):
     m = banded_spd(spark, 60, 3, 2.0)
     m = m.with_entries(solvers.cut(m.entries))

@@ -40,6 +40,16 @@ def user_by_hour(spark: SparkSession, sf_dir: str) -> Matrix:
     return Matrix(e, _extent(e, "row"), _extent(e, "col"))
 
 
+def order_graph(spark: SparkSession, sf_dir: str) -> Matrix:
+    """A symmetric positive definite matrix of orders: each line links its order to the one as many places on as the number of its
+    part, by its discount; a diagonal entry is one more than the links of its order."""
+    n = _extent(table(spark, sf_dir, "orders"), "o_orderkey")
+    i, j = F.col("l_orderkey"), (F.col("l_orderkey") + F.col("l_partkey")) % max(1, n)
+    links = table(spark, sf_dir, "lineitem").select(i.alias("i"), j.alias("j"), F.col("l_discount").alias("v")).filter("i <> j AND v <> 0")
+    sums = links.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    return _with_diagonal(sums, n, F.abs("v"), 1.0)
+
+
 def embedding_matrix(spark: SparkSession, sf_dir: str) -> Matrix:
     """Vectors by dimension."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), F.posexplode("embedding").alias("col", "value"))
