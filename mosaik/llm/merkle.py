@@ -250,3 +250,43 @@ def lower_cased(docs: DataFrame) -> DataFrame:
     """audited(docs), where the texts of rows whose CRC-32 of the decimal doc_id divides by five are seen with A-Z in lower case."""
     hit = F.crc32(docs["doc_id"].cast("string").cast("binary")) % 5 == 0
     return audited(docs, hit & docs["text"].isNotNull(), {"text": F.translate(docs["text"].cast("string"), _UP, _UP.lower())})
+
+
+# --- the same in SQL --------------------------------------------------------------------------------------
+
+
+def _leaf_sql(text: str = "text") -> str:
+    columns = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in columns) + ")"
+
+
+def _crc32_sql(text: str) -> str:
+    """The CRC-32 of an ASCII text, bit by bit; 3988292384 is the polynomial."""
+    byte = "list_reduce(list_prepend(xor(a, x), range(8)), lambda c, b: xor(c >> 1, 3988292384 * (c & 1)))"
+    codes = f"list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, x: {byte}), 4294967295)"
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """CTEs of the trees over leaves (k, i, d): nodes by level, tops with heights, and what stands before and after each node in its run."""
+    return f"""{name}_n AS (SELECT k, 0 AS lv, i, d FROM {leaves} UNION ALL
+SELECT k, lv + 1, i // 16, sha256(string_agg(d, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM {name}_n) WHERE n > 1 GROUP BY k, lv, i // 16),
+{name}_t AS (SELECT k, max(lv) AS h, arg_max(d, lv) AS top FROM {name}_n GROUP BY k),
+{name}_s AS (SELECT a.k, a.lv, a.i, coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS lo, coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS hi
+FROM {name}_n a JOIN {name}_t t ON a.k = t.k AND a.lv < h JOIN {name}_n b ON a.k = b.k AND a.lv = b.lv AND a.i // 16 = b.i // 16 GROUP BY ALL)"""
+
+
+_LOWER = f"translate(text, '{_UP}', '{_UP.lower()}')"
+SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || source, '') AS k, {_leaf_sql()} AS d,
+CASE WHEN {_crc32_sql('CAST(doc_id AS VARCHAR)')} % 5 = 0 AND text IS NOT NULL THEN {_leaf_sql(_LOWER)} ELSE {_leaf_sql()} END AS e FROM documents),
+a AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, d) - 1 AS i FROM d),
+{_tree_sql('l', 'a')},
+g AS (SELECT '' AS k, k AS name, top AS d, row_number() OVER (ORDER BY k) - 1 AS i FROM l_t),
+{_tree_sql('u', 'g')},
+w AS (SELECT a.i, a.k, s.lv, s.lo, s.hi FROM a JOIN l_s s ON s.k = a.k AND s.i = a.i // (16 ** s.lv)::BIGINT UNION ALL
+SELECT a.i, a.k, t.h + s.lv, s.lo, s.hi FROM a JOIN l_t t USING (k) JOIN g ON g.name = a.k JOIN u_s s ON s.i = g.i // (16 ** s.lv)::BIGINT),
+p AS (SELECT k, i, list([lo, hi] ORDER BY lv) AS steps FROM w GROUP BY ALL),
+f AS (SELECT doc_id, a.d AS leaf, l_t.top AS subroot, (SELECT top FROM u_t) AS root, coalesce(steps, []) AS steps, e FROM a JOIN l_t USING (k) LEFT JOIN p USING (k, i)),
+o AS (SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(flatten(steps), ''), '')) AS proof_sha256,
+list_reduce(list_prepend([e], steps), lambda x, s: [sha256(s[1] || x[1] || s[2])])[1] AS folded_root FROM f)
+SELECT *, folded_root = root AS verified FROM o"""

@@ -103,4 +103,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op9_quality": quality.SQL,
+    "op11_merkle": merkle.SQL,
 }

@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 
 from mosaik.llm import merkle as M
@@ -95,6 +96,19 @@ def test_driver_table(spark, sf_dir):
     assert Counter(tuple(r) for r in M.lower_cased(docs).collect()) == plain(rows)
 
 
+def test_sql_gives_the_same(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [r for n, s in ((1, "one"), (17, "b"), (300, "é"), (20, None), (3, "")) for r in made(n, s, rng)] + [(None, "b", None, None, None), (5, "b", None, 3, "")]
+    rows += [(9, f"site{i:03}", "en", 1, "ABC") for i in range(30)]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(*r, 1, 2) for r in rows], SCHEMA).drop("k", "leaf").write.parquet(path)
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    out = c.sql(M.SQL)
+    assert out.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+    assert Counter(out.fetchall()) == plain(rows)
+
+
 @pytest.mark.parametrize("n", [1, 2, 15, 16, 17, 255, 256, 257, 1000, 4095, 4096])
 def test_traversal_gives_every_path(n):
     leaves = [str(i).encode() for i in range(n)]
