@@ -46,7 +46,9 @@ def shuffled(g: DataFrame, seeds: int, rows: int, cols: int) -> DataFrame:
     rows and columns; each place takes the value at the permuted number, in one join for all seeds."""
     numbered = running(g.select("row", "col", "g"), [*digits("row", rows), *digits("col", cols)], "k")
     n = max(1, g.count())
-    each = numbered.select("row", "col", "k", F.explode(F.array(*[F.lit(s) for s in range(1, seeds + 1)])).alias("seed"))
+    # The permutation costs more than the move to as many tasks as a shuffle has.
+    dealt = numbered.repartition(int(g.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k")
+    each = dealt.select("row", "col", "k", F.explode(F.array(*[F.lit(s) for s in range(1, seeds + 1)])).alias("seed"))
     places = each.select("seed", "row", "col", permuted(F.col("k"), n, F.col("seed")).alias("at"))
     return places.join(numbered.select("k", "g"), F.col("at") == F.col("k")).select("seed", "row", "col", "g")
 
