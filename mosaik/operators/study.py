@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,16 +31,29 @@ def spans(g: DataFrame, br: int = 8, bc: int = 4, keys: tuple[str, ...] = ()) ->
 ROUNDS = 16
 
 
-def permuted(k: Column, n: int, seed: Column) -> Column:
+def _mixed(x: int) -> int:
+    """hashed() of one number."""
+    h = (x % 2147483648 * 2654435761 + 1013904223) % 4294967296
+    return h ^ (h >> 16)
+
+
+def permuted(k: Column, n: int, seed: Column, seeds: int) -> Column:
     """Where a keyed permutation of the numbers 0 to n - 1 takes k: swap or not. A round pairs each number with the one
-    that makes the round's sum modulo n, and a hash of the greater one says whether the two change places. Nothing is sorted."""
+    that makes the round's sum modulo n, and a hash of the greater one says whether the two change places. Nothing is sorted. Sums depend on
+    seed (1 to seeds) and round alone, so they are hashed once, here."""
+
+    def rounds(s: int) -> Column:
+        return F.array(*[F.struct(F.lit(_mixed(_mixed(s * 1000003 + i)) % n).cast("long").alias("sum"), F.lit(s * 7919 + i * 104729).cast("long").alias("salt")) for i in range(ROUNDS)])
+
+    def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+        """use(value), with value computed once."""
+        return F.element_at(F.transform(F.array(value), use), 1)
 
-    def round_(x: Column, i: Column) -> Column:
-        other = (hashed(hashed(seed * 1000003 + i)) % n - x + F.lit(n)) % n
-        bit = F.shiftright(hashed(F.greatest(x, other) + seed * 7919 + i * 104729), 15) % 2
-        return F.when(bit == 1, other).otherwise(x)
+    def round_(x: Column, r: Column) -> Column:
+        swaps = lambda other: bound(F.greatest(x, other) + r.salt, lambda g: F.when(F.shiftright(hashed(g), 15) % 2 == 1, other).otherwise(x))
+        return bound((r.sum - x + F.lit(n)) % n, swaps)
 
-    return F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS - 1).cast("long")), k.cast("long"), round_)
+    return F.aggregate(F.element_at(F.array(*[rounds(s) for s in range(1, seeds + 1)]), seed.cast("int")), k.cast("long"), round_)
 
 
 def shuffled(g: DataFrame, seeds: int, rows: int, cols: int) -> DataFrame:
@@ -49,7 +64,7 @@ def shuffled(g: DataFrame, seeds: int, rows: int, cols: int) -> DataFrame:
     # The permutation costs more than the move to as many tasks as a shuffle has.
     dealt = numbered.repartition(int(g.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k")
     each = dealt.select("row", "col", "k", F.explode(F.array(*[F.lit(s) for s in range(1, seeds + 1)])).alias("seed"))
-    places = each.select("seed", "row", "col", permuted(F.col("k"), n, F.col("seed")).alias("at"))
+    places = each.select("seed", "row", "col", permuted(F.col("k"), n, F.col("seed"), seeds).alias("at"))
     return places.join(numbered.select("k", "g"), F.col("at") == F.col("k")).select("seed", "row", "col", "g")
 
 

@@ -210,7 +210,7 @@ def test_lists_and_shuffles(spark):
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000])
 def test_permutations_are_one_to_one_and_spread(spark, n):
     t = spark.range(n).select(F.col("id").alias("k"), F.explode(F.array(F.lit(1), F.lit(2))).alias("seed"))
-    got = t.withColumn("at", study.permuted(F.col("k"), n, F.col("seed"))).orderBy("seed", "k").collect()
+    got = t.withColumn("at", study.permuted(F.col("k"), n, F.col("seed"), 2)).orderBy("seed", "k").collect()
     for seed in (1, 2):
         assert sorted(r.at for r in got if r.seed == seed) == list(range(n))
     if n == 1000:
