@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import cells, running
 from .study import spearman_ordinal
 
 #: Fixed values.
@@ -50,10 +51,12 @@ def with_fallback(single: DataFrame, joint: DataFrame) -> DataFrame:
 
 
 def survival(values: DataFrame, c: str) -> DataFrame:
-    """(value, share): the share of rows at or above each value, ascending. Values are counted before they are put in order."""
+    """(value, share): the share of rows at or above each value, ascending. Values are counted before they are put in order, and
+    ordered within cells of approximate quantiles."""
     n = values.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1))
-    return n.select("value", (1 - F.coalesce(upto, F.lit(0)) / F.sum("n").over(Window.partitionBy())).alias("share"))
+    placed = running(n, [cells(n, F.col("value")), F.col("value")], "upto", F.col("n"))
+    every = n.agg(F.sum("n").alias("every"))
+    return placed.join(F.broadcast(every)).select("value", (1 - F.col("upto") / F.col("every")).alias("share"))
 
 
 def decade_medians(rows: DataFrame, size: str, c: str, least: int = 5) -> DataFrame:
@@ -98,8 +101,82 @@ def summary(s: DataFrame) -> DataFrame:
     return s.groupBy("operator").agg(F.count("*").alias("n"), F.median("speedup").alias("median"), F.exp(F.avg(F.log(v))).alias("geomean"), F.min(v).alias("low"), F.max(v).alias("high"))
 
 
+def baseline_report(rows: DataFrame) -> DataFrame:
+    """(operator, ok, total, median, geomean, low, high): times of the rows that went well; the geometric mean is that of positive ones. An operator
+    without any has nulls."""
+    ms = F.when(F.col("status") == "ok", milliseconds("avg_ms"))
+    r = rows.select("operator", (F.col("status") == "ok").alias("ok"), ms.alias("ms"))
+    return r.groupBy("operator").agg(
+        F.count_if("ok").alias("ok"),
+        F.count("*").alias("total"),
+        F.median("ms").alias("median"),
+        F.exp(F.avg(F.when(F.col("ms") > 0, F.log("ms")))).alias("geomean"),
+        F.min("ms").alias("low"),
+        F.max("ms").alias("high"),
+    )
+
+
 def pivoted(rows: DataFrame, operators: list[str], value: str) -> DataFrame:
-    return rows.groupBy("matrix").pivot("operator", operators).agg(F.max(value))
+    """A row for each matrix: of each operator its greatest value and its status (`missing` where there is no row)."""
+    wide = rows.groupBy("matrix").pivot("operator", operators).agg(F.max(value).alias("value"), F.max("status").alias("status"))
+    return wide.select("matrix", *(F.col(f"{o}_value").alias(o) for o in operators), *(F.coalesce(f"{o}_status", F.lit("missing")).alias(f"{o}_status") for o in operators))
+
+
+def scaled_up(rows: DataFrame, baseline: str) -> DataFrame:
+    """(operator, ok, wins, geomean, passed, verified, upper_median): rows that went well, those faster than the baseline's, the geometric mean of
+    their speed-ups, verdicts, and the upper median of their positive sizes."""
+    ok = rows.filter("status = 'ok'").withColumn("ms", milliseconds("avg_ms"))
+    base = ok.filter(F.col("operator") == baseline).groupBy(F.col("matrix").alias("m")).agg(F.min("ms").alias("base"))
+    r = ok.join(base, F.col("matrix") == F.col("m"), "left").withColumn("speedup", positive_ratio(F.col("base"), F.col("ms")))
+    verdict = F.upper("verify_cpu")
+    own = r.groupBy("operator").agg(
+        F.count("*").alias("ok"),
+        F.count_if(F.col("speedup") > 1).alias("wins"),
+        F.exp(F.avg(F.log("speedup"))).alias("geomean"),
+        F.count_if(verdict == "PASS").alias("passed"),
+        F.count_if(verdict.isin("PASS", "FAIL")).alias("verified"),
+    )
+    sizes = upper_median(ok.filter("value_bytes > 0"), "value_bytes", "operator").withColumnRenamed("operator", "o")
+    return own.join(sizes, F.col("operator") == F.col("o"), "left").drop("o")
+
+
+def joint_rows(rows: DataFrame, operator: str, bound: float) -> DataFrame:
+    """(matrix, ms, passed, nnz) of one operator's rows that went well and have a time; passed: the error is at most bound."""
+    own = rows.filter((F.col("operator") == operator) & (F.col("status") == "ok")).withColumn("ms", milliseconds("avg_ms"))
+    return own.filter("ms IS NOT NULL").select("matrix", "ms", (F.col("error") <= bound).alias("passed"), "nnz")
+
+
+def verified_rows(rows: DataFrame, operator: str) -> DataFrame:
+    """(matrix, ms) of one operator's rows that went well, with a time, and whose check says PASS."""
+    own = rows.filter((F.col("operator") == operator) & (F.col("status") == "ok") & (F.upper("verify_cpu") == "PASS"))
+    return own.select("matrix", milliseconds("avg_ms").alias("ms")).filter("ms IS NOT NULL")
+
+
+def core_full(rows: DataFrame, operators: list[str]) -> DataFrame:
+    """(matrix, nnz, a time for each operator): raw measurements of the rows that went well and have a time and a size."""
+    ok = rows.filter("status = 'ok'").withColumn("ms", milliseconds("avg_ms")).filter("ms IS NOT NULL AND nnz IS NOT NULL")
+    return ok.groupBy("matrix").agg(F.max("nnz").alias("nnz"), *(F.max(F.when(F.col("operator") == o, F.col("ms"))).alias(o) for o in operators))
+
+
+def showcased(rows: DataFrame, baseline: str, operators: list[str], k: int = 10) -> DataFrame:
+    """(matrix, nnz, a speed-up for each operator) of the k largest matrices for which the baseline and all operators have a positive time."""
+    full = core_full(rows, [baseline, *operators])
+    whole = full.filter(" AND ".join(f"{o} > 0" for o in (baseline, *operators)))
+    return whole.orderBy(F.desc("nnz"), "matrix").limit(k).select("matrix", "nnz", *((F.col(baseline) / F.col(o)).alias(o) for o in operators))
+
+
+def evidence(rows: DataFrame, exact: str, lossy: str) -> DataFrame:
+    """(matrix, nnz, fill, gain, error, bytes, speedup): what the structure, the values and the time of a matrix say, joined over matrices that have all three."""
+    ok = rows.filter("status = 'ok'").withColumn("ms", milliseconds("avg_ms")).filter("ms > 0")
+    a = ok.filter(F.col("operator") == exact).groupBy("matrix").agg(F.max("nnz").alias("nnz"), F.max("fill").alias("fill"), F.min("ms").alias("base"))
+    b = ok.filter(F.col("operator") == lossy).groupBy(F.col("matrix").alias("m")).agg(F.max("gain").alias("gain"), F.max("error").alias("error"), F.max("value_bytes").alias("bytes"), F.min("ms").alias("ms"))
+    return a.join(b, F.col("matrix") == F.col("m")).select("matrix", "nnz", "fill", "gain", "error", "bytes", (F.col("base") / F.col("ms")).alias("speedup"))
+
+
+def strided(rows: DataFrame, order: list[Column], shards: int) -> DataFrame:
+    """rows with shard and pos: every n-th row of the order goes to the same shard."""
+    placed = running(rows, order, "_k")
+    return placed.withColumns({"shard": F.col("_k") % shards, "pos": F.expr(f"_k DIV {shards}")}).drop("_k")
 
 
 def upper_median(rows: DataFrame, c: str, *by: str) -> DataFrame:
@@ -109,11 +186,17 @@ def upper_median(rows: DataFrame, c: str, *by: str) -> DataFrame:
     return r.filter(F.expr("k = n DIV 2 + 1")).select(*by, F.col(c).alias("upper_median"))
 
 
-def common_set_medians(rows: DataFrame, codecs: list[str], c: str) -> DataFrame:
-    """(codec, n, median) over the matrices that all codecs hold."""
-    own = rows.filter(F.col("codec").isin(*codecs))
-    common = own.groupBy(F.col("matrix").alias("m")).agg(F.count_distinct("codec").alias("k")).filter(F.col("k") == len(codecs))
-    return own.join(common, F.col("matrix") == F.col("m"), "left_semi").groupBy("codec").agg(F.count("*").alias("n"), F.median(c).alias("median"))
+def pareto(rows: DataFrame, codecs: list[str], family: list[str]) -> DataFrame:
+    """(codec, n, coverage, bytes, error): medians of sizes and errors. Those of the family are taken over the matrices that all of them hold, others
+    over their own; coverage is a codec's share of all matrices."""
+    every = rows.select("matrix").distinct().agg(F.count("*").alias("every"))
+    own = rows.filter(F.col("operator").isin(*codecs) & (F.col("status") == "ok") & (F.col("value_bytes") > 0) & (F.col("error") >= 0))
+    shared = own.filter(F.col("operator").isin(*family)).groupBy(F.col("matrix").alias("m")).agg((F.count_distinct("operator") == len(family)).alias("shared"))
+    held = own.join(shared, F.col("matrix") == F.col("m"), "left")
+    counts = ~F.col("operator").isin(*family) | F.col("shared")
+    taken = lambda c: F.median(F.when(counts, F.col(c)))
+    a = held.groupBy(F.col("operator").alias("codec")).agg(F.count_if(counts).alias("n"), F.count_distinct("matrix").alias("own"), taken("value_bytes").alias("bytes"), taken("error").alias("error"))
+    return a.join(F.broadcast(every)).select("codec", "n", (F.col("own") / F.col("every")).alias("coverage"), "bytes", "error")
 
 
 def first_of_device(rows: DataFrame) -> DataFrame:
@@ -133,8 +216,12 @@ def census(rows: DataFrame) -> DataFrame:
     return most.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def sweep_status(exists: Column, size: Column, limit: float, nnz: Column, field: Column) -> Column:
-    return F.when(~exists, "missing").when(size > limit, "skip_size").when(nnz == 0, "empty").when(field == "pattern", "pattern").otherwise("ok")
+def sweep_status(exists: Column, size: Column, limit: float, nnz: Column, field: Column, error: Column | None = None) -> Column:
+    """missing, skip_size, error, empty, pattern or ok; error: a message, null where there is none."""
+    tried = F.when(~exists, "missing").when(size > limit, "skip_size")
+    if error is not None:
+        tried = tried.when(error.isNotNull(), F.concat(F.lit("error:"), F.left(error, F.lit(60))))
+    return tried.when(nnz == 0, "empty").when(field == "pattern", "pattern").otherwise("ok")
 
 
 def lpt(sizes: list[tuple[str, int]], shards: int) -> list[list[str]]:
@@ -157,6 +244,14 @@ def frequency_summary(rows: DataFrame, covered: str, distinct: str, limit: int =
     return a.join(upper_median(r, covered, "few"), "few")
 
 
+def frequency_extremes(rows: DataFrame, covered: str, distinct: str, name: str, limit: int = 256, best: int = 12, worst: int = 10) -> DataFrame:
+    """(side, name, covered): of the matrices with many distinct values the best covered ones (from 90) and the worst (below 50); ties by name."""
+    many = rows.filter(F.col(distinct) > limit).select(name, covered)
+    top = many.filter(F.col(covered) >= 90).orderBy(F.desc(covered), name).limit(best)
+    low = many.filter(F.col(covered) < 50).orderBy(covered, name).limit(worst)
+    return top.select(F.lit("best").alias("side"), name, covered).unionAll(low.select(F.lit("worst").alias("side"), name, covered))
+
+
 def plottable(rows: DataFrame, *columns: str) -> DataFrame:
     """One row: points that are finite and positive in all columns, and those with an infinite one."""
     good, infinite = F.lit(True), F.lit(False)

@@ -255,44 +255,57 @@ def spmv_orders(spark, d):
     return spmv(m, _x(spark, m)).select("row", (F.round("y", 6) + 0).alias("y"))
 
 
-# --- vectors and generators ------------------------------------------------------------------------------
+# --- vectors and generators, as long as there are parts ---------------------------------------------------
 
 
-@query("SELECT i AS idx, ((i % 17) - 8) * CAST(0.125 AS DOUBLE) AS val FROM range(3000) q(i)")
+@query(f"SELECT i AS idx, ((i % 17) - 8) * CAST(0.125 AS DOUBLE) AS val FROM range({ROWS}) q(i)")
 def x_input(spark, d):
-    return input_vector(spark, 3000)
+    return input_vector(spark, parts(spark, d).rows)
 
 
-@query("SELECT i AS idx, ((i % 17) + 1) / 17.0::DOUBLE AS val FROM range(3000) q(i)")
+@query(f"SELECT i AS idx, ((i % 17) + 1) / 17.0::DOUBLE AS val FROM range({ROWS}) q(i)")
 def x_deterministic(spark, d):
-    return deterministic_vector(spark, 3000)
+    return deterministic_vector(spark, parts(spark, d).rows)
 
 
-@query("SELECT i AS idx, 1.0::DOUBLE + (i % 7) * 0.1::DOUBLE AS val FROM range(3000) q(i)")
+@query(f"SELECT i AS idx, 1.0::DOUBLE + (i % 7) * 0.1::DOUBLE AS val FROM range({ROWS}) q(i)")
 def x_legacy(spark, d):
-    return legacy_vector(spark, 3000)
+    return legacy_vector(spark, parts(spark, d).rows)
 
 
+@query(f"SELECT i AS idx, CASE WHEN h % 2001 = 1000 THEN 1 ELSE h % 2001 - 1000 END / 257.0::DOUBLE AS val FROM (SELECT i, {HASH.format('i')} AS h FROM range({ROWS}) q(i))")
+def x_probe(spark, d):
+    return probe_vector(spark, parts(spark, d).rows)
 
 
-@query(f"SELECT i AS idx, CASE WHEN h % 2001 = 1000 THEN 1 ELSE h % 2001 - 1000 END / 257.0::DOUBLE AS val FROM (SELECT i, {HASH.format('i')} AS h FROM range(3000) q(i))")
-def x_probe(spark, d):
-    return probe_vector(spark, 3000)
+@query(f"WITH {E}, x AS (SELECT i AS idx, CASE WHEN h % 2001 = 1000 THEN 1 ELSE h % 2001 - 1000 END / 257.0::DOUBLE AS val FROM (SELECT i, {HASH.format('i')} AS h FROM range({COLS}) q(i))), "
+       "s AS (SELECT r, sum(v * val) AS y FROM e JOIN x ON c = idx GROUP BY r) "
+       f"SELECT i AS \"row\", round(coalesce(y, 0), 9) + 0 AS y FROM range({ROWS}) q(i) LEFT JOIN s ON r = i")
+def spmv_probe(spark, d):
+    m = parts(spark, d)
+    return spmv(m, probe_vector(spark, m.cols)).select("row", (F.round("y", 9) + 0).alias("y"))
+
+
+#: Off-diagonals of the generated matrices.
+BAND = 5
 
 
 def _spd_sql(value: str, shift: str) -> str:
-    pairs = f"p AS (SELECT i, j, {value} AS v FROM (SELECT i, j, {HASH.format('i * 4096 + j')} AS h FROM range(200) a(i), range(200) b(j) WHERE j > i AND j <= i + 5))"
-    return f"WITH {pairs}, b AS (SELECT i AS r, j AS c, v FROM p WHERE v <> 0 UNION ALL SELECT j, i, v FROM p WHERE v <> 0) SELECT * FROM b UNION ALL SELECT i AS r, i AS c, coalesce((SELECT sum(abs(v)) FROM b WHERE b.r = i), 0) + {shift}::DOUBLE AS v FROM range(200) q(i)"
+    pairs = f"p AS (SELECT i, j, {value} AS v FROM (SELECT i, i + k AS j, {HASH.format('i * 4096 + i + k')} AS h FROM range({ROWS}) a(i), range(1, {BAND + 1}) b(k) WHERE i + k < {ROWS}))"
+    return (
+        f"WITH {pairs}, b AS (SELECT i AS r, j AS c, v FROM p WHERE v <> 0 UNION ALL SELECT j, i, v FROM p WHERE v <> 0), s AS (SELECT r, sum(abs(v)) AS s FROM b GROUP BY r) "
+        f"SELECT * FROM b UNION ALL SELECT i AS r, i AS c, coalesce(s, 0) + {shift}::DOUBLE AS v FROM range({ROWS}) q(i) LEFT JOIN s ON r = i"
+    )
 
 
 @query(_spd_sql("(h % 2001 - 1000) / 1024.0::DOUBLE", "0.5"))
 def synth_spd(spark, d):
-    return _named(banded_spd(spark, 200, 5, 0.5).entries)
+    return _named(banded_spd(spark, parts(spark, d).rows, BAND, 0.5).entries)
 
 
 @query(_spd_sql("-((h % 1024) / 1024.0::DOUBLE + 0.125::DOUBLE)", "0.25"))
 def synth_laplacian(spark, d):
-    return _named(shifted_laplacian(spark, 200, 5, 0.25).entries)
+    return _named(shifted_laplacian(spark, parts(spark, d).rows, BAND, 0.25).entries)
 
 
 # --- storage and fill ------------------------------------------------------------------------------------
@@ -367,7 +380,16 @@ def err_maxrow_l2(spark, d):
     return r.select(F.round("rel_maxrow", 9).alias("rel_maxrow"), F.round("rel_l2", 9).alias("rel_l2"))
 
 
-@query("SELECT i AS k, (pow(10, -i) <= 1e-9 OR pow(10, -i - 2) <= 1e-10) AS exact_ok, pow(10, -i) <= 1e-2 AS lossy_ok FROM range(13) q(i)")
+@query(f"""WITH {E}, {X}, y AS (SELECT r, sum(v * val) AS a, sum(CAST(CAST(v * (1 + pow(10, -(r % 13))) AS FLOAT) AS DOUBLE) * val) AS b FROM e JOIN x ON c = idx GROUP BY r),
+m AS (SELECT r, max(abs(b - a)) AS max_abs, max(abs(b - a) / greatest(abs(a), 1e-30)) AS max_rel FROM y WHERE a <> 0 GROUP BY r)
+SELECT r AS k, (max_abs <= 1e-9 OR max_rel <= 1e-10) AS exact_ok, max_rel <= 1e-2 AS lossy_ok FROM m""")
 def gate_verify(spark, d):
-    t = spark.range(13).select(F.col("id").alias("k"), F.pow(F.lit(10.0), -F.col("id")).alias("max_abs"), F.pow(F.lit(10.0), -F.col("id") - 2).alias("max_rel"), F.pow(F.lit(10.0), -F.col("id")).alias("global_rel"))
+    """Both gates for each row of a product, against one whose values are a tenth, a hundredth, ... too great and of single precision."""
+    m = parts(spark, d)
+    x = _x(spark, m)
+    off = (F.col("value") * (1 + F.pow(F.lit(10.0), -(F.col("row") % 13)))).cast("float").cast("double")
+    a, b = spmv(m, x).filter("y <> 0"), spmv(m.with_value(off), x).select(F.col("row").alias("k"), F.col("y").alias("z"))
+    gap = F.abs(F.col("z") - F.col("y"))
+    rel = gap / F.greatest(F.abs("y"), F.lit(1e-30))
+    t = a.join(b, F.col("row") == F.col("k")).select("k", gap.alias("max_abs"), rel.alias("max_rel"), rel.alias("global_rel"))
     return t.select("k", metrics.exact_gate().alias("exact_ok"), metrics.lossy_gate().alias("lossy_ok"))

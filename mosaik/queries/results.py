@@ -1,10 +1,11 @@
-"""Queries on result tables. A small table of rows, made from a formula, stands for a sweep's results in both dialects."""
+"""Queries on result tables. Line items stand for a sweep's results: a part is a matrix, the number of a line is an operator."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import results as R
+from ..operators.order import digits
 from ..sources import matrix_market
 from ..sources.reports import basename, first_paths, listed, matching, matrix_list as read_list, report_value, result_csv, setting, shard_of, write_report
 from ..sources.scratch import scratch
@@ -13,15 +14,34 @@ from .parts import E, Query, parts, pattern, pattern_sql
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-OPERATORS = ("cusparse_default", "original_lb", "sign2_lb", "bfp8_lb", "original_nolb")
-#: Sweep rows over 60 matrices and five operators, with failures, missing times and losses in them.
-_ROWS = """SELECT concat('m', CAST(k % 60 AS {s})) AS matrix, element_at({a}, CAST(k {div} 60 + 1 AS INTEGER)) AS operator,
-CASE WHEN k % 11 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN k % 13 = 0 THEN '' ELSE CAST((k * 37 % 101 + 1) * 0.25{d} AS {s}) END AS avg_ms,
-CASE WHEN k % 22 = 0 THEN 'FAIL' ELSE 'pass' END AS verify_cpu, CASE WHEN k % 3 = 0 THEN 'spmv_max_rel' ELSE 'exact' END AS verify_gate,
-CASE k {div} 60 WHEN 0 THEN 'baseline' WHEN 1 THEN 'load_balanced' WHEN 2 THEN 'lossless_value_specialized' WHEN 3 THEN 'lossy' ELSE 'non_load_balanced_traversal' END AS family,
-CASE WHEN k % 17 = 0 THEN 'promoted' ELSE 'candidate' END AS promotion, (k % 60 + 1) * (k % 60 + 1) * 997 AS nnz, (k * 7919 % 300) * (k % 5) AS "distinct", k % 29 = 0 AS overflow, k % 60 {div} 2 AS bytes, k AS ordinal, CASE WHEN k % 2 = 0 THEN 'a' ELSE 'b' END AS device FROM range(300){q}"""
-SPARK_ROWS = _ROWS.format(s="STRING", a="array(" + ", ".join(f"'{o}'" for o in OPERATORS) + ")", div="DIV", d="D", q=" AS t(k)").replace('"distinct"', "`distinct`")
-ROWS = "w AS (" + _ROWS.format(s="VARCHAR", a="[" + ", ".join(f"'{o}'" for o in OPERATORS) + "]", div="//", d="::DOUBLE", q=" q(k)").replace("element_at(", "list_extract(") + ")"
+#: Operators and their families, by the number of a line.
+FAMILIES = {
+    "cusparse_default": "baseline",
+    "original_lb": "load_balanced_traversal",
+    "sign2_lb": "lossless_value_specialized",
+    "bfp8_lb": "controlled_lossy_value_specialized",
+    "original_nolb": "non_load_balanced_traversal",
+    "bf16_lb": "controlled_lossy_value_specialized",
+    "bfp8_outlier_lb": "controlled_lossy_value_specialized",
+}
+OPERATORS = tuple(FAMILIES)
+
+
+def _by_line(values) -> str:
+    """The value of the line's number, the first one for any other."""
+    names = list(values)
+    return f"CASE l_linenumber {' '.join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(names[1:], 2))} ELSE '{names[0]}' END"
+
+
+#: Sweep rows over all parts and operators, with failures, missing times and losses in them.
+_ROWS = f"""SELECT concat('m', CAST(l_partkey AS {{s}})) AS matrix, {_by_line(OPERATORS)} AS operator, {_by_line(FAMILIES.values())} AS family,
+CASE WHEN min(l_discount) >= 0.05 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN min(l_tax) >= 0.04 THEN '' ELSE CAST(sum(l_quantity) * 0.25{{d}} AS {{s}}) END AS avg_ms,
+CASE WHEN max(l_tax) < 0.04 THEN 'FAIL' WHEN max(l_tax) > 0.07 THEN 'pass' ELSE '' END AS verify_cpu, CASE WHEN min(l_linestatus) = 'F' THEN 'spmv_max_rel' ELSE 'exact' END AS verify_gate,
+CASE WHEN max(l_discount) <= 0.03 THEN 'promoted' ELSE 'candidate' END AS promotion, CAST(sum(sum(l_quantity)) OVER (PARTITION BY l_partkey) AS BIGINT) * (l_partkey % 1000 + 1) AS nnz,
+count(DISTINCT l_quantity) * (l_partkey % 100) AS {{q}}distinct{{q}}, max(l_quantity) = 50 AS overflow, CAST(sum(count(*)) OVER (PARTITION BY l_partkey) AS BIGINT) AS bytes,
+l_partkey * 8 + l_linenumber AS ordinal, CASE WHEN l_linenumber % 2 = 0 THEN 'a' ELSE 'b' END AS device, max(l_discount) * 0.1{{d}} AS error, max(l_quantity) * 0.125{{d}} AS value_bytes,
+max(l_discount) - max(l_tax) AS gain, count(*) / 16.0{{d}} AS fill, max(l_quantity) * 2 AS covered, count(*) AS lines FROM {{t}} GROUP BY l_partkey, l_linenumber"""
+ROWS = "w AS (" + _ROWS.format(s="VARCHAR", d="::DOUBLE", q='"', t="lineitem") + ")"
 
 
 def query(sql: str | None = None):
@@ -34,170 +54,266 @@ def query(sql: str | None = None):
     return add
 
 
-def _rows(spark):
-    return spark.sql(SPARK_ROWS)
+def _rows(spark, d):
+    return spark.sql(_ROWS.format(s="STRING", d="D", q="`", t="{lines}"), lines=table(spark, d, "lineitem"))
 
 
 def _nine(df, *columns):
-    return df.withColumns({c: F.round(c, 9) for c in columns})
+    return df.withColumns({c: F.round(c, 9) + 0 for c in columns})
 
 
-SPEED = f"{ROWS}, ok AS (SELECT *, TRY_CAST(avg_ms AS DOUBLE) AS ms FROM w WHERE status = 'ok'), b AS (SELECT matrix, min(ms) AS base FROM ok WHERE operator = 'cusparse_default' GROUP BY matrix), sp AS (SELECT ok.matrix, operator, base / ms AS speedup, nnz FROM ok JOIN b USING (matrix) WHERE base > 0 AND ms > 0)"
+def _speedups(spark, d):
+    return R.speedups(_rows(spark, d), "cusparse_default")
+
+
+OK = f"{ROWS}, ok AS (SELECT *, TRY_CAST(avg_ms AS DOUBLE) AS ms FROM w WHERE status = 'ok')"
+SPEED = f"""{OK}, b AS (SELECT matrix, min(ms) AS base FROM ok WHERE operator = 'cusparse_default' GROUP BY matrix),
+sp AS (SELECT ok.matrix, operator, base / ms AS speedup, nnz FROM ok JOIN b USING (matrix) WHERE base > 0 AND ms > 0)"""
 
 
 @query(f"WITH {SPEED} SELECT matrix, operator, speedup FROM sp")
 def speedup_join(spark, d):
-    return R.speedups(_rows(spark), "cusparse_default")
+    return _speedups(spark, d)
 
 
-@query(f"WITH {SPEED} SELECT matrix, speedup * CASE WHEN CAST(substr(matrix, 2) AS BIGINT) % 2 = 0 AND CAST(substr(matrix, 2) AS BIGINT) < 40 THEN 1.5::DOUBLE ELSE 1 END AS speedup FROM sp WHERE operator = 'original_lb'")
+@query(f"""WITH {SPEED}, j AS (SELECT matrix, ms / nnz AS factor, error <= 0.005 AS passed FROM ok WHERE operator = 'bfp8_lb' AND ms IS NOT NULL)
+SELECT sp.matrix, speedup * CASE WHEN passed THEN factor ELSE 1 END AS speedup FROM sp LEFT JOIN j USING (matrix) WHERE operator = 'original_lb'""")
 def joint_dispatch(spark, d):
-    single = R.speedups(_rows(spark), "cusparse_default").filter("operator = 'original_lb'").select("matrix", "speedup")
-    joint = spark.range(40).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("matrix"), F.lit(1.5).alias("factor"), (F.col("id") % 2 == 0).alias("passed"))
+    r = _rows(spark, d)
+    single = R.speedups(r, "cusparse_default").filter("operator = 'original_lb'").select("matrix", "speedup")
+    joint = R.joint_rows(r, "bfp8_lb", 0.005).select("matrix", (F.col("ms") / F.col("nnz")).alias("factor"), "passed")
     return R.with_fallback(single, joint)
 
 
-@query(f"WITH {SPEED}, v AS (SELECT speedup AS value, count(*) AS n FROM sp GROUP BY 1) SELECT value, 1 - coalesce(sum(n) OVER (ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(n) OVER () AS share FROM v")
+@query(f"WITH {OK} SELECT matrix, ms, error <= 0.005 AS passed, nnz FROM ok WHERE operator = 'bfp8_lb' AND ms IS NOT NULL")
+def joint_filter(spark, d):
+    return R.joint_rows(_rows(spark, d), "bfp8_lb", 0.005)
+
+
+@query(f"WITH {OK} SELECT matrix, ms FROM ok WHERE operator = 'original_nolb' AND upper(verify_cpu) = 'PASS' AND ms IS NOT NULL")
+def verified_filter(spark, d):
+    return R.verified_rows(_rows(spark, d), "original_nolb")
+
+
+_FULL = f"f AS (SELECT matrix, max(nnz) AS nnz, {', '.join(f"max(ms) FILTER (operator = '{o}') AS {o}" for o in OPERATORS)} FROM ok WHERE ms IS NOT NULL AND nnz IS NOT NULL GROUP BY matrix)"
+
+
+@query(f"WITH {OK}, {_FULL} SELECT * FROM f")
+def core_full(spark, d):
+    return R.core_full(_rows(spark, d), list(OPERATORS))
+
+
+@query(f"""WITH {SPEED}, v AS (SELECT speedup AS value, count(*) AS n FROM sp GROUP BY 1)
+SELECT value, 1 - coalesce(sum(n) OVER (ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(n) OVER () AS share FROM v""")
 def survival_curve(spark, d):
-    return R.survival(R.speedups(_rows(spark), "cusparse_default"), "speedup")
+    return R.survival(_speedups(spark, d), "speedup")
 
 
-@query(f"WITH {ROWS} SELECT CAST(floor(log10(nnz)) AS BIGINT) AS decade, count(*) AS n, median(ordinal) AS median FROM w WHERE nnz >= 10 AND nnz < 1e9 GROUP BY 1 HAVING count(*) >= 5")
+@query(f"WITH {ROWS} SELECT CAST(floor(log10(nnz)) AS BIGINT) AS decade, count(*) AS n, median(value_bytes) AS median FROM w WHERE nnz >= 10 AND nnz < 1e9 GROUP BY 1 HAVING count(*) >= 5")
 def decade_median(spark, d):
-    return R.decade_medians(_rows(spark), "nnz", "ordinal")
+    return R.decade_medians(_rows(spark, d), "nnz", "value_bytes")
 
 
-FAIL = "CASE WHEN status = 'ok' THEN 'none' WHEN contains(lower(verify_cpu), 'fail') OR contains(lower(verify_cpu), 'max_rel') OR (verify_gate = 'spmv_max_rel' AND TRY_CAST(avg_ms AS DOUBLE) IS NOT NULL) THEN 'accuracy_fail' WHEN family = 'lossless_value_specialized' AND TRY_CAST(avg_ms AS DOUBLE) IS NULL THEN 'unsupported_value_domain' WHEN TRY_CAST(avg_ms AS DOUBLE) IS NULL THEN 'run_fail_before_timing' ELSE 'run_fail_after_timing' END"
+FAIL = """CASE WHEN status = 'ok' THEN 'none'
+WHEN contains(lower(verify_cpu), 'fail') OR contains(lower(verify_cpu), 'max_rel') OR (verify_gate = 'spmv_max_rel' AND TRY_CAST(avg_ms AS DOUBLE) IS NOT NULL) THEN 'accuracy_fail'
+WHEN family = 'lossless_value_specialized' AND TRY_CAST(avg_ms AS DOUBLE) IS NULL THEN 'unsupported_value_domain'
+WHEN TRY_CAST(avg_ms AS DOUBLE) IS NULL THEN 'run_fail_before_timing' ELSE 'run_fail_after_timing' END"""
 
 
 @query(f"WITH {ROWS} SELECT matrix, operator, {FAIL} AS failure FROM w")
 def failure_class(spark, d):
-    return _rows(spark).select("matrix", "operator", R.failure_class().alias("failure"))
+    return _rows(spark, d).select("matrix", "operator", R.failure_class().alias("failure"))
 
 
 @query(
-    f"WITH {ROWS}, f AS (SELECT *, {FAIL} AS failure, TRY_CAST(avg_ms AS DOUBLE) AS ms FROM w), b AS (SELECT matrix, min(ms) AS base FROM f WHERE operator = 'original_lb' GROUP BY matrix) SELECT matrix, operator, failure, CASE WHEN failure <> 'none' THEN failure WHEN family IN ('baseline', 'external_baseline') OR promotion = 'external_baseline' OR operator = 'cusparse_default' THEN 'external_baseline' "
-    "WHEN operator = 'original_lb' OR promotion = 'promoted' THEN 'promoted_fallback' WHEN family = 'non_load_balanced_traversal' THEN 'diagnostic_fallback' WHEN NOT coalesce(base > 0 AND ms > 0, false) THEN 'accuracy_pass_no_fallback' WHEN base / ms > 1 THEN 'accuracy_pass_runtime_win' ELSE 'accuracy_pass_runtime_loss' END AS claim FROM f LEFT JOIN b USING (matrix)"
+    f"""WITH {ROWS}, f AS (SELECT *, {FAIL} AS failure, TRY_CAST(avg_ms AS DOUBLE) AS ms FROM w), b AS (SELECT matrix, min(ms) AS base FROM f WHERE operator = 'original_lb' GROUP BY matrix)
+SELECT matrix, operator, failure, CASE WHEN failure <> 'none' THEN failure
+WHEN family IN ('baseline', 'external_baseline') OR promotion = 'external_baseline' OR operator = 'cusparse_default' THEN 'external_baseline'
+WHEN operator = 'original_lb' OR promotion = 'promoted' THEN 'promoted_fallback' WHEN family = 'non_load_balanced_traversal' THEN 'diagnostic_fallback'
+WHEN NOT coalesce(base > 0 AND ms > 0, false) THEN 'accuracy_pass_no_fallback' WHEN base / ms > 1 THEN 'accuracy_pass_runtime_win' ELSE 'accuracy_pass_runtime_loss' END AS claim
+FROM f LEFT JOIN b USING (matrix)"""
 )
 def claim_status(spark, d):
-    return R.claim_status(_rows(spark))
+    return R.claim_status(_rows(spark, d))
 
 
 @query(f"WITH {SPEED} SELECT operator, count(*) AS n, round(median(speedup), 9) AS median, round(exp(avg(ln(speedup))), 9) AS geomean, min(speedup) AS low, max(speedup) AS high FROM sp GROUP BY operator")
+def speedup_summary(spark, d):
+    return _nine(R.summary(_speedups(spark, d)), "median", "geomean")
+
+
+@query(f"""WITH {ROWS}, m AS (SELECT operator, status = 'ok' AS ok, CASE WHEN status = 'ok' THEN TRY_CAST(avg_ms AS DOUBLE) END AS ms FROM w)
+SELECT operator, count(*) FILTER (ok) AS ok, count(*) AS total, round(median(ms), 9) AS median, round(exp(avg(ln(ms)) FILTER (ms > 0)), 9) AS geomean, min(ms) AS low, max(ms) AS high FROM m GROUP BY operator""")
 def baseline_summary(spark, d):
-    return _nine(R.summary(R.speedups(_rows(spark), "cusparse_default")), "median", "geomean")
+    return _nine(R.baseline_report(_rows(spark, d)), "median", "geomean")
 
 
-@query(f"WITH {ROWS} SELECT matrix, " + ", ".join(f"max(avg_ms) FILTER (operator = '{o}') AS {o}" for o in OPERATORS) + " FROM w GROUP BY matrix")
+@query(f"""WITH {ROWS} SELECT matrix, {', '.join(f"max(avg_ms) FILTER (operator = '{o}') AS {o}" for o in OPERATORS)},
+{', '.join(f"coalesce(max(status) FILTER (operator = '{o}'), 'missing') AS {o}_status" for o in OPERATORS)} FROM w GROUP BY matrix""")
 def baseline_pivot(spark, d):
-    return R.pivoted(_rows(spark), list(OPERATORS), "avg_ms")
+    return R.pivoted(_rows(spark, d), list(OPERATORS), "avg_ms")
 
 
-@query(f"WITH {SPEED}, k AS (SELECT operator, speedup, row_number() OVER (PARTITION BY operator ORDER BY speedup) AS k, count(*) OVER (PARTITION BY operator) AS n FROM sp) SELECT operator, max(speedup) FILTER (k = n // 2 + 1) AS upper_median, count(*) FILTER (speedup > 1) AS wins FROM k GROUP BY operator")
+@query(f"""WITH {OK}, b AS (SELECT matrix, min(ms) AS base FROM ok WHERE operator = 'cusparse_default' GROUP BY matrix),
+r AS (SELECT ok.*, CASE WHEN base > 0 AND ms > 0 THEN base / ms END AS speedup, row_number() OVER (PARTITION BY operator ORDER BY value_bytes) AS k, count(*) OVER (PARTITION BY operator) AS n FROM ok LEFT JOIN b USING (matrix))
+SELECT operator, count(*) AS ok, count(*) FILTER (speedup > 1) AS wins, round(exp(avg(ln(speedup))), 9) + 0 AS geomean, count(*) FILTER (upper(verify_cpu) = 'PASS') AS passed,
+count(*) FILTER (upper(verify_cpu) IN ('PASS', 'FAIL')) AS verified, max(value_bytes) FILTER (k = n // 2 + 1) AS upper_median FROM r GROUP BY operator""")
 def scale_summary(spark, d):
-    s = R.speedups(_rows(spark), "cusparse_default")
-    wins = s.groupBy(F.col("operator").alias("o")).agg(F.count_if(F.col("speedup") > 1).alias("wins"))
-    return R.upper_median(s, "speedup", "operator").join(wins, F.col("operator") == F.col("o")).select("operator", "upper_median", "wins")
+    return _nine(R.scaled_up(_rows(spark, d), "cusparse_default"), "geomean")
+
+
+_FAMILY = ["original_lb", "bf16_lb", "bfp8_lb", "bfp8_outlier_lb"]
 
 
-@query(f"WITH {SPEED}, c AS (SELECT matrix FROM sp WHERE operator IN ('original_lb', 'sign2_lb', 'bfp8_lb') GROUP BY matrix HAVING count(DISTINCT operator) = 3) SELECT operator AS codec, count(*) AS n, median(speedup) AS median FROM sp WHERE operator IN ('original_lb', 'sign2_lb', 'bfp8_lb') AND matrix IN (SELECT matrix FROM c) GROUP BY operator")
+@query(f"""WITH {ROWS}, o AS (SELECT * FROM w WHERE operator IN {(*_FAMILY, 'sign2_lb', 'original_nolb')} AND status = 'ok' AND value_bytes > 0 AND error >= 0),
+c AS (SELECT matrix FROM o WHERE operator IN {tuple(_FAMILY)} GROUP BY matrix HAVING count(DISTINCT operator) = 4),
+h AS (SELECT *, operator NOT IN {tuple(_FAMILY)} OR matrix IN (SELECT matrix FROM c) AS counts FROM o)
+SELECT operator AS codec, count(*) FILTER (counts) AS n, count(DISTINCT matrix) / (SELECT count(DISTINCT matrix) FROM w) AS coverage,
+median(value_bytes) FILTER (counts) AS bytes, round(median(error) FILTER (counts), 9) AS error FROM h GROUP BY operator""")
 def pareto_common_set(spark, d):
-    s = R.speedups(_rows(spark), "cusparse_default").withColumnRenamed("operator", "codec")
-    return R.common_set_medians(s, ["original_lb", "sign2_lb", "bfp8_lb"], "speedup")
+    return _nine(R.pareto(_rows(spark, d), [*_FAMILY, "sign2_lb", "original_nolb"], _FAMILY), "error")
 
 
-@query(f"WITH {SPEED}, a AS (SELECT matrix, nnz, speedup AS lossless FROM sp WHERE operator = 'original_lb'), z AS (SELECT matrix, speedup AS lossy FROM sp WHERE operator = 'bfp8_lb') SELECT matrix, nnz, lossless, lossy FROM a JOIN z USING (matrix) ORDER BY nnz DESC, matrix LIMIT 10")
+_SHOWN = ["original_lb", "bfp8_lb", "sign2_lb", "bf16_lb"]
+
+
+@query(f"""WITH {OK}, {_FULL} SELECT matrix, nnz, {', '.join(f'cusparse_default / {o} AS {o}' for o in _SHOWN)} FROM f
+WHERE {' AND '.join(f'{o} > 0' for o in ('cusparse_default', *_SHOWN))} ORDER BY nnz DESC, matrix LIMIT 10""")
 def showcase_topk(spark, d):
-    s, n = R.speedups(_rows(spark), "cusparse_default"), _rows(spark).select("matrix", "nnz").distinct()
-    a, b = (s.filter(F.col("operator") == o).select("matrix", F.col("speedup").alias(c)) for o, c in (("original_lb", "lossless"), ("bfp8_lb", "lossy")))
-    return a.join(b, "matrix").join(n, "matrix").orderBy(F.desc("nnz"), "matrix").limit(10).select("matrix", "nnz", "lossless", "lossy")
+    return R.showcased(_rows(spark, d), "cusparse_default", _SHOWN)
+
+
+@query(f"""WITH {OK}, a AS (SELECT matrix, max(nnz) AS nnz, max(fill) AS fill, min(ms) AS base FROM ok WHERE operator = 'original_lb' AND ms > 0 GROUP BY matrix),
+z AS (SELECT matrix, max(gain) AS gain, max(error) AS error, max(value_bytes) AS bytes, min(ms) AS ms FROM ok WHERE operator = 'bfp8_lb' AND ms > 0 GROUP BY matrix)
+SELECT matrix, nnz, fill, round(gain, 9) + 0 AS gain, round(error, 9) + 0 AS error, bytes, base / ms AS speedup FROM a JOIN z USING (matrix)""")
+def evidence_table(spark, d):
+    return _nine(R.evidence(_rows(spark, d), "original_lb", "bfp8_lb"), "gain", "error")
 
 
 @query(f"WITH {ROWS} SELECT matrix, device, ordinal, operator FROM w QUALIFY row_number() OVER (PARTITION BY matrix, device ORDER BY ordinal) = 1")
 def crossdev_first(spark, d):
-    return R.first_of_device(_rows(spark)).select("matrix", "device", "ordinal", "operator")
+    return R.first_of_device(_rows(spark, d)).select("matrix", "device", "ordinal", "operator")
 
 
-@query(f"WITH {SPEED}, a AS (SELECT matrix, TRY_CAST(avg_ms AS DOUBLE) AS x FROM w WHERE operator = 'original_lb' AND status = 'ok'), z AS (SELECT matrix, TRY_CAST(avg_ms AS DOUBLE) AS y FROM w WHERE operator = 'bfp8_lb' AND status = 'ok') SELECT matrix, x / y AS speedup FROM a JOIN z USING (matrix) WHERE x > 0 AND y > 0")
+@query(f"""WITH {OK}, a AS (SELECT matrix, ms AS x FROM ok WHERE operator = 'original_lb'), z AS (SELECT matrix, ms AS y FROM ok WHERE operator = 'bfp8_lb')
+SELECT matrix, x / y AS speedup FROM a JOIN z USING (matrix) WHERE x > 0 AND y > 0""")
 def cg_speedup(spark, d):
-    ok = _rows(spark).filter("status = 'ok'").withColumn("ms", R.milliseconds("avg_ms"))
+    ok = _rows(spark, d).filter("status = 'ok'").withColumn("ms", R.milliseconds("avg_ms"))
     a, b = (ok.filter(F.col("operator") == o).select("matrix", F.col("ms").alias(c)) for o, c in (("original_lb", "x"), ("bfp8_lb", "y")))
     return a.join(b, "matrix").withColumn("speedup", R.positive_ratio(F.col("x"), F.col("y"))).filter("speedup IS NOT NULL").select("matrix", "speedup")
 
 
 @query(f"WITH {ROWS} SELECT DISTINCT matrix FROM w WHERE matrix NOT IN (SELECT matrix FROM w WHERE status = 'failed')")
 def resume_anti_join(spark, d):
-    r = _rows(spark)
+    r = _rows(spark, d)
     return R.unfinished(r.select("matrix").distinct(), r.filter("status = 'failed'"))
 
 
-@query(f"WITH {ROWS}, m AS (SELECT matrix, bytes, max(CASE WHEN overflow THEN 4611686018427387904 ELSE \"distinct\" END) AS u FROM w WHERE NOT (\"distinct\" = 0 AND NOT overflow) GROUP BY ALL) SELECT CASE WHEN u <= 1 THEN 'constant' WHEN u <= 2 THEN '2' WHEN u <= 16 THEN '16' WHEN u <= 256 THEN '256' WHEN u <= 65536 THEN '65536' ELSE 'continuous' END AS bucket, count(*) AS n FROM m GROUP BY 1")
+@query(
+    f"""WITH {ROWS}, m AS (SELECT matrix, bytes, max(CASE WHEN overflow THEN 4611686018427387904 ELSE "distinct" END) AS u FROM w WHERE NOT ("distinct" = 0 AND NOT overflow) GROUP BY ALL)
+SELECT CASE WHEN u <= 1 THEN 'constant' WHEN u <= 2 THEN '2' WHEN u <= 16 THEN '16' WHEN u <= 256 THEN '256' WHEN u <= 65536 THEN '65536' ELSE 'continuous' END AS bucket, count(*) AS n FROM m GROUP BY 1"""
+)
 def value_census(spark, d):
-    return R.census(_rows(spark))
+    return R.census(_rows(spark, d))
+
+
+_NAMED = """n AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS idx, concat('g', CAST(p_partkey % 9 AS VARCHAR), '/m', CAST(p_partkey AS VARCHAR)) AS path FROM part)"""
 
 
-@query("WITH n AS (SELECT i AS idx, concat('g', CAST(i % 9 AS VARCHAR), '/m', CAST(i % 50 AS VARCHAR)) AS path FROM range(64) q(i)) SELECT CAST(idx % 4 AS BIGINT) AS shard, idx // 4 AS pos, list_extract(string_split(path, '/'), 2) AS matrix, path FROM n")
+def _strided_parts(spark, d):
+    """Names of matrices, one for each part, dealt to four shards."""
+    names = table(spark, d, "part").select("p_partkey", F.expr("concat('g', p_partkey % 9, '/m', p_partkey)").alias("path"))
+    return R.strided(names, digits("p_partkey", 1 << 36), 4)
+
+
+@query(f"WITH {_NAMED} SELECT CAST(idx % 4 AS BIGINT) AS shard, idx // 4 AS pos, split_part(path, '/', 2) AS matrix, path FROM n")
 def shard_identity(spark, d):
-    names = spark.range(64).select(F.col("id").alias("idx"), F.expr("concat('g', id % 9, '/m', id % 50)").alias("path"))
-    rows = names.select((F.col("idx") % 4).alias("shard"), F.expr("idx DIV 4").alias("pos"), F.element_at(F.split("path", "/"), 2).alias("matrix"))
+    dealt = _strided_parts(spark, d)
+    names = dealt.select("path", (F.col("pos") * 4 + F.col("shard")).alias("idx"))
+    rows = dealt.select("shard", "pos", F.element_at(F.split("path", "/"), 2).alias("matrix"))
     return R.shard_identity(rows, names, 4)
 
 
-@query("SELECT i AS id, CASE WHEN i % 7 = 0 THEN 'missing' WHEN i * 100 > 4000 THEN 'skip_size' WHEN i % 5 = 0 THEN 'empty' WHEN i % 3 = 0 THEN 'pattern' ELSE 'ok' END AS status FROM range(60) q(i)")
+@query(f"WITH {_NAMED} SELECT CAST(idx % 4 AS BIGINT) AS shard, idx // 4 AS pos, path FROM n")
+def stride_shards(spark, d):
+    return _strided_parts(spark, d).select("shard", "pos", "path")
+
+
+@query(f"""WITH {ROWS} SELECT ordinal AS id, CASE WHEN overflow THEN 'missing' WHEN nnz > 500000 THEN 'skip_size' WHEN verify_cpu = 'FAIL' THEN concat('error:', operator, ' ', verify_gate)
+WHEN avg_ms = '' THEN 'empty' WHEN "distinct" <= 2 THEN 'pattern' ELSE 'ok' END AS status FROM w""")
 def sweep_status(spark, d):
-    i = F.col("id")
-    return spark.range(60).select("id", R.sweep_status(i % 7 != 0, i * 100, 4000, i % 5, F.when(i % 3 == 0, "pattern").otherwise("real")).alias("status"))
+    error = F.when(F.col("verify_cpu") == "FAIL", F.concat_ws(" ", "operator", "verify_gate"))
+    status = R.sweep_status(~F.col("overflow"), F.col("nnz"), 500000, F.length("avg_ms"), F.when(F.col("distinct") <= 2, "pattern").otherwise("real"), error)
+    return _rows(spark, d).select(F.col("ordinal").alias("id"), status.alias("status"))
 
 
-@query("SELECT path FROM (VALUES ('a/b.mtx'), ('c/d.mtx')) v(path) WHERE path LIKE 'a/%'")
+@query("SELECT concat('g', CAST(p_partkey % 9 AS VARCHAR), '/m', CAST(p_partkey AS VARCHAR), '.mtx') AS path FROM part WHERE p_partkey % 9 = 1 AND p_partkey % 10 > 1")
 def matrix_list(spark, d):
-    lines = spark.createDataFrame([("a/b.mtx",), ("# note",), ("",), ("c/d.mtx",)], "path string")
-    return listed(lines).filter(F.col("path").rlike("^a/"))
+    """A list of matrices, with notes and blank lines in it."""
+    name = F.expr("CASE p_partkey % 10 WHEN 0 THEN concat('# ', p_partkey) WHEN 1 THEN '' ELSE concat('g', p_partkey % 9, '/m', p_partkey, '.mtx') END")
+    return matching(listed(table(spark, d, "part").select(name.alias("path"))), "^g1/")
 
 
-@query("SELECT i AS id, CAST(i * 0.5 AS DOUBLE) AS ms, 'dict' || i AS codec FROM range(20) q(i)")
+@query(f"WITH {ROWS} SELECT ordinal AS id, TRY_CAST(avg_ms AS DOUBLE) AS ms, operator AS codec FROM w")
 def tool_output(spark, d):
-    text = F.format_string("rows: 5\nvalue codec: dict%d\ntime: min_ms=%.1f, ok", F.col("id"), F.col("id") * 0.5)
-    t = spark.range(20).select("id", text.alias("t"))
+    text = F.format_string("rows: %d\nvalue codec: %s\ntime: min_ms=%s, ok", F.col("bytes"), F.col("operator"), F.col("avg_ms"))
+    t = _rows(spark, d).select(F.col("ordinal").alias("id"), text.alias("t"))
     return t.select("id", setting(F.col("t"), "min_ms").alias("ms"), report_value(F.col("t"), "value codec").alias("codec"))
 
 
-@query(f"WITH {ROWS}, z AS (SELECT \"distinct\" <= 256 AS few, CAST(ordinal * 31 % 101 AS DOUBLE) AS c FROM w), k AS (SELECT *, row_number() OVER (PARTITION BY few ORDER BY c) AS k, count(*) OVER (PARTITION BY few) AS n FROM z) SELECT few, count(*) AS n, min(c) AS low, avg(c) AS mean, max(c) AS high, count(*) FILTER (c >= 90) AS ge90, count(*) FILTER (c >= 50) AS ge50, max(c) FILTER (k = n // 2 + 1) AS upper_median FROM k GROUP BY few")
+@query(
+    f"""WITH {ROWS}, z AS (SELECT "distinct" <= 256 AS few, covered AS c FROM w), k AS (SELECT *, row_number() OVER (PARTITION BY few ORDER BY c) AS k, count(*) OVER (PARTITION BY few) AS n FROM z)
+SELECT few, count(*) AS n, min(c) AS low, avg(c) AS mean, max(c) AS high, count(*) FILTER (c >= 90) AS ge90, count(*) FILTER (c >= 50) AS ge50, max(c) FILTER (k = n // 2 + 1) AS upper_median FROM k GROUP BY few"""
+)
 def frequency_summary(spark, d):
-    return R.frequency_summary(_rows(spark).withColumn("c", (F.col("ordinal") * 31 % 101).cast("double")), "c", "distinct")
+    return R.frequency_summary(_rows(spark, d), "covered", "distinct")
+
+
+@query(
+    f"""WITH {ROWS}, m AS (SELECT ordinal, covered FROM w WHERE "distinct" > 256), a AS (SELECT 'best' AS side, * FROM m WHERE covered >= 90 ORDER BY covered DESC, ordinal LIMIT 12),
+b AS (SELECT 'worst' AS side, * FROM m WHERE covered < 50 ORDER BY covered, ordinal LIMIT 10) SELECT * FROM a UNION ALL SELECT * FROM b"""
+)
+def frequency_extremes(spark, d):
+    return R.frequency_extremes(_rows(spark, d), "covered", "distinct", "ordinal")
 
 
-@query(f"WITH {ROWS}, z AS (SELECT CASE WHEN ordinal % 9 = 0 THEN 'Infinity'::DOUBLE ELSE ordinal - 20.0::DOUBLE END AS x, ordinal + 1.0::DOUBLE AS y FROM w) SELECT count(*) FILTER (x > 0 AND x < 'Infinity'::DOUBLE AND y > 0) AS points, count(*) FILTER (x = 'Infinity'::DOUBLE) AS infinite FROM z")
+_POINTS = "CASE WHEN overflow THEN 'Infinity'::DOUBLE ELSE gain END AS x, value_bytes AS y"
+
+
+@query(f"WITH {ROWS}, z AS (SELECT {_POINTS} FROM w) SELECT count(*) FILTER (x > 0 AND x < 'Infinity'::DOUBLE AND y > 0) AS points, count(*) FILTER (x = 'Infinity'::DOUBLE) AS infinite FROM z")
 def accuracy_scatter(spark, d):
-    x = F.when(F.col("ordinal") % 9 == 0, float("inf")).otherwise(F.col("ordinal") - 20.0)
-    return R.plottable(_rows(spark).select(x.alias("x"), (F.col("ordinal") + 1.0).alias("y")), "x", "y")
+    x = F.when(F.col("overflow"), float("inf")).otherwise(F.col("gain"))
+    return R.plottable(_rows(spark, d).select(x.alias("x"), F.col("value_bytes").alias("y")), "x", "y")
 
 
-@query(f"WITH {ROWS}, ok AS (SELECT *, TRY_CAST(avg_ms AS DOUBLE) AS ms FROM w WHERE status = 'ok'), c AS (SELECT matrix, min(ms) AS c FROM ok WHERE operator = 'cusparse_default' GROUP BY matrix), o AS (SELECT matrix, min(ms) AS o FROM ok WHERE operator = 'original_lb' GROUP BY matrix) SELECT CAST(list_position({list(OPERATORS)}, operator) AS BIGINT) AS place, matrix, operator, CASE WHEN c > 0 AND ms > 0 THEN c / ms END AS vs_default, CASE WHEN o > 0 AND ms > 0 THEN o / ms END AS vs_original FROM ok LEFT JOIN c USING (matrix) LEFT JOIN o USING (matrix)")
+@query(
+    f"""WITH {OK}, {', '.join(f"{a} AS (SELECT matrix, min(ms) AS {a}m FROM ok WHERE operator = '{o}' GROUP BY matrix)" for a, o in (('c', 'cusparse_default'), ('o', 'original_lb'), ('p', 'original_nolb')))}
+SELECT CAST(list_position({list(OPERATORS)}, operator) AS BIGINT) AS place, matrix, operator, {', '.join(f'CASE WHEN {a}m > 0 AND ms > 0 THEN {a}m / ms END AS {n}' for a, n in (('c', 'vs_default'), ('o', 'vs_original'), ('p', 'vs_plain')))}
+FROM ok LEFT JOIN c USING (matrix) LEFT JOIN o USING (matrix) LEFT JOIN p USING (matrix)"""
+)
 def sweep_summary(spark, d):
-    return R.sweep_summary(_rows(spark), list(OPERATORS), {"vs_default": "cusparse_default", "vs_original": "original_lb"})
+    return R.sweep_summary(_rows(spark, d), list(OPERATORS), {"vs_default": "cusparse_default", "vs_original": "original_lb", "vs_plain": "original_nolb"})
 
 
-@query(f"WITH {ROWS}, z AS (SELECT (ordinal * 13 % 64) / 64.0::DOUBLE AS gain, nnz, (ordinal * 7 % 32) / 32.0::DOUBLE AS fill FROM w) SELECT fill >= 0.2::DOUBLE AS dense, count(*) AS n, sum(gain * nnz) / sum(nnz) AS weighted, median(gain) AS median, min(gain) AS low, max(gain) AS high FROM z GROUP BY 1")
+@query(
+    f"""WITH {ROWS} SELECT fill >= 0.2::DOUBLE AS dense, count(*) AS n, round(sum(gain * nnz) / sum(nnz), 9) + 0 AS weighted, round(median(gain), 9) + 0 AS median,
+round(min(gain), 9) + 0 AS low, round(max(gain), 9) + 0 AS high FROM w GROUP BY 1"""
+)
 def coreg_group_gains(spark, d):
-    r = _rows(spark).select(((F.col("ordinal") * 13 % 64) / 64.0).alias("gain"), "nnz", ((F.col("ordinal") * 7 % 32) / 32.0).alias("fill"))
-    return R.group_gains(r, "gain", "nnz", "fill")
+    return _nine(R.group_gains(_rows(spark, d), "gain", "nnz", "fill"), "weighted", "median", "low", "high")
 
 
-@query(f"WITH {ROWS}, z AS (SELECT ordinal, (ordinal * 13 % 64) / 64.0::DOUBLE - 0.25 AS gain, (ordinal * 7 % 32) / 32.0::DOUBLE AS fill FROM w), k AS (SELECT gain, row_number() OVER (ORDER BY fill, ordinal) AS a, row_number() OVER (ORDER BY gain, ordinal) AS b FROM z) SELECT count(*) AS n, count(*) FILTER (gain > 0) AS positive, count(*) FILTER (gain > 0) / count(*) AS positive_share, CAST(list_sort(list(gain))[count(*) // 2 + 1] AS DOUBLE) AS median, round(corr(a, b), 9) AS rho FROM k")
+@query(
+    f"""WITH {ROWS}, k AS (SELECT gain, row_number() OVER (ORDER BY fill, ordinal) AS a, row_number() OVER (ORDER BY gain, ordinal) AS b FROM w)
+SELECT count(*) AS n, count(*) FILTER (gain > 0) AS positive, count(*) FILTER (gain > 0) / count(*) AS positive_share, round(list_sort(list(gain))[count(*) // 2 + 1], 9) + 0 AS median, round(corr(a, b), 9) AS rho FROM k"""
+)
 def coreg_gain_summary(spark, d):
-    r = _rows(spark).select("ordinal", ((F.col("ordinal") * 13 % 64) / 64.0 - F.lit(0.25)).alias("gain"), ((F.col("ordinal") * 7 % 32) / 32.0).alias("fill"))
-    return _nine(R.gain_summary(r, "gain", "fill", "ordinal"), "rho")
+    return _nine(R.gain_summary(_rows(spark, d), "gain", "fill", "ordinal"), "median", "rho")
 
 
-@query(f"WITH {ROWS} SELECT CAST(sum(nnz * 2 + ordinal * 16) AS BIGINT) AS packed_bytes, CAST(sum(nnz * 4 + (bytes + 1) * 4) AS BIGINT) AS csr_bytes, sum(nnz * 2 + ordinal * 16) / sum(nnz * 4 + (bytes + 1) * 4) AS ratio FROM w")
+@query(f"WITH {ROWS} SELECT CAST(sum(nnz * 2 + lines * 16) AS BIGINT) AS packed_bytes, CAST(sum(nnz * 4 + (bytes + 1) * 4) AS BIGINT) AS csr_bytes, sum(nnz * 2 + lines * 16) / sum(nnz * 4 + (bytes + 1) * 4) AS ratio FROM w")
 def position_metadata_totals(spark, d):
-    return R.metadata_totals(_rows(spark).select((F.col("nnz") * 2).alias("position_bytes"), F.col("ordinal").alias("work_items"), "nnz", F.col("bytes").alias("rows")))
-
-
-@query(f"WITH {ROWS} SELECT ordinal % 4 AS shard, count(*) AS n FROM w GROUP BY 1")
-def stride_shards(spark, d):
-    return _rows(spark).groupBy((F.col("ordinal") % 4).alias("shard")).agg(F.count("*").alias("n"))
+    return R.metadata_totals(_rows(spark, d).select((F.col("nnz") * 2).alias("position_bytes"), F.col("lines").alias("work_items"), "nnz", F.col("bytes").alias("rows")))
 
 
 # --- files: written from the driver's tables, and read again ----------------------------------------------
@@ -208,8 +324,7 @@ l_suppkey % 3 AS shard, CAST(sum(l_quantity) AS BIGINT) AS ms FROM lineitem GROU
 
 def _shards(spark, d) -> str:
     """Sweep results of three shards and a summary, as files: a folder."""
-    table(spark, d, "lineitem").createOrReplaceTempView("mosaik_lineitem")
-    sweep = spark.sql(f"WITH {_SWEPT.format(s='STRING').replace('FROM lineitem', 'FROM mosaik_lineitem')} SELECT * FROM s")
+    sweep = spark.sql(f"WITH {_SWEPT.format(s='STRING').replace('FROM lineitem', 'FROM {lines}')} SELECT * FROM s", lines=table(spark, d, "lineitem"))
     path = scratch(spark, "sweep")
     for k in range(3):
         own = sweep.filter(F.col("shard") == k).select("matrix", "operator", F.lit("ok").alias("status"), F.col("ms").cast("string").alias("avg_ms"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import codecs, solvers, study
 from ..operators.metrics import ensemble
 from ..operators.spmv import spmv
-from ..sources.tables import banded_spd, embedding_matrix, hash_ensemble, input_vector, order_graph
-from .matrices import HASH, SQL as MATRIX_SQL
-from .parts import COLS, EMBED, E, Query, parts
+from ..sources.tables import banded_spd, embedding_matrix, hash_ensemble, input_vector, order_graph, supplier_graph
+from .matrices import BAND, HASH, SQL as MATRIX_SQL
+from .parts import COLS, EMBED, E, ROWS, Query, parts
 
 #: Columns up to which the vectors of an ensemble are broadcast.
 MOST_SENT = 200_000
@@ -168,10 +168,11 @@ def error_ensemble(spark, d):
 _SPD = MATRIX_SQL["synth_spd"]
 
 
-@query(f"WITH e AS ({_SPD}), x AS (SELECT i AS idx, ((i % 17) - 8) * 0.125::DOUBLE AS val FROM range(200) q(i)), b AS (SELECT r AS idx, sum(v * val) AS val FROM e JOIN x ON c = idx GROUP BY r) SELECT round(sum(x.val * b.val), 6) AS dot, round(sqrt(sum(b.val * b.val)), 6) AS nrm2, round(sum(2 * x.val + b.val), 6) AS axpy_sum, round(sum(3 * x.val), 6) AS scal_sum FROM x JOIN b USING (idx)")
+@query(f"WITH e AS ({_SPD}), x AS (SELECT i AS idx, ((i % 17) - 8) * 0.125::DOUBLE AS val FROM range({ROWS}) q(i)), b AS (SELECT r AS idx, sum(v * val) AS val FROM e JOIN x ON c = idx GROUP BY r) SELECT round(sum(x.val * b.val), 6) AS dot, round(sqrt(sum(b.val * b.val)), 6) AS nrm2, round(sum(2 * x.val + b.val), 6) AS axpy_sum, round(sum(3 * x.val), 6) AS scal_sum FROM x JOIN b USING (idx)")
 def blas1(spark, d):
-    m = banded_spd(spark, 200, 5, 0.5)
-    x = input_vector(spark, 200)
+    rows = parts(spark, d).rows
+    m = banded_spd(spark, rows, BAND, 0.5)
+    x = input_vector(spark, rows)
     b = solvers.times(m)(x)
     both = x.alias("a").join(b.alias("b"), "idx").agg(F.round(F.sum(F.col("a.val") * F.col("b.val")), 6).alias("dot"), F.round(F.sqrt(F.sum(F.col("b.val") * F.col("b.val"))), 6).alias("nrm2"))
     s = solvers.axpy(2.0, x, b).agg(F.round(F.sum("val"), 6).alias("axpy_sum"))
@@ -210,10 +211,11 @@ def cg_orders(spark, d):
     return _nine(_table(spark, curve), "relative_residual")
 
 
-def _problem(spark):
-    m = banded_spd(spark, 60, 3, 2.0)
+def _problem(spark, d):
+    """Suppliers that share customers' orders of parts, and the product of their matrix with the input vector."""
+    m = supplier_graph(spark, d)
     m = m.with_entries(solvers.cut(m.entries))
-    return m, solvers.cut(solvers.times(m)(input_vector(spark, 60)))
+    return m, solvers.cut(solvers.times(m)(input_vector(spark, m.rows)))
 
 
 def _table(spark, curve: solvers.Curve):
@@ -222,17 +224,17 @@ def _table(spark, curve: solvers.Curve):
 
 @query()
 def cg_iterations(spark, d):
-    m, b = _problem(spark)
+    m, b = _problem(spark, d)
     return _table(spark, solvers.conjugate_gradient(solvers.times(m), b, most=5000))
 
 
 @query()
 def iterative_refinement(spark, d):
-    m, b = _problem(spark)
+    m, b = _problem(spark, d)
     return _table(spark, solvers.refined(solvers.times(codecs.bfp8(m)), solvers.times(m), b, inner=20, outer=600))
 
 
 @query()
 def flexible_cg(spark, d):
-    m, b = _problem(spark)
+    m, b = _problem(spark, d)
     return _table(spark, solvers.flexible(solvers.times(codecs.bfp8(m)), solvers.times(m), b, inner=5, most=2000))

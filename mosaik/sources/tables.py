@@ -43,11 +43,19 @@ def user_by_hour(spark: SparkSession, sf_dir: str) -> Matrix:
 def order_graph(spark: SparkSession, sf_dir: str) -> Matrix:
     """A symmetric positive definite matrix of orders: each line links its order to the one as many places on as the number of its
     part, by its discount; a diagonal entry is one more than the links of its order."""
-    n = _extent(table(spark, sf_dir, "orders"), "o_orderkey")
-    i, j = F.col("l_orderkey"), (F.col("l_orderkey") + F.col("l_partkey")) % max(1, n)
-    links = table(spark, sf_dir, "lineitem").select(i.alias("i"), j.alias("j"), F.col("l_discount").alias("v")).filter("i <> j AND v <> 0")
+    return _graph(table(spark, sf_dir, "lineitem"), "l_orderkey", _extent(table(spark, sf_dir, "orders"), "o_orderkey"), "l_discount", 1.0)
+
+
+def supplier_graph(spark: SparkSession, sf_dir: str) -> Matrix:
+    """The same of suppliers, by quantity."""
+    return _graph(table(spark, sf_dir, "lineitem"), "l_suppkey", _extent(table(spark, sf_dir, "supplier"), "s_suppkey"), "l_quantity", 64.0)
+
+
+def _graph(lines: DataFrame, key: str, n: int, weight: str, shift: float) -> Matrix:
+    i, j = F.col(key), (F.col(key) + F.col("l_partkey")) % max(1, n)
+    links = lines.select(i.alias("i"), j.alias("j"), F.col(weight).alias("v")).filter("i <> j AND v <> 0")
     sums = links.groupBy("i", "j").agg(F.sum("v").alias("v"))
-    return _with_diagonal(sums, n, F.abs("v"), 1.0)
+    return _with_diagonal(sums, n, F.abs("v"), shift)
 
 
 def embedding_matrix(spark: SparkSession, sf_dir: str) -> Matrix:
