@@ -21,6 +21,8 @@ from .spmv import BROADCAST_ENTRIES, spmv
 
 Product = Callable[[DataFrame], DataFrame]
 TOLERANCES = (1e-2, 1e-3, 1e-6, 1e-8)
+#: Where inner steps end before their number: a coarse matrix tells no more.
+ENOUGH = 1e-6
 
 
 @dataclass
@@ -104,8 +106,8 @@ def conjugate_gradient(product: Product, b: DataFrame, most: int = 5000, stop: f
     return curve
 
 
-def refined(low: Product, exact: Product, b: DataFrame, inner: int = 20, outer: int = 20, stop: float = 1e-8) -> Curve:
-    """Iterative refinement: corrections by inner steps with a coarse product, residuals with the exact one."""
+def refined(low: Matrix, exact: Product, b: DataFrame, inner: int = 20, outer: int = 20, stop: float = 1e-8) -> Curve:
+    """Iterative refinement: corrections by inner steps of recurrent() with a coarse matrix, residuals with the exact product."""
     size, x, curve = norm(b) or 1.0, cut(scaled(0.0, b)), Curve()
     for _ in range(outer):
         r = cut(axpy(-1.0, exact(x), b))
@@ -113,16 +115,16 @@ def refined(low: Product, exact: Product, b: DataFrame, inner: int = 20, outer:
         if curve.residuals[-1] <= stop:
             curve.ended = "converged"
             break
-        step = conjugate_gradient(low, r, inner, 0.0, tolerances=(0.0,)).solution
+        step = recurrent(low, r, inner, ENOUGH).solution
         x = cut(axpy(1.0, step, x))
     curve.solution = x
     return curve
 
 
-def flexible(low: Product, exact: Product, b: DataFrame, inner: int = 5, most: int = 100, stop: float = 1e-8) -> Curve:
-    """Conjugate gradients whose preconditioner is a few inner steps with a coarse product; Polak-Ribiere, beta >= 0."""
+def flexible(low: Matrix, exact: Product, b: DataFrame, inner: int = 5, most: int = 100, stop: float = 1e-8) -> Curve:
+    """Conjugate gradients whose preconditioner is a few inner steps of recurrent() with a coarse matrix; Polak-Ribiere, beta >= 0."""
     size, x, r, curve = norm(b) or 1.0, cut(scaled(0.0, b)), b, Curve()
-    inside = lambda v: conjugate_gradient(low, v, inner, 0.0, tolerances=(0.0,)).solution
+    inside = lambda v: recurrent(low, v, inner, ENOUGH).solution
     z = inside(r)
     p, rz = z, dot(r, z)
     for _ in range(most):

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.rounding import bf16, fp16
 from ..operators import codecs, evaluation, metrics, payload, profile, split, tiles
 from ..operators.spmv import spmv, spmv_parts
-from ..plans.planner import catalog, gated
-from ..plans.policy import load_balance
+from ..plans.planner import gated
 from ..sources.tables import deterministic_vector, embedding_matrix, input_vector, order_by_part, shipments, table
 from .parts import EMBED, HASH, ORDERS, PATTERNS, TILES, E, Query, X, parts, pattern, pattern_sql, rounded, spmv_sql
 
@@ -451,25 +450,7 @@ def tile_distinct(spark, d):
     return profile.tile_dictionaries(parts(spark, d))
 
 
-# --- policy -----------------------------------------------------------------------------------------------
-
-_CASES = ((5, 4), (14948, 105), (66480, 136), (319126, 171), (422802, 512), (2516849, 1791489), (9000000, 400000), (800000, 240), (4000000, 48000), (0, 5))
-_POLICY = "CASE WHEN b <= 0 OR r <= 0 THEN 32 WHEN b < 30000 THEN 8 WHEN a >= 20000 AND b >= 700000 THEN 128 WHEN a >= 6000 AND b >= 400000 THEN 128 WHEN a >= 6000 AND b >= 250000 THEN 64 WHEN a >= 500 THEN CASE WHEN b < 120000 THEN 16 WHEN b >= 3000000 THEN 64 ELSE 32 END WHEN b >= 8000000 AND a >= 128 THEN 128 WHEN b >= 3000000 THEN 64 ELSE 32 END"
-
-
-@query(f"SELECT CAST(b AS BIGINT) AS blocks, CAST(r AS BIGINT) AS \"rows\", {_POLICY} AS chunk FROM (SELECT *, b / greatest((r + 7) // 8, 1) AS a FROM (VALUES {', '.join(map(str, _CASES))}) v(b, r))")
-def lb_policy(spark, d):
-    t = spark.createDataFrame(list(_CASES), "blocks long, rows long")
-    return t.select("blocks", "rows", load_balance(F.col("blocks"), F.col("rows")).alias("chunk"))
-
-
-# --- planner ----------------------------------------------------------------------------------------------
-
-
-@query()
-def operator_catalog(spark, d):
-    rows = [(k, o.name, o.layout, o.codec, o.family, o.gate, o.promotion) for k, o in enumerate(catalog().values())]
-    return spark.createDataFrame(rows, "place int, name string, layout string, codec string, family string, gate string, promotion string")
+# --- gates ------------------------------------------------------------------------------------------------
 
 
 @query(spmv_sql(E))

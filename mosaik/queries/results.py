@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import results as R
 from ..operators.order import digits
+from ..plans.planner import catalog
+from ..plans.policy import load_balance
 from ..sources import matrix_market
 from ..sources.reports import basename, first_paths, listed, matching, matrix_list as read_list, report_value, result_csv, setting, shard_of, write_report
 from ..sources.scratch import scratch
@@ -316,6 +318,31 @@ def position_metadata_totals(spark, d):
     return R.metadata_totals(_rows(spark, d).select((F.col("nnz") * 2).alias("position_bytes"), F.col("lines").alias("work_items"), "nnz", F.col("bytes").alias("rows")))
 
 
+# --- policy and catalog -----------------------------------------------------------------------------------
+
+_POLICY = "CASE WHEN b <= 0 OR r <= 0 THEN 32 WHEN b < 30000 THEN 8 WHEN a >= 20000 AND b >= 700000 THEN 128 WHEN a >= 6000 AND b >= 400000 THEN 128 WHEN a >= 6000 AND b >= 250000 THEN 64 WHEN a >= 500 THEN CASE WHEN b < 120000 THEN 16 WHEN b >= 3000000 THEN 64 ELSE 32 END WHEN b >= 8000000 AND a >= 128 THEN 128 WHEN b >= 3000000 THEN 64 ELSE 32 END"
+
+
+@query(f"""WITH {ROWS}, m AS (SELECT DISTINCT matrix, nnz AS b, bytes AS r FROM w)
+SELECT matrix, b AS blocks, r AS "rows", {_POLICY} AS chunk FROM (SELECT *, b / greatest((r + 7) // 8, 1) AS a FROM m)""")
+def lb_policy(spark, d):
+    m = _rows(spark, d).select("matrix", F.col("nnz").alias("blocks"), F.col("bytes").alias("rows")).distinct()
+    return m.select("matrix", "blocks", "rows", load_balance(F.col("blocks"), F.col("rows")).alias("chunk"))
+
+
+_CATALOG = [(k, o.name, o.layout, o.codec, o.family, o.gate, o.promotion) for k, o in enumerate(catalog().values())]
+
+
+@query(f"""WITH {ROWS}, c(place, name, layout, codec, family, gate, promotion) AS (VALUES {', '.join(map(str, _CATALOG))}), n AS (SELECT operator, count(*) AS n, count(*) FILTER (status = 'ok') AS ok FROM w GROUP BY operator)
+SELECT c.*, coalesce(n, 0) AS n, coalesce(ok, 0) AS ok FROM c LEFT JOIN n ON name = operator""")
+def operator_catalog(spark, d):
+    """Every known operator, with its rows in the sweep."""
+    known = spark.createDataFrame(_CATALOG, "place int, name string, layout string, codec string, family string, gate string, promotion string")
+    swept = _rows(spark, d).groupBy("operator").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "ok").alias("ok"))
+    met = known.join(swept, F.col("name") == F.col("operator"), "left").drop("operator")
+    return met.fillna(0, ["n", "ok"])
+
+
 # --- files: written from the driver's tables, and read again ----------------------------------------------
 
 _SWEPT = """s AS (SELECT concat('m', CAST(l_suppkey AS {s})) AS matrix, CASE WHEN l_linenumber = 1 THEN 'cusparse_default' ELSE concat('op', CAST(l_linenumber AS {s})) END AS operator,

@@ -218,6 +218,12 @@ def _problem(spark, d):
     return m, solvers.cut(solvers.times(m)(input_vector(spark, m.rows)))
 
 
+def _coarse(m):
+    """The matrix in eight bits, written once."""
+    low = codecs.bfp8(m)
+    return low.with_entries(solvers.cut(low.entries.select("row", "col", "value")))
+
+
 def _table(spark, curve: solvers.Curve):
     return spark.createDataFrame([(k, float(r)) for k, r in enumerate(curve.residuals, 1)], "step int, relative_residual double")
 
@@ -231,10 +237,10 @@ def cg_iterations(spark, d):
 @query()
 def iterative_refinement(spark, d):
     m, b = _problem(spark, d)
-    return _table(spark, solvers.refined(solvers.times(codecs.bfp8(m)), solvers.times(m), b, inner=20, outer=600))
+    return _table(spark, solvers.refined(_coarse(m), solvers.times(m), b, inner=20, outer=600))
 
 
 @query()
 def flexible_cg(spark, d):
     m, b = _problem(spark, d)
-    return _table(spark, solvers.flexible(solvers.times(codecs.bfp8(m)), solvers.times(m), b, inner=5, most=2000))
+    return _table(spark, solvers.flexible(_coarse(m), solvers.times(m), b, inner=5, most=2000))

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from mosaik.operators.spmv import spmv
 from mosaik.plans import planner as P
+from mosaik.plans.policy import load_balance
 from mosaik.sources.tables import input_vector, part_by_supplier
 
 
@@ -41,3 +42,9 @@ def test_gates_fall_back(spark, sf_dir):
         P.product(m, x, "all_one_lb")
     ones = m.with_value(F.lit(1.0))
     assert sorted(P.product(ones, x, "all_one_lb").collect()) == sorted(spmv(ones, x).collect())
+
+
+def test_load_balance_rules(spark):
+    cases = {(5, 4): 8, (14948, 105): 8, (66480, 136): 16, (319126, 171): 64, (422802, 512): 128, (2516849, 1791489): 32, (9000000, 400000): 128, (800000, 240): 128, (4000000, 48000): 64, (0, 5): 32}
+    t = spark.createDataFrame(list(cases), "b long, r long")
+    assert {(r.b, r.r): r.chunk for r in t.select("b", "r", load_balance(F.col("b"), F.col("r")).alias("chunk")).collect()} == cases

@@ -3,9 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from mosaik.matrix import Matrix
-from mosaik.operators import solvers
+from mosaik.operators import codecs, solvers
 from mosaik.queries import studies
-from mosaik.sources.tables import banded_spd, input_vector, order_graph
+from mosaik.sources.tables import banded_spd, input_vector, order_graph, supplier_graph
 
 
 def test_cg_iterations_ends_by_its_tolerances(spark, sf_dir):
@@ -19,11 +19,65 @@ def test_refined_and_flexible_reach_the_solution(spark):
     product, x = solvers.times(m), input_vector(spark, 6)
     b = solvers.cut(product(x))
     want = [r.val for r in x.orderBy("idx").collect()]
-    for curve in (solvers.refined(product, product, b, inner=6, outer=5), solvers.flexible(product, product, b, inner=3, most=9)):
+    for curve in (solvers.refined(m, product, b, inner=6, outer=5), solvers.flexible(m, product, b, inner=3, most=9)):
         assert curve.ended == "converged" and curve.residuals[-1] <= 1e-8
         assert all(abs(r.val - w) < 1e-6 for r, w in zip(curve.solution.orderBy("idx").collect(), want, strict=True))
 
 
+def dense(m):
+    a = np.zeros((m.rows, m.cols))
+    for r in m.entries.collect():
+        a[r["row"], r["col"]] += r["value"]
+    return a
+
+
+def dense_steps(a, b, steps):
+    x, r, p = np.zeros_like(b), b, b
+    for _ in range(steps):
+        ap = a @ p
+        if not p @ ap > 0:
+            break
+        alpha = r @ r / (p @ ap)
+        x, after = x + alpha * p, r - alpha * ap
+        if np.linalg.norm(after) <= solvers.ENOUGH * np.linalg.norm(b):
+            break
+        p, r = after + (after @ after) / (r @ r) * p, after
+    return x
+
+
+def dense_refined(low, a, b):
+    x, out = np.zeros_like(b), []
+    while not out or out[-1] > 1e-8:
+        r = b - a @ x
+        out.append(np.linalg.norm(r) / np.linalg.norm(b))
+        x = x + dense_steps(low, r, 20)
+    return out
+
+
+def dense_flexible(low, a, b):
+    r, out = b, []
+    z = dense_steps(low, r, 5)
+    p, rz = z, r @ z
+    while not out or out[-1] > 1e-8:
+        ap = a @ p
+        after = r - rz / (p @ ap) * ap
+        out.append(np.linalg.norm(after) / np.linalg.norm(b))
+        z = dense_steps(low, after, 5)
+        p, r = z + max(0.0, z @ (after - r) / rz) * p, after
+        rz = r @ z
+    return out
+
+
+@pytest.mark.parametrize("name, plain", [("iterative_refinement", dense_refined), ("flexible_cg", dense_flexible)])
+def test_queries_with_coarse_products_equal_numpy(spark, sf_dir, name, plain):
+    m = supplier_graph(spark, sf_dir)
+    a, low = dense(m), dense(codecs.bfp8(m))
+    assert (a == a.T).all() and (low != a).any()
+    got = [r.relative_residual for r in studies.QUERIES[name](spark, sf_dir).orderBy("step").collect()]
+    want = plain(low, a, a @ (((np.arange(m.rows) % 17) - 8) * 0.125))
+    assert len(got) > 1 and np.allclose(got, want, rtol=1e-4, atol=1e-9)
+
+
 def dense_cg(a, b, steps, start=0.0):
     """Plain conjugate gradients: relative residuals of the recurrence, and the solution."""
     x = np.full(len(b), start)
