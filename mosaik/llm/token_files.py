@@ -318,7 +318,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
         vocabulary = spark.sparkContext.broadcast(f.read())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h")
+    # The number of a row in its input parts rows alike in doc_id and text, which may be a third of all, among several ranges.
+    numbered = rows.withColumn("n", F.monotonically_increasing_id())
+    ordered = numbered.repartitionByRange(parts, "doc_id", "h", "n").sortWithinPartitions("doc_id", "h")
     with shuffles_dropped(spark):
         ordered.select("doc_id", "text").mapInArrow(_write(vocabulary), _SEGMENTS).write.option("compression", "uncompressed").parquet(path)
 

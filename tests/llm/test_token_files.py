@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from mosaik.llm import storage
 from mosaik.llm import token_files as T
@@ -68,5 +69,14 @@ def test_files_give_back_every_document(spark, monkeypatch):
     check(spark, [])
 
 
+def test_rows_alike_are_dealt_to_several_files(spark):
+    rows = [(None, "one text of many rows")] * 3000 + [(4, "again")] * 2000 + [(5, "other")]
+    check(spark, rows)
+    path = storage.new_path(spark, "tokens")
+    T.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, FILE)
+    sizes = [sum(map(len, r.d)) for r in spark.read.parquet(path).groupBy("part").agg(F.collect_list("doc_ids").alias("d")).collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
 def test_driver_table(spark, sf_dir):
     check(spark, [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()])
