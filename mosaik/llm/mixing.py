@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .numbering import running_sum
+from .numbering import running_sum, sums_before
 from .quality import SPACES
 from .storage import dropped, written
 
@@ -42,7 +42,7 @@ BLOCK = 64
 SHARD_BLOCKS = 1024
 #: Steps of a permutation of blocks.
 ROUNDS = 24
-#: Rows of the table of sources up to which it is broadcast; beyond, it is joined by a shuffle.
+#: Rows of the table of sources up to which it is broadcast and put in order by one task; beyond, it is joined by a shuffle and cut into ranges.
 MOST_SOURCES_SENT = 10_000
 #: Cells of slots' draws, each with the sources that it may be.
 CELLS = 4096
@@ -53,39 +53,40 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: DataFrame) -> DataFrame:
-    """sizes (source, source_size) with target (double). One row for each source, so windows over all are small."""
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+def _few(sizes: DataFrame) -> bool:
+    return sizes.count() <= MOST_SOURCES_SENT
+
+
+def targets(sizes: DataFrame, small: bool) -> DataFrame:
+    """sizes (source, source_size) with target (double). One row for each source; small: there are few."""
+    ranked = sums_before(sizes, _by_source(), {"rank": F.lit(1)}, small)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.col("rank") % len(WEIGHTS) + 1).cast("int"))
-    cap = F.col("source_size") * F.lit(float(CAP))
-    w = ranked.withColumn("weight", weight).withColumn("cap", cap)
-    everything = Window.partitionBy()
+    w = ranked.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(CAP)))
+    if not small:
+        w = written(w, "weights")
+    size, weights = (x or 0 for x in w.agg(F.sum("source_size"), F.sum("weight")).first())
     # Sources reach their caps in the order of cap / weight; the level is set by the first that stays below.
-    by_cap = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
-    before, after = by_cap.rowsBetween(Window.unboundedPreceding, -1), by_cap.rowsBetween(0, Window.unboundedFollowing)
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    level = w.withColumn("level", left / F.sum("weight").over(after))
-    first = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), F.col("rank"), F.col("level")))).over(everything)
-    found = level.withColumn("first", first)
-    target = F.least(F.col("cap"), F.coalesce(F.col("first.level") * F.col("weight"), F.col("cap")))
-    return found.select("source", "source_size", target.alias("target"))
+    turn = F.col("cap") / F.col("weight")
+    full = sums_before(w, [turn, F.col("rank")], {"caps": F.col("cap"), "gone": F.col("weight")}, small)
+    level = (F.lit(size) - F.col("caps")) / (F.lit(weights) - F.col("gone"))
+    below = full.filter(level * F.col("weight") <= F.col("cap")).agg(F.min_by(level, F.struct(turn, "rank"))).first()[0]
+    share = F.col("cap") if below is None else F.lit(below) * F.col("weight")
+    return w.select("source", "source_size", F.least(F.col("cap"), share).alias("target"))
 
 
-def quotas(sizes: DataFrame) -> DataFrame:
+def quotas(sizes: DataFrame, small: bool) -> DataFrame:
     """targets() with blocks, quota (blocks that the mix takes) and first, the quotas of the sources before."""
-    t = targets(sizes).withColumn("blocks", F.ceil(F.col("source_size") / F.lit(BLOCK)))
+    t = targets(sizes, small).withColumn("blocks", F.ceil(F.col("source_size") / F.lit(BLOCK)))
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     t = t.withColumn("rounds", F.least(rounds, F.lit(CAP)).cast("long"))
     rest = F.greatest(F.lit(0.0), F.col("target") - F.col("rounds") * F.col("source_size"))
     part = F.when((F.col("rounds") < CAP) & (F.col("source_size") > 0), F.least(F.col("blocks"), F.round(rest / F.col("source_size") * F.col("blocks")).cast("long"))).otherwise(F.lit(0))
     t = t.withColumn("quota", (F.col("rounds") * F.col("blocks") + part).cast("long")).drop("rounds")
-    return t.withColumn("first", _before("quota"))
+    return sums_before(t, _by_source(), {"first": F.col("quota")}, small)
 
 
-def _before(amount: str) -> Column:
-    """The sum of a column over the sources before."""
-    rows = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(amount).over(rows), F.lit(0))
+def _by_source() -> list[Column]:
+    return [F.col("source").asc_nulls_last()]
 
 
 def _sent(df: DataFrame, small: bool) -> DataFrame:
@@ -111,9 +112,9 @@ def _within_quotas(draws: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
     """draws with those beyond the quota of their source dealt to the sources that are short, and with blocks, of the source."""
     n = draws.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("n"))
     had = plan.select("source", "blocks", "quota").join(n, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("n", F.coalesce("n", F.lit(0))).drop("s")
-    over = had.withColumn("over", F.greatest(F.col("n") - F.col("quota"), F.lit(0))).withColumn("first_over", _before("over"))
-    short = over.withColumn("short", F.greatest(F.col("quota") - F.col("n"), F.lit(0))).withColumn("first_short", _before("short"))
-    d, o = draws.alias("d"), _sent(over.alias("o"), small)
+    amounts = {"over": F.greatest(F.col("n") - F.col("quota"), F.lit(0)), "short": F.greatest(F.col("quota") - F.col("n"), F.lit(0))}
+    short = sums_before(had.withColumns(amounts), _by_source(), {"first_over": F.col("over"), "first_short": F.col("short")}, small)
+    d, o = draws.alias("d"), _sent(short.alias("o"), small)
     own = d.join(o, F.col("d.source").eqNullSafe(F.col("o.source"))).select("slot", "d.source", "i", "blocks", "quota", "first_over")
     stay = own.filter("i < quota").select("slot", "source", "i", "blocks")
     spare = own.filter("i >= quota").select("slot", (F.col("i") - F.col("quota") + F.col("first_over")).alias("place"))
@@ -138,12 +139,12 @@ def permuted(x: Column, n: Column, *key: Column) -> Column:
 
 def slots(sizes: DataFrame, seed: int = 0) -> DataFrame:
     """The mix: (shard, slot, source, block), one row for each block of each output shard."""
-    plan = quotas(sizes)
-    total = plan.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.count("*")).first()
-    if not total[0]:
+    small = _few(sizes)
+    plan = quotas(sizes, small)
+    total = plan.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
+    if not total:
         return sizes.sparkSession.createDataFrame([], "shard long, slot int, source string, block long")
-    small = total[1] <= MOST_SOURCES_SENT
-    draws = written(drawn(plan, total[0], small, seed), "draws")
+    draws = written(drawn(plan, total, small, seed), "draws")
     met = _within_quotas(draws, plan, small)
     block = permuted(F.col("i") % F.col("blocks"), F.col("blocks"), F.lit("block"), F.lit(seed), F.col("source"), F.floor(F.col("i") / F.col("blocks")))
     return met.select(F.floor(F.col("slot") / SHARD_BLOCKS).alias("shard"), (F.col("slot") % SHARD_BLOCKS).cast("int").alias("slot"), "source", block.alias("block"))
@@ -218,7 +219,8 @@ def taken(docs: DataFrame, seed: int = 0) -> DataFrame:
     sizes = _sources(rows)
     placed = _placed(rows)
     sums = _met(placed, sizes, seed).groupBy("source", "begin", "size").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    own = _sent(targets(sizes), sizes.count() <= MOST_SOURCES_SENT)
+    small = _few(sizes)
+    own = _sent(targets(sizes, small), small)
     d, s, o = placed.alias("d"), sums.alias("s"), own.alias("o")
     return (
         d.join(s, _same("d", "s", "begin", "size"), "left")

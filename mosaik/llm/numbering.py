@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import written
+
 CELLS = 4096
 
 
@@ -37,3 +39,24 @@ def running_sum(df: DataFrame, group: list[str], key: list[str], amount: Column,
     for g in groups:
         on &= F.col(g).eqNullSafe(F.col(f"o{g}"))
     return local.join(offsets, on).select(*[F.col("row").getField(c).alias(c) for c in df.columns], (F.col("local") + F.col("offset")).alias(name))
+
+
+def sums_before(df: DataFrame, order: list[Column], amounts: dict[str, Column], small: bool) -> DataFrame:
+    """df with the sum of each amount over the rows before each one, in an order that tells rows apart.
+
+    Of few rows (small) one task does it. Any others are cut into ranges of the order, as many as a shuffle has
+    partitions, and summed by range first; what one task then sees is a row for each range."""
+    earlier = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    if small:
+        return df.withColumns({name: F.coalesce(F.sum(a).over(earlier), F.lit(0)) for name, a in amounts.items()})
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = df.withColumns({f"_{name}": a for name, a in amounts.items()})
+    # Ranges are drawn anew each time they are asked for, so they are written before two sides read them.
+    cut = written(own.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = cut.groupBy(F.col("_range").alias("_of")).agg(*[F.sum(f"_{name}").alias(f"_sum_{name}") for name in amounts])
+    ranges = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_of", *[F.coalesce(F.sum(f"_sum_{name}").over(ranges), F.lit(0)).alias(f"_to_{name}") for name in amounts])
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = cut.withColumns({f"_in_{name}": F.coalesce(F.sum(f"_{name}").over(within), F.lit(0)) for name in amounts})
+    met = local.join(F.broadcast(offsets), F.col("_range") == F.col("_of"))
+    return met.select(*df.columns, *[(F.col(f"_in_{name}") + F.col(f"_to_{name}")).alias(name) for name in amounts])

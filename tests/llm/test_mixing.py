@@ -185,5 +185,13 @@ def test_edges(spark):
     check(spark, [(1, "a", "s"), (1, "a", "s"), (None, "b c", "s")])
 
 
+@pytest.mark.parametrize("most", [0, 5])
+def test_many_sources_are_ordered_by_ranges(spark, monkeypatch, most):
+    """Beyond MOST_SOURCES_SENT sources no task sees all of them; the results are those of few sources."""
+    monkeypatch.setattr(M, "MOST_SOURCES_SENT", most)
+    check(spark, [(i, "w x y " * (i % 41), f"host{i % 60}") for i in range(600)] + [(700 + i, "a b c " * 90, None) for i in range(30)] + [(900, "", "no words")])
+    check(spark, [])
+
+
 def test_driver_table(spark, sf_dir):
     check(spark, [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()])
