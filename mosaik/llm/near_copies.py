@@ -17,6 +17,10 @@ nodes that hang together there are taken again, with their sizes and parities, w
 with one possible candidate outside of its group so far, which joins nearly all that belongs together, and then with all that are left.
 
 Equal texts are one node. Texts that share a 64-bit hash are equal, shingles likewise.
+
+Defined results of one_of_each(): a null text is the empty one, and all texts without words are one group, of which one
+row stays. Rows alike in doc_id and text count once. Of a group the row with the least doc_id stays; one without doc_id only
+where no row of the group has one. Columns of any name are kept as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations

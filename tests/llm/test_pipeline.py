@@ -55,3 +55,26 @@ def test_an_empty_corpus_gives_no_rows(spark, tmp_path):
     for _, stage in C.STAGES:
         docs = stage(spark, docs, d)
     assert docs.count() == 0
+
+
+def test_defined_results_of_every_stage(spark, tmp_path):
+    """Repeated rows, nulls in every column, a very long text and columns with names that the operators use themselves."""
+    d, _, text = a_corpus(tmp_path, spark)
+    base = spark.read.parquet(f"{d}/documents.parquet")
+    names = ["row", "key", "id", "node", "component", "size", "begin", "cell", "part", "copy", "w"]
+    long = " ".join(f"{a}{i}" + ("." if i % 9 == 8 else "") for i in range(30_000) for a in ("wo", "ra", "ti"))
+    more = [(0, text[0], "en", "s0", 0)] * 50 + [(None, text[1], None, None, None)] * 20 + [(None, "no id but words of its own, " + text[2][::-1] + ".", None, None, None), (7000, long, "en", "s1", None), (7000, long, "en", "s1", None)]
+    docs = base.unionByName(spark.createDataFrame(more, base.schema)).select("*", *[F.lit(k).cast("int").alias(c) for k, c in enumerate(names)])
+    columns, rows = docs.columns, []
+    for _, stage in C.STAGES[:-1]:
+        docs = stage(spark, docs, d).cache()
+        assert docs.columns == columns
+        rows.append(docs.collect())
+    quality, near, free, mix = rows
+    assert Counter(r.doc_id for r in quality)[0] == 51 and Counter(r.doc_id for r in quality)[7000] == 2
+    for kept in (near, free):
+        count = Counter(r.doc_id for r in kept)
+        assert max(count.values()) == 1 and count[0] == count[1] == count[7000] == 1  # the row without doc_id yields to document 1
+    assert max(Counter((r.doc_id, r.source) for r in mix).values()) <= 3
+    out = C.STAGES[-1][1](spark, docs, d).collect()
+    assert len(out) == len(mix) and all([r[c] for c in names] == list(range(len(names))) for r in out)
