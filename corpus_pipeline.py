@@ -2,6 +2,12 @@
 
 Each stage is written as Parquet and read again as the documents of the next one, so a stage that fails is
 done again from what the one before has left, and no stage carries the lineage of another.
+
+Defined results. Quality rules: null and empty texts and those without words go; rows that repeat get equal verdicts. Near
+dedup: of rows that repeat, or differ in doc_id only, one stays, a row without doc_id only where no other is. Decontamination: a row is
+judged by its own text, whatever its doc_id. Mixing: a null source is a source; a row gives up to three rows. Sharding: texts that are equal
+share a shard. Long texts are taken whole. The first four stages keep the columns they are given, whatever their names, and the last adds
+shard and slot, replacing columns so named. An empty table gives no rows.
 """
 
 from __future__ import annotations
