@@ -11,11 +11,9 @@ def as_float(v: Column) -> Column:
 
 
 def exponent(f: Column) -> Column:
-    """floor(log2(abs f)), exactly, for f other than 0."""
-    a = F.abs(f)
-    guess = F.floor(F.log2(a)).cast("int")
-    two = lambda k: F.pow(F.lit(2.0), k)
-    return F.when(two(guess) > a, guess - 1).when(two(guess + 1) <= a, guess + 1).otherwise(guess)
+    """floor(log2(abs f)), exactly, for single-precision f other than 0: the next number below a power of two has a logarithm that
+    is less by 8e-8, far more than a logarithm of double precision is wrong by. Short, as rounding uses it several times over."""
+    return F.floor(F.log2(F.abs(f)) + F.lit(1e-10)).cast("int")
 
 
 def _to_unit(f: Column, least: int, digits: int, half: str = "even") -> Column:

@@ -157,8 +157,8 @@ def _tile_window(br: int = 8, bc: int = 4) -> Window:
 def block_floating(m: Matrix, levels: int, scaled_by: Column | None = None) -> DataFrame:
     """(row, col, value, q, scale, decoded): whole numbers up to levels times a tile's scale, itself rounded to bf16."""
     most = F.max(F.abs(F.col("value") if scaled_by is None else scaled_by)).over(_tile_window())
-    scale = bf16(most / F.lit(float(levels)))
-    e = m.entries.withColumn("scale", F.when(F.coalesce(scale, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(scale))
+    e = m.entries.withColumn("scale", most / F.lit(float(levels))).withColumn("scale", bf16(F.col("scale")))
+    e = e.withColumn("scale", F.when(F.coalesce("scale", F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("scale")))
     q = F.greatest(F.lit(-float(levels)), F.least(F.lit(float(levels)), half_away(F.col("value") / F.col("scale"))))
     return e.withColumn("q", q).withColumn("decoded", F.col("q") * F.col("scale"))
 

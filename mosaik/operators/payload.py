@@ -47,7 +47,8 @@ def _swapped(word: Column, size: int) -> Column:
 
 def _bytes(words: list[Column], size: int = 4) -> Column:
     """Words as little-endian bytes, one after the other."""
-    return F.unhex(F.format_string(f"%0{2 * size}x" * len(words), *[_swapped(w.cast("long"), size) for w in words]))
+    digits = lambda w: F.substring(F.hex(_swapped(w.cast("long"), size).bitwiseOR(F.lit(1 << 8 * size))), 2, 2 * size)  # noqa: E731 - a bit above keeps zeros
+    return F.unhex(F.concat(*[digits(w) for w in words]))
 
 
 def packed(entries: DataFrame, bits: int, keys: tuple[str, ...] = (), kept: tuple[str, ...] = ()) -> DataFrame:
@@ -64,18 +65,16 @@ def packed(entries: DataFrame, bits: int, keys: tuple[str, ...] = (), kept: tupl
 
 def _number(payload: Column, first: Column | int, size: int) -> Column:
     """size bytes from first on (counted from 1) as a number."""
-    return _swapped(F.conv(F.hex(F.substring(payload, first, size)), 16, 10).cast("long"), size)
+    return _swapped(F.conv(F.hex(payload.substr(first if isinstance(first, Column) else F.lit(first), F.lit(size))), 16, 10).cast("long"), size)
 
 
 def unpacked(tiles: DataFrame, bits: int, keys: tuple[str, ...] = (), skip: int = 0) -> DataFrame:
     """Tiles to entries (keys, row, col, code); skip: bytes of a payload before its codes."""
     payload_bytes(bits)
-    per = 32 // bits
-    words = F.array(*[_number(F.col("payload"), skip + 4 * w + 1, 4) for w in range(bits)])
-    set_bits = F.filter(F.sequence(F.lit(0), F.lit(_CELLS - 1)), lambda b: F.call_function("getbit", F.col("bitmap"), b) == 1)
-    each = tiles.withColumn("words", words).withColumn("cell", F.explode(set_bits))
-    word = F.get("words", (F.col("cell") / per).cast("int"))
-    code = F.call_function("shiftrightunsigned", word, (F.col("cell") % per * bits).cast("int")).bitwiseAND(F.lit((1 << bits) - 1))
+    # Tiles have few entries: a code is read where it lies, from the one or two bytes that hold it.
+    each = tiles.withColumn("cell", F.explode(F.lit(list(range(_CELLS))))).filter(F.call_function("getbit", F.col("bitmap"), F.col("cell")) == 1)
+    held = _number(F.col("payload"), F.shiftright(F.col("cell") * bits, 3) + (skip + 1), max(1, bits // 8))
+    code = F.call_function("shiftrightunsigned", held, F.col("cell") * bits % 8).bitwiseAND(F.lit((1 << bits) - 1))
     rest = [c for c in tiles.columns if c not in (*keys, "br", "bc", "bitmap", "payload")]
     row, col = F.col("br") * BR + F.floor(F.col("cell") / BC), F.col("bc") * BC + F.col("cell") % BC
     return each.select(*keys, *rest, row.alias("row"), col.cast("long").alias("col"), code.alias("code"))
