@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..matrix import Matrix
 from ..operators import codecs, metrics, split, tiles
+from ..operators.solvers import cut
 from ..operators.spmv import spmv, spmv_parts
 
 #: Codecs of the catalog, in its order, and the families and gates of their operators.
@@ -110,10 +111,10 @@ def product(m: Matrix, x: DataFrame, name: str) -> DataFrame:
 
 def gated(m: Matrix, x: DataFrame, names: list[str]) -> tuple[str, DataFrame]:
     """The first of the named operators whose result passes its gate, and the result; the last name must be exact."""
-    exact = spmv(m, x)
+    exact = cut(spmv(m, x))  # vectors of both are read more than once
     ops = catalog()
     for name in names:
-        y = product(m, x, name)
+        y = cut(product(m, x, name))
         gate = metrics.lossy_gate() if ops[name].gate == LOSSY_GATE else metrics.exact_gate()
         if metrics.compared(exact, y).select(gate).first()[0]:
             return name, y
