@@ -69,9 +69,10 @@ def unflagged(word: Column) -> Column:
 
 def decoded(tiles: DataFrame, br: int = BR, bc: int = BC, keys: tuple[str, ...] = ()) -> DataFrame:
     """Tiles back to entries: the k-th set bit has the k-th value."""
-    bits = F.filter(F.sequence(F.lit(0), F.lit(br * bc - 1)), lambda b: F.call_function("getbit", F.col("bitmap"), b) == 1)
-    each = tiles.select(*keys, "br", "bc", F.explode(F.arrays_zip(bits.alias("bit"), F.col("values"))).alias("cell"))
-    bit, value = F.col("cell").getField("bit"), F.col("cell").getField("values")
+    each = tiles.select(*keys, "br", "bc", "bitmap", "values", F.explode(F.lit(list(range(br * bc)))).alias("bit")).filter(F.call_function("getbit", F.col("bitmap"), F.col("bit")) == 1)
+    bit = F.col("bit")
+    below = F.call_function("shiftleft", F.lit(1).cast("long"), bit) - 1
+    value = F.get("values", F.bit_count(F.col("bitmap").bitwiseAND(below)))
     return each.select(*keys, (F.col("br") * br + F.floor(bit / bc)).alias("row"), (F.col("bc") * bc + bit % bc).cast("long").alias("col"), value.alias("value"))
 
 
@@ -94,13 +95,17 @@ def from_blockrow_coo(p: DataFrame, br: int = BR, bc: int = BC) -> DataFrame:
 
 def sliced(m: Matrix, height: int) -> DataFrame:
     """(slice, k, lane, col, value): rows in slices of height, padded to the longest with col -1 and value 0, column by column."""
-    e = running(m.entries, digits("col"), "k", group=("row",)).withColumn("k", F.col("k").cast("int")).withColumn("slice", F.expr(f"row DIV {height}"))
-    widths = e.groupBy("slice").agg((F.max("k") + 1).alias("width"))
-    lanes = widths.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("width") - 1))).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).select("slice", "k", "lane")
-    lanes = lanes.filter(F.col("slice") * height + F.col("lane") < m.rows)
-    held = e.select(F.col("slice").alias("s"), F.col("k").alias("kk"), (F.col("row") % height).alias("l"), "col", "value")
-    on = (F.col("slice") == F.col("s")) & (F.col("k") == F.col("kk")) & (F.col("lane") == F.col("l"))
-    return lanes.join(held, on, "left").select("slice", "k", "lane", F.coalesce("col", F.lit(-1)).alias("col"), F.coalesce("value", F.lit(0.0)).alias("value"))
+    slice_, lane = F.expr(f"row DIV {height}").alias("slice"), (F.col("row") % height).cast("int").alias("lane")
+    inside = m.entries.filter(F.col("row") < m.rows)
+    held = running(inside, digits("col", max(m.cols, 1)), "k", group=("row",)).select(slice_, F.col("k").cast("int").alias("k"), lane, "col", "value")
+    # Only what pads a row up to its slice's longest is made; entries stay where they are.
+    lengths = m.entries.groupBy("row").agg(F.count("*").alias("n")).select(slice_, lane, "n")
+    cells = F.collect_list(F.struct("lane", "n"))
+    of = lengths.groupBy("slice").agg(F.max("n").alias("width"), F.map_from_entries(cells).alias("held"))
+    lanes = of.withColumn("lane", F.explode(F.lit(list(range(height))))).filter(F.col("slice") * height + F.col("lane") < m.rows)
+    short = lanes.withColumn("n", F.coalesce(F.try_element_at("held", F.col("lane")), F.lit(0))).filter("n < width")
+    pads = short.select("slice", F.explode(F.sequence(F.col("n").cast("int"), (F.col("width") - 1).cast("int"))).alias("k"), "lane", F.lit(-1).cast("long").alias("col"), F.lit(0.0).alias("value"))
+    return held.unionAll(pads)
 
 
 def from_sliced(s: DataFrame, height: int) -> DataFrame:
