@@ -21,13 +21,18 @@ def _tile(br: int, bc: int) -> list[Column]:
     return [F.expr(f"row DIV {br}").alias("br"), F.expr(f"col DIV {bc}").alias("bc")]
 
 
+def _placed(e: DataFrame, br: int, bc: int) -> list[Column]:
+    """br and bc of entries: those they carry, so that entries dealt by tile stay where they are, else computed."""
+    return [F.col("br"), F.col("bc")] if {"br", "bc"} <= set(e.columns) else _tile(br, bc)
+
+
 def tiled(m: Matrix, br: int = BR, bc: int = BC, keys: tuple[str, ...] = ()) -> DataFrame:
     """(br, bc, bitmap, nnz, values): one row for each tile with entries; values stand in bit order.
 
-    Bitmaps of up to 63 bits fit a long; larger tiles take tiled_words. keys: columns that tell several matrices apart."""
+    Bitmaps of up to 63 bits fit a long; larger tiles take tiled_words. keys: columns that tell several matrices apart. Entries may carry br and bc of such tiles."""
     if br * bc > 63:
         raise ValueError("tiles of more than 63 cells need tiled_words")
-    e = m.entries.select(*keys, *_tile(br, bc), bit_of(br, bc).cast("int").alias("bit"), "value")
+    e = m.entries.select(*keys, *_placed(m.entries, br, bc), bit_of(br, bc).cast("int").alias("bit"), "value")
     t = e.groupBy(*keys, "br", "bc").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bitmap"), F.count("*").alias("nnz"), F.sort_array(F.collect_list(F.struct("bit", "value"))).alias("cells"))
     return t.select(*keys, "br", "bc", "bitmap", "nnz", F.transform("cells", lambda c: c["value"]).alias("values"))
 
@@ -114,14 +119,12 @@ def from_sliced(s: DataFrame, height: int) -> DataFrame:
 
 def tile_violations(tiles: DataFrame, m: Matrix, br: int = BR, bc: int = BC) -> DataFrame:
     """(rule, n) of each broken rule of a tile table."""
-    bad = [
-        ("popcount", tiles.filter(F.bit_count("bitmap") != F.size("values"))),
-        ("grid", tiles.filter((F.col("br") < 0) | (F.col("bc") < 0) | (F.col("br") * br >= m.rows) | (F.col("bc") * bc >= m.cols))),
-        ("stored zero", tiles.filter(F.exists("values", lambda v: v == 0))),
-        ("duplicate", tiles.groupBy("br", "bc").count().filter("count > 1")),
-    ]
-    out = None
-    for rule, rows in bad:
-        one = rows.agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), "n")
-        out = one if out is None else out.unionAll(one)
-    return out.filter("n > 0")
+    bad = {
+        "popcount": F.bit_count("bitmap") != F.size("values"),
+        "grid": (F.col("br") < 0) | (F.col("bc") < 0) | (F.col("br") * br >= m.rows) | (F.col("bc") * bc >= m.cols),
+        "stored zero": F.exists("values", lambda v: v == 0),
+    }
+    # All rules are judged in one pass; places are met where tiles were made.
+    place = tiles.groupBy("br", "bc").agg(F.count("*").alias("duplicate"), *[F.count_if(rule).alias(name) for name, rule in bad.items()])
+    n = place.agg(*[F.sum(name).alias(name) for name in bad], F.count_if(F.col("duplicate") > 1).alias("duplicate"))
+    return n.unpivot([], [*bad, "duplicate"], "rule", "n").filter("n > 0")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import coo, metrics, profile, split, tiles
 from ..operators.spmv import spmv, spmv_parts, spmv_two_pass
 from ..sources.tables import banded_spd, deterministic_vector, input_vector, legacy_vector, order_by_part, probe_vector, shifted_laplacian, table
-from .parts import COLS, HASH, ORDERS, ROWS, TILES, E, Query, X, parts, spmv_sql
+from .parts import COLS, HASH, ORDERS, ROWS, TILES, E, Query, X, parts, parts_by_tile, spmv_sql
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -94,7 +94,7 @@ def tile_8x4(spark, d):
 
 @query(f"WITH {E}, l AS (SELECT r // 8 AS br, c // 4 AS bc, list(v ORDER BY (r % 8) * 4 + c % 4) AS l FROM e GROUP BY ALL) SELECT br, bc, array_to_string(list_transform(l, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',') AS cells FROM l")
 def tile_values(spark, d):
-    t = tiles.tiled(parts(spark, d))
+    t = tiles.tiled(parts_by_tile(spark, d))
     return t.select("br", "bc", F.array_join(F.transform("values", lambda v: v.cast("long").cast("string")), ",").alias("cells"))
 
 
@@ -130,7 +130,7 @@ def tile_flags(spark, d):
 
 @query(f"WITH {E} SELECT r, c, v FROM e")
 def tile_decode(spark, d):
-    return _named(tiles.decoded(tiles.tiled(parts(spark, d))))
+    return _named(tiles.decoded(tiles.tiled(parts_by_tile(spark, d))))
 
 
 @query(f"WITH {E}, {TILES} SELECT br, bc, bitmap, nnz, CAST(coalesce(sum(bit_count(bitmap)) OVER (ORDER BY br, bc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS val_ptr FROM t")
@@ -140,7 +140,7 @@ def tile_val_ptr(spark, d):
 
 @query(f"WITH {E} SELECT 'popcount' AS rule, count(*) AS n FROM e WHERE false HAVING count(*) > 0")
 def tile_validate(spark, d):
-    m = parts(spark, d)
+    m = parts_by_tile(spark, d)
     return tiles.tile_violations(tiles.tiled(m), m)
 
 
@@ -221,7 +221,7 @@ def spmv_csr(spark, d):
 
 @query(spmv_sql(E))
 def spmv_bitbsr(spark, d):
-    m = parts(spark, d)
+    m = parts_by_tile(spark, d)
     return spmv(m.with_entries(tiles.decoded(tiles.tiled(m))), _x(spark, m))
 
 

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from mosaik.functions import rounding
 from mosaik.matrix import Matrix
-from mosaik.operators import solvers, study
+from mosaik.operators import solvers, study, tiles
 from mosaik.queries import studies
+from mosaik.queries.parts import parts_by_tile
 from mosaik.sources import tables as T
 
 
@@ -48,6 +49,27 @@ def test_entries_of_many_lines_are_dealt_by_number(spark, sf_dir, monkeypatch):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_tiles_of_many_lines_are_made_where_lines_are_dealt(spark, sf_dir, monkeypatch):
+    got = lambda m: sorted(map(str, tiles.tiled(m).collect()))
+    want = got(T.part_by_supplier(spark, sf_dir))
+    assert got(parts_by_tile(spark, sf_dir)) == want
+    monkeypatch.setattr(T, "TASK_ROWS", 100)
+    m = parts_by_tile(spark, sf_dir)
+    t = tiles.tiled(m)
+    assert t.rdd.getNumPartitions() == -(-T.table(spark, sf_dir, "lineitem").count() // 100)
+    assert got(m) == want
+    plan = tiles.tile_violations(t, m)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and plan.count("FileScan") == 1  # lines by tile, and one row of a task to the sums
+
+
+def test_all_rules_of_tiles_are_judged_in_one_pass(spark):
+    rows = [(0, 0, 3, [1.0, 2.0])] * 2 + [(0, 1, 3, [1.0]), (1, 0, 1, [0.0]), (2, 0, 1, [1.0]), (0, -1, 1, [0.0])]
+    t = spark.createDataFrame([(*r, 1) for r in rows], "br long, bc long, bitmap long, values array<double>, nnz long")
+    got = {r.rule: r.n for r in tiles.tile_violations(t, Matrix(None, 16, 8)).collect()}
+    assert got == {"popcount": 1, "grid": 2, "stored zero": 2, "duplicate": 1}
+    assert tiles.tile_violations(t.limit(0), Matrix(None, 16, 8)).count() == 0
+
+
 def test_windows_are_those_that_cover_an_entry(spark):
     at = [(r, c) for r in range(0, 70, 3) for c in range(0, 19, 2)]
     m = Matrix(spark.createDataFrame([(r, c, 1.0 + r) for r, c in at], "row long, col long, value double"), 70, 19)
