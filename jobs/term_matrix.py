@@ -30,14 +30,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from jobs.common import main, replace_partitions, table_at
-from mosaik.matrix import Matrix
 from mosaik.operators.order import digits, running
-from mosaik.operators.tiles import BR, decoded, tiled
+from mosaik.operators.tiles import BC, BR, counted, decoded
 from mosaik.sources.scratch import scratch
 
 log = logging.getLogger("jobs.term_matrix")
 
 COLUMNS = 1 << 18
+#: Fixed value: bytes of text whose words a task counts.
+TASK_BYTES = 1 << 22
+#: Bits of a term's count in a block row of at most LARGE bytes; a word takes two bytes, with what parts it from the next.
+COUNT_BITS = 20
+LARGE = (2 << COUNT_BITS) - 2
+#: Documents whose ids are sent to all tasks by block rows, some 25 bytes each.
+SENT = 1 << 22
 INDEX = "matrix string, doc_id long, row long, batch long"
 TILES = "br long, bc long, bitmap long, nnz long, values array<double>, batch long, matrix string"
 _UP = "".join(map(chr, range(65, 91)))
@@ -60,12 +66,26 @@ def numbered(ids: DataFrame, earlier: DataFrame) -> DataFrame:
     return placed.join(begin, F.col("matrix") == F.col("of"), "left").select("matrix", "doc_id", (F.col("place") + F.coalesce("begin", F.lit(0))).alias("row"))
 
 
-def terms(docs: DataFrame, columns: int) -> DataFrame:
-    """(matrix, doc_id, col, value) of documents."""
-    words = F.split(F.translate("text", _UP, _UP.lower()), r"[\x20\x09-\x0D]+")
-    each = docs.select("matrix", "doc_id", F.explode(words).alias("word")).filter("word <> ''")
+def places(docs: DataFrame, columns: int) -> DataFrame:
+    """(matrix, br, bc, row, col) of each word of (matrix, br, row, text)."""
+    text = F.when(F.octet_length("text") == F.char_length("text"), F.lower("text")).otherwise(F.translate("text", _UP, _UP.lower()))
+    each = docs.select("matrix", "br", "row", F.explode(F.split(text, r"[\x20\x09-\x0D]+")).alias("word")).filter("word <> ''")
     col = F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 8), 16, 10).cast("long") % columns
-    return each.groupBy("matrix", "doc_id", col.alias("col")).agg(F.count("*").cast("double").alias("value"))
+    return each.select("matrix", "br", "row", col.alias("col")).withColumn("bc", F.expr(f"col DIV {BC}"))
+
+
+def tiles_of(docs: DataFrame, columns: int) -> DataFrame:
+    """The tiles of (matrix, row, text): texts are dealt by block row, so that words are counted where they are split and never move themselves. The words of
+    block rows of more than LARGE bytes are counted first and moved then, so that they spread over tasks; a smaller one has no term 2^COUNT_BITS times."""
+    docs = docs.withColumn("br", F.expr(f"row DIV {BR}"))
+    sizes = docs.groupBy("matrix", "br").agg(F.sum(F.octet_length("text") + F.lit(1).cast("long")).alias("size"))
+    total, most = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
+    large, keys = sizes.filter(F.col("size") > LARGE).select("matrix", "br"), ["matrix", "br"]
+    small = docs if most <= LARGE else docs.join(large, keys, "left_anti")
+    tiles = counted(places(small.repartition(1 + total // TASK_BYTES, *keys), columns), COUNT_BITS, ("matrix",))
+    if most <= LARGE:
+        return tiles
+    return tiles.unionAll(counted(places(docs.join(large, keys, "left_semi"), columns), keys=("matrix",)))
 
 
 def take(batch: DataFrame, number: int, output: str, columns: int) -> None:
@@ -77,8 +97,7 @@ def take(batch: DataFrame, number: int, output: str, columns: int) -> None:
     new = numbered(docs.select("matrix", "doc_id"), earlier).withColumn("batch", F.lit(number).cast("long"))
     replace_partitions(new, f"{output}/index", "batch")
     index = table_at(spark, f"{output}/index", INDEX).filter(F.col("batch") == number).drop("batch")
-    entries = terms(docs, columns).join(index, ["matrix", "doc_id"]).select("matrix", "row", "col", "value")
-    tiles = tiled(Matrix(entries, 0, columns), keys=("matrix",)).withColumn("batch", F.lit(number).cast("long"))
+    tiles = tiles_of(docs.join(index, ["matrix", "doc_id"]).select("matrix", "row", "text"), columns).withColumn("batch", F.lit(number).cast("long"))
     replace_partitions(tiles.select(*[c.split()[0] for c in TILES.split(", ")]), f"{output}/tiles", "batch", "matrix")
     wrote = table_at(spark, f"{output}/tiles", TILES).filter(F.col("batch") == number).agg(F.count("*"), F.sum("nnz")).first()
     log.info("batch %d: read %d rows, %d without doc_id; wrote %d documents, %d tiles, %d entries", number, given, nameless, index.count(), wrote[0], wrote[1] or 0)
@@ -106,9 +125,11 @@ def run(spark: SparkSession, source: str, output: str, checkpoint: str, columns:
 
 def read(spark: SparkSession, output: str) -> DataFrame:
     """(matrix, doc_id, row, col, value): the entries of all tiles, with the documents of their rows."""
-    index = table_at(spark, f"{output}/index", INDEX).select("matrix", "row", "doc_id")
-    entries = decoded(table_at(spark, f"{output}/tiles", TILES), keys=("matrix",))
-    return entries.join(index, ["matrix", "row"]).select("matrix", "doc_id", "row", "col", "value")
+    index = table_at(spark, f"{output}/index", INDEX)
+    ids = F.array(*[F.max(F.when(F.col("row") % BR == k, F.col("doc_id"))) for k in range(BR)])
+    blocks = index.groupBy("matrix", F.expr(f"row DIV {BR}").alias("br")).agg(ids.alias("ids"))
+    tiles = table_at(spark, f"{output}/tiles", TILES).join(F.broadcast(blocks) if index.count() <= SENT else blocks, ["matrix", "br"])
+    return decoded(tiles, keys=("matrix", "ids")).select("matrix", F.get("ids", (F.col("row") % BR).cast("int")).alias("doc_id"), "row", "col", "value")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

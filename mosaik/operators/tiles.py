@@ -37,6 +37,19 @@ def tiled(m: Matrix, br: int = BR, bc: int = BC, keys: tuple[str, ...] = ()) ->
     return t.select(*keys, "br", "bc", "bitmap", "nnz", F.transform("cells", lambda c: c["value"]).alias("values"))
 
 
+def counted(places: DataFrame, bits: int = 62, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(br, bc, bitmap, nnz, values): 8 x 4 tiles of (row, col) places that may come repeatedly; a value is how often its place comes.
+
+    A plain hash aggregate of counters of so many bits, as many in a long as it holds; no place may come 2^bits times. Places may carry br and bc."""
+    each, cells = 62 // bits, BR * BC
+    e = places.select(*keys, *_placed(places, BR, BC), bit_of().cast("int").alias("bit"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit") % each * bits)
+    sums = [F.sum(F.when(F.expr(f"bit DIV {each}") == i, one).otherwise(F.lit(0))).alias(f"_{i}") for i in range(-(-cells // each))]
+    t = e.groupBy(*keys, "br", "bc").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bitmap"), *sums)
+    counts = [F.shiftright(f"_{k // each}", k % each * bits).bitwiseAND(F.lit((1 << bits) - 1)).cast("double") for k in range(cells)]
+    return t.select(*keys, "br", "bc", "bitmap", F.bit_count("bitmap").cast("long").alias("nnz"), F.array_remove(F.array(*counts), F.lit(0.0)).alias("values"))
+
+
 def shapes(m: Matrix, br: int = BR, bc: int = BC) -> DataFrame:
     """(br, bc, bitmap, nnz) without values: a plain hash aggregate."""
     e = m.entries.select(*_tile(br, bc), bit_of(br, bc).cast("int").alias("bit"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import jobs
 from jobs import codec_sweep, term_matrix
+from mosaik.operators.tiles import counted, decoded
 from mosaik.sources.scratch import scratch
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -111,6 +112,30 @@ def test_term_matrix_in_several_batches_and_without_documents(spark):
     assert spark.read.parquet(f"{path}/out/index").select("batch").distinct().count() == 3
 
 
+def test_words_are_counted_where_texts_are_dealt(spark, monkeypatch):
+    rows = [(i, "s" if i % 3 else None, f"Ab aB É w{i % 5} " + "and " * (i * 40)) for i in range(30)] + [(7, "s", "x " * 900)] * 4
+    docs = spark.createDataFrame([(*r, 1) for r in rows], DOCS)
+    docs.coalesce(2).write.parquet(f"{(path := scratch(spark, 'terms'))}/in")
+    want = plain([rows])
+    placed = spark.createDataFrame(sorted({(f"source-{s}" if s else "none", d) for d, s, _ in rows}), "matrix string, doc_id long").selectExpr("*", "doc_id AS row")
+    texts = term_matrix._documents(docs).join(placed, ["matrix", "doc_id"]).select("matrix", "row", "text")
+    plan = term_matrix.tiles_of(texts, term_matrix.COLUMNS)._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and plan[: plan.index("REPARTITION_BY_NUM")].count("Exchange") == 1
+    for large in (term_matrix.LARGE, 4000, 0):  # no, some and all block rows have their words counted before these are moved
+        monkeypatch.setattr(term_matrix, "LARGE", large)
+        monkeypatch.setattr(term_matrix, "SENT", large)
+        term_matrix.run(spark, f"{path}/in", f"{path}/out{large}", f"{path}/state{large}")
+        assert {tuple(r) for r in term_matrix.read(spark, f"{path}/out{large}").collect()} == want
+
+
+def test_counters_hold_what_their_bits_allow(spark):
+    most = {(r, c): 1 + (r * 4 + c) % 7 for r in range(16) for c in range(5)}
+    rows = [p for p, n in most.items() for _ in range(n)]
+    for bits in (3, 20, 31, 62):
+        got = decoded(counted(spark.createDataFrame(rows, "row long, col long"), bits))
+        assert {tuple(r) for r in got.collect()} == {(r, c, float(n)) for (r, c), n in most.items()}
+
+
 LINES = "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_discount double, l_extendedprice double, l_shipdate timestamp"
 
 
