@@ -1,5 +1,7 @@
 """All windows near the densest are judged, however many there are."""
 
+import re
+
 import duckdb
 import numpy as np
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from mosaik.matrix import Matrix
 from mosaik.operators import study
 from mosaik.queries import studies
+from mosaik.sources import tables
 
 CELLS = 30
 
@@ -43,6 +46,20 @@ def test_the_window_that_loses_least_need_not_be_among_the_eighty_densest(spark,
     assert sorted(map(tuple, got.select(*names).collect())) == want
 
 
+@pytest.mark.parametrize("dealt", [False, True])
+def test_errors_are_of_all_windows_near_the_densest(spark, many, monkeypatch, dealt):
+    if dealt:
+        monkeypatch.setattr(tables, "TASK_ROWS", 20)
+    got = studies.QUERIES["window_errors"](spark, many)
+    names, want = by_sql(many, "window_errors")
+    rows = got.collect()
+    assert len(rows) == 4 * CELLS and [r.n for r in rows].count(7) == 4
+    assert sorted(tuple(r[c] for c in names) for r in rows) == want
+    if dealt:  # the counts and the errors both take lines by cell, and move cells to their windows; nothing else moves by key
+        moves = re.findall(r"Exchange hashpartitioning\((\w+)", got.select("*")._jdf.queryExecution().executedPlan().toString())
+        assert sorted(moves) == ["br", "br", "top", "top"]
+
+
 def plain_judged(entries, h, w, br, bc, share, levels=127):
     """Each window by itself: its entries, its tiles, their errors."""
     held = {}
